@@ -123,10 +123,10 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *,
     nv = max(1, math.ceil(vectors.count() / block_rows))
     q = (queries.select(F.col(qid).cast("long").alias("query_id"), F.col(q_vec).alias("embedding"))
                 .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-                .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).cast("long")))
+                .withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long")))))
     v = (vectors.select(F.col(key).cast("long").alias("key"), F.col(v_vec).alias("embedding"))
                 .withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(nv)))
-                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long")))
+                .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
     per_block = (q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb"))
                   .applyInPandas(_block_top_k(k, exclude_same_key),
                                  schema="query_id long, key long, score double"))

@@ -39,6 +39,91 @@ def topk(src: str, group: str, score: str, key: str, k: int, rank: str = "rank")
             f"ORDER BY round({score}, 9) DESC, {key} ASC) AS {rank} FROM {src}) WHERE {rank} <= {k})")
 
 
+HASH_DIM = 262144
+
+# Hashing-encoder vectors of documents (hd) and benchmark passages (hq); dense scores (ds).
+HV_CTES = f"""
+hd0 AS (SELECT key, cast('0x' || substr(md5(t), 1, 8) AS BIGINT) % {HASH_DIM} AS bucket
+        FROM (SELECT doc_id AS key, unnest({tok('text')}) AS t FROM documents)),
+hd1 AS (SELECT key, bucket, count(*)::DOUBLE AS c FROM hd0 GROUP BY key, bucket),
+hd AS (SELECT key, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY key)) AS weight FROM hd1),
+hq0 AS (SELECT query_id, cast('0x' || substr(md5(t), 1, 8) AS BIGINT) % {HASH_DIM} AS bucket
+        FROM (SELECT item_id AS query_id, unnest({tok('text')}) AS t FROM benchmark)),
+hq1 AS (SELECT query_id, bucket, count(*)::DOUBLE AS c FROM hq0 GROUP BY query_id, bucket),
+hq AS (SELECT query_id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY query_id)) AS weight FROM hq1),
+ds AS (SELECT q.query_id, d.key, sum(q.weight * d.weight) AS score
+       FROM hq q JOIN hd d ON q.bucket = d.bucket GROUP BY q.query_id, d.key)
+"""
+
+
+def hybrid_ctes(n: int, alpha: float, name: str = "hy") -> str:
+    """Fusion of ds (dense) and sc (BM25) into CTE {name}: top n by fused score."""
+    a, b = repr(float(alpha)), repr(1.0 - float(alpha))
+    return f"""
+{name}_sem AS {topk('ds', 'query_id', 'score', 'key', 2 * n)},
+{name}_bm AS {topk('(SELECT * FROM sc WHERE score > 0)', 'query_id', 'score', 'key', 2 * n)},
+{name}_st AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM {name}_bm GROUP BY query_id),
+{name}_fu AS (SELECT coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.key, b.key) AS key,
+                     s.score AS dense, b.score AS bm25
+              FROM {name}_sem s FULL OUTER JOIN {name}_bm b ON s.query_id = b.query_id AND s.key = b.key),
+{name}_fs AS (SELECT f.query_id, f.key, f.dense, f.bm25,
+                     {a}::DOUBLE * coalesce(f.dense, 0::DOUBLE)
+                     + {b}::DOUBLE * ((coalesce(f.bm25, 0::DOUBLE) - coalesce(t.lo, 0::DOUBLE))
+                                      / CASE WHEN t.hi > t.lo THEN t.hi - t.lo ELSE 1::DOUBLE END) AS score
+              FROM {name}_fu f LEFT JOIN {name}_st t ON f.query_id = t.query_id),
+{name} AS {topk(f'{name}_fs', 'query_id', 'score', 'key', n)}
+"""
+
+
+def diversity_sql(src: str, group: str, category: str, k: int, m: int, rank: str = "rank") -> str:
+    """Greedy diversity in its plain window form: tier = category rank > m; first k by tier, score."""
+    return f"""(SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY {group}
+                   ORDER BY CASE WHEN rc <= {m} THEN 0 ELSE 1 END, round(score, 9) DESC, key) AS {rank}
+        FROM (SELECT *, row_number() OVER (PARTITION BY {group}, {category}
+                         ORDER BY round(score, 9) DESC, key) AS rc FROM {src}))
+      WHERE {rank} <= {k})"""
+
+
+PART_CATALOG = """
+pc AS (SELECT p_partkey AS key, p_name AS assessment_name,
+              'https://catalog.example.com/view/' || replace(p_name, ' ', '-') || '-' || p_partkey::VARCHAR || '/' AS url,
+              p_name || ' from ' || p_brand || ', a ' || lower(p_type) || ' item of size ' || p_size::VARCHAR AS description,
+              CASE WHEN p_size > 45 THEN NULL ELSE p_size END::INTEGER AS duration_minutes,
+              p_type AS test_type,
+              CASE WHEN p_size % 3 = 0 THEN 'Yes' WHEN p_size % 3 = 1 THEN 'No' ELSE 'Unknown' END AS adaptive_support,
+              CASE WHEN p_size = 1 THEN 'No' ELSE 'Yes' END AS remote_support,
+              p_brand AS brand, p_retailprice AS price
+       FROM part)
+"""
+
+# Documents as catalog rows (category = source; duration/adaptive by the page rules).
+DOC_CATALOG = r"""
+dc AS (SELECT doc_id AS key, 'https://docs.example.com/doc/' || doc_id::VARCHAR AS url, source AS test_type,
+              CASE WHEN regexp_matches(text, '(?i)(\d+)\s*(?:minutes?|mins?)')
+                     THEN try_cast(regexp_extract(text, '(?i)(\d+)\s*(?:minutes?|mins?)', 1) AS INTEGER)
+                   WHEN regexp_matches(text, '(?i)Duration[:\s]+(\d+)')
+                     THEN try_cast(regexp_extract(text, '(?i)Duration[:\s]+(\d+)', 1) AS INTEGER)
+                   WHEN regexp_matches(text, '(?i)Time[:\s]+(\d+)')
+                     THEN try_cast(regexp_extract(text, '(?i)Time[:\s]+(\d+)', 1) AS INTEGER) END AS duration_minutes,
+              CASE WHEN contains(lower(text), 'adaptive') THEN 'Yes' ELSE 'No' END AS adaptive_support,
+              'Yes' AS remote_support
+       FROM documents)
+"""
+
+
+def py_str(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'None')"
+
+
+RICH_TEXT = ("trim('Assessment Name: ' || {n} || '\nTitle: ' || {n} || '\nDescription: ' || "
+             "coalesce(substr(description, 1, 600), 'None') || '\nType: ' || {t} || '\nCategory: ' || {t} || "
+             "'\nDuration: ' || {d} || ' minutes\nRemote Testing Support: ' || {r} || "
+             "'\nAdaptive Assessment (IRT): ' || {a} || '\nKeywords: ' || {n} || ', ' || {t} || "
+             "', talent assessment, product catalog')").format(
+    n=py_str("assessment_name"), t=py_str("test_type"), d=py_str("duration_minutes"),
+    r=py_str("remote_support"), a=py_str("adaptive_support"))
+
 SQL = {
     "token_counts": f"""
         SELECT doc_id, len({tok('text')}) AS n_tokens, len(list_distinct({tok('text')})) AS n_distinct
@@ -50,4 +135,40 @@ SQL = {
     "bm25_topk": f"""WITH {BM25_CTES}
         SELECT query_id, key AS doc_id, round(score, 6) AS score, rank
         FROM {topk('(SELECT * FROM sc WHERE score > 0)', 'query_id', 'score', 'key', 10)}""",
+    "hash_vectors": f"""WITH {HV_CTES} SELECT key AS doc_id, bucket, round(weight, 6) AS weight FROM hd""",
+    "hashed_similarity": f"""WITH {HV_CTES} SELECT query_id, key AS doc_id, round(score, 6) AS score FROM ds""",
+    "l2_normalized": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
+        x AS (SELECT vec_id, norm, unnest(v) AS c, generate_subscripts(v, 1) - 1 AS pos FROM n)
+        SELECT vec_id, pos, round(CASE WHEN norm > 0 THEN c / norm ELSE c END, 6) AS value FROM x""",
+    "vector_topk": f"""
+        WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS key,
+                          list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+                   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+        SELECT query_id, key, round(score, 6) AS score, rank FROM {topk('p', 'query_id', 'score', 'key', 10)}""",
+    "vector_manifest": """
+        SELECT 'given-embeddings' AS model_name, max(len(embedding))::INTEGER AS dimension,
+               count(*)::INTEGER AS num_assessments, 'exact_inner_product' AS index_type FROM embeddings""",
+    "hybrid_topk": f"""WITH {BM25_CTES}, {HV_CTES}, {hybrid_ctes(30, 0.5)}
+        SELECT query_id, key AS doc_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25,
+               round(score, 6) AS score, rank FROM hy""",
+    "semantic_only_topk": f"""WITH {BM25_CTES}, {HV_CTES}, {hybrid_ctes(30, 1.0)}
+        SELECT query_id, key AS doc_id, round(score, 6) AS score, rank FROM hy""",
+    "retrieve_pipeline": f"""WITH {BM25_CTES}, {HV_CTES}, {hybrid_ctes(40, 0.6)}, {DOC_CATALOG},
+        c AS (SELECT h.query_id, h.key, h.score, coalesce(dc.test_type, 'General Assessment') AS test_type
+              FROM hy h JOIN dc ON h.key = dc.key)
+        SELECT query_id, key AS doc_id, test_type AS category, round(score, 4) AS relevance_score, rank
+        FROM {diversity_sql('c', 'query_id', 'test_type', 10, 4)}""",
+    "diverse_topk": f"""WITH {PART_CATALOG},
+        c AS (SELECT brand AS query_id, key, test_type, price AS score FROM pc)
+        SELECT query_id AS brand, key, test_type, round(score, 6) AS score, rank
+        FROM {diversity_sql('c', 'query_id', 'test_type', 15, 2)}""",
+    "duration_filter": f"""WITH {PART_CATALOG}
+        SELECT key, duration_minutes FROM pc
+        WHERE duration_minutes IS NULL OR (duration_minutes <= 30 AND duration_minutes >= 10)""",
+    "rich_text": f"""WITH {PART_CATALOG} SELECT key, {RICH_TEXT} AS text FROM pc""",
+    "keyword_text": f"""WITH {PART_CATALOG}
+        SELECT key, {py_str('assessment_name')} || ' ' || {py_str('description')} || ' ' || {py_str('test_type')} AS text
+        FROM pc""",
 }

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import tokens
-from rankloom.operators import lexical
+from rankloom.functions.text import keyword_text as kw_text, rich_text as rt_text, tokens
+from rankloom.operators import dense, lexical
+from rankloom.operators.diversity import diversify, duration_filter as dur_filter
+from rankloom.operators.topk import score_order
+from rankloom.plans.search import TextSearch
 from rankloom.sources import tables as T
 
 R = 6  # output decimals
@@ -54,10 +57,103 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("query_id", F.col("key").alias("doc_id"), _r("score"), "rank")
 
 
+def _doc_search(spark, sf) -> TextSearch:
+    return TextSearch.build(T.document_corpus(spark, sf))
+
+
+def hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashing-encoder vectors of every document as sparse (bucket, weight) rows."""
+    v = dense.hash_vectors(T.document_corpus(spark, sf), "key", "text")
+    return v.select(F.col("key").alias("doc_id"), "bucket", _r("weight"))
+
+
+def hashed_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """E5 (sparse): cosine of every passage with every document sharing a bucket."""
+    s = _doc_search(spark, sf).dense(T.benchmark_queries(spark, sf))
+    return s.select("query_id", F.col("key").alias("doc_id"), _r("score"))
+
+
+def l2_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """Every embedding scaled to unit length, one row per component."""
+    e = T.load(spark, sf, "embeddings")
+    return e.select("vec_id", F.posexplode(dense.l2_normalize("embedding")).alias("pos", "value")) \
+            .select("vec_id", "pos", _r("value"))
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """D3 + E5 + G1: every embedding searched against all others, ten best by inner product."""
+    e = T.load(spark, sf, "embeddings")
+    t = dense.exact_top_k(e, e, 10, qid="vec_id", key="vec_id", exclude_same_key=True)
+    return t.select("query_id", "key", _r("score"), "rank")
+
+
+def vector_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest of the embeddings table."""
+    return dense.manifest(T.load(spark, sf, "embeddings"), "given-embeddings")
+
+
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """G3 + D4 + E6: 30 best per passage, alpha 0.5, over BM25 and hashed vectors."""
+    h = _doc_search(spark, sf).hybrid(T.benchmark_queries(spark, sf), top_k=30, alpha=0.5)
+    return h.select("query_id", F.col("key").alias("doc_id"), _r("dense"), _r("bm25"), _r("score"), "rank")
+
+
+def semantic_only_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The compatibility search (alpha 1): BM25-only hits appear with score 0."""
+    h = _doc_search(spark, sf).hybrid(T.benchmark_queries(spark, sf), top_k=30, alpha=1.0)
+    return h.select("query_id", F.col("key").alias("doc_id"), _r("score"), "rank")
+
+
+def retrieve_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """G4 + B21: hybrid 40 (alpha 0.6) -> category diversity (source, m=4) -> 10, rounded 4."""
+    r = _doc_search(spark, sf).retrieve(T.benchmark_queries(spark, sf), T.document_catalog(spark, sf), top_k=10)
+    return r.select("query_id", F.col("key").alias("doc_id"), F.col("test_type").alias("category"),
+                    "relevance_score", "rank")
+
+
+def diverse_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """F2 over the part catalog: per brand, parts by price, at most 2 per type first, 15 rows."""
+    c = T.part_catalog(spark, sf).select(F.col("brand").alias("query_id"), "key", "test_type",
+                                          F.col("price").alias("score"))
+    d = diversify(c, 15, 2, group="query_id", category="test_type", order=score_order())
+    return d.select(F.col("query_id").alias("brand"), "key", "test_type", _r("score"), "rank")
+
+
+def duration_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 on the part catalog: 10 <= duration <= 30, unknown durations kept."""
+    c = T.part_catalog(spark, sf)
+    return dur_filter(c, max_duration=30, min_duration=10).select("key", "duration_minutes")
+
+
+def rich_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoder input text for every catalog row."""
+    c = T.part_catalog(spark, sf)
+    return c.select("key", rt_text("assessment_name", "description", "test_type", "duration_minutes",
+                                   "remote_support", "adaptive_support").alias("text"))
+
+
+def keyword_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword-search text for every catalog row."""
+    c = T.part_catalog(spark, sf)
+    return c.select("key", kw_text("assessment_name", "description", "test_type").alias("text"))
+
+
 QUERIES = {
     "token_counts": token_counts,
     "corpus_stats": corpus_stats,
     "term_idf": term_idf,
     "bm25_scores": bm25_scores,
     "bm25_topk": bm25_topk,
+    "hash_vectors": hash_vectors,
+    "hashed_similarity": hashed_similarity,
+    "l2_normalized": l2_normalized,
+    "vector_topk": vector_topk,
+    "vector_manifest": vector_manifest,
+    "hybrid_topk": hybrid_topk,
+    "semantic_only_topk": semantic_only_topk,
+    "retrieve_pipeline": retrieve_pipeline,
+    "diverse_topk": diverse_topk,
+    "duration_filter": duration_filter,
+    "rich_text": rich_text,
+    "keyword_text": keyword_text,
 }
