@@ -49,7 +49,7 @@ def duration_limit(query) -> Column:
     for i, pat in enumerate(DURATION_PATTERNS):
         val = F.regexp_extract(q, pat, 1).try_cast("int")
         if i == HOUR_PATTERN_INDEX:
-            val = val * F.lit(60)
+            val = F.try_multiply(val, F.lit(60))
         expr = (F.when(q.rlike(pat), val) if expr is None else expr.when(q.rlike(pat), val))
     return expr.otherwise(F.lit(None).cast("int"))
 

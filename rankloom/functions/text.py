@@ -60,7 +60,7 @@ def truncate_ellipsis(text, n: int, collapse_ws: bool = False) -> Column:
     before cutting, but the ellipsis test still uses the original length (kept quirk).
     """
     t = _c(text)
-    body = F.trim(F.regexp_replace(t, r"\s+", " ")) if collapse_ws else t
+    body = F.trim(F.regexp_replace(t, r"[ \t\n\x0B\f\r]+", " ")) if collapse_ws else t
     return F.concat(F.substring(body, 1, n), F.when(F.length(t) > n, F.lit("...")).otherwise(F.lit("")))
 
 

@@ -172,3 +172,224 @@ SQL = {
         SELECT key, {py_str('assessment_name')} || ' ' || {py_str('description')} || ' ' || {py_str('test_type')} AS text
         FROM pc""",
 }
+
+
+# ---- request side ------------------------------------------------------------------------
+from rankloom.functions.query_filters import (ADAPTIVE_PATTERN, DOMAIN_KEYWORDS,  # noqa: E402
+                                              DURATION_PATTERNS, HOUR_PATTERN_INDEX, REMOTE_PATTERN)
+from rankloom.functions.rerank import PROMPT_TEMPLATE  # noqa: E402
+
+
+def filters_sql(q: str) -> dict[str, str]:
+    """Constraint expressions over the lower-cased text expression q."""
+    whens = []
+    for i, p in enumerate(DURATION_PATTERNS):
+        v = f"try_cast(regexp_extract({q}, '{p}', 1) AS INTEGER)"
+        if i == HOUR_PATTERN_INDEX:
+            v = f"({v} * 60)"
+        whens.append(f"WHEN regexp_matches({q}, '{p}') THEN {v}")
+    dom = " ".join(f"WHEN contains({q}, '{k}') THEN '{k}'" for k in DOMAIN_KEYWORDS)
+    return {"dl": "CASE " + " ".join(whens) + " END",
+            "rt": f"CASE WHEN regexp_matches({q}, '{REMOTE_PATTERN}') THEN true END",
+            "at": f"CASE WHEN regexp_matches({q}, '{ADAPTIVE_PATTERN}') THEN true END",
+            "tt": f"CASE {dom} END"}
+
+
+def hard_filter_where(f: str, c: str) -> str:
+    return (f"(coalesce({f}.dl, 0) = 0 OR {c}.duration_minutes IS NULL OR {c}.duration_minutes <= {f}.dl) "
+            f"AND (NOT coalesce({f}.rt, false) OR coalesce({c}.remote_support = 'Yes', false)) "
+            f"AND (NOT coalesce({f}.at, false) OR coalesce({c}.adaptive_support = 'Yes', false))")
+
+
+ORDER_REQUESTS = """
+orq AS (SELECT o_orderkey AS query_id,
+               concat_ws(' ', lower(substr(o_orderpriority, 3, 100)),
+                  ['java developer', 'sales lead', 'verbal reasoning', 'leadership', 'python and sql',
+                   'customer service'][(o_custkey % 6) + 1],
+                  'test',
+                  ['within ' || d || ' min', 'under ' || d, d || ' minutes', 'max' || chr(10) || d,
+                   ((o_custkey % 3) + 1)::VARCHAR || ' hours', 'about an hour'][(o_orderkey % 6) + 1],
+                  CASE WHEN o_custkey % 4 = 0 THEN '' WHEN o_orderstatus = 'O' THEN 'remote'
+                       WHEN o_orderstatus = 'F' THEN 'adaptive' ELSE 'virtual' END) AS query_text
+        FROM (SELECT *, ((trunc(o_totalprice)::BIGINT % 90) + 10)::VARCHAR AS d FROM orders))
+"""
+
+ORDER_CANDIDATES = """
+oc AS (SELECT l_orderkey AS query_id, l_partkey AS key, l_extendedprice AS score,
+              row_number() OVER (PARTITION BY l_orderkey
+                                 ORDER BY l_extendedprice DESC, l_partkey, l_linenumber, l_suppkey) - 1 AS pos
+       FROM lineitem)
+"""
+
+ORDER_REPLIES = """
+orp AS (SELECT i.query_id,
+               CASE WHEN o.o_orderstatus = 'P' THEN 'I could not rank these candidates.'
+                    WHEN o.o_custkey % 5 = 0 THEN '[1, "a", ' || i.lst || ']'
+                    ELSE 'Sure:' || chr(10) || '[' || i.lst || ', ' || i.p0::VARCHAR || ', 99]' END AS reply
+        FROM (SELECT query_id, string_agg(pos::VARCHAR, ', ' ORDER BY key DESC, pos) AS lst, min(pos) AS p0
+              FROM oc GROUP BY query_id) i
+        JOIN orders o ON i.query_id = o.o_orderkey),
+prs AS (SELECT query_id, regexp_extract(reply, '(?s)\\[.*?\\]', 0) AS s FROM orp),
+pl AS (SELECT query_id,
+              CASE WHEN regexp_full_match(s, '\\[\\s*\\]') THEN []::BIGINT[]
+                   WHEN regexp_full_match(s, '\\[\\s*-?\\d+\\s*(,\\s*-?\\d+\\s*)*\\]')
+                   THEN list_transform(string_split(regexp_replace(s, '[\\[\\]\\s]', '', 'g'), ','),
+                                       lambda x: x::BIGINT) END AS idx
+       FROM prs),
+pex AS (SELECT query_id, ipos, idx FROM
+          (SELECT query_id, unnest(idx) AS idx, generate_subscripts(idx, 1) - 1 AS ipos FROM pl WHERE idx IS NOT NULL))
+"""
+
+
+def strip_tags_sql(x: str) -> str:
+    h = (f"regexp_replace(regexp_replace(regexp_replace({x}, "
+         f"'(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), "
+         f"'(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')")
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")]:
+        h = f"replace({h}, '{ent}', '{ch}')"
+    return h
+
+
+def html_to_text_sql(x: str, limit: int = 5000) -> str:
+    lines = (f"string_split_regex({strip_tags_sql(x)}, "
+             f"'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')")
+    phr = f"flatten(list_transform({lines}, lambda l: string_split(trim(l), '  ')))"
+    kept = f"list_filter(list_transform({phr}, lambda p: trim(p)), lambda p: length(p) > 0)"
+    return f"substr(array_to_string({kept}, ' '), 1, {limit})"
+
+
+CONV_REQUESTS = f"""
+cr0 AS (SELECT c.conv_id * 1000 + c.turn AS request_id,
+               CASE WHEN c.role = 'user' THEN c.text END AS query,
+               CASE WHEN c.role = 'assistant' THEN c.text END AS jd_text,
+               CASE WHEN c.role = 'system'
+                    THEN coalesce(p.url, 'https://missing.example.com/' || c.conv_id::VARCHAR) END AS jd_url,
+               ((c.conv_id + c.turn) % 22 + 1)::INTEGER AS top_k
+        FROM conversations c LEFT JOIN pages p ON c.conv_id = p.page_id),
+pgt AS (SELECT url AS jd_url, {html_to_text_sql('html')} AS page_text FROM pages),
+cr1 AS (SELECT r.*, CASE WHEN r.jd_url IS NOT NULL AND length(r.jd_url) > 0 THEN coalesce(t.page_text, '')
+                         ELSE coalesce(nullif(r.jd_text, ''), r.query) END AS final_text,
+               CASE WHEN r.jd_url IS NOT NULL AND length(r.jd_url) > 0 THEN 'url'
+                    WHEN length(coalesce(r.jd_text, '')) > 0 THEN 'jd_text' ELSE 'query' END AS source
+        FROM cr0 r LEFT JOIN pgt t ON r.jd_url = t.jd_url),
+cr AS (SELECT *, CASE WHEN final_text IS NULL OR length(final_text) = 0 THEN 'no input'
+                      WHEN top_k IS NULL OR top_k < 1 OR top_k > 20 THEN 'top_k out of range' END AS reject_reason
+       FROM cr1)
+"""
+
+
+def trunc_sql(x: str, n: int, collapse: bool = False) -> str:
+    body = f"trim(regexp_replace({x}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))" if collapse else x
+    return f"(substr({body}, 1, {n}) || CASE WHEN length({x}) > {n} THEN '...' ELSE '' END)"
+
+
+def prompt_sql(query: str, context: str, top_k: int) -> str:
+    parts = PROMPT_TEMPLATE.split("{")
+    out = ["'" + parts[0].replace("'", "''") + "'"]
+    for p in parts[1:]:
+        key, rest = p.split("}", 1)
+        out.append({"top_k": f"'{top_k}'", "query": f"substr({query}, 1, 1000)", "context": context,
+                    "candidates": context}[key])
+        out.append("'" + rest.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
+_BF = filters_sql("lower(text)")
+RECOMMEND_CTES = f"""{BM25_CTES}, {HV_CTES}, {hybrid_ctes(60, 0.6)}, {DOC_CATALOG},
+rc AS (SELECT h.query_id, h.key, h.score, coalesce(dc.test_type, 'General Assessment') AS test_type,
+              dc.duration_minutes, dc.adaptive_support, dc.remote_support, dc.url
+       FROM hy h JOIN dc ON h.key = dc.key),
+rt AS {diversity_sql('rc', 'query_id', 'test_type', 40, 4)},
+bf AS (SELECT item_id AS query_id, {_BF['dl']} AS dl, {_BF['rt']} AS rt, {_BF['at']} AS at FROM benchmark),
+rk AS (SELECT rt.*, round(rt.score, 4) AS relevance_score,
+              row_number() OVER (PARTITION BY rt.query_id ORDER BY rt.rank) AS rank2
+       FROM rt JOIN bf ON rt.query_id = bf.query_id WHERE {hard_filter_where('bf', 'rt')}),
+rec AS (SELECT query_id, rank2 AS rank, key, relevance_score, url FROM rk WHERE rank2 <= 10)
+"""
+
+TRUTH_CTES = """
+tr AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS item
+       FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0),
+gt AS (SELECT query_id, count(*) AS total_gt, count(DISTINCT item) AS gtd FROM tr GROUP BY query_id),
+hits AS (SELECT p.query_id, count(*) AS found
+         FROM (SELECT DISTINCT query_id, key AS item FROM rec) p
+         WHERE EXISTS (SELECT 1 FROM tr t WHERE t.query_id = p.query_id AND t.item = p.item)
+         GROUP BY p.query_id),
+pq AS (SELECT gt.query_id, CASE WHEN gtd = 0 THEN 0::DOUBLE ELSE coalesce(found, 0) / gtd END AS recall,
+              coalesce(found, 0) / 10 AS precision, coalesce(found, 0)::BIGINT AS found, total_gt::BIGINT AS total_gt
+       FROM gt LEFT JOIN hits ON gt.query_id = hits.query_id)
+"""
+
+_OF = filters_sql("lower(query_text)")
+SQL.update({
+    "query_filters": f"""WITH {ORDER_REQUESTS}
+        SELECT query_id, {_OF['dl']} AS duration_limit, {_OF['rt']} AS remote_testing,
+               {_OF['at']} AS adaptive_testing, {_OF['tt']} AS test_type FROM orq""",
+    "hard_filter": f"""WITH {PART_CATALOG}, {ORDER_REQUESTS}, {ORDER_CANDIDATES},
+        f AS (SELECT query_id, {_OF['dl']} AS dl, {_OF['rt']} AS rt, {_OF['at']} AS at FROM orq),
+        c AS (SELECT oc.query_id, oc.key, oc.pos, pc.duration_minutes, pc.remote_support, pc.adaptive_support
+              FROM oc JOIN pc ON oc.key = pc.key)
+        SELECT c.query_id, c.key, c.pos FROM c JOIN f ON c.query_id = f.query_id WHERE {hard_filter_where('f', 'c')}""",
+    "request_choice": f"""WITH {CONV_REQUESTS}
+        SELECT request_id, source, length(final_text) AS n_chars, {trunc_sql('final_text', 200)} AS query
+        FROM cr WHERE reject_reason IS NULL""",
+    "request_reject": f"""WITH {CONV_REQUESTS} SELECT request_id, reject_reason FROM cr WHERE reject_reason IS NOT NULL""",
+    "prompt_context": f"""WITH {PART_CATALOG}, {ORDER_CANDIDATES},
+        ln AS (SELECT oc.query_id, oc.pos,
+                      '[' || oc.pos::VARCHAR || '] Name: ' || coalesce(pc.assessment_name, 'None') || ' | Type: '
+                      || coalesce(pc.test_type, 'N/A') || ' | Desc: '
+                      || replace(substr(coalesce(pc.description, ''), 1, 200), chr(10), ' ') || chr(10) AS line
+               FROM oc JOIN pc ON oc.key = pc.key WHERE oc.pos < 20)
+        SELECT query_id, string_agg(line, '' ORDER BY pos) AS context FROM ln GROUP BY query_id""",
+    "parse_rankings": f"""WITH {ORDER_CANDIDATES}, {ORDER_REPLIES} SELECT query_id, ipos, idx FROM pex""",
+    "apply_rankings": f"""WITH {ORDER_CANDIDATES}, {ORDER_REPLIES},
+        acc AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY ipos) - 1 AS new_pos
+                FROM (SELECT e.query_id, e.idx AS pos, min(e.ipos) AS ipos
+                      FROM pex e JOIN (SELECT DISTINCT query_id, pos FROM oc WHERE pos < 20) p
+                        ON e.query_id = p.query_id AND e.idx = p.pos
+                      GROUP BY e.query_id, e.idx)),
+        r AS (SELECT c.query_id, c.key, a.new_pos IS NOT NULL AS reranked,
+                     CASE WHEN a.new_pos IS NOT NULL THEN 0.99::DOUBLE - 0.01::DOUBLE * a.new_pos ELSE c.score END AS score,
+                     row_number() OVER (PARTITION BY c.query_id ORDER BY a.new_pos ASC NULLS LAST, c.pos ASC) AS rank
+              FROM oc c LEFT JOIN acc a ON c.query_id = a.query_id AND c.pos = a.pos)
+        SELECT query_id, rank, key, round(score, 6) AS score, reranked FROM r WHERE rank <= 5""",
+    "recommend_batch": f"""WITH {RECOMMEND_CTES}
+        SELECT query_id, rank, key AS doc_id, round(relevance_score, 6) AS relevance_score FROM rec""",
+    "containment_truth": """SELECT DISTINCT b.item_id AS query_id, d.doc_id
+        FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0""",
+    "recall_at_k": f"""WITH {RECOMMEND_CTES}, {TRUTH_CTES}
+        SELECT query_id, round(recall, 6) AS recall, found, total_gt FROM pq""",
+    "precision_at_k": f"""WITH {RECOMMEND_CTES}, {TRUTH_CTES}
+        SELECT query_id, round(precision, 6) AS precision FROM pq""",
+    "eval_summary": f"""WITH {RECOMMEND_CTES}, {TRUTH_CTES}
+        SELECT round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision,
+               sum(found)::BIGINT AS total_found, sum(total_gt)::BIGINT AS total_ground_truth,
+               count(*) AS num_queries FROM pq""",
+    "query_split": """
+        WITH u AS (SELECT text AS query_text, conv_id, turn FROM conversations WHERE role = 'user'),
+        f AS (SELECT query_text, conv_id, turn
+              FROM (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY conv_id, turn) AS rn FROM u)
+              WHERE rn = 1),
+        h AS (SELECT query_text FROM f ORDER BY conv_id, turn LIMIT 10)
+        SELECT query_text, conv_id, turn,
+               CASE WHEN (SELECT count(*) FROM f) > 10 AND query_text IN (SELECT query_text FROM h)
+                    THEN 'train' ELSE 'test' END AS split
+        FROM f""",
+    "prediction_rows": f"""WITH {RECOMMEND_CTES},
+        bq AS (SELECT text AS query_text, min(item_id) AS first_id FROM benchmark GROUP BY text),
+        tq AS (SELECT query_text FROM bq
+               WHERE (SELECT count(*) FROM bq) <= 10
+                  OR query_text NOT IN (SELECT query_text FROM bq ORDER BY first_id LIMIT 10))
+        SELECT {trunc_sql('b.text', 150, collapse=True)} AS "Query", rec.url AS "Assessment_url"
+        FROM rec JOIN benchmark b ON rec.query_id = b.item_id WHERE b.text IN (SELECT query_text FROM tq)""",
+})
+SQL["prompt_text"] = f"""WITH {PART_CATALOG}, {ORDER_REQUESTS}, {ORDER_CANDIDATES},
+        ln AS (SELECT oc.query_id, oc.pos,
+                      '[' || oc.pos::VARCHAR || '] Name: ' || coalesce(pc.assessment_name, 'None') || ' | Type: '
+                      || coalesce(pc.test_type, 'N/A') || ' | Desc: '
+                      || replace(substr(coalesce(pc.description, ''), 1, 200), chr(10), ' ') || chr(10) AS line
+               FROM oc JOIN pc ON oc.key = pc.key WHERE oc.pos < 20),
+        cx AS (SELECT query_id, string_agg(line, '' ORDER BY pos) AS context FROM ln GROUP BY query_id)
+        SELECT orq.query_id, {prompt_sql('orq.query_text', 'cx.context', 10)} AS prompt
+        FROM orq JOIN cx ON orq.query_id = cx.query_id"""

@@ -13,6 +13,14 @@ from rankloom.functions.text import keyword_text as kw_text, rich_text as rt_tex
 from rankloom.operators import dense, lexical
 from rankloom.operators.diversity import diversify, duration_filter as dur_filter
 from rankloom.operators.topk import score_order
+from rankloom.functions.query_filters import parse_filters
+from rankloom.functions.rerank import parse_reply
+from rankloom.operators.filters import hard_filter as hard_filter_op
+from rankloom.operators.metrics import ordered_split
+from rankloom.operators.ranking import apply_rankings as apply_rankings_op, prompt_context as context_op, prompts
+from rankloom.plans import evaluate as EV
+from rankloom.plans.recommend import recommend
+from rankloom.plans.requests import resolve_requests
 from rankloom.plans.search import TextSearch
 from rankloom.sources import tables as T
 
@@ -138,6 +146,118 @@ def keyword_text(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("key", kw_text("assessment_name", "description", "test_type").alias("text"))
 
 
+def query_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Constraints parsed from every order request."""
+    r = T.order_requests(spark, sf)
+    f = parse_filters("query_text")
+    return r.select("query_id", f.getField("duration_limit").alias("duration_limit"),
+                    f.getField("remote_testing").alias("remote_testing"),
+                    f.getField("adaptive_testing").alias("adaptive_testing"),
+                    f.getField("test_type").alias("test_type"))
+
+
+def _order_cands(spark, sf) -> DataFrame:
+    return T.order_candidates(spark, sf).join(T.part_catalog(spark, sf), "key")
+
+
+def hard_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """C4: each order's candidate parts filtered by the constraints of its request."""
+    f = T.order_requests(spark, sf).select("query_id", parse_filters("query_text").alias("filters"))
+    return hard_filter_op(_order_cands(spark, sf).join(f, "query_id")).select("query_id", "key", "pos")
+
+
+def request_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """B19 + D9 + B18: the text each valid request is answered with (echo cut at 200)."""
+    r = resolve_requests(T.conversation_requests(spark, sf), T.load(spark, sf, "pages"))
+    from rankloom.functions.text import truncate_ellipsis
+    return r.filter(F.col("reject_reason").isNull()).select(
+        "request_id", "source", F.length("final_text").alias("n_chars"),
+        truncate_ellipsis("final_text", 200).alias("query"))
+
+
+def request_reject(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejected requests and why."""
+    r = resolve_requests(T.conversation_requests(spark, sf), T.load(spark, sf, "pages"))
+    return r.filter(F.col("reject_reason").isNotNull()).select("request_id", "reject_reason")
+
+
+def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate context block per order (pool of 20)."""
+    return context_op(_order_cands(spark, sf))
+
+
+def prompt_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranking prompt per order request."""
+    return prompts(T.order_requests(spark, sf), context_op(_order_cands(spark, sf)), 10)
+
+
+def parse_rankings(spark: SparkSession, sf: str) -> DataFrame:
+    """Indices parsed from every reply (malformed replies give no rows)."""
+    r = T.order_replies(spark, sf).select("query_id", parse_reply("reply").alias("idx"))
+    return r.select("query_id", F.posexplode("idx").alias("ipos", "idx"))
+
+
+def apply_rankings(spark: SparkSession, sf: str) -> DataFrame:
+    """F6 + D6 + B22 + G6: replies applied to each order's candidates, top 5."""
+    c = T.order_candidates(spark, sf)
+    out = apply_rankings_op(c, T.order_replies(spark, sf), 5)
+    return out.select("query_id", "rank", "key", _r("score"), "reranked")
+
+
+def _recommend_docs(spark, sf) -> DataFrame:
+    return recommend(_doc_search(spark, sf), T.benchmark_queries(spark, sf), T.document_catalog(spark, sf), 10)
+
+
+def recommend_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """L3: every passage as a request: retrieve 40 + diversity, hard filters, top 10."""
+    r = _recommend_docs(spark, sf)
+    return r.select("query_id", "rank", F.col("key").alias("doc_id"), _r("relevance_score"))
+
+
+def _truth(spark, sf) -> DataFrame:
+    corpus = T.document_corpus(spark, sf)
+    return EV.containment_truth(T.benchmark_queries(spark, sf), corpus, lexical.LexicalIndex.build(corpus))
+
+
+def containment_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Ground truth: documents containing each passage verbatim."""
+    return _truth(spark, sf).select("query_id", F.col("key").alias("doc_id"))
+
+
+def _eval(spark, sf):
+    return EV.evaluate(_recommend_docs(spark, sf), _truth(spark, sf), 10)
+
+
+def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """E7 + D7: recall@10 per labelled passage."""
+    pq, _ = _eval(spark, sf)
+    return pq.select("query_id", _r("recall"), "found", "total_gt")
+
+
+def precision_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """precision@10 per labelled passage (fixed denominator)."""
+    pq, _ = _eval(spark, sf)
+    return pq.select("query_id", _r("precision"))
+
+
+def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean recall/precision, totals, query count."""
+    _, s = _eval(spark, sf)
+    return s.select(_r("mean_recall"), _r("mean_precision"), "total_found", "total_ground_truth", "num_queries")
+
+
+def query_split(spark: SparkSession, sf: str) -> DataFrame:
+    """distinct user questions in first-seen order; first 10 train, rest test."""
+    c = T.load(spark, sf, "conversations").filter(F.col("role") == "user")
+    return ordered_split(c.select(F.col("text").alias("query_text"), "conv_id", "turn"),
+                         "query_text", ["conv_id", "turn"], 10)
+
+
+def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """L5 + A14 + B20: recommendations for the test passages as (Query, Assessment_url)."""
+    return EV.prediction_rows(_recommend_docs(spark, sf), T.benchmark_queries(spark, sf), 10)
+
+
 QUERIES = {
     "token_counts": token_counts,
     "corpus_stats": corpus_stats,
@@ -156,4 +276,19 @@ QUERIES = {
     "duration_filter": duration_filter,
     "rich_text": rich_text,
     "keyword_text": keyword_text,
+    "query_filters": query_filters,
+    "hard_filter": hard_filter,
+    "request_choice": request_choice,
+    "request_reject": request_reject,
+    "prompt_context": prompt_context,
+    "prompt_text": prompt_text,
+    "parse_rankings": parse_rankings,
+    "apply_rankings": apply_rankings,
+    "recommend_batch": recommend_batch,
+    "containment_truth": containment_truth,
+    "recall_at_k": recall_at_k,
+    "precision_at_k": precision_at_k,
+    "eval_summary": eval_summary,
+    "query_split": query_split,
+    "prediction_rows": prediction_rows,
 }

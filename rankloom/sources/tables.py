@@ -106,3 +106,39 @@ def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("key"),
                      F.col("l_extendedprice").alias("score"),
                      (F.row_number().over(w) - 1).alias("pos"))
+
+
+def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests(request_id, query, jd_text, jd_url, top_k, use_llm) from conversation turns:
+    user turns ask with ``query``, assistant turns paste ``jd_text``, system turns point at a
+    page url (the page whose id equals the conversation id, or an unknown url)."""
+    c = load(spark, sf_dir, "conversations")
+    p = load(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url").alias("_page_url"))
+    c = c.join(p, c.conv_id == p.page_id, "left")
+    role = F.col("role")
+    missing = F.concat(F.lit("https://missing.example.com/"), F.col("conv_id").cast("string"))
+    return c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.when(role == "user", F.col("text")).alias("query"),
+        F.when(role == "assistant", F.col("text")).alias("jd_text"),
+        F.when(role == "system", F.coalesce(F.col("_page_url"), missing)).alias("jd_url"),
+        (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(22)) + 1).cast("int").alias("top_k"),
+        (role == "assistant").alias("use_llm"))
+
+
+def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rankings(query_id, reply): the reply an external ranker would send for each order's
+    candidates - pool indices by descending part key, with a repeated and an out-of-pool
+    index; open orders get prose without a list, some get a mixed list."""
+    cand = order_candidates(spark, sf_dir)
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), "o_orderstatus", "o_custkey")
+    idx = (cand.groupBy("query_id")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("key")).alias("k"), "pos"))),
+                                             lambda s: s["pos"].cast("string")), ", ").alias("lst"),
+                    F.min("pos").alias("p0")))
+    j = idx.join(o, "query_id")
+    reply = (F.when(F.col("o_orderstatus") == "P", F.lit("I could not rank these candidates."))
+              .when(F.pmod(F.col("o_custkey"), F.lit(5)) == 0, F.concat(F.lit('[1, "a", '), F.col("lst"), F.lit("]")))
+              .otherwise(F.concat(F.lit("Sure:\n["), F.col("lst"), F.lit(", "), F.col("p0").cast("string"),
+                                  F.lit(", 99]"))))
+    return j.select("query_id", reply.alias("reply"))
