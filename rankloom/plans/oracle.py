@@ -393,3 +393,157 @@ SQL["prompt_text"] = f"""WITH {PART_CATALOG}, {ORDER_REQUESTS}, {ORDER_CANDIDATE
         cx AS (SELECT query_id, string_agg(line, '' ORDER BY pos) AS context FROM ln GROUP BY query_id)
         SELECT orq.query_id, {prompt_sql('orq.query_text', 'cx.context', 10)} AS prompt
         FROM orq JOIN cx ON orq.query_id = cx.query_id"""
+
+
+# ---- pages -----------------------------------------------------------------------------
+from rankloom.functions.html import CATEGORY_RULES, DEFAULT_CATEGORY, PAGE_DURATION_PATTERNS  # noqa: E402
+
+
+def decode_sql(x: str) -> str:
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")]:
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def initcap_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: CASE WHEN substr(w, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(w, 1, 1)) END "
+            f"|| substr(w, 2)), ' ')")
+
+
+def slug_sql(x: str, lower: bool = True) -> str:
+    s = f"regexp_extract(regexp_replace({x}, '/+$', ''), '[^/]*$', 0)"
+    return f"coalesce({'lower(' + s + ')' if lower else s}, '')"
+
+
+def slug_name_sql(x: str, scraper: bool = True) -> str:
+    s = initcap_sql(f"translate({slug_sql(x, False)}, '-_', '  ')")
+    if scraper:
+        s = f"trim(replace(replace(replace({s}, '%28', '('), '%29', ')'), ' New', ''))"
+    return s
+
+
+def absolute_url_sql(href: str, page_url: str) -> str:
+    site = f"regexp_extract({page_url}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+    bd = f"regexp_extract(regexp_replace({page_url}, '[?#].*$', ''), '^(.*/)', 1)"
+    base = f"CASE WHEN ends_with({bd}, '//') THEN {page_url} || '/' ELSE {bd} END"
+    return (f"CASE WHEN starts_with({href}, '/') THEN {site} || {href} "
+            f"WHEN starts_with({href}, 'http') THEN {href} ELSE {base} || {href} END")
+
+
+def category_sql(name: str, text: str) -> str:
+    whens = []
+    for cat, kws in CATEGORY_RULES:
+        pat = "|".join(kws)
+        whens.append(f"WHEN coalesce(regexp_matches(lower({name}), '{pat}'), false) "
+                     f"OR coalesce(regexp_matches(lower({text}), '{pat}'), false) THEN '{cat}'")
+    return "CASE " + " ".join(whens) + f" ELSE '{DEFAULT_CATEGORY}' END"
+
+
+def text_duration_sql(t: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({t}, '{p}') THEN try_cast(regexp_extract({t}, '{p}', 1) AS INTEGER)"
+                     for p in PAGE_DURATION_PATTERNS)
+    return f"CASE {whens} END"
+
+
+def element_text_sql(h: str, tag: str) -> str:
+    inner = f"regexp_extract({h}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
+    return f"CASE WHEN regexp_matches({h}, '(?is)<{tag}\\b') THEN trim({strip_tags_sql(inner)}) END"
+
+
+_KLASS = "regexp_extract(html, '(?is)<[a-z0-9]+\\b[^>]*class=\"[^\"]*\\bproduct-title\\b[^\"]*\"[^>]*>(.*?)</', 1)"
+_CHOSEN = (f"CASE WHEN regexp_matches(html, '(?is)<h1\\b') THEN {element_text_sql('html', 'h1')} "
+           f"WHEN regexp_matches(html, '(?is)class=\"[^\"]*\\bproduct-title\\b') THEN trim({strip_tags_sql(_KLASS)}) "
+           f"WHEN regexp_matches(html, '(?is)<title\\b') THEN trim(split_part({element_text_sql('html', 'title')}, '|', 1)) END")
+_PARAS = (f"list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1), "
+          f"lambda p: trim({strip_tags_sql('p')}))")
+_META = "regexp_extract(html, '(?is)<meta\\b[^>]*name=\"description\"[^>]*content=\"([^\"]*)\"', 1)"
+
+PAGE_RECORDS = f"""
+pr0 AS (SELECT page_id, url, html, {strip_tags_sql('html')} AS ptext, {_CHOSEN} AS chosen FROM pages),
+pr1 AS (SELECT page_id, url, html, ptext,
+               CASE WHEN coalesce(length(chosen), 0) > 0 THEN chosen ELSE {slug_name_sql('url')} END AS nm
+        FROM pr0),
+precs AS (SELECT page_id,
+                 CASE WHEN ok THEN nm ELSE {slug_name_sql('url')} END AS assessment_name, url,
+                 CASE WHEN ok THEN coalesce(nullif({_META}, ''),
+                                           substr(list_filter({_PARAS}, lambda p: length(p) > 50)[1], 1, 500),
+                                           'Talent assessment for evaluating candidate capabilities')
+                      ELSE 'Error extracting details' END AS description,
+                 CASE WHEN ok THEN {text_duration_sql('ptext')} END AS duration_minutes,
+                 CASE WHEN ok THEN {category_sql('nm', 'ptext')} ELSE '{DEFAULT_CATEGORY}' END AS test_type,
+                 CASE WHEN ok THEN (CASE WHEN contains(lower(ptext), 'adaptive') THEN 'Yes' ELSE 'No' END)
+                      ELSE 'Unknown' END AS adaptive_support,
+                 'Yes' AS remote_support,
+                 CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status
+          FROM (SELECT *, html IS NOT NULL AND contains(html, '<') AS ok FROM pr1))
+"""
+
+PAGE_LINKS = f"""
+hr0 AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*"([^"]*)"', 1)) AS h
+        FROM pages),
+hr AS (SELECT page_id, page_url, {decode_sql('h')} AS href FROM hr0),
+pl AS (SELECT DISTINCT page_id, {absolute_url_sql('href', 'page_url')} AS url FROM hr WHERE contains(href, '/'))
+"""
+
+CATS = ", ".join(["assessment_name", "url", "description", "duration_minutes", "test_type",
+                  "adaptive_support", "remote_support"])
+
+SQL.update({
+    "page_links": f"WITH {PAGE_LINKS} SELECT page_id, url FROM pl",
+    "new_links_per_page": f"""WITH {PAGE_LINKS},
+        f AS (SELECT url, min(page_id) AS first_page FROM pl GROUP BY url)
+        SELECT pl.page_id, count(*) AS n_links, count(*) FILTER (WHERE pl.page_id = f.first_page) AS n_new
+        FROM pl JOIN f ON pl.url = f.url GROUP BY pl.page_id""",
+    "crawl_cutoff": """
+        WITH cl AS (SELECT user_id AS type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page,
+                           (floor(value)::BIGINT % 4) AS n_links FROM events),
+        e AS (SELECT *, sum(CASE WHEN n_links = 0 THEN 1 ELSE 0 END)
+                        OVER (PARTITION BY type ORDER BY page ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS run3 FROM cl),
+        s AS (SELECT type, min(page) AS stop_page FROM e WHERE run3 = 3 GROUP BY type)
+        SELECT cl.type, cl.page, cl.n_links FROM cl LEFT JOIN s ON cl.type = s.type
+        WHERE s.stop_page IS NULL OR cl.page <= s.stop_page""",
+    "page_records": f"WITH {PAGE_RECORDS} SELECT page_id, {CATS}, status FROM precs",
+    "page_text": f"SELECT page_id, {html_to_text_sql('html')} AS text FROM pages",
+    "keyword_category": f"SELECT doc_id, {category_sql(chr(39) * 2, 'text')} AS test_type FROM documents",
+    "url_slugs": f"SELECT page_id, {slug_sql('url')} AS slug FROM pages",
+    "slug_names": f"SELECT page_id, {slug_name_sql('url')} AS name FROM pages",
+    "merge_catalog": f"""WITH {PAGE_RECORDS}, {PAGE_LINKS},
+        du AS (SELECT DISTINCT url FROM pl),
+        ms AS (SELECT url FROM du WHERE url NOT IN (SELECT url FROM precs WHERE url IS NOT NULL)),
+        allr AS (SELECT {CATS}, 0 AS prio, page_id::BIGINT AS ord FROM precs
+                 UNION ALL
+                 SELECT {slug_name_sql('url', False)} AS assessment_name, url, 'Talent assessment' AS description,
+                        NULL::INTEGER AS duration_minutes, '{DEFAULT_CATEGORY}' AS test_type,
+                        'Unknown' AS adaptive_support, 'Yes' AS remote_support, 1 AS prio, 0::BIGINT AS ord FROM ms)
+        SELECT {CATS}, CASE WHEN prio = 0 THEN 'current_scrape' ELSE 'dataset_urls' END AS source
+        FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY prio, ord) AS rn FROM allr) WHERE rn = 1""",
+    "source_counts": f"""WITH {PAGE_RECORDS}, {PAGE_LINKS}
+        SELECT 'current_scrape' AS source, count(*) AS n FROM precs
+        UNION ALL SELECT 'dataset_urls' AS source, count(DISTINCT url) AS n FROM pl""",
+    "catalog_profile": f"""WITH {PART_CATALOG}
+        SELECT count(*) AS total, count(DISTINCT url) AS unique_urls,
+               count(*) FILTER (WHERE duration_minutes IS NOT NULL AND duration_minutes <> 0) AS with_duration,
+               count(*) FILTER (WHERE adaptive_support = 'Yes') AS adaptive_yes,
+               count(*) FILTER (WHERE remote_support = 'Yes') AS remote_yes FROM pc""",
+    "category_counts": f"WITH {PART_CATALOG} SELECT test_type, count(*) AS count FROM pc GROUP BY test_type",
+    "threshold_check": f"""WITH {PART_CATALOG}, n AS (SELECT count(*) AS total FROM pc)
+        SELECT total, 377 AS required, CASE WHEN total >= 377 THEN 'ok' ELSE 'gap' END AS status,
+               CASE WHEN total >= 377 THEN total - 377 ELSE 0 END AS surplus,
+               CASE WHEN total < 377 THEN 377 - total ELSE 0 END AS gap,
+               round(total / 377 * 100, 1) AS percent FROM n""",
+    "head_sample": f"""WITH {PART_CATALOG}
+        SELECT key, assessment_name, url, test_type FROM pc ORDER BY key LIMIT 5""",
+    "extraction_counts": f"""WITH {PAGE_RECORDS}
+        SELECT count(*) FILTER (WHERE status = 'ok') AS successful,
+               count(*) FILTER (WHERE status = 'failed') AS failed FROM precs""",
+    "display_rows": f"""WITH {PART_CATALOG}
+        SELECT key, CASE WHEN duration_minutes IS NULL OR duration_minutes = 0 THEN 'N/A'
+                         ELSE duration_minutes::VARCHAR || ' min' END AS duration,
+               printf('%.3f', price) AS score FROM pc""",
+    "result_sizes": f"""WITH {RECOMMEND_CTES},
+        n AS (SELECT query_id, count(*) AS c FROM rec GROUP BY query_id)
+        SELECT b.item_id AS query_id, coalesce(n.c, 0) AS total_results
+        FROM benchmark b LEFT JOIN n ON b.item_id = n.query_id""",
+})

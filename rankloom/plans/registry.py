@@ -18,7 +18,11 @@ from rankloom.functions.rerank import parse_reply
 from rankloom.operators.filters import hard_filter as hard_filter_op
 from rankloom.operators.metrics import ordered_split
 from rankloom.operators.ranking import apply_rankings as apply_rankings_op, prompt_context as context_op, prompts
+from rankloom.functions import html as HT
+from rankloom.functions.text import display_duration, display_score, html_to_text, slug_name, url_slug
+from rankloom.operators import pages as PG
 from rankloom.plans import evaluate as EV
+from rankloom.plans.recommend import total_results
 from rankloom.plans.recommend import recommend
 from rankloom.plans.requests import resolve_requests
 from rankloom.plans.search import TextSearch
@@ -258,6 +262,104 @@ def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
     return EV.prediction_rows(_recommend_docs(spark, sf), T.benchmark_queries(spark, sf), 10)
 
 
+def _pages(spark, sf) -> DataFrame:
+    return T.load(spark, sf, "pages")
+
+
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + B1 + C1: distinct absolute links per page."""
+    return PG.page_links(_pages(spark, sf))
+
+
+def new_links_per_page(spark: SparkSession, sf: str) -> DataFrame:
+    """F5 + H2: links per page and how many are new in crawl order."""
+    return PG.new_links_per_page(PG.page_links(_pages(spark, sf)))
+
+
+def crawl_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """pages read per listing type before three consecutive empty pages stop it."""
+    return PG.crawl_cutoff(PG.crawl_log_from_events(T.load(spark, sf, "events")))
+
+
+def page_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 + A3 + B4-B9: one catalog record per crawled page."""
+    return PG.page_records(_pages(spark, sf))
+
+
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible page text (5000 chars)."""
+    return _pages(spark, sf).select("page_id", html_to_text("html").alias("text"))
+
+
+def keyword_category(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule-based category of every document."""
+    return T.load(spark, sf, "documents").select("doc_id", HT.category(F.lit(""), F.col("text")).alias("test_type"))
+
+
+def url_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    """B2: lower-cased slug of every page url."""
+    return _pages(spark, sf).select("page_id", url_slug("url").alias("slug"))
+
+
+def slug_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Display name derived from every page url."""
+    return _pages(spark, sf).select("page_id", slug_name("url").alias("name"))
+
+
+def _merge_inputs(spark, sf):
+    pg = _pages(spark, sf)
+    return PG.page_records(pg), PG.discovered_urls(PG.page_links(pg))
+
+
+def merge_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """L1 + D1 + B9 + H5 + F1: page records plus placeholders for the other discovered urls."""
+    recs, urls = _merge_inputs(spark, sf)
+    return PG.merge_catalog(recs, urls)
+
+
+def source_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per merge source."""
+    recs, urls = _merge_inputs(spark, sf)
+    return PG.source_counts(recs, urls)
+
+
+def catalog_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 + E11: catalog statistics."""
+    return PG.catalog_profile(T.part_catalog(spark, sf))
+
+
+def category_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 + G10: category distribution."""
+    return PG.category_counts(T.part_catalog(spark, sf))
+
+
+def threshold_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog size against the required 377 rows."""
+    return PG.threshold_check(T.part_catalog(spark, sf))
+
+
+def head_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """First five catalog rows in catalog order."""
+    return PG.head_sample(T.part_catalog(spark, sf), 5).select("key", "assessment_name", "url", "test_type")
+
+
+def extraction_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Successful / failed page extractions."""
+    return PG.extraction_counts(PG.page_records(_pages(spark, sf)))
+
+
+def display_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Display projection of every catalog row."""
+    c = T.part_catalog(spark, sf)
+    return c.select("key", display_duration("duration_minutes").alias("duration"),
+                    display_score("price").alias("score"))
+
+
+def result_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Recommendations returned per request (zeros included)."""
+    return total_results(_recommend_docs(spark, sf), T.benchmark_queries(spark, sf))
+
+
 QUERIES = {
     "token_counts": token_counts,
     "corpus_stats": corpus_stats,
@@ -291,4 +393,21 @@ QUERIES = {
     "eval_summary": eval_summary,
     "query_split": query_split,
     "prediction_rows": prediction_rows,
+    "page_links": page_links,
+    "new_links_per_page": new_links_per_page,
+    "crawl_cutoff": crawl_cutoff,
+    "page_records": page_records,
+    "page_text": page_text,
+    "keyword_category": keyword_category,
+    "url_slugs": url_slugs,
+    "slug_names": slug_names,
+    "merge_catalog": merge_catalog,
+    "source_counts": source_counts,
+    "catalog_profile": catalog_profile,
+    "category_counts": category_counts,
+    "threshold_check": threshold_check,
+    "head_sample": head_sample,
+    "extraction_counts": extraction_counts,
+    "display_rows": display_rows,
+    "result_sizes": result_sizes,
 }
