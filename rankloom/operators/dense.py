@@ -49,6 +49,15 @@ def hash_vectors(df: DataFrame, key: str, text: str, dim: int = HASH_DIM,
     return counts.select(key_alias, "bucket", (F.col("c") / norm).alias("weight"))
 
 
+def hash_vectors_from_postings(postings: DataFrame, dim: int = HASH_DIM) -> DataFrame:
+    """Same vectors as ``hash_vectors`` but summed from postings(term, key, tf), so the
+    corpus is not tokenised a second time."""
+    counts = (postings.select("key", hash_bucket("term", dim).alias("bucket"), "tf")
+                      .groupBy("key", "bucket").agg(F.sum("tf").cast("double").alias("c")))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy("key")))
+    return counts.select("key", "bucket", (F.col("c") / norm).alias("weight"))
+
+
 def hashed_similarity(query_vecs: DataFrame, doc_vecs: DataFrame) -> DataFrame:
     """E5 over sparse vectors: (query_id, key, score) for pairs sharing a bucket."""
     q = broadcast_if_small(query_vecs.select("query_id", "bucket", F.col("weight").alias("wq")),

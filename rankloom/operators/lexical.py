@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
 from rankloom.operators.topk import score_order, top_k_per_group
-from rankloom.session import broadcast_if_small
+from rankloom.session import broadcast_if_small, materialize
 
 # The Okapi BM25 defaults the reference uses.
 K1 = 1.5
@@ -39,42 +39,88 @@ def build_postings(corpus: DataFrame, key: str = "key", text: str = "text") -> D
 
 @dataclass
 class LexicalIndex:
-    """BM25 statistics of one corpus. ``n`` and ``avgdl`` are Columns (scalar subqueries)."""
+    """BM25 statistics of one corpus: postings and terms tables plus three corpus scalars
+    (document count, average length, mean raw idf), computed once per index."""
     postings: DataFrame
-    n: Column
-    avgdl: Column
     terms: DataFrame
+    n: float
+    avgdl: float
+    avg_idf: float
 
     @staticmethod
-    def build(corpus: DataFrame, key: str = "key", text: str = "text") -> "LexicalIndex":
+    def build(corpus: DataFrame, key: str = "key", text: str = "text",
+              materialize: bool = True) -> "LexicalIndex":
+        """``materialize`` writes postings and document frequencies as Parquet in the shared
+        checkpoint dir, so the corpus is tokenised once for the statistics and for every
+        scoring join."""
         postings = build_postings(corpus, key, text)
-        # n from a key-only scan (no tokenising); total length from the postings.
-        n = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
-        total = postings.select(F.coalesce(F.sum("tf"), F.lit(0)).cast("double")).scalar()
-        avgdl = total / n
-        return LexicalIndex(postings, n, avgdl, build_terms(postings, n))
+        if materialize:
+            postings = globals()["materialize"](postings, "postings")
+        dfs = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        if materialize:
+            dfs = globals()["materialize"](dfs, "terms")
+        # Scalars: n from a key-only scan (empty documents count), total length from the
+        # collection frequencies (one row per term, not per posting).
+        n = float(corpus.select(key).count())
+        total = dfs.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
+        avgdl = float(total) / n if n else 0.0
+        return LexicalIndex.from_frequencies(postings, dfs, n, avgdl)
+
+    @staticmethod
+    def from_frequencies(postings: DataFrame, dfs: DataFrame, n: float, avgdl: float) -> "LexicalIndex":
+        with_idf0 = dfs.withColumn("idf0", idf0_expr(F.lit(n)))
+        avg_idf = with_idf0.agg(F.avg("idf0")).first()[0]
+        avg_idf = float(avg_idf) if avg_idf is not None else 0.0
+        return LexicalIndex(postings, floor_idf(with_idf0, avg_idf), n, avgdl, avg_idf)
 
     @staticmethod
     def from_tables(postings: DataFrame, terms: DataFrame, stats: DataFrame) -> "LexicalIndex":
-        """Rebuild from persisted tables (stats: one row n, avgdl)."""
-        return LexicalIndex(postings, stats.select("n").scalar(), stats.select("avgdl").scalar(), terms)
+        """Rebuild from persisted tables (stats: one row n, avgdl, avg_idf)."""
+        row = stats.first()
+        return LexicalIndex(postings, terms, float(row["n"]), float(row["avgdl"]), float(row["avg_idf"]))
 
     def stats(self) -> DataFrame:
         """corpus_stats(n, avgdl, avg_idf) as one row."""
         spark = self.postings.sparkSession
-        avg_idf = self.terms.select(F.avg("idf0")).scalar()
-        return spark.range(1).select(self.n.cast("long").alias("n"), self.avgdl.alias("avgdl"),
-                                     avg_idf.alias("avg_idf"))
+        return spark.range(1).select(F.lit(int(self.n)).cast("long").alias("n"),
+                                     F.lit(self.avgdl).cast("double").alias("avgdl"),
+                                     F.lit(self.avg_idf).cast("double").alias("avg_idf"))
+
+    def write(self, path: str, term_buckets: int = 64) -> None:
+        """Persist as Parquet. Postings are partitioned by a term-hash bucket so a scoring
+        join prunes partitions (dynamic partition pruning) to the buckets of its terms."""
+        (self.postings.withColumn("tb", term_bucket("term", term_buckets))
+             .write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings"))
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats().write.mode("overwrite").parquet(f"{path}/corpus_stats")
+
+    @staticmethod
+    def read(spark, path: str) -> "LexicalIndex":
+        return LexicalIndex.from_tables(spark.read.parquet(f"{path}/postings").drop("tb"),
+                                        spark.read.parquet(f"{path}/terms"),
+                                        spark.read.parquet(f"{path}/corpus_stats"))
+
 
+def term_bucket(term, buckets: int) -> Column:
+    t = F.col(term) if isinstance(term, str) else term
+    return F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
 
-def build_terms(postings: DataFrame, n: Column) -> DataFrame:
-    """terms(term, df, idf0, idf): idf0 = ln(N-df+.5) - ln(df+.5); negative idf0 is
-    replaced by EPSILON * mean(idf0) over the whole vocabulary."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    with_idf0 = df.withColumn("idf0", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    avg_idf = with_idf0.select(F.avg("idf0")).scalar()
+
+def idf0_expr(n: Column) -> Column:
+    return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def floor_idf(with_idf0: DataFrame, avg_idf: float) -> DataFrame:
+    """Negative raw idf is replaced by EPSILON * mean(raw idf) over the whole vocabulary."""
     return with_idf0.withColumn(
-        "idf", F.when(F.col("idf0") < 0, F.lit(EPSILON) * avg_idf).otherwise(F.col("idf0")))
+        "idf", F.when(F.col("idf0") < 0, F.lit(EPSILON * avg_idf)).otherwise(F.col("idf0")))
+
+
+def build_terms(postings: DataFrame, n: float) -> DataFrame:
+    """terms(term, df, idf0, idf) straight from postings (no materialisation)."""
+    dfs = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    with_idf0 = dfs.withColumn("idf0", idf0_expr(F.lit(n)))
+    return floor_idf(with_idf0, float(with_idf0.agg(F.avg("idf0")).first()[0]))
 
 
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query_text") -> DataFrame:
@@ -89,7 +135,7 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, qid: str = "query_id",
     qt = query_terms(queries, qid, text).join(index.terms.select("term", "idf"), "term")
     qt = broadcast_if_small(qt, QUERY_TERMS_BROADCAST_ROWS)
     j = index.postings.join(qt, "term")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / index.avgdl)
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl))
     contrib = F.col("qtf") * F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + norm)
     return j.groupBy("query_id", "key").agg(F.sum(contrib).alias("score"))
 

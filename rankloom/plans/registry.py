@@ -25,7 +25,7 @@ from rankloom.plans import evaluate as EV
 from rankloom.plans.recommend import total_results
 from rankloom.plans.recommend import recommend
 from rankloom.plans.requests import resolve_requests
-from rankloom.plans.search import TextSearch
+from rankloom.plans.search import TextSearch, search_for
 from rankloom.sources import tables as T
 
 R = 6  # output decimals
@@ -43,7 +43,7 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_index(spark, sf) -> lexical.LexicalIndex:
-    return lexical.LexicalIndex.build(T.document_corpus(spark, sf))
+    return _doc_search(spark, sf).index
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +70,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_search(spark, sf) -> TextSearch:
-    return TextSearch.build(T.document_corpus(spark, sf))
+    return search_for(f"documents@{sf}", T.document_corpus(spark, sf))
 
 
 def hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,7 +220,7 @@ def recommend_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def _truth(spark, sf) -> DataFrame:
     corpus = T.document_corpus(spark, sf)
-    return EV.containment_truth(T.benchmark_queries(spark, sf), corpus, lexical.LexicalIndex.build(corpus))
+    return EV.containment_truth(T.benchmark_queries(spark, sf), corpus, _doc_index(spark, sf))
 
 
 def containment_truth(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ from rankloom.operators import dense, lexical
 from rankloom.operators.diversity import diversify, duration_filter
 from rankloom.operators.fusion import hybrid_top_k
 from rankloom.operators.topk import score_order, top_k_per_group
+from rankloom.session import materialize
 
 DEFAULT_ALPHA = 0.5
 RETRIEVE_ALPHA = 0.6
@@ -20,6 +21,19 @@ MAX_PER_CATEGORY = 4
 DEFAULT_CATEGORY = "General Assessment"
 
 
+_BUILT: dict = {}
+
+
+def search_for(corpus_id: str, corpus: DataFrame) -> "TextSearch":
+    """The index of one corpus, built once per Spark application and reused by later
+    queries (the reference also loads its index once at engine start)."""
+    spark = corpus.sparkSession
+    k = (spark.sparkContext.applicationId, corpus_id)
+    if k not in _BUILT:
+        _BUILT[k] = TextSearch.build(corpus)
+    return _BUILT[k]
+
+
 @dataclass
 class TextSearch:
     index: lexical.LexicalIndex
@@ -29,8 +43,9 @@ class TextSearch:
     @staticmethod
     def build(corpus: DataFrame, key: str = "key", text: str = "text",
               dim: int = dense.HASH_DIM) -> "TextSearch":
-        return TextSearch(lexical.LexicalIndex.build(corpus, key, text),
-                          dense.hash_vectors(corpus, key, text, dim), dim)
+        index = lexical.LexicalIndex.build(corpus, key, text)
+        vecs = materialize(dense.hash_vectors_from_postings(index.postings, dim), "hash_vectors")
+        return TextSearch(index, vecs, dim)
 
     def bm25(self, queries: DataFrame) -> DataFrame:
         return lexical.bm25_scores(queries, self.index)

@@ -54,6 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint directory and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but keeps a columnar, prunable table with
+    statistics, so later scans read only the columns they need."""
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/rankloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after proving the side holds at most ``max_rows`` rows.
 
@@ -62,3 +74,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that came back in fewer partitions than the cluster can run.
+
+    A single large Parquet row group is one scan task; CPU-heavy per-row work (regex
+    tokenising, markup parsing) would then run on one core. At cluster scale the scan
+    already has thousands of splits and this is a no-op (the partition count is known
+    at planning time, no job runs).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankloom.functions import html as H
+from rankloom.session import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -19,8 +20,13 @@ DOC_URL_PREFIX = "https://docs.example.com/doc/"
 PART_URL_PREFIX = "https://catalog.example.com/view/"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Read one table; ``columns`` prunes before the (optional) spread so only needed
+    columns are shuffled when a tiny scan is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns is not None:
+        df = df.select(*columns)
+    return spread(df)
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +37,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus(key, text) from documents."""
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return load(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("key"), "text")
 
 
 def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as catalog rows: category = source; duration and flags extracted from
     the text with the page-record rules (B6, B7)."""
-    d = load(spark, sf_dir, "documents")
+    d = load(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return d.select(
         F.col("doc_id").alias("key"),
         F.concat(F.lit(DOC_URL_PREFIX), F.col("doc_id").cast("string")).alias("url"),
