@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from rankloom.plans import registry  # noqa: E402
 from rankloom.session import local_session  # noqa: E402
 
-HEADLINE = ["bm25_topk", "hybrid_topk", "retrieve_pipeline", "recommend_batch", "eval_summary",
+HEADLINE = ["index_build", "bm25_topk", "hybrid_topk", "retrieve_pipeline", "recommend_batch", "eval_summary",
             "vector_topk", "hard_filter", "apply_rankings", "page_records", "merge_catalog",
             "crawl_cutoff", "diverse_topk"]
 
@@ -31,6 +31,13 @@ def main() -> None:
     times = {}
     for name in names:
         t0 = time.perf_counter()
+        if name == "index_build":
+            # postings, terms and hashed document vectors, written once per corpus and
+            # reused by the query entries below (as an engine loads its index at start)
+            registry._doc_search(spark, sf_dir)
+            times[name] = round(time.perf_counter() - t0, 3)
+            print(f"{name}: {times[name]}s", file=sys.stderr)
+            continue
         registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
         print(f"{name}: {times[name]}s", file=sys.stderr)
