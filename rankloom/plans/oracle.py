@@ -356,6 +356,8 @@ SQL.update({
         SELECT query_id, rank, key, round(score, 6) AS score, reranked FROM r WHERE rank <= 5""",
     "recommend_batch": f"""WITH {RECOMMEND_CTES}
         SELECT query_id, rank, key AS doc_id, round(relevance_score, 6) AS relevance_score FROM rec""",
+    "stream_recommend": f"""WITH {RECOMMEND_CTES}
+        SELECT query_id, rank, key AS doc_id, round(relevance_score, 6) AS relevance_score FROM rec""",
     "containment_truth": """SELECT DISTINCT b.item_id AS query_id, d.doc_id
         FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0""",
     "recall_at_k": f"""WITH {RECOMMEND_CTES}, {TRUTH_CTES}

@@ -27,6 +27,7 @@ from rankloom.plans.recommend import recommend
 from rankloom.plans.requests import resolve_requests
 from rankloom.plans.search import TextSearch, search_for
 from rankloom.sources import tables as T
+from rankloom.streaming import scoring as ST
 
 R = 6  # output decimals
 
@@ -218,6 +219,21 @@ def recommend_batch(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("query_id", "rank", F.col("key").alias("doc_id"), _r("relevance_score"))
 
 
+def stream_recommend(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages replayed as a request file stream (availableNow), each
+    micro-batch recommended against the static index tables; equals recommend_batch."""
+    search, catalog = _doc_search(spark, sf), T.document_catalog(spark, sf)
+    src = f"{sf.rstrip('/')}/benchmark.parquet"
+    reqs = ST.file_request_stream(spark, sf, spark.read.parquet(src).schema, "benchmark.parquet")
+
+    def score(batch: DataFrame) -> DataFrame:
+        q = batch.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+        return recommend(search, q, catalog, 10).select(
+            "query_id", "rank", F.col("key").alias("doc_id"), _r("relevance_score"))
+
+    return ST.run_to_completion(spark, reqs, score, "stream_recommend")
+
+
 def _truth(spark, sf) -> DataFrame:
     corpus = T.document_corpus(spark, sf)
     return EV.containment_truth(T.benchmark_queries(spark, sf), corpus, _doc_index(spark, sf))
@@ -387,6 +403,7 @@ QUERIES = {
     "parse_rankings": parse_rankings,
     "apply_rankings": apply_rankings,
     "recommend_batch": recommend_batch,
+    "stream_recommend": stream_recommend,
     "containment_truth": containment_truth,
     "recall_at_k": recall_at_k,
     "precision_at_k": precision_at_k,
