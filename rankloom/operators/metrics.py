@@ -33,26 +33,6 @@ def summary(per_query: DataFrame) -> DataFrame:
                          F.count(F.lit(1)).alias("num_queries"))
 
 
-def summary_json(per_query: DataFrame, query_text: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """A13 payload: summary scalars plus the per-query array as one JSON string column.
-
-    The per-query array has one entry per labelled query; it is the report, whose size
-    is the number of labelled queries (a small set by construction)."""
-    pq = per_query if query_text is None else per_query.join(query_text, "query_id", "left")
-    entry = F.struct(*( [F.col("query_text").alias("query")] if query_text is not None else [F.col("query_id")]),
-                     F.col("recall").alias(f"recall@{k}"), F.col("precision").alias(f"precision@{k}"),
-                     "found", "total_gt")
-    return pq.agg(F.avg("recall").alias(f"mean_recall@{k}"), F.avg("precision").alias(f"mean_precision@{k}"),
-                  F.sum("found").alias("total_found"), F.sum("total_gt").alias("total_ground_truth"),
-                  F.count(F.lit(1)).alias("num_queries"),
-                  F.sort_array(F.collect_list(F.struct(F.col("query_id").alias("_o"), entry.alias("e"))))
-                   .alias("_pq")) \
-             .select(F.to_json(F.struct(f"mean_recall@{k}", f"mean_precision@{k}", "total_found",
-                                        "total_ground_truth", "num_queries",
-                                        F.transform("_pq", lambda s: s["e"]).alias("per_query_results")))
-                     .alias("json"))
-
-
 def ordered_split(df: DataFrame, query: str, order_cols: list[str], n_train: int = 10) -> DataFrame:
     """distinct queries in first-seen order; the first ``n_train`` are 'train', the rest
     'test'; with ``n_train`` or fewer distinct queries every query is 'test'.
