@@ -14,11 +14,13 @@ Two exact similarity plans:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql import Window as W
 
 from rankloom.functions.text import tokens
@@ -155,10 +157,7 @@ def encode_with(df: DataFrame, text: str, encoder_factory, dim: int,
                 out: str = "embedding") -> DataFrame:
     """K1 encoder hook: ``encoder_factory()`` is called once per Python worker and must
     return ``f(list[str]) -> np.ndarray (n, dim)``; vectors come back L2-normalised."""
-    from pyspark.sql.functions import pandas_udf
-    from typing import Iterator
-
-    @pandas_udf(f"array<float>")
+    @pandas_udf("array<float>")
     def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder_factory()
         for s in batches:

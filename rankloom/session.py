@@ -42,6 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     target = conf_dir or fallback
     if target is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster "
+                             "(checkpoints and index tables are written there)")
         import tempfile
         target = tempfile.mkdtemp(prefix="rankloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(target)
