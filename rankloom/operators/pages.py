@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from rankloom.functions import html as H
 from rankloom.functions.text import absolute_url, decode_entities, slug_name
+from rankloom.operators.topk import number_within
 
 HREF_PATTERN = r'(?i)href\s*=\s*"([^"]*)"'
 REQUIRED_ROWS = 377          # catalog size the reference checks against
@@ -44,19 +45,28 @@ def new_links_per_page(links: DataFrame) -> DataFrame:
 
 def crawl_log_from_events(events: DataFrame) -> DataFrame:
     """crawl_log(type, page, n_links) stand-in: one listing type per user, pages in time
-    order, link count from the event value."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(F.col("user_id").alias("type"), F.row_number().over(w).alias("page"),
-                         F.pmod(F.floor("value").cast("bigint"), F.lit(4)).alias("n_links"))
+    order, link count from the event value. Pages are numbered with ``number_within``, so
+    a user holding a large share of the events is split over many tasks."""
+    log = events.select(F.col("user_id").alias("type"), "ts", "event_id",
+                        F.pmod(F.floor("value").cast("bigint"), F.lit(4)).alias("n_links"))
+    return number_within(log, ["type"], [F.col("ts"), F.col("event_id")], "page") \
+        .select("type", F.col("page").cast("int").alias("page"), "n_links")
 
 
 def crawl_cutoff(log: DataFrame, empties: int = EMPTY_PAGES_TO_STOP) -> DataFrame:
     """per type, the pages read before the crawler stops - it stops on the page that
-    completes ``empties`` consecutive empty pages (a non-empty page resets the count)."""
-    w = W.partitionBy("type").orderBy("page").rowsBetween(-(empties - 1), 0)
-    run = F.sum(F.when(F.col("n_links") == 0, 1).otherwise(0)).over(w)
-    stops = (log.withColumn("_run", run).filter(F.col("_run") == empties)
-                .groupBy("type").agg(F.min("page").alias("_stop")))
+    completes ``empties`` consecutive empty pages (a non-empty page resets the count).
+
+    Pages are numbered 1, 2, ... per type, so page p ends a run when p-empties+1 .. p are
+    all empty: every empty page votes for itself and the next ``empties - 1`` pages, and a
+    page with ``empties`` votes is a stop. The votes are grouped by (type, page) - keys
+    that spread a hot type over all tasks - instead of a row frame over one window
+    partition per type. ``stops`` has one row per type; AQE broadcasts it at run time when
+    small, else splits a hot type (skew join)."""
+    votes = (log.filter(F.col("n_links") == 0)
+                .select("type", F.explode(F.sequence(F.col("page"), F.col("page") + (empties - 1))).alias("page")))
+    ends = votes.groupBy("type", "page").count().filter(F.col("count") == empties)
+    stops = ends.groupBy("type").agg(F.min("page").alias("_stop"))
     return (log.join(stops, "type", "left")
                .filter(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop"))).drop("_stop"))
 

@@ -25,3 +25,34 @@ def top_k_per_group(df: DataFrame, group: str | list[str], order: list[Column],
     groups = [group] if isinstance(group, str) else list(group)
     w = W.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+
+
+
+def number_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+    """``row_number() over (partition by group order by order)`` for unbounded groups.
+
+    A window partitioned by a hot key sorts that key's rows in one task. Here the rows
+    are range-partitioned by (group, order) instead - a sampled global sort that splits a
+    hot group over many tasks - then numbered locally, and each (task, group) piece gets
+    the row count of the group's earlier pieces as its offset. The offsets table has one
+    row per (task, group), so a group spread over n tasks adds n small rows; it is joined
+    back on (task, group) - keys without a hot value - and AQE turns the join into a
+    broadcast at run time when the measured offsets are small.
+    ``order`` must be total (ties broken) for the numbering to be deterministic.
+
+    The sorted, id-tagged rows are written once to the shared checkpoint folder and both
+    passes (piece counts, numbering) read that table: the sort runs once, and a lost
+    executor does not re-run it.
+    """
+    from rankloom.session import materialize
+
+    s = materialize(df.orderBy(*[F.col(g) for g in group], *order)
+                      .withColumn("_pid", F.spark_partition_id())
+                      .withColumn("_mid", F.monotonically_increasing_id()), "numbered")
+    pieces = s.groupBy("_pid", *group).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = pieces.select("_pid", *group, "_m0",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = s.join(offsets, ["_pid", *group])
+    return (out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
+               .drop("_pid", "_mid", "_m0", "_off"))

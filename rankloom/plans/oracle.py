@@ -227,7 +227,7 @@ orp AS (SELECT i.query_id,
                     WHEN o.o_custkey % 5 = 0 THEN '[1, "a", ' || i.lst || ']'
                     ELSE 'Sure:' || chr(10) || '[' || i.lst || ', ' || i.p0::VARCHAR || ', 99]' END AS reply
         FROM (SELECT query_id, string_agg(pos::VARCHAR, ', ' ORDER BY key DESC, pos) AS lst, min(pos) AS p0
-              FROM oc GROUP BY query_id) i
+              FROM oc WHERE pos < 20 GROUP BY query_id) i
         JOIN orders o ON i.query_id = o.o_orderkey),
 prs AS (SELECT query_id, regexp_extract(reply, '(?s)\\[.*?\\]', 0) AS s FROM orp),
 pl AS (SELECT query_id,

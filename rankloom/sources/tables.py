@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankloom.functions import html as H
-from rankloom.session import spread
+from rankloom.functions.rerank import POOL_SIZE
+from rankloom.operators.topk import number_within
+from rankloom.session import materialize, spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -102,16 +104,28 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("query_id"), text.alias("query_text"))
 
 
+_NUMBERED: dict = {}
+
+
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """candidates(query_id, key, score, pos): each order's line items as its ranked list
-    (score = extended price; pos 0-based with a full tie-break)."""
+    (score = extended price; pos 0-based with a full tie-break). Positions come from
+    ``number_within``, so one order with a huge share of the line items is still split.
+    The numbered table is written once per application and input directory."""
+    memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "order_candidates")
+    if memo not in _NUMBERED:
+        _NUMBERED[memo] = _order_candidates(spark, sf_dir)
+    return _NUMBERED[memo]
+
+
+def _order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    w = W.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey",
-                                            "l_linenumber", "l_suppkey")
-    return li.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("key"),
-                     F.col("l_extendedprice").alias("score"),
-                     (F.row_number().over(w) - 1).alias("pos"))
+    order = [F.desc("l_extendedprice"), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    n = number_within(li, ["l_orderkey"], order, "_rn")
+    return materialize(n.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("key"),
+                                F.col("l_extendedprice").alias("score"),
+                                (F.col("_rn") - 1).cast("int").alias("pos")), "order_candidates")
 
 
 def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +148,9 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rankings(query_id, reply): the reply an external ranker would send for each order's
-    candidates - pool indices by descending part key, with a repeated and an out-of-pool
+    pool (its first 20 candidates, so every list is bounded) - pool indices by descending part key, with a repeated and an out-of-pool
     index; open orders get prose without a list, some get a mixed list."""
-    cand = order_candidates(spark, sf_dir)
+    cand = order_candidates(spark, sf_dir).filter(F.col("pos") < POOL_SIZE)
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), "o_orderstatus", "o_custkey")
     idx = (cand.groupBy("query_id")
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("key")).alias("k"), "pos"))),
