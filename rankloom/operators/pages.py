@@ -35,12 +35,14 @@ def discovered_urls(links: DataFrame) -> DataFrame:
 
 def new_links_per_page(links: DataFrame) -> DataFrame:
     """F5 + H2: per page (in page_id crawl order) its distinct links and how many were not
-    seen on an earlier page. First-seen page per url is a grouped min (map-side partial
-    aggregation absorbs hot urls), joined back on url."""
-    first = links.groupBy("url").agg(F.min("page_id").alias("first_page"))
-    j = links.join(first, "url")
-    return j.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"),
-                                    F.count_if(F.col("page_id") == F.col("first_page")).alias("n_new"))
+    seen on an earlier page. A url is new on its first page only, so the new-link count of
+    a page is the number of urls whose first page it is: two grouped counts joined on the
+    page, and no join on url (a link present on every page would be a hot url key)."""
+    n_links = links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+    first = links.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    n_new = first.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_new"))
+    return (n_links.join(n_new, "page_id", "left")
+                   .select("page_id", "n_links", F.coalesce(F.col("n_new"), F.lit(0)).alias("n_new")))
 
 
 def crawl_log_from_events(events: DataFrame) -> DataFrame:
