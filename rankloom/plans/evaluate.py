@@ -42,11 +42,21 @@ def evaluate(recs: DataFrame, truth: DataFrame, k: int = 10) -> tuple[DataFrame,
     return pq, summary(pq)
 
 
-def prediction_rows(recs: DataFrame, queries: DataFrame, n_train: int = 10) -> DataFrame:
+def prediction_rows(recs: DataFrame, queries: DataFrame, n_train: int = 10,
+                    keep_order: bool = False) -> DataFrame:
     """A14 rows for the test split: (Query, Assessment_url). Query is whitespace-collapsed
-    and cut at 150 chars, with '...' when the original text is longer (kept quirk)."""
+    and cut at 150 chars, with '...' when the original text is longer (kept quirk).
+    ``keep_order`` also returns query_id and rank, the order of the rows in the file."""
     split = ordered_split(queries, "query_text", ["query_id"], n_train).filter(F.col("split") == "test")
     test = queries.join(split.select("query_text"), "query_text", "left_semi")
+    extra = ["query_id", "rank"] if keep_order else []
     return (recs.join(test.select("query_id", "query_text"), "query_id")
-                .select(truncate_ellipsis("query_text", PREDICTION_QUERY_CHARS, collapse_ws=True).alias("Query"),
+                .select(*extra, truncate_ellipsis("query_text", PREDICTION_QUERY_CHARS, collapse_ws=True).alias("Query"),
                         F.col("url").alias("Assessment_url")))
+
+
+def prediction_preview(recs: DataFrame, queries: DataFrame, n_train: int = 10, n: int = 5) -> DataFrame:
+    """The first ``n`` prediction rows in file order (query, then rank); a top-n
+    (TakeOrderedAndProject), not a sort of the whole table."""
+    rows = prediction_rows(recs, queries, n_train, keep_order=True)
+    return rows.orderBy("query_id", "rank").limit(n).select("Query", "Assessment_url")

@@ -384,7 +384,14 @@ SQL.update({
                WHERE (SELECT count(*) FROM bq) <= 10
                   OR query_text NOT IN (SELECT query_text FROM bq ORDER BY first_id LIMIT 10))
         SELECT {trunc_sql('b.text', 150, collapse=True)} AS "Query", rec.url AS "Assessment_url"
-        FROM rec JOIN benchmark b ON rec.query_id = b.item_id WHERE b.text IN (SELECT query_text FROM tq)""",
+        FROM rec JOIN benchmark b ON rec.query_id = b.item_id WHERE b.text IN (SELECT query_text FROM tq)""",    "prediction_preview": f"""WITH {RECOMMEND_CTES},
+        bq AS (SELECT text AS query_text, min(item_id) AS first_id FROM benchmark GROUP BY text),
+        tq AS (SELECT query_text FROM bq
+               WHERE (SELECT count(*) FROM bq) <= 10
+                  OR query_text NOT IN (SELECT query_text FROM bq ORDER BY first_id LIMIT 10))
+        SELECT {trunc_sql('b.text', 150, collapse=True)} AS "Query", rec.url AS "Assessment_url"
+        FROM rec JOIN benchmark b ON rec.query_id = b.item_id WHERE b.text IN (SELECT query_text FROM tq)
+        ORDER BY rec.query_id, rec.rank LIMIT 5""",
 })
 SQL["prompt_text"] = f"""WITH {PART_CATALOG}, {ORDER_REQUESTS}, {ORDER_CANDIDATES},
         ln AS (SELECT oc.query_id, oc.pos,

@@ -278,6 +278,11 @@ def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
     return EV.prediction_rows(_recommend_docs(spark, sf), T.benchmark_queries(spark, sf), 10)
 
 
+def prediction_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five prediction rows."""
+    return EV.prediction_preview(_recommend_docs(spark, sf), T.benchmark_queries(spark, sf), 10, 5)
+
+
 def _pages(spark, sf) -> DataFrame:
     return T.load(spark, sf, "pages")
 
@@ -410,6 +415,7 @@ QUERIES = {
     "eval_summary": eval_summary,
     "query_split": query_split,
     "prediction_rows": prediction_rows,
+    "prediction_preview": prediction_preview,
     "page_links": page_links,
     "new_links_per_page": new_links_per_page,
     "crawl_cutoff": crawl_cutoff,

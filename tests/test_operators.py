@@ -255,3 +255,28 @@ def test_l2_normalize_guards_zero(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     got = [r.n for r in df.select(dense.l2_normalize("v").alias("n")).collect()]
     assert got == [[0.6, 0.8], [0.0, 0.0]]
+
+
+# ---- skew-safe numbering ---------------------------------------------------------------
+
+def test_number_within_hot_group_matches_row_number(spark):
+    from pyspark.sql import Window as W
+    from rankloom.operators.topk import number_within
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")        # keep several tasks, as on a big table
+    try:
+        # group 0 holds about two thirds of the rows; ties in v are broken by id
+        df = spark.range(0, 6000).select(
+            F.when(F.col("id") % 3 != 0, F.lit(0)).otherwise(F.col("id") % 17).alias("g"),
+            (F.col("id") * 7919 % 1000).alias("v"), "id")
+        # the hot group really is split over several tasks by the range sort
+        spread = (df.orderBy("g", F.col("v").desc(), "id").withColumn("p", F.spark_partition_id())
+                    .filter(F.col("g") == 0).select("p").distinct().count())
+        assert spread > 1
+        got = number_within(df, ["g"], [F.col("v").desc(), F.col("id")], "rn")
+        want = df.withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy(F.col("v").desc(), "id")))
+        assert sorted((r.g, r.id, r.rn) for r in got.collect()) == sorted((r.g, r.id, r.rn) for r in want.collect())
+    finally:
+        spark.conf.set(key, before)
