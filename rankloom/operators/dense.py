@@ -54,7 +54,10 @@ def hash_vectors(df: DataFrame, key: str, text: str, dim: int = HASH_DIM,
 def hash_vectors_from_postings(postings: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     """Same vectors as ``hash_vectors`` but summed from postings(term, key, tf), so the
     corpus is not tokenised a second time."""
+    # one shuffle on key serves both the (key, bucket) sum and the per-key norm window;
+    # bucket collisions inside a document are rare, so a map-side combine would save little
     counts = (postings.select("key", hash_bucket("term", dim).alias("bucket"), "tf")
+                      .repartition("key")
                       .groupBy("key", "bucket").agg(F.sum("tf").cast("double").alias("c")))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy("key")))
     return counts.select("key", "bucket", (F.col("c") / norm).alias("weight"))
