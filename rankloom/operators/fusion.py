@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rankloom.operators.topk import score_order, top_k_per_group
 
@@ -18,10 +19,17 @@ from rankloom.operators.topk import score_order, top_k_per_group
 def fuse(dense_top: DataFrame, bm25_top: DataFrame, alpha: float) -> DataFrame:
     """D4 + E6: full outer join of the two hit lists on (query_id, key); per-query lo/range
     joined back so dense-only rows get the penalty. Output (query_id, key, dense, bm25, score)."""
+    per_query = W.partitionBy("query_id")
     sem = dense_top.select("query_id", "key", F.col("score").alias("dense"))
-    bm = bm25_top.select("query_id", "key", F.col("score").alias("bm25"))
-    stats = bm.groupBy("query_id").agg(F.min("bm25").alias("lo"), F.max("bm25").alias("hi"))
-    both = sem.join(bm, ["query_id", "key"], "full_outer").join(stats, "query_id", "left")
+    bm = (bm25_top.select("query_id", "key", F.col("score").alias("bm25"))
+                  .withColumn("lo", F.min("bm25").over(per_query))
+                  .withColumn("hi", F.max("bm25").over(per_query)))
+    # lo/hi ride along with the BM25 rows (the top-k output is already partitioned by
+    # query, so no extra shuffle and no second BM25 evaluation); after the outer join a
+    # window over the query's few fused rows hands them to the dense-only rows
+    both = (sem.join(bm, ["query_id", "key"], "full_outer")
+               .withColumn("lo", F.max("lo").over(per_query))
+               .withColumn("hi", F.max("hi").over(per_query)))
     lo = F.coalesce(F.col("lo"), F.lit(0.0))
     rng = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
     text = (F.coalesce(F.col("bm25"), F.lit(0.0)) - lo) / rng
