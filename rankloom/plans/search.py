@@ -68,10 +68,12 @@ def retrieve(fused_top: DataFrame, catalog: DataFrame, top_k: int = 10,
     """G4 after fusion: hydrate (unknown keys drop) -> C3 -> F2 (m=4) or cut -> round 4.
 
     The hydrate join runs after the top-n cut (late materialisation), so only
-    |queries| x n rows meet the catalog.
+    |queries| x n rows meet the catalog. Those rows are written once to the shared
+    checkpoint folder: the diversity step reads its input in three bounded windows, and
+    without the cut each would re-run the whole hybrid search.
     """
     c = fused_top.drop("rank").join(catalog, "key")
-    c = duration_filter(c, max_duration=max_duration)
+    c = materialize(duration_filter(c, max_duration=max_duration), "retrieve_candidates")
     if apply_diversity:
         out = diversify(c, top_k, MAX_PER_CATEGORY, category="test_type", order=score_order(),
                         default_category=DEFAULT_CATEGORY)
