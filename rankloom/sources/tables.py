@@ -44,7 +44,16 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as catalog rows: category = source; duration and flags extracted from
-    the text with the page-record rules (B6, B7)."""
+    the text with the page-record rules (B6, B7). Like the index, the catalog is built
+    (regexes over every whole document) and written once per application and input
+    directory; searches join their top-n rows with the written table."""
+    memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "document_catalog")
+    if memo not in _INDEX_TABLES:
+        _INDEX_TABLES[memo] = materialize(_document_catalog(spark, sf_dir), "document_catalog")
+    return _INDEX_TABLES[memo]
+
+
+def _document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return d.select(
         F.col("doc_id").alias("key"),
@@ -105,6 +114,7 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NUMBERED: dict = {}
+_INDEX_TABLES: dict = {}
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
