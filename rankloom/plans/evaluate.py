@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import tokens, truncate_ellipsis
 from rankloom.operators.lexical import LexicalIndex
 from rankloom.operators.metrics import ordered_split, per_query_metrics, summary
+from rankloom.session import materialize
 
 PREDICTION_QUERY_CHARS = 150
 
@@ -36,7 +37,11 @@ def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex
 
 
 def evaluate(recs: DataFrame, truth: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(per-query metrics, one-row summary) for recommendations recs(query_id, rank, key)."""
+    """(per-query metrics, one-row summary) for recommendations recs(query_id, rank, key).
+
+    The truth table is read twice (label counts and hits); it is written once to the
+    shared checkpoint folder so its joins with whole document texts run once."""
+    truth = materialize(truth.select("query_id", "key"), "truth")
     pq = per_query_metrics(recs.select("query_id", "rank", F.col("key").alias("item")),
                            truth.select("query_id", F.col("key").alias("item")), k)
     return pq, summary(pq)
