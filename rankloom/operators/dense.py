@@ -5,10 +5,11 @@ Two exact similarity plans:
 * ``hashed_similarity`` - the built-in hashing encoder gives sparse vectors stored as
   ``(key, bucket, weight)`` rows, so the inner product is an equi-join on ``bucket`` plus
   a sum: only documents sharing a bucket with the query are touched.
-* ``exact_top_k`` - dense ``array<float>`` vectors. Queries and vectors are cut into
-  hash blocks of bounded size; each (query block, vector block) pair meets once in a
-  cogrouped pandas function that does one matrix product and emits only its per-query
-  top-k. No pair rows are materialised and no group grows with the data.
+* ``exact_top_k`` - dense ``array<float>`` vectors. A small (size-checked) query batch
+  is broadcast to a single scan of the vectors; a large one is cut, with the vectors,
+  into hash blocks of bounded size, and each (query block, vector block) pair meets once
+  in a cogrouped pandas function. Both do matrix products and emit only per-query top-k
+  lists; no pair rows are materialised and no group grows with the data.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from rankloom.session import broadcast_if_small
 
 HASH_DIM = 1 << 18          # buckets of the default hashing encoder
 BLOCK_ROWS = 4096           # rows per block in the blocked matrix product
+BROADCAST_QUERY_ROWS = 4096  # query batches up to this size are broadcast to one vector scan
 QUERY_VECTOR_BROADCAST_ROWS = 2_000_000
 
 
@@ -88,62 +90,115 @@ def l2_normalize(v) -> Column:
         F.transform(v, lambda x: x.cast("double")))
 
 
+def _top_k_arrays(qids: np.ndarray, qm: np.ndarray, keys: np.ndarray, vm: np.ndarray, k: int,
+                  exclude_same_key: bool) -> pd.DataFrame:
+    """Per-query top-k of one (queries x vectors) block: rank on the score rounded to
+    RANK_DECIMALS, ties to the smaller key (the engine-wide order)."""
+    s = qm @ vm.T
+    if exclude_same_key:
+        s[qids[:, None] == keys[None, :]] = -np.inf
+    r = np.round(s, RANK_DECIMALS)
+    kk = min(k, r.shape[1])
+    # threshold = k-th largest rounded score per row
+    thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
+    out_q, out_k, out_s = [], [], []
+    for i in range(r.shape[0]):
+        row = r[i]
+        strict = np.nonzero(row > thr[i])[0]
+        tied = np.nonzero(row == thr[i])[0]
+        need = kk - strict.size
+        if need < tied.size:
+            tied = tied[np.argsort(keys[tied], kind="stable")[:need]]
+        idx = np.concatenate([strict, tied])
+        idx = idx[np.isfinite(s[i, idx])]
+        out_q.append(np.full(idx.size, qids[i], dtype=np.int64))
+        out_k.append(keys[idx])
+        out_s.append(s[i, idx])
+    return pd.DataFrame({"query_id": np.concatenate(out_q), "key": np.concatenate(out_k),
+                         "score": np.concatenate(out_s)})
+
+
+def _matrix(col: pd.Series) -> np.ndarray:
+    return np.vstack([np.asarray(x, dtype=np.float64) for x in col])
+
+
+_EMPTY = {"query_id": "int64", "key": "int64", "score": "float64"}
+
+
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in _EMPTY.items()})
+
+
 def _block_top_k(k: int, exclude_same_key: bool):
     def fn(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "key": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        qm = np.vstack([np.asarray(x, dtype=np.float64) for x in q["embedding"]])
-        vm = np.vstack([np.asarray(x, dtype=np.float64) for x in v["embedding"]])
-        qids = q["query_id"].to_numpy(np.int64)
-        keys = v["key"].to_numpy(np.int64)
-        s = qm @ vm.T
-        if exclude_same_key:
-            s[qids[:, None] == keys[None, :]] = -np.inf
-        r = np.round(s, RANK_DECIMALS)
-        kk = min(k, r.shape[1])
-        # threshold = k-th largest rounded score per row
-        thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_k, out_s = [], [], []
-        for i in range(r.shape[0]):
-            row = r[i]
-            strict = np.nonzero(row > thr[i])[0]
-            tied = np.nonzero(row == thr[i])[0]
-            need = kk - strict.size
-            if need < tied.size:
-                tied = tied[np.argsort(keys[tied], kind="stable")[:need]]
-            idx = np.concatenate([strict, tied])
-            idx = idx[np.isfinite(s[i, idx])]
-            out_q.append(np.full(idx.size, qids[i], dtype=np.int64))
-            out_k.append(keys[idx])
-            out_s.append(s[i, idx])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "key": np.concatenate(out_k),
-                             "score": np.concatenate(out_s)})
+            return _empty()
+        return _top_k_arrays(q["query_id"].to_numpy(np.int64), _matrix(q["embedding"]),
+                             v["key"].to_numpy(np.int64), _matrix(v["embedding"]), k, exclude_same_key)
+    return fn
+
+
+def _merge_top_k(acc: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
+    both = new if acc is None else pd.concat([acc, new], ignore_index=True)
+    both = both.assign(_r=np.round(both["score"].to_numpy(), RANK_DECIMALS))
+    both = both.sort_values(["query_id", "_r", "key"], ascending=[True, False, True], kind="stable")
+    return both.groupby("query_id", sort=False).head(k).drop(columns="_r")
+
+
+def _scan_top_k(bq, k: int, exclude_same_key: bool, block_rows: int):
+    """mapInPandas over the vectors: every task keeps a running per-query top-k of the
+    broadcast query block over all its vector batches and emits it once."""
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, qm = bq.value
+        acc = None
+        for b in batches:
+            for start in range(0, len(b), block_rows):
+                part = b.iloc[start:start + block_rows]
+                if part.empty:
+                    continue
+                top = _top_k_arrays(qids, qm, part["key"].to_numpy(np.int64), _matrix(part["embedding"]),
+                                    k, exclude_same_key)
+                acc = _merge_top_k(acc, top, k)
+        if acc is not None:
+            yield acc
     return fn
 
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *,
                 qid: str = "query_id", q_vec: str = "embedding",
                 key: str = "key", v_vec: str = "embedding",
-                exclude_same_key: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                exclude_same_key: bool = False, block_rows: int = BLOCK_ROWS,
+                broadcast_query_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
     """D3 + G1: exact inner-product top-k of every query over every vector.
 
-    Block counts come from two distributed counts. Each query row is replicated to every
-    vector block and each vector row to every query block (the classic blocked matrix
-    product), so the shuffle is |Q| * nv + |V| * nq rows - never |Q| * |V|.
+    * A query batch of at most ``broadcast_query_rows`` rows (checked by a distributed
+      count) is broadcast once; the vectors are scanned once, each task keeps a running
+      per-query top-k, and a final top-k merges the tasks' lists. No vector moves.
+    * Larger batches use the blocked matrix product: queries and vectors are hashed into
+      blocks of about ``block_rows``; each query row is replicated to every vector block
+      and each vector row to every query block, so the shuffle is |Q| * nv + |V| * nq
+      rows - never |Q| * |V| - and every cogroup holds two bounded blocks.
     """
-    nq = max(1, math.ceil(queries.count() / block_rows))
-    nv = max(1, math.ceil(vectors.count() / block_rows))
-    q = (queries.select(F.col(qid).cast("long").alias("query_id"), F.col(q_vec).alias("embedding"))
-                .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-                .withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long")))))
-    v = (vectors.select(F.col(key).cast("long").alias("key"), F.col(v_vec).alias("embedding"))
-                .withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(nv)))
-                .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
-    per_block = (q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb"))
-                  .applyInPandas(_block_top_k(k, exclude_same_key),
-                                 schema="query_id long, key long, score double"))
+    q = queries.select(F.col(qid).cast("long").alias("query_id"), F.col(q_vec).alias("embedding"))
+    v = vectors.select(F.col(key).cast("long").alias("key"), F.col(v_vec).alias("embedding"))
+    n_q = q.limit(broadcast_query_rows + 1).count() if broadcast_query_rows > 0 else broadcast_query_rows + 1
+    if n_q <= broadcast_query_rows:
+        if n_q == 0:
+            return top_k_per_group(q.sparkSession.createDataFrame(_empty()), "query_id", score_order(), k)
+        qp = q.toPandas()      # bounded by the check above
+        bq = q.sparkSession.sparkContext.broadcast((qp["query_id"].to_numpy(np.int64), _matrix(qp["embedding"])))
+        per_task = v.mapInPandas(_scan_top_k(bq, k, exclude_same_key, block_rows),
+                                 schema="query_id long, key long, score double")
+        return top_k_per_group(per_task, "query_id", score_order(), k)
+    nq = max(1, math.ceil(q.count() / block_rows))
+    nv = max(1, math.ceil(v.count() / block_rows))
+    qb = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
+           .withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long")))))
+    vb = (v.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(nv)))
+           .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
+    per_block = (qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb"))
+                   .applyInPandas(_block_top_k(k, exclude_same_key),
+                                  schema="query_id long, key long, score double"))
     return top_k_per_group(per_block, "query_id", score_order(), k)
 
 

@@ -236,14 +236,14 @@ def test_bm25_matches_formula(spark):
             assert math.isclose(got.get((qid, k), 0.0), v, abs_tol=1e-9), (qid, k)
 
 
-@pytest.mark.parametrize("block_rows", [3, 1000])
-def test_exact_top_k_matches_numpy(spark, block_rows):
+@pytest.mark.parametrize("block_rows,broadcast_rows", [(3, 0), (1000, 0), (3, 100), (1000, 100)])
+def test_exact_top_k_matches_numpy(spark, block_rows, broadcast_rows):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(23, 6))
     q = rng.normal(size=(7, 6))
     vecs = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "key long, embedding array<double>")
     qs = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id long, embedding array<double>")
-    got = dense.exact_top_k(qs, vecs, 4, block_rows=block_rows).collect()
+    got = dense.exact_top_k(qs, vecs, 4, block_rows=block_rows, broadcast_query_rows=broadcast_rows).collect()
     s = q @ v.T
     for i in range(7):
         want = sorted(range(23), key=lambda j: (-round(s[i, j], 9), j))[:4]
