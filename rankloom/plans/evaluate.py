@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import tokens, truncate_ellipsis
 from rankloom.operators.lexical import LexicalIndex
 from rankloom.operators.metrics import ordered_split, per_query_metrics, summary
-from rankloom.session import materialize
+from rankloom.session import broadcast_if_small, materialize
 
 PREDICTION_QUERY_CHARS = 150
+CANDIDATE_BROADCAST_ROWS = 1_000_000
 
 
 def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex) -> DataFrame:
@@ -30,9 +31,11 @@ def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex
     rare = (interior.join(index.terms.select("term", "df"), "term")
                     .groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
     cand = rare.join(index.postings.select("term", "key"), "term").select("query_id", "key")
-    verified = (cand.join(queries.select("query_id", "query_text"), "query_id")
-                    .join(corpus.select("key", "text"), "key")
-                    .filter(F.instr(F.col("text"), F.col("query_text")) > 0))
+    cand = cand.join(queries.select("query_id", "query_text"), "query_id")
+    # the corpus (whole texts, the bulk of the data) is streamed in place when the
+    # candidate pairs are proven small; otherwise both sides shuffle on key
+    verified = (corpus.select("key", "text").join(broadcast_if_small(cand, CANDIDATE_BROADCAST_ROWS), "key")
+                      .filter(F.instr(F.col("text"), F.col("query_text")) > 0))
     return verified.select("query_id", "key").distinct()
 
 
