@@ -4,9 +4,9 @@
     terms(term, df, idf)             idf with the Okapi negative-idf floor
     corpus stats                     n, avgdl, avg_idf as scalar subqueries
 
-Scoring joins the (small, size-checked, broadcast) query-term table with the postings
-on ``term`` - only documents sharing a term are touched - then sums the per-term
-contributions by (query, key) with a map-side partial aggregate.
+Scoring joins the (small, size-checked, broadcast) query-term table with per-posting
+BM25 weights fixed at index time, on ``term`` - only documents sharing a term are
+touched - then sums qtf * w by (query, key) with a map-side partial aggregate.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ EPSILON = 0.25
 
 # Query-term rows up to which the query side is broadcast to the posting scan.
 QUERY_TERMS_BROADCAST_ROWS = 2_000_000
+TERM_BUCKETS = 64       # term-hash partitions of persisted postings and weights
 
 
 def build_postings(corpus: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
@@ -46,6 +47,14 @@ class LexicalIndex:
     n: float
     avgdl: float
     avg_idf: float
+    weights: DataFrame | None = None     # (term, key, w): per-posting BM25 weight
+
+    def scored_postings(self) -> DataFrame:
+        """(term, key, w) with w = idf * tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl)): everything
+        of a BM25 term contribution except the query-side count, fixed at index time."""
+        if self.weights is not None:
+            return self.weights
+        return posting_weights(self.postings, self.terms, self.avgdl)
 
     @staticmethod
     def build(corpus: DataFrame, key: str = "key", text: str = "text",
@@ -64,7 +73,12 @@ class LexicalIndex:
         n = float(corpus.select(key).count())
         total = dfs.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
         avgdl = float(total) / n if n else 0.0
-        return LexicalIndex.from_frequencies(postings, dfs, n, avgdl)
+        idx = LexicalIndex.from_frequencies(postings, dfs, n, avgdl)
+        if materialize:
+            # term-hash bucket kept as a column, so scoring joins on (tb, term)
+            idx.weights = globals()["materialize"](
+                idx.scored_postings().withColumn("tb", term_bucket("term", TERM_BUCKETS)), "weights")
+        return idx
 
     @staticmethod
     def from_frequencies(postings: DataFrame, dfs: DataFrame, n: float, avgdl: float) -> "LexicalIndex":
@@ -74,10 +88,12 @@ class LexicalIndex:
         return LexicalIndex(postings, floor_idf(with_idf0, avg_idf), n, avgdl, avg_idf)
 
     @staticmethod
-    def from_tables(postings: DataFrame, terms: DataFrame, stats: DataFrame) -> "LexicalIndex":
+    def from_tables(postings: DataFrame, terms: DataFrame, stats: DataFrame,
+                    weights: DataFrame | None = None) -> "LexicalIndex":
         """Rebuild from persisted tables (stats: one row n, avgdl, avg_idf)."""
         row = stats.first()
-        return LexicalIndex(postings, terms, float(row["n"]), float(row["avgdl"]), float(row["avg_idf"]))
+        return LexicalIndex(postings, terms, float(row["n"]), float(row["avgdl"]), float(row["avg_idf"]),
+                            weights)
 
     def stats(self) -> DataFrame:
         """corpus_stats(n, avgdl, avg_idf) as one row."""
@@ -86,11 +102,16 @@ class LexicalIndex:
                                      F.lit(self.avgdl).cast("double").alias("avgdl"),
                                      F.lit(self.avg_idf).cast("double").alias("avg_idf"))
 
-    def write(self, path: str, term_buckets: int = 64) -> None:
-        """Persist as Parquet. Postings are partitioned by a term-hash bucket so a scoring
-        join prunes partitions (dynamic partition pruning) to the buckets of its terms."""
-        (self.postings.withColumn("tb", term_bucket("term", term_buckets))
+    def write(self, path: str) -> None:
+        """Persist as Parquet. Postings and weights are partitioned by a term-hash bucket;
+        scoring joins on (tb, term), so with a broadcast query side dynamic partition
+        pruning reads only the buckets of the batch's terms."""
+        (self.postings.withColumn("tb", term_bucket("term", TERM_BUCKETS))
              .write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings"))
+        w = self.scored_postings()
+        if "tb" not in w.columns:
+            w = w.withColumn("tb", term_bucket("term", TERM_BUCKETS))
+        w.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/weights")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats().write.mode("overwrite").parquet(f"{path}/corpus_stats")
 
@@ -98,7 +119,8 @@ class LexicalIndex:
     def read(spark, path: str) -> "LexicalIndex":
         return LexicalIndex.from_tables(spark.read.parquet(f"{path}/postings").drop("tb"),
                                         spark.read.parquet(f"{path}/terms"),
-                                        spark.read.parquet(f"{path}/corpus_stats"))
+                                        spark.read.parquet(f"{path}/corpus_stats"),
+                                        spark.read.parquet(f"{path}/weights"))
 
 
 def term_bucket(term, buckets: int) -> Column:
@@ -123,6 +145,12 @@ def build_terms(postings: DataFrame, n: float) -> DataFrame:
     return floor_idf(with_idf0, float(with_idf0.agg(F.avg("idf0")).first()[0]))
 
 
+def posting_weights(postings: DataFrame, terms: DataFrame, avgdl: float) -> DataFrame:
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
+    w = F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + norm)
+    return postings.join(terms.select("term", "idf"), "term").select("term", "key", w.alias("w"))
+
+
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query_text") -> DataFrame:
     """(query_id, term, qtf): repeated query tokens count again (qtf multiplies)."""
     return (queries.select(F.col(qid).alias("query_id"), F.explode(tokens(text)).alias("term"))
@@ -131,13 +159,17 @@ def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query_te
 
 def bm25_scores(queries: DataFrame, index: LexicalIndex, qid: str = "query_id",
                 text: str = "query_text") -> DataFrame:
-    """(query_id, key, score) for every document sharing a term with the query."""
-    qt = query_terms(queries, qid, text).join(index.terms.select("term", "idf"), "term")
-    qt = broadcast_if_small(qt, QUERY_TERMS_BROADCAST_ROWS)
-    j = index.postings.join(qt, "term")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl))
-    contrib = F.col("qtf") * F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + norm)
-    return j.groupBy("query_id", "key").agg(F.sum(contrib).alias("score"))
+    """(query_id, key, score) for every document sharing a term with the query.
+
+    Only the (broadcast) query terms and the streamed per-posting weights meet; the
+    vocabulary is not read at query time. Unknown query terms match nothing (add 0)."""
+    w = index.scored_postings()
+    qt = query_terms(queries, qid, text)
+    keys = ["term"]
+    if "tb" in w.columns:
+        qt, keys = qt.withColumn("tb", term_bucket("term", TERM_BUCKETS)), ["tb", "term"]
+    j = w.join(broadcast_if_small(qt, QUERY_TERMS_BROADCAST_ROWS), keys)
+    return j.groupBy("query_id", "key").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
 
 
 def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int, **kw) -> DataFrame:

@@ -30,7 +30,9 @@ def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex
     interior = ex.filter((F.col("n") < 3) | ((F.col("p") >= 1) & (F.col("p") <= F.col("n") - 2)))
     rare = (interior.join(index.terms.select("term", "df"), "term")
                     .groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-    cand = rare.join(index.postings.select("term", "key"), "term").select("query_id", "key")
+    # one rare term per passage: broadcast (size-checked) so the postings stream past it
+    cand = (index.postings.select("term", "key")
+                 .join(broadcast_if_small(rare, CANDIDATE_BROADCAST_ROWS), "term").select("query_id", "key"))
     cand = cand.join(queries.select("query_id", "query_text"), "query_id")
     # the corpus (whole texts, the bulk of the data) is streamed in place when the
     # candidate pairs are proven small; otherwise both sides shuffle on key
