@@ -103,9 +103,9 @@ class LexicalIndex:
                                      F.lit(self.avg_idf).cast("double").alias("avg_idf"))
 
     def write(self, path: str) -> None:
-        """Persist as Parquet. Postings and weights are partitioned by a term-hash bucket;
-        scoring joins on (tb, term), so with a broadcast query side dynamic partition
-        pruning reads only the buckets of the batch's terms."""
+        """Persist as Parquet. Postings and weights are partitioned by a term-hash bucket
+        (``tb``), and scoring joins on (tb, term). Spark inserts no dynamic partition
+        pruning for that join (its query side has no filter), so all buckets are read."""
         (self.postings.withColumn("tb", term_bucket("term", TERM_BUCKETS))
              .write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings"))
         w = self.scored_postings()
