@@ -79,13 +79,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that came back in fewer partitions than the cluster can run.
+# Scans with fewer splits than this are spread over the cores; bigger scans are left as
+# they are (shuffling a table that already has hundreds of splits costs more than it gains).
+SPREAD_BELOW_PARTITIONS = 16
+
 
-    A single large Parquet row group is one scan task; CPU-heavy per-row work (regex
-    tokenising, markup parsing) would then run on one core. At cluster scale the scan
-    already has thousands of splits and this is a no-op (the partition count is known
-    at planning time, no job runs).
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that came back in only a handful of splits.
+
+    A single small Parquet file with one row group is one scan task; CPU-heavy per-row
+    work (regex tokenising, markup parsing) would then run on one core. Only scans with
+    fewer than ``SPREAD_BELOW_PARTITIONS`` splits are spread (to ``min_partitions``, or
+    the default parallelism when not given); at cluster scale the big tables have
+    thousands of splits and are not touched. The partition count is known at planning
+    time, so no job runs.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < min(target, SPREAD_BELOW_PARTITIONS) else df
