@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from rankloom.operators.metrics import per_query_metrics, summary
 from rankloom.sources import files
