@@ -115,12 +115,14 @@ def category(name, text) -> Column:
     return expr.otherwise(F.lit(DEFAULT_CATEGORY))
 
 
-def extract_record(html, url, title_suffix: str | None = None) -> list[Column]:
-    """A2: the seven catalog columns extracted from one page."""
+def extract_record(html, url, title_suffix: str | None = None, *,
+                   text: Column | None = None, name: Column | None = None) -> list[Column]:
+    """A2: the seven catalog columns extracted from one page. ``text`` / ``name`` may be
+    columns computed in an earlier projection (see ``pages.page_records``)."""
     h = F.col(html) if isinstance(html, str) else html
     u = F.col(url) if isinstance(url, str) else url
-    name = record_name(h, u, title_suffix)
-    text = page_text(h)
+    name = record_name(h, u, title_suffix) if name is None else name
+    text = page_text(h) if text is None else text
     return [name.alias("assessment_name"), u.alias("url"),
             record_description(h).alias("description"),
             text_duration(text).alias("duration_minutes"),

@@ -77,7 +77,11 @@ def page_records(pages: DataFrame, title_suffix: str | None = None,
     """A2 + A3 + B9: one catalog row per page; a page without markup becomes the
     placeholder row (slug name, Unknown adaptive). Adds ``status`` ok / failed."""
     ok = F.col("html").isNotNull() & F.col("html").contains("<")
-    rec = H.extract_record("html", "url", title_suffix)
+    # page text and name first, in their own projection: every field reads them, and
+    # inside the per-field conditionals Spark would re-run the markup regexes each time
+    pages = pages.select("page_id", "url", "html", H.page_text(F.col("html")).alias("_text"),
+                         H.record_name(F.col("html"), F.col("url"), title_suffix).alias("_name"))
+    rec = H.extract_record("html", "url", title_suffix, text=F.col("_text"), name=F.col("_name"))
     placeholder = {"assessment_name": slug_name("url"), "url": F.col("url"),
                    "description": F.lit(failed_description), "duration_minutes": F.lit(None).cast("int"),
                    "test_type": F.lit(H.DEFAULT_CATEGORY), "adaptive_support": F.lit("Unknown"),
