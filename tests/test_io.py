@@ -72,3 +72,21 @@ def test_evaluation_and_predictions(spark, tmp_path):
     p = spark.createDataFrame([("q", "https://h/a/")], "Query string, Assessment_url string")
     files.write_predictions(p, str(tmp_path / "pred"))
     assert spark.read.option("header", True).csv(str(tmp_path / "pred")).columns == ["Query", "Assessment_url"]
+
+
+def test_request_resolution_by_page_join(spark):
+    from rankloom.plans.requests import resolve_requests
+
+    pages = spark.createDataFrame(
+        [("https://h/a", "<html><body><script>x()</script><p>Senior  Java\\n role</p></body></html>"),
+         ("https://h/b", "<p>unused page</p>")], "url string, html string")
+    reqs = spark.createDataFrame(
+        [(1, "q1", "jd", "https://h/a", 10), (2, "q2", "jd", "https://h/zz", 10),
+         (3, "q3", "", None, 10), (4, None, "pasted", "", 25)],
+        "request_id long, query string, jd_text string, jd_url string, top_k int")
+    got = {r.request_id: r for r in resolve_requests(reqs, pages).collect()}
+    assert got[1].source == "url" and "Senior" in got[1].final_text and "x()" not in got[1].final_text
+    assert got[1].reject_reason is None
+    assert got[2].final_text == "" and got[2].reject_reason == "no input"     # unknown page: no fallback
+    assert got[3].source == "query" and got[3].final_text == "q3"
+    assert got[4].source == "jd_text" and got[4].reject_reason == "top_k out of range"
