@@ -3,9 +3,10 @@ its whole table; and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import langid, quality
+from rankloom.llm import bpe, langid, packing, quality, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,28 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows outside the held-out fifth."""
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_language_id)}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens packed into sequences of at most 2048."""
+    return packing.packed_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the text decoded from them."""
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                       public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op5_language_id, op6_packing,
+                                   op8_byte_bpe)}
 
 SQL: dict[str, str] = {}

@@ -90,22 +90,23 @@ class RaggedCache:
     def __init__(self, resolve: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype,
                  limit: int = CACHE_ENTRIES):
         self.resolve, self.dtype, self.limit = resolve, dtype, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index = Chunks()
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
 
-    def rows(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """Concatenated rows of all documents' chunks, and each document's bounds in them
-        (n + 1 offsets)."""
-        if len(self.index) > self.limit:
-            self._clear()
+    def number(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all documents' chunks, and each document's bounds in them."""
         find = self.index.__getitem__
         counts = np.fromiter(map(len, documents), np.int64, len(documents))
-        ids = np.fromiter((find(c) for d in documents for c in d), np.int64, int(counts.sum()))
+        numbers = np.fromiter((find(c) for d in documents for c in d), np.int32, int(counts.sum()))
+        return numbers, np.concatenate(([0], np.cumsum(counts)))
+
+    def settle(self) -> None:
+        """Resolve the chunks that are new since the last call."""
         if self.index.new:
             lengths, flat = self.resolve(self.index.new)
             lengths = np.asarray(lengths, np.int64)
@@ -114,12 +115,22 @@ class RaggedCache:
             self.lengths = np.concatenate((self.lengths, lengths))
             self.flat = np.concatenate((self.flat, np.asarray(flat, self.dtype)))
             self.index.new = []
-        sizes = self.lengths[ids]
+
+    def gather(self, numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of settled chunks one after another, and each document's bounds in them."""
+        sizes = self.lengths[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        gather = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)
-        chunk_bounds = np.concatenate(([0], ends))
-        return self.flat[gather], chunk_bounds[np.concatenate(([0], np.cumsum(counts)))]
+        at = np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)
+        return self.flat[at], np.concatenate(([0], ends))[bounds]
+
+    def rows(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """``number``, ``settle`` and ``gather`` in one; starts afresh first if it is full."""
+        if len(self.index) > self.limit:
+            self.clear()
+        numbers, bounds = self.number(documents)
+        self.settle()
+        return self.gather(numbers, bounds)
 
 
 def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
