@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, langid, packing, quality, simhash
+from rankloom.llm import bpe, langid, packing, quality, simhash, topk, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,69 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows, by integer inner product, of every 50th vector."""
+    vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
+    return topk.nearest(vectors.filter(F.pmod("key", F.lit(50)) == 0), vectors, 5)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the text decoded from them."""
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                        public_tokenizers.PATTERN)
 
 
+#: Fixed values of the query's contract: (host, path, block).
+URL_RULES = [("com", "/", False), ("example.com", "/en/", True), ("www.example.com", "/en/", False),
+             ("net", "/es/", True), ("net", "/fr/", True)]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the rule list on every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, block boolean")
+    return urls.judge(read(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op5_language_id, op6_packing,
-                                   op8_byte_bpe)}
+                                   op7_topk_search, op8_byte_bpe, op9_url_filters)}
 
 SQL: dict[str, str] = {}
+
+SQL["op7_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+SQL["op9_url_filters"] = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://')
+    THEN regexp_replace(substr(url, instr(url, '://') + 3), '(?s)[?#].*', '') ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id,
+    translate(CASE WHEN contains(rest, '/') THEN substr(rest, 1, instr(rest, '/') - 1) ELSE coalesce(rest, '') END,
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN contains(rest, '/') THEN substr(rest, instr(rest, '/')) ELSE '' END AS path
+  FROM cut
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fitting AS (
+  SELECT page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         max_by(verdict, length(rule_host || rule_path)) AS verdict
+  FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id, host, path
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parts p JOIN fitting f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path
+"""
