@@ -93,6 +93,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, shard: int = SHARD,
     """query_id, rank (from 1), vec_id, score: for every row of ``queries(key, q)`` the k rows
     of ``vectors(key, q)`` with another key and the highest inner products."""
     one = queries.groupBy("key").agg(F.min("q").alias("q"))
+    # both sides may come from one table: fresh columns keep them apart in the cogroup
+    vectors = vectors.select((F.col("key") + F.lit(0)).alias("key"), F.col("q").alias("q"))
     shards = max(1, -(-vectors.count() // shard))
     tiles = max(1, -(-queries.count() // tile))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
