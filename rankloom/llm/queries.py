@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, langid, packing, quality, simhash, topk, urls
+from rankloom.llm import bpe, langid, outliers, packing, quality, simhash, topk, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), rules)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust multivariate outliers over every document."""
+    return outliers.judge(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op5_language_id, op6_packing,
-                                   op7_topk_search, op8_byte_bpe, op9_url_filters)}
+                                   op7_topk_search, op8_byte_bpe, op9_url_filters, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
 
