@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, langid, outliers, packing, quality, simhash, topk, urls
+from rankloom.llm import bpe, chat, htmlcrf, langid, outliers, packing, quality, simhash, topk, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a model trained on a sample of them."""
+    pages = read(spark, sf_dir, "pages")
+    return htmlcrf.extract(pages, htmlcrf.train(pages))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns with repaired roles and their rendering."""
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows outside the held-out fifth."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -62,8 +73,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op5_language_id, op6_packing,
-                                   op7_topk_search, op8_byte_bpe, op9_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_simhash_near_dedup, op3_html_extraction, op4_chat_formatting, op5_language_id,
+    op6_packing, op7_topk_search, op8_byte_bpe, op9_url_filters, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
 
