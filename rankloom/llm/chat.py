@@ -38,7 +38,7 @@ from rankloom.llm.shared import Scratch
 from rankloom.operators.topk import number_within
 
 CHUNK, FAN = 1024, 1024
-MERGE, RELABEL, UNKNOWN, INSERT = 2, 4, 1, 6
+MERGE, RELABEL, UNKNOWN, INSERT = 2, 5, 1, 4
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = [None, "system", "user", "assistant"]
 ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "prompter": USER,

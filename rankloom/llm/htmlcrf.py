@@ -338,10 +338,11 @@ def layout(paragraphs: list[str], words: list[str], rng: random.Random) -> str:
             inner = "".join(f"<span>{some(1, 2)}</span> " for _ in range(rng.randint(1, 4)))
         return wrap(rng.choice(OTHER_NAMES[kind]), inner)
 
-    head, *rest = paragraphs
-    level = rng.choice(["h1", "h1", "h2", "p"])
-    body = [f"<{level}>{entities.escape(head)}</{level}>"]
-    for p in rest:
+    body = []
+    if rng.random() < 0.8:
+        level = rng.choice(["h1", "h1", "h2", "p"])
+        body.append(f"<{level}>{some(2, 10)}</{level}>")
+    for p in paragraphs:
         kind = rng.random()
         text = entities.escape(p)
         if kind < 0.08:
@@ -389,9 +390,9 @@ def train_on(pages: list[str], variants: int = VARIANTS, seed: int = 7) -> Chain
     words = sorted({w for a in articles for p in a for w in p.split()[:200]})
     for article in articles:
         for _ in range(variants):
-            # text found in the wild is set as paragraphs of at most 60 words
-            paragraphs = [" ".join(p.split()[i:i + 60]) for p in article for i in range(0, len(p.split()), 60)][:24]
-            data.append(labelled(layout(paragraphs, words, rng), ("data-main",)))
+            most = rng.choice([15, 60, 60, 250, 5000])          # words of a paragraph
+            paragraphs = [" ".join(p.split()[i:i + most]) for p in article for i in range(0, len(p.split()), most)]
+            data.append(labelled(layout(paragraphs[:rng.choice([1, 2, 4, 8, 24, 24])], words, rng), ("data-main",)))
     return fit(data, seed)
 
 

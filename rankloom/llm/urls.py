@@ -100,7 +100,7 @@ class DigestList:
                 for n in self.path_lengths:
                     if n <= len(path):
                         keys.append((domain + path[:n]).encode())
-                        owner.append((i, len(keys[-1]), len(domain)))
+                        owner.append((i, len(domain) + n, len(domain)))
         best: dict[int, tuple[int, int, int]] = {}
         found = self.find(keys) if keys else []
         for (i, *size), j in zip(owner, found, strict=True):
