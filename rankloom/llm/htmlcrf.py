@@ -6,8 +6,8 @@ features are the tags and class, id and role names of its ancestors and the shap
 gives every block the label main or boilerplate; Viterbi decodes the best sequence.
 
 Training pages are a bounded, hash-chosen sample of the table's rows that mark their article
-(``<article>`` or ``<main>``): each is labelled by that element, and its text is set again in
-``VARIANTS`` random layouts with known labels (menus, headers, footers, sidebars, notices,
+(``<article>`` or ``<main>``): each is labelled by that element, and their text is set again
+in LAYOUTS random layouts with known labels (menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments under many common names), so that the model does not depend
 on one site's markup. Weights are learned by AdaGrad on the conditional log-likelihood, in one
 task whose input is that sample. Extraction is one pass over whole pages.
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from rankloom.llm.shared import slices
 
-SAMPLE_PAGES, VARIANTS, EPOCHS, RATE, DECAY = 300, 3, 6, 0.3, 1e-4
+SAMPLE_PAGES, LAYOUTS, EPOCHS, RATE, DECAY = 300, 900, 6, 0.3, 1e-4
 MAIN, OTHER = 1, 0
 
 HIDDEN = {"script", "style", "template", "noscript", "head", "iframe", "object", "svg", "canvas", "select", "textarea"}
@@ -271,7 +271,7 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], seed: int = 7) -> Chain:
 
 
 # Layouts of labelled pages: common element and class names of each kind of block.
-MAIN_NAMES = ["article", "main", "div content", "div post", "div entry content", "div article body", "div story",
+MAIN_NAMES = ["article", "article", "main", "div content", "div post", "div entry content", "div article body", "div story",
               "section text", "div page content", "div post content", "div", "section", "td", "div main", "div body copy"]
 OTHER_NAMES = {
     "menu": ["nav", "ul menu", "div navigation", "div nav", "ul navbar", "div breadcrumb", "ul tabs", "div pagination",
@@ -378,7 +378,7 @@ def labelled(page: str, main_tags: tuple[str, ...]) -> tuple[list[list[str]], li
     return features(found), labels
 
 
-def train_on(pages: list[str], variants: int = VARIANTS, seed: int = 7) -> Chain:
+def train_on(pages: list[str], layouts: int = LAYOUTS, seed: int = 7) -> Chain:
     rng, data = random.Random(seed), []
     articles = []
     for page in pages:
@@ -388,11 +388,11 @@ def train_on(pages: list[str], variants: int = VARIANTS, seed: int = 7) -> Chain
             articles.append([b.text for b in blocks(page) if any(t in ("article", "main") for t, _ in b.path)])
     articles = articles or [[FILLER] * 5] * 20
     words = sorted({w for a in articles for p in a for w in p.split()[:200]})
-    for article in articles:
-        for _ in range(variants):
-            most = rng.choice([15, 60, 60, 250, 5000])          # words of a paragraph
-            paragraphs = [" ".join(p.split()[i:i + most]) for p in article for i in range(0, len(p.split()), most)]
-            data.append(labelled(layout(paragraphs[:rng.choice([1, 2, 4, 8, 24, 24])], words, rng), ("data-main",)))
+    for n in range(layouts):
+        article = articles[n % len(articles)]
+        most = rng.choice([15, 60, 60, 250, 5000])              # words of a paragraph
+        paragraphs = [" ".join(p.split()[i:i + most]) for p in article for i in range(0, len(p.split()), most)]
+        data.append(labelled(layout(paragraphs[:rng.choice([1, 2, 4, 8, 24, 24])], words, rng), ("data-main",)))
     return fit(data, seed)
 
 
