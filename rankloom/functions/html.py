@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import html_to_text, slug_name, strip_tags
+from rankloom.functions.text import decode_each, decode_entities, slug_name, strip_markup, strip_tags, without_hidden
 
 # ---- Fixed values -------------------------------------------------------------------
 # Ordered category rules: the first rule with a keyword contained in the lower-cased
@@ -32,10 +32,24 @@ PAGE_DURATION_PATTERNS = [
 ]
 MIN_PARAGRAPH_CHARS = 50
 DESCRIPTION_CHARS = 500
+DEFAULT_DESCRIPTION = "Talent assessment for evaluating candidate capabilities"
 # -------------------------------------------------------------------------------------
 
-DEFAULT_DESCRIPTION = "Talent assessment for evaluating candidate capabilities"
-PLACEHOLDER_DESCRIPTION = "Catalog assessment"
+# The inside of a tag: quoted attribute values may hold '>'.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+
+
+def tags(html, name: str) -> Column:
+    """Opening tags of the named element outside scripts, styles and comments, in order."""
+    return F.regexp_extract_all(without_hidden(html), F.lit(rf"(?is)<{name}(?=[\s/>]){_INSIDE}>"), 0)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, double-quoted, single-quoted or bare; null when absent.
+    Character references are kept (decode them outside of array functions)."""
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
+    return F.when(tag.rlike(pattern), value)
 
 
 def _element_text(html: Column, tag: str) -> Column:
@@ -69,13 +83,14 @@ def paragraphs(html) -> Column:
     """Trimmed text of each <p> element, in document order."""
     h = F.col(html) if isinstance(html, str) else html
     raw = F.regexp_extract_all(h, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1)
-    return F.transform(raw, lambda p: F.trim(strip_tags(p)))
+    return F.transform(decode_each(F.transform(raw, strip_markup)), lambda p: F.trim(p))
 
 
 def record_description(html, default: str = DEFAULT_DESCRIPTION) -> Column:
     """Meta description; else first paragraph longer than 50 chars cut to 500; else default."""
     h = F.col(html) if isinstance(html, str) else html
-    meta = F.regexp_extract(h, r'(?is)<meta\b[^>]*name="description"[^>]*content="([^"]*)"', 1)
+    described = F.filter(tags(h, "meta"), lambda t: F.coalesce(attribute(t, "name") == "description", F.lit(False)))
+    meta = decode_entities(attribute(F.try_element_at(described, F.lit(1)), "content"))
     long_p = F.try_element_at(F.filter(paragraphs(h), lambda p: F.length(p) > MIN_PARAGRAPH_CHARS), F.lit(1))
     return F.coalesce(F.nullif(meta, F.lit("")),
                       F.substring(long_p, 1, DESCRIPTION_CHARS),
@@ -130,6 +145,3 @@ def extract_record(html, url, title_suffix: str | None = None, *,
             adaptive_support(text).alias("adaptive_support"),
             remote_support(text).alias("remote_support")]
 
-
-def visible_text(html, limit: int = 5000) -> Column:
-    return html_to_text(html, limit)

@@ -31,10 +31,6 @@ DOMAIN_KEYWORDS = ["cognitive", "personality", "behavioral", "situational",
                    "numerical", "reasoning"]
 # ---------------------------------------------------------------------------------------
 
-FILTERS_DDL = ("struct<duration_limit:int,remote_testing:boolean,"
-               "adaptive_testing:boolean,test_type:string>")
-
-
 def _lower(q) -> Column:
     return F.lower(F.col(q) if isinstance(q, str) else q)
 

@@ -14,15 +14,12 @@ DESC_CHARS = 200        # description chars per context line
 QUERY_CHARS = 1000      # query chars in the prompt
 TOP_SCORE, SCORE_STEP = 0.99, 0.01
 
+# What the ranker is told: the request, numbered candidates, how many to choose, and the reply
+# form that ``parse_reply`` reads.
 PROMPT_TEMPLATE = (
-    "You rank catalog assessments for a hiring query. Rank the top {top_k} most relevant "
-    "candidates below.\n\n"
-    "### QUERY:\n\"{query}\"\n\n"
-    "### CANDIDATES:\n{candidates}\n"
-    "### INSTRUCTIONS:\n"
-    "- Return ONLY a JSON list of candidate indices [idx1, idx2, ... idx{top_k}] in order of "
-    "decreasing relevance.\n"
-    "- No explanations.\n")
+    "A request and a numbered catalog excerpt follow. Choose the {top_k} entries that serve the "
+    "request best and answer with their numbers, best first, as one JSON array such as [4, 0, 7].\n\n"
+    "Request:\n{query}\n\nCatalog excerpt:\n{candidates}\nJSON array of {top_k} numbers:")
 
 
 def context_line(pos, name, test_type, description) -> Column:

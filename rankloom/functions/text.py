@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html as html_entities
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The token pattern (Unicode letters, digits, underscore), matching
 # Python's ``\w`` word runs on lower-cased text.
@@ -33,30 +38,45 @@ def url_slug(url, lower: bool = True) -> Column:
     return F.coalesce(s, F.lit(""))
 
 
+def title_case(text) -> Column:
+    """Every run of cased letters starts upper case and goes on lower case, whatever stands
+    between the runs (digits, quotes and other signs start a new one)."""
+    runs = F.regexp_extract_all(_c(text), F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), 1)
+    first = lambda w: F.substring(w, 1, 1)
+    return F.array_join(F.transform(runs, lambda w: F.concat(
+        F.when(first(w) == "ß", F.lit("Ss")).otherwise(F.upper(first(w))), F.lower(F.substr(w, F.lit(2))))), "")
+
+
 def slug_name(url, scraper_variant: bool = True) -> Column:
     """Slug -> display name ('-'/'_' to space, title case).
 
     The scraper variant also decodes %28/%29, drops every ' New' and trims.
-    ``initcap`` capitalises after whitespace only (Python's title() also after
-    digits/punctuation); that difference is accepted and documented.
     """
-    s = url_slug(url, lower=False)
-    s = F.initcap(F.translate(s, "-_", "  "))
+    s = title_case(F.translate(url_slug(url, lower=False), "-_", "  "))
     if scraper_variant:
         s = F.replace(F.replace(s, F.lit("%28"), F.lit("(")), F.lit("%29"), F.lit(")"))
         s = F.trim(F.replace(s, F.lit(" New"), F.lit("")))
     return s
 
 
+@F.pandas_udf(StringType())
+def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
+    def join(b, h):
+        try:
+            return urljoin(b or "", h)
+        except ValueError:              # not a url: kept as it stands
+            return h
+    return pd.Series([None if h is None else join(b, h) for b, h in zip(base, href)], dtype=object)
+
+
 def absolute_url(href, page_url, site: Column | None = None) -> Column:
-    """B1: '/x' -> site prefix + href; 'http..' -> as is; else join against the page's directory."""
+    """B1: '/x' -> site prefix + href; 'http..' -> as is; else resolved against the page
+    (dot segments, '?', '#' and other schemes as in RFC 3986)."""
     href, page_url = _c(href), _c(page_url)
     site = site if site is not None else F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    base_dir = F.regexp_extract(F.regexp_replace(page_url, r"[?#].*$", ""), r"^(.*/)", 1)
-    base_dir = F.when(base_dir.endswith("//"), F.concat(page_url, F.lit("/"))).otherwise(base_dir)
     return (F.when(href.startswith("/"), F.concat(site, href))
              .when(href.startswith("http"), href)
-             .otherwise(F.concat(base_dir, href)))
+             .otherwise(_joined(page_url, href)))
 
 
 def truncate_ellipsis(text, n: int, collapse_ws: bool = False) -> Column:
@@ -70,49 +90,61 @@ def truncate_ellipsis(text, n: int, collapse_ws: bool = False) -> Column:
     return F.concat(F.substring(body, 1, n), F.when(F.length(t) > n, F.lit("...")).otherwise(F.lit("")))
 
 
-def _py_str(c) -> Column:
-    """Python f-string rendering of a nullable value: null -> 'None'."""
-    return F.coalesce(_c(c).cast("string"), F.lit("None"))
+# The labels of the encoder text and the defaults of absent fields.
+RICH_LABELS = ("Assessment Name: ", "\nTitle: ", "\nDescription: ", "\nType: ", "\nCategory: ", "\nDuration: ",
+               "\nRemote Testing Support: ", "\nAdaptive Assessment (IRT): ", "\nKeywords: ")
+FIELD_DEFAULTS = {"assessment_name": "", "description": "", "test_type": "N/A", "duration_minutes": "N/A",
+                  "adaptive_support": "No", "remote_support": "No"}
+
+
+def with_default(c, field: str) -> Column:
+    """A field as text, with its default where it is absent."""
+    return F.coalesce(_c(c).cast("string"), F.lit(FIELD_DEFAULTS[field]))
 
 
 def rich_text(name, description, test_type, duration, remote, adaptive,
               catalog_label: str = "product catalog") -> Column:
     """The nine-line labelled template used as encoder input (trimmed)."""
-    n, t = _py_str(name), _py_str(test_type)
-    desc = F.coalesce(F.substring(_c(description), 1, 600), F.lit("None"))
-    return F.trim(F.concat(
-        F.lit("Assessment Name: "), n, F.lit("\nTitle: "), n,
-        F.lit("\nDescription: "), desc,
-        F.lit("\nType: "), t, F.lit("\nCategory: "), t,
-        F.lit("\nDuration: "), _py_str(duration), F.lit(" minutes"),
-        F.lit("\nRemote Testing Support: "), _py_str(remote),
-        F.lit("\nAdaptive Assessment (IRT): "), _py_str(adaptive),
-        F.lit("\nKeywords: "), n, F.lit(", "), t, F.lit(", talent assessment, " + catalog_label)))
+    n, t = with_default(name, "assessment_name"), with_default(test_type, "test_type")
+    desc = F.substring(with_default(description, "description"), 1, 600)
+    values = (n, n, desc, t, t, F.concat(with_default(duration, "duration_minutes"), F.lit(" minutes")),
+              with_default(remote, "remote_support"), with_default(adaptive, "adaptive_support"),
+              F.concat(n, F.lit(", "), t, F.lit(", talent assessment, " + catalog_label)))
+    return F.trim(F.concat(*[x for label, v in zip(RICH_LABELS, values) for x in (F.lit(label), v)]))
 
 
 def keyword_text(name, description, test_type) -> Column:
-    """Name, description and type joined by single spaces (null renders 'None')."""
-    return F.concat_ws(" ", _py_str(name), _py_str(description), _py_str(test_type))
+    """Name, description and type joined by single spaces (absent: empty, so that no
+    placeholder becomes a search term)."""
+    return F.concat_ws(" ", *[F.coalesce(_c(c), F.lit("")) for c in (name, description, test_type)])
 
 
-# The HTML entities decoded by html_to_text.
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+@F.pandas_udf(StringType())
+def decode_entities(text: pd.Series) -> pd.Series:
+    """All named and numeric character references of HTML5 (a batch of texts at a time)."""
+    return text.map(lambda t: html_entities.unescape(t) if t is not None and "&" in t else t)
 
 
-def decode_entities(c) -> Column:
-    out = _c(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+@F.pandas_udf(ArrayType(StringType()))
+def decode_each(texts: pd.Series) -> pd.Series:
+    """``decode_entities`` for arrays of texts."""
+    return texts.map(lambda ts: None if ts is None else [html_entities.unescape(t) for t in ts])
+
+
+def without_hidden(html) -> Column:
+    """Markup without script and style elements and comments."""
+    h = F.regexp_replace(_c(html), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+    return F.regexp_replace(h, r"(?s)<!--.*?-->", "")
+
+
+def strip_markup(html) -> Column:
+    """Markup -> text with its character references: script/style bodies, comments, tags go."""
+    return F.regexp_replace(without_hidden(html), r"(?s)<[^>]*>", "")
 
 
 def strip_tags(html) -> Column:
     """Markup -> raw text: drop script/style bodies, comments, tags; decode entities."""
-    h = F.regexp_replace(_c(html), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-    h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
-    h = F.regexp_replace(h, r"(?s)<[^>]*>", "")
-    return decode_entities(h)
+    return decode_entities(strip_markup(html))
 
 
 def html_to_text(html, limit: int = 5000) -> Column:
@@ -124,11 +156,6 @@ def html_to_text(html, limit: int = 5000) -> Column:
     return F.substring(F.array_join(kept, " "), 1, limit)
 
 
-def round_score(c, digits: int = 4) -> Column:
-    """Score rounding for display rows."""
-    return F.round(_c(c), digits)
-
-
 def display_duration(duration) -> Column:
     """B26: 'n min', or 'N/A' when null or 0."""
     d = _c(duration)

@@ -14,17 +14,19 @@ from rankloom.functions import html as H
 from rankloom.functions.text import absolute_url, decode_entities, slug_name
 from rankloom.operators.topk import number_within
 
-HREF_PATTERN = r'(?i)href\s*=\s*"([^"]*)"'
 REQUIRED_ROWS = 377          # catalog size the reference checks against
 EMPTY_PAGES_TO_STOP = 3
 
 
 def page_links(pages: DataFrame, marker: str = "/") -> DataFrame:
-    """A1 + C1 + B1: (page_id, url) distinct absolute links whose href contains ``marker``."""
-    hrefs = pages.select("page_id", F.col("url").alias("page_url"),
-                         F.explode(F.regexp_extract_all("html", F.lit(HREF_PATTERN), 1)).alias("href"))
-    hrefs = hrefs.withColumn("href", decode_entities("href")).filter(F.col("href").contains(marker))
-    return hrefs.select("page_id", absolute_url("href", "page_url").alias("url")).distinct()
+    """A1 + C1 + B1: (page_id, url) distinct absolute links of ``<a>`` elements whose href
+    contains ``marker``. Repeated hrefs of a page go before its row is exploded, so only urls
+    that different hrefs of a page resolve to are left to the ``distinct``."""
+    hrefs = F.array_distinct(F.filter(F.transform(H.tags("html", "a"), lambda t: H.attribute(t, "href")),
+                                      lambda h: h.isNotNull()))
+    found = pages.select("page_id", F.col("url").alias("page_url"), F.explode(hrefs).alias("href"))
+    found = found.withColumn("href", decode_entities("href")).filter(F.col("href").contains(marker))
+    return found.select("page_id", absolute_url("href", "page_url").alias("url")).distinct()
 
 
 def discovered_urls(links: DataFrame) -> DataFrame:
@@ -92,7 +94,11 @@ def page_records(pages: DataFrame, title_suffix: str | None = None,
     return pages.select("page_id", *cols, F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("status"))
 
 
-def placeholder_rows(urls: DataFrame, description: str = "Talent assessment") -> DataFrame:
+# Fixed value: the description of a url without a record.
+PLACEHOLDER_DESCRIPTION = "Talent assessment"
+
+
+def placeholder_rows(urls: DataFrame, description: str = PLACEHOLDER_DESCRIPTION) -> DataFrame:
     """B9 (merge variant): minimal rows for urls without a record; the merge variant names
     them from the slug without decoding or dropping ' New'."""
     return urls.select(slug_name("url", scraper_variant=False).alias("assessment_name"), "url",
@@ -159,8 +165,13 @@ def threshold_check(catalog: DataFrame, required: int = REQUIRED_ROWS) -> DataFr
                            F.round(n / F.lit(required) * 100, 1).alias("percent")))
 
 
+MAX_SAMPLE = 50
+
+
 def head_sample(catalog: DataFrame, n: int = 5, order: str = "key") -> DataFrame:
-    """First n rows in catalog order (a bounded global top-n, not a full sort)."""
+    """G7 + C8: first n (1 to 50) rows in catalog order (a bounded global top-n, not a full sort)."""
+    if not 1 <= n <= MAX_SAMPLE:
+        raise ValueError(f"the sample size is between 1 and {MAX_SAMPLE}")
     return catalog.orderBy(order).limit(n)
 
 

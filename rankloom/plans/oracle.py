@@ -112,17 +112,17 @@ dc AS (SELECT doc_id AS key, 'https://docs.example.com/doc/' || doc_id::VARCHAR
 """
 
 
-def py_str(x: str) -> str:
-    return f"coalesce(CAST({x} AS VARCHAR), 'None')"
+def or_default(x: str, default: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), '{default}')"
 
 
 RICH_TEXT = ("trim('Assessment Name: ' || {n} || '\nTitle: ' || {n} || '\nDescription: ' || "
-             "coalesce(substr(description, 1, 600), 'None') || '\nType: ' || {t} || '\nCategory: ' || {t} || "
-             "'\nDuration: ' || {d} || ' minutes\nRemote Testing Support: ' || {r} || "
+             "substr({d}, 1, 600) || '\nType: ' || {t} || '\nCategory: ' || {t} || "
+             "'\nDuration: ' || {m} || ' minutes\nRemote Testing Support: ' || {r} || "
              "'\nAdaptive Assessment (IRT): ' || {a} || '\nKeywords: ' || {n} || ', ' || {t} || "
              "', talent assessment, product catalog')").format(
-    n=py_str("assessment_name"), t=py_str("test_type"), d=py_str("duration_minutes"),
-    r=py_str("remote_support"), a=py_str("adaptive_support"))
+    n=or_default("assessment_name", ""), d=or_default("description", ""), t=or_default("test_type", "N/A"),
+    m=or_default("duration_minutes", "N/A"), r=or_default("remote_support", "No"), a=or_default("adaptive_support", "No"))
 
 SQL = {
     "token_counts": f"""
@@ -169,29 +169,33 @@ SQL = {
         WHERE duration_minutes IS NULL OR (duration_minutes <= 30 AND duration_minutes >= 10)""",
     "rich_text": f"""WITH {PART_CATALOG} SELECT key, {RICH_TEXT} AS text FROM pc""",
     "keyword_text": f"""WITH {PART_CATALOG}
-        SELECT key, {py_str('assessment_name')} || ' ' || {py_str('description')} || ' ' || {py_str('test_type')} AS text
+        SELECT key, coalesce(assessment_name, '') || ' ' || coalesce(description, '') || ' ' || coalesce(test_type, '') AS text
         FROM pc""",
 }
 
 
 # ---- request side ------------------------------------------------------------------------
-from rankloom.functions.query_filters import (ADAPTIVE_PATTERN, DOMAIN_KEYWORDS,  # noqa: E402
-                                              DURATION_PATTERNS, HOUR_PATTERN_INDEX, REMOTE_PATTERN)
-from rankloom.functions.rerank import PROMPT_TEMPLATE  # noqa: E402
+# Expected values, written out here so that the oracle shares nothing with the engine.
+DURATIONS = [("(\\d+)\\s*min", 1), ("(\\d+)\\s*minute", 1), ("under\\s*(\\d+)", 1), ("less than\\s*(\\d+)", 1),
+             ("within\\s*(\\d+)", 1), ("max.*?(\\d+)", 1), ("maximum.*?(\\d+)", 1), ("(\\d+)\\s*(?:hours?|hrs?)", 60)]
+DOMAINS = ("cognitive personality behavioral situational technical aptitude skills java python sql sales leadership "
+           "management english verbal numerical reasoning").split()
+PROMPT = (
+    "A request and a numbered catalog excerpt follow. Choose the {top_k} entries that serve the "
+    "request best and answer with their numbers, best first, as one JSON array such as [4, 0, 7].\n\n"
+    "Request:\n{query}\n\nCatalog excerpt:\n{candidates}\nJSON array of {top_k} numbers:")
 
 
 def filters_sql(q: str) -> dict[str, str]:
     """Constraint expressions over the lower-cased text expression q."""
     whens = []
-    for i, p in enumerate(DURATION_PATTERNS):
-        v = f"try_cast(regexp_extract({q}, '{p}', 1) AS INTEGER)"
-        if i == HOUR_PATTERN_INDEX:
-            v = f"({v} * 60)"
+    for p, minutes in DURATIONS:
+        v = f"(try_cast(regexp_extract({q}, '{p}', 1) AS INTEGER) * {minutes})"
         whens.append(f"WHEN regexp_matches({q}, '{p}') THEN {v}")
-    dom = " ".join(f"WHEN contains({q}, '{k}') THEN '{k}'" for k in DOMAIN_KEYWORDS)
+    dom = " ".join(f"WHEN contains({q}, '{k}') THEN '{k}'" for k in DOMAINS)
     return {"dl": "CASE " + " ".join(whens) + " END",
-            "rt": f"CASE WHEN regexp_matches({q}, '{REMOTE_PATTERN}') THEN true END",
-            "at": f"CASE WHEN regexp_matches({q}, '{ADAPTIVE_PATTERN}') THEN true END",
+            "rt": f"CASE WHEN regexp_matches({q}, 'remote|online|virtual|home|proctor') THEN true END",
+            "at": f"CASE WHEN regexp_matches({q}, 'adaptive|irt|item response|ai-powered') THEN true END",
             "tt": f"CASE {dom} END"}
 
 
@@ -241,14 +245,23 @@ pex AS (SELECT query_id, ipos, idx FROM
 """
 
 
+# The character references of the given pages, with or without their semicolon; '&' comes last.
+REFERENCES = [("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&")]
+
+
+def decoded_sql(x: str) -> str:
+    for pattern, ch in REFERENCES:
+        x = f"regexp_replace({x}, '{pattern}', '{ch}', 'g')"
+    return x
+
+
+def shown_sql(x: str) -> str:
+    return (f"regexp_replace(regexp_replace({x}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), "
+            f"'(?s)<!--.*?-->', '', 'g')")
+
+
 def strip_tags_sql(x: str) -> str:
-    h = (f"regexp_replace(regexp_replace(regexp_replace({x}, "
-         f"'(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), "
-         f"'(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')")
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
-                    ("&nbsp;", " "), ("&amp;", "&")]:
-        h = f"replace({h}, '{ent}', '{ch}')"
-    return h
+    return decoded_sql(f"regexp_replace({shown_sql(x)}, '(?s)<[^>]*>', '', 'g')")
 
 
 def html_to_text_sql(x: str, limit: int = 5000) -> str:
@@ -285,7 +298,7 @@ def trunc_sql(x: str, n: int, collapse: bool = False) -> str:
 
 
 def prompt_sql(query: str, context: str, top_k: int) -> str:
-    parts = PROMPT_TEMPLATE.split("{")
+    parts = PROMPT.split("{")
     out = ["'" + parts[0].replace("'", "''") + "'"]
     for p in parts[1:]:
         key, rest = p.split("}", 1)
@@ -405,20 +418,20 @@ SQL["prompt_text"] = f"""WITH {PART_CATALOG}, {ORDER_REQUESTS}, {ORDER_CANDIDATE
 
 
 # ---- pages -----------------------------------------------------------------------------
-from rankloom.functions.html import CATEGORY_RULES, DEFAULT_CATEGORY, PAGE_DURATION_PATTERNS  # noqa: E402
-
-
-def decode_sql(x: str) -> str:
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
-                    ("&nbsp;", " "), ("&amp;", "&")]:
-        x = f"replace({x}, '{ent}', '{ch}')"
-    return x
-
-
-def initcap_sql(x: str) -> str:
-    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+CATEGORIES = [("Technical Skills", "java|python|javascript|sql|coding|programming|developer|software"),
+              ("Personality Assessment", "personality|opq|behavioral|behavior"),
+              ("Leadership", "leadership|manager|executive|director|supervisor"),
+              ("Cognitive Ability", "verbal|numerical|reasoning|cognitive|aptitude|logic"),
+              ("Behavioral Skills", "sales|communication|customer|service")]
+DEFAULT_CATEGORY = "General Assessment"
+PAGE_DURATIONS = ["(?i)(\\d+)\\s*(?:minutes?|mins?)", "(?i)Duration[:\\s]+(\\d+)", "(?i)Time[:\\s]+(\\d+)"]
+
+
+def title_sql(x: str) -> str:
+    """Each run of letters that have case: first upper, rest lower."""
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+'), "
             f"lambda w: CASE WHEN substr(w, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(w, 1, 1)) END "
-            f"|| substr(w, 2)), ' ')")
+            f"|| lower(substr(w, 2))), '')")
 
 
 def slug_sql(x: str, lower: bool = True) -> str:
@@ -427,24 +440,15 @@ def slug_sql(x: str, lower: bool = True) -> str:
 
 
 def slug_name_sql(x: str, scraper: bool = True) -> str:
-    s = initcap_sql(f"translate({slug_sql(x, False)}, '-_', '  ')")
+    s = title_sql(f"translate({slug_sql(x, False)}, '-_', '  ')")
     if scraper:
         s = f"trim(replace(replace(replace({s}, '%28', '('), '%29', ')'), ' New', ''))"
     return s
 
 
-def absolute_url_sql(href: str, page_url: str) -> str:
-    site = f"regexp_extract({page_url}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
-    bd = f"regexp_extract(regexp_replace({page_url}, '[?#].*$', ''), '^(.*/)', 1)"
-    base = f"CASE WHEN ends_with({bd}, '//') THEN {page_url} || '/' ELSE {bd} END"
-    return (f"CASE WHEN starts_with({href}, '/') THEN {site} || {href} "
-            f"WHEN starts_with({href}, 'http') THEN {href} ELSE {base} || {href} END")
-
-
 def category_sql(name: str, text: str) -> str:
     whens = []
-    for cat, kws in CATEGORY_RULES:
-        pat = "|".join(kws)
+    for cat, pat in CATEGORIES:
         whens.append(f"WHEN coalesce(regexp_matches(lower({name}), '{pat}'), false) "
                      f"OR coalesce(regexp_matches(lower({text}), '{pat}'), false) THEN '{cat}'")
     return "CASE " + " ".join(whens) + f" ELSE '{DEFAULT_CATEGORY}' END"
@@ -452,7 +456,7 @@ def category_sql(name: str, text: str) -> str:
 
 def text_duration_sql(t: str) -> str:
     whens = " ".join(f"WHEN regexp_matches({t}, '{p}') THEN try_cast(regexp_extract({t}, '{p}', 1) AS INTEGER)"
-                     for p in PAGE_DURATION_PATTERNS)
+                     for p in PAGE_DURATIONS)
     return f"CASE {whens} END"
 
 
@@ -489,11 +493,12 @@ precs AS (SELECT page_id,
           FROM (SELECT *, html IS NOT NULL AND contains(html, '<') AS ok FROM pr1))
 """
 
+# The given pages' links are double-quoted hrefs of <a> elements that start at the site's root.
 PAGE_LINKS = f"""
-hr0 AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*"([^"]*)"', 1)) AS h
-        FROM pages),
-hr AS (SELECT page_id, page_url, {decode_sql('h')} AS href FROM hr0),
-pl AS (SELECT DISTINCT page_id, {absolute_url_sql('href', 'page_url')} AS url FROM hr WHERE contains(href, '/'))
+hr AS (SELECT page_id, url AS page_url,
+              unnest(regexp_extract_all({shown_sql('html')}, '(?i)<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
+pl AS (SELECT DISTINCT page_id, regexp_extract(page_url, '^[a-z]+://[^/?#]+', 0) || {decoded_sql('href')} AS url
+       FROM hr WHERE starts_with(href, '/'))
 """
 
 CATS = ", ".join(["assessment_name", "url", "description", "duration_minutes", "test_type",

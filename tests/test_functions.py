@@ -43,8 +43,8 @@ def test_url_slug(spark, url, slug):
 
 def test_slug_name_variants(spark):
     u = "https://h/view/account-manager-new%28v2%29/"
-    assert one(spark, slug_name, u) == "Account Manager(v2)"
-    assert one(spark, lambda c: slug_name(c, scraper_variant=False), u) == "Account Manager New%28v2%29"
+    assert one(spark, slug_name, u) == "Account Manager(V2)"
+    assert one(spark, lambda c: slug_name(c, scraper_variant=False), u) == "Account Manager New%28V2%29"
 
 
 def test_tokens_unicode_and_underscore(spark):
