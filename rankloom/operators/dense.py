@@ -2,14 +2,12 @@
 
 Two exact similarity plans:
 
-* ``hashed_similarity`` - the built-in hashing encoder gives sparse vectors stored as
-  ``(key, bucket, weight)`` rows, so the inner product is an equi-join on ``bucket`` plus
-  a sum: only documents sharing a bucket with the query are touched.
-* ``exact_top_k`` - dense ``array<float>`` vectors. A small (size-checked) query batch
-  is broadcast to a single scan of the vectors; a large one is cut, with the vectors,
-  into hash blocks of bounded size, and each (query block, vector block) pair meets once
-  in a cogrouped pandas function. Both do matrix products and emit only per-query top-k
-  lists; no pair rows are materialised and no group grows with the data.
+* ``lexical.hashed_scores`` - the built-in hashing encoder's sparse vectors live in the
+  document index; only documents sharing a bucket with the query are touched.
+* ``exact_top_k`` - dense ``array<float>`` vectors: queries and vectors are cut into tiles
+  and blocks of bounded size, and each pair of them meets once in a cogrouped pandas
+  function, as a matrix product that emits only per-query top-k lists; no pair rows are
+  materialised and no group grows with the data.
 """
 
 from __future__ import annotations
@@ -26,12 +24,11 @@ from pyspark.sql import Window as W
 
 from rankloom.functions.text import tokens
 from rankloom.operators.topk import RANK_DECIMALS, score_order, top_k_per_group
-from rankloom.session import broadcast_if_small
 
 HASH_DIM = 1 << 18          # buckets of the default hashing encoder
-BLOCK_ROWS = 4096           # rows per block in the blocked matrix product
-BROADCAST_QUERY_ROWS = 4096  # query batches up to this size are broadcast to one vector scan
-QUERY_VECTOR_BROADCAST_ROWS = 2_000_000
+BLOCK_ROWS = 8192           # vectors per block of the tiled matrix product
+TILE_ROWS = 4096            # queries per tile
+SCORES_AT_ONCE = 4 << 20    # scores of a tile and block held at a time
 
 
 def hash_bucket(term, dim: int = HASH_DIM) -> Column:
@@ -53,26 +50,6 @@ def hash_vectors(df: DataFrame, key: str, text: str, dim: int = HASH_DIM,
     return counts.select(key_alias, "bucket", (F.col("c") / norm).alias("weight"))
 
 
-def hash_vectors_from_postings(postings: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """Same vectors as ``hash_vectors`` but summed from postings(term, key, tf), so the
-    corpus is not tokenised a second time."""
-    # one shuffle on key serves both the (key, bucket) sum and the per-key norm window;
-    # bucket collisions inside a document are rare, so a map-side combine would save little
-    counts = (postings.select("key", hash_bucket("term", dim).alias("bucket"), "tf")
-                      .repartition("key")
-                      .groupBy("key", "bucket").agg(F.sum("tf").cast("double").alias("c")))
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy("key")))
-    return counts.select("key", "bucket", (F.col("c") / norm).alias("weight"))
-
-
-def hashed_similarity(query_vecs: DataFrame, doc_vecs: DataFrame) -> DataFrame:
-    """E5 over sparse vectors: (query_id, key, score) for pairs sharing a bucket."""
-    q = broadcast_if_small(query_vecs.select("query_id", "bucket", F.col("weight").alias("wq")),
-                           QUERY_VECTOR_BROADCAST_ROWS)
-    j = doc_vecs.select("key", "bucket", F.col("weight").alias("wd")).join(q, "bucket")
-    return j.groupBy("query_id", "key").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-
-
 def dot(a, b) -> Column:
     """E5 as an expression: sum of pairwise products, in double."""
     a = F.col(a) if isinstance(a, str) else a
@@ -93,29 +70,20 @@ def l2_normalize(v) -> Column:
 def _top_k_arrays(qids: np.ndarray, qm: np.ndarray, keys: np.ndarray, vm: np.ndarray, k: int,
                   exclude_same_key: bool) -> pd.DataFrame:
     """Per-query top-k of one (queries x vectors) block: rank on the score rounded to
-    RANK_DECIMALS, ties to the smaller key (the engine-wide order)."""
+    RANK_DECIMALS, ties to the smaller key (the engine-wide order). Whole-block array
+    operations; columns are in key order, so the first of equal scores has the smaller key."""
+    order = np.argsort(keys, kind="stable")
+    keys, vm = keys[order], vm[order]
     s = qm @ vm.T
     if exclude_same_key:
         s[qids[:, None] == keys[None, :]] = -np.inf
     r = np.round(s, RANK_DECIMALS)
     kk = min(k, r.shape[1])
-    # threshold = k-th largest rounded score per row
-    thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-    out_q, out_k, out_s = [], [], []
-    for i in range(r.shape[0]):
-        row = r[i]
-        strict = np.nonzero(row > thr[i])[0]
-        tied = np.nonzero(row == thr[i])[0]
-        need = kk - strict.size
-        if need < tied.size:
-            tied = tied[np.argsort(keys[tied], kind="stable")[:need]]
-        idx = np.concatenate([strict, tied])
-        idx = idx[np.isfinite(s[i, idx])]
-        out_q.append(np.full(idx.size, qids[i], dtype=np.int64))
-        out_k.append(keys[idx])
-        out_s.append(s[i, idx])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "key": np.concatenate(out_k),
-                         "score": np.concatenate(out_s)})
+    least = np.partition(r, r.shape[1] - kk, axis=1)[:, r.shape[1] - kk, None]
+    above, level = r > least, r == least
+    room = kk - above.sum(axis=1, keepdims=True)
+    i, j = np.nonzero((above | (level & (np.cumsum(level, axis=1) <= room))) & np.isfinite(s))
+    return pd.DataFrame({"query_id": qids[i], "key": keys[j], "score": s[i, j]})
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -129,38 +97,17 @@ def _empty() -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in _EMPTY.items()})
 
 
-def _block_top_k(k: int, exclude_same_key: bool):
+def _block_top_k(k: int, exclude_same_key: bool, at_once: int = SCORES_AT_ONCE):
+    """One cogroup: a tile of queries against a block of vectors, a bounded matrix of scores
+    at a time."""
     def fn(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return _empty()
-        return _top_k_arrays(q["query_id"].to_numpy(np.int64), _matrix(q["embedding"]),
-                             v["key"].to_numpy(np.int64), _matrix(v["embedding"]), k, exclude_same_key)
-    return fn
-
-
-def _merge_top_k(acc: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
-    both = new if acc is None else pd.concat([acc, new], ignore_index=True)
-    both = both.assign(_r=np.round(both["score"].to_numpy(), RANK_DECIMALS))
-    both = both.sort_values(["query_id", "_r", "key"], ascending=[True, False, True], kind="stable")
-    return both.groupby("query_id", sort=False).head(k).drop(columns="_r")
-
-
-def _scan_top_k(bq, k: int, exclude_same_key: bool, block_rows: int):
-    """mapInPandas over the vectors: every task keeps a running per-query top-k of the
-    broadcast query block over all its vector batches and emits it once."""
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qm = bq.value
-        acc = None
-        for b in batches:
-            for start in range(0, len(b), block_rows):
-                part = b.iloc[start:start + block_rows]
-                if part.empty:
-                    continue
-                top = _top_k_arrays(qids, qm, part["key"].to_numpy(np.int64), _matrix(part["embedding"]),
-                                    k, exclude_same_key)
-                acc = _merge_top_k(acc, top, k)
-        if acc is not None:
-            yield acc
+        qids, qm = q["query_id"].to_numpy(np.int64), _matrix(q["embedding"])
+        keys, vm = v["key"].to_numpy(np.int64), _matrix(v["embedding"])
+        step = max(1, at_once // len(keys))
+        return pd.concat([_top_k_arrays(qids[a:a + step], qm[a:a + step], keys, vm, k, exclude_same_key)
+                          for a in range(0, len(qids), step)], ignore_index=True)
     return fn
 
 
@@ -168,29 +115,20 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *,
                 qid: str = "query_id", q_vec: str = "embedding",
                 key: str = "key", v_vec: str = "embedding",
                 exclude_same_key: bool = False, block_rows: int = BLOCK_ROWS,
-                broadcast_query_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
+                tile_rows: int = TILE_ROWS) -> DataFrame:
     """D3 + G1: exact inner-product top-k of every query over every vector.
 
-    * A query batch of at most ``broadcast_query_rows`` rows (checked by a distributed
-      count) is broadcast once; the vectors are scanned once, each task keeps a running
-      per-query top-k, and a final top-k merges the tasks' lists. No vector moves.
-    * Larger batches use the blocked matrix product: queries and vectors are hashed into
-      blocks of about ``block_rows``; each query row is replicated to every vector block
-      and each vector row to every query block, so the shuffle is |Q| * nv + |V| * nq
-      rows - never |Q| * |V| - and every cogroup holds two bounded blocks.
+    One plan for any number of queries: queries are hashed into tiles of about
+    ``tile_rows``, vectors into blocks of about ``block_rows``, and each (tile, block) meets
+    once as a matrix product that gives at most k rows per query. Exactness costs |Q| * |V|
+    products; the shuffle holds |V| * |Q| / tile_rows + |Q| * |V| / block_rows rows, so larger
+    tiles and blocks (both bounded by a task's memory) move less. No side is collected.
     """
-    q = queries.select(F.col(qid).cast("long").alias("query_id"), F.col(q_vec).alias("embedding"))
+    # fresh columns: both sides may come from one table
+    q = queries.select((F.col(qid).cast("long") + F.lit(0).cast("long")).alias("query_id"),
+                       F.transform(q_vec, lambda x: x.cast("double")).alias("embedding"))
     v = vectors.select(F.col(key).cast("long").alias("key"), F.col(v_vec).alias("embedding"))
-    n_q = q.limit(broadcast_query_rows + 1).count() if broadcast_query_rows > 0 else broadcast_query_rows + 1
-    if n_q <= broadcast_query_rows:
-        if n_q == 0:
-            return top_k_per_group(q.sparkSession.createDataFrame(_empty()), "query_id", score_order(), k)
-        qp = q.toPandas()      # bounded by the check above
-        bq = q.sparkSession.sparkContext.broadcast((qp["query_id"].to_numpy(np.int64), _matrix(qp["embedding"])))
-        per_task = v.mapInPandas(_scan_top_k(bq, k, exclude_same_key, block_rows),
-                                 schema="query_id long, key long, score double")
-        return top_k_per_group(per_task, "query_id", score_order(), k)
-    nq = max(1, math.ceil(q.count() / block_rows))
+    nq = max(1, math.ceil(q.count() / tile_rows))
     nv = max(1, math.ceil(v.count() / block_rows))
     qb = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
            .withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long")))))
@@ -207,7 +145,7 @@ def manifest(vectors: DataFrame, model_name: str, vec: str = "embedding",
     """One-row index manifest computed from the vector table itself."""
     return vectors.agg(F.lit(model_name).alias("model_name"),
                        F.max(F.size(vec)).cast("int").alias("dimension"),
-                       F.count(F.lit(1)).cast("int").alias("num_assessments"),
+                       F.count(F.lit(1)).alias("num_assessments"),
                        F.lit(index_type).alias("index_type"))
 
 

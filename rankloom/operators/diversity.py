@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rankloom.operators.topk import top_k_per_group
 
@@ -37,6 +38,19 @@ def diversify(df: DataFrame, k: int = 10, max_per_category: int = 4, *,
             .drop("_tier", "_cat"))
 
 
+def diversify_few(df: DataFrame, k: int = 10, max_per_category: int = 4, *,
+                  group: str = "query_id", category: str = "category", order: list[Column],
+                  default_category: str | None = None, rank_col: str = "rank") -> DataFrame:
+    """``diversify`` for groups that are already cut to a bounded number of rows (a query's fused
+    hits): rows numbered within their category give the tiers, and one more numbering the
+    answer, so the input is read once."""
+    if default_category is not None:
+        df = df.withColumn(category, F.coalesce(F.col(category), F.lit(default_category)))
+    in_category = F.row_number().over(W.partitionBy(group, F.col(category)).orderBy(*order))
+    tiered = df.withColumn("_tier", (in_category > max_per_category).cast("int"))
+    return top_k_per_group(tiered, group, [F.col("_tier").asc()] + order, k, rank_col).drop("_tier")
+
+
 def duration_filter(df: DataFrame, max_duration: int | None = None, min_duration: int | None = None,
                     duration: str = "duration_minutes") -> DataFrame:
     """Unknown (null) durations always pass; bounds inclusive; a bound of 0 is no bound."""

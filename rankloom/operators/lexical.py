@@ -1,131 +1,122 @@
-"""BM25 as tables and joins.
+"""Document-sharded text index and BM25.
 
-    postings(term, key, tf, dl)      one row per (document, distinct term)
-    terms(term, df, idf)             idf with the Okapi negative-idf floor
-    corpus stats                     n, avgdl, avg_idf as scalar subqueries
+    documents(key, dl, norm, terms, buckets, tfs)   one row per document, bucketed by key
+    terms(term, df, idf)                            idf with the Okapi negative-idf floor
+    corpus statistics                               n, avgdl, avg_idf
 
-Scoring joins the (small, size-checked, broadcast) query-term table with per-posting
-BM25 weights fixed at index time, on ``term`` - only documents sharing a term are
-touched - then sums qtf * w by (query, key) with a map-side partial aggregate.
+A document's terms are counted inside its row (no shuffle); the row also holds the hashing
+encoder's bucket of each term and the vector's norm, so one table serves both searches.
+
+Scoring streams the documents past the broadcast query terms and sums per (query, document).
+The table is bucketed by document key, so all of a document's terms are in one task: Spark
+finishes the sums there, and only each task's best k rows per query are shuffled. Beyond the
+proven broadcast size the join shuffles by term and the sums by (query, document) instead.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
+from rankloom.operators.dense import HASH_DIM, hash_bucket
 from rankloom.operators.topk import score_order, top_k_per_group
-from rankloom.session import broadcast_if_small, materialize
+from rankloom.session import broadcast_below, ensure_checkpoint_dir, text_bytes
 
 # The Okapi BM25 defaults the reference uses.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# Query-term rows up to which the query side is broadcast to the posting scan.
-QUERY_TERMS_BROADCAST_ROWS = 2_000_000
-TERM_BUCKETS = 64       # term-hash partitions of persisted postings and weights
-
-
-def build_postings(corpus: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """postings(term, key, tf, dl). Documents without tokens have no postings but still
-    count in ``n`` (see ``corpus_size``)."""
-    toks = corpus.select(F.col(key).alias("key"), tokens(text).alias("toks"))
-    return (toks.select("key", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-                .groupBy("term", "key", "dl").agg(F.count(F.lit(1)).alias("tf")))
+DOCUMENTS_SCHEMA = "key {key}, dl int, norm double, terms array<string>, buckets array<bigint>, tfs array<int>"
+# A token and its separator take two bytes of text at least, a query-term row at most the
+# term and ROW_BYTES: the bound on the broadcast size that follows from the text's size.
+ROW_BYTES = 64
+
+
+def count_terms(corpus: DataFrame, key: str = "key", text: str = "text", dim: int = HASH_DIM) -> DataFrame:
+    """documents(key, dl, norm, terms, buckets, tfs): sorted distinct terms of each row with
+    their counts, all within the row. Each step is a projection of its own, so that no array
+    is computed twice."""
+    ordered = corpus.select(F.col(key).alias("key"), F.sort_array(tokens(F.coalesce(text, F.lit("")))).alias("s"))
+    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = ordered.select("key", F.size("s").alias("dl"), F.array_distinct("s").alias("terms"), F.filter(
+        places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))).alias("starts"))
+    counted = starts.select("key", "dl", "terms", F.transform("terms", lambda t: hash_bucket(t, dim)).alias("buckets"),
+                            F.transform("starts", lambda p, j: F.coalesce(F.get("starts", j + 1), F.col("dl")) - p).alias("tfs"))
+    # terms that share a bucket add up before the square
+    pairs = F.sort_array(F.zip_with("buckets", "tfs", lambda b, n: F.struct(b.alias("b"), n.cast("double").alias("n"))))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).cast("bigint").alias("b"), F.lit(0.0).alias("run"))
+    norm = F.aggregate(pairs, zero, lambda a, x: F.when(a["b"] == x["b"], F.struct(
+        a["sum"].alias("sum"), a["b"].alias("b"), (a["run"] + x["n"]).alias("run"))).otherwise(F.struct(
+            (a["sum"] + a["run"] * a["run"]).alias("sum"), x["b"].alias("b"), x["n"].alias("run"))),
+        lambda a: F.sqrt(a["sum"] + a["run"] * a["run"]))
+    return counted.select("key", "dl", norm.alias("norm"), "terms", "buckets", "tfs")
 
 
 @dataclass
 class LexicalIndex:
-    """BM25 statistics of one corpus: postings and terms tables plus three corpus scalars
-    (document count, average length, mean raw idf), computed once per index."""
-    postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
-    n: float
+    stats: DataFrame          # one row: n, avgdl, avg_idf, buckets
     avgdl: float
-    avg_idf: float
-    weights: DataFrame | None = None     # (term, key, w): per-posting BM25 weight
-
-    def scored_postings(self) -> DataFrame:
-        """(term, key, w) with w = idf * tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl)): everything
-        of a BM25 term contribution except the query-side count, fixed at index time."""
-        if self.weights is not None:
-            return self.weights
-        return posting_weights(self.postings, self.terms, self.avgdl)
 
     @staticmethod
-    def build(corpus: DataFrame, key: str = "key", text: str = "text",
-              materialize: bool = True) -> "LexicalIndex":
-        """``materialize`` writes postings and document frequencies as Parquet in the shared
-        checkpoint dir, so the corpus is tokenised once for the statistics and for every
-        scoring join."""
-        postings = build_postings(corpus, key, text)
-        if materialize:
-            postings = globals()["materialize"](postings, "postings")
-        dfs = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        if materialize:
-            dfs = globals()["materialize"](dfs, "terms")
-        # Scalars: n from a key-only scan (empty documents count), total length from the
-        # collection frequencies (one row per term, not per posting).
-        n = float(corpus.select(key).count())
-        total = dfs.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
-        avgdl = float(total) / n if n else 0.0
-        idx = LexicalIndex.from_frequencies(postings, dfs, n, avgdl)
-        if materialize:
-            # term-hash bucket kept as a column, so scoring joins on (tb, term)
-            idx.weights = globals()["materialize"](
-                idx.scored_postings().withColumn("tb", term_bucket("term", TERM_BUCKETS)), "weights")
-        return idx
+    def build(corpus: DataFrame, key: str = "key", text: str = "text", path: str | None = None,
+              buckets: int | None = None, dim: int = HASH_DIM) -> "LexicalIndex":
+        """Write the index under ``path`` (default: a folder of the shared checkpoint dir) and
+        read it back. Two shuffles: rows to their bucket, and terms to their count."""
+        spark = corpus.sparkSession
+        path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/index-{uuid.uuid4().hex}"
+        n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        counted = count_terms(corpus, key, text, dim)
+        (counted.repartition(n_buckets, "key").write.mode("overwrite").bucketBy(n_buckets, "key")
+                .option("path", f"{path}/documents").saveAsTable(_table_name()))
+        spark.createDataFrame([(n_buckets, dict(counted.dtypes)["key"])], "buckets int, key_type string") \
+             .coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+        documents = _read_documents(spark, path)
+        whole = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+        counts = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        raw = counts.select("term", "df", idf0_expr(whole.select("n").scalar()).alias("idf0"))
+        raw.write.mode("overwrite").parquet(f"{path}/terms")
+        mean = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.avg("idf0"), F.lit(0.0))).scalar()
+        whole.select("n", "avgdl", mean.alias("avg_idf")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        return LexicalIndex.read(spark, path)
 
     @staticmethod
-    def from_frequencies(postings: DataFrame, dfs: DataFrame, n: float, avgdl: float) -> "LexicalIndex":
-        with_idf0 = dfs.withColumn("idf0", idf0_expr(F.lit(n)))
-        avg_idf = with_idf0.agg(F.avg("idf0")).first()[0]
-        avg_idf = float(avg_idf) if avg_idf is not None else 0.0
-        return LexicalIndex(postings, floor_idf(with_idf0, avg_idf), n, avgdl, avg_idf)
-
-    @staticmethod
-    def from_tables(postings: DataFrame, terms: DataFrame, stats: DataFrame,
-                    weights: DataFrame | None = None) -> "LexicalIndex":
-        """Rebuild from persisted tables (stats: one row n, avgdl, avg_idf)."""
+    def read(spark: SparkSession, path: str, lenient: bool = False) -> "LexicalIndex":
+        """A written index. With ``lenient`` a missing part is an empty table (A10): searches
+        then find nothing on this side."""
+        path = path.rstrip("/")
+        if lenient and not all(exists(spark, f"{path}/{part}") for part in ("layout", "documents", "terms", "corpus_stats")):
+            documents = spark.createDataFrame([], DOCUMENTS_SCHEMA.format(key="bigint"))
+            terms = spark.createDataFrame([], "term string, df bigint, idf0 double, idf double")
+            return LexicalIndex(documents, terms, spark.createDataFrame([(0, 0.0, 0.0)], "n bigint, avgdl double, avg_idf double"), 0.0)
+        stats = spark.read.parquet(f"{path}/corpus_stats")
         row = stats.first()
-        return LexicalIndex(postings, terms, float(row["n"]), float(row["avgdl"]), float(row["avg_idf"]),
-                            weights)
-
-    def stats(self) -> DataFrame:
-        """corpus_stats(n, avgdl, avg_idf) as one row."""
-        spark = self.postings.sparkSession
-        return spark.range(1).select(F.lit(int(self.n)).cast("long").alias("n"),
-                                     F.lit(self.avgdl).cast("double").alias("avgdl"),
-                                     F.lit(self.avg_idf).cast("double").alias("avg_idf"))
-
-    def write(self, path: str) -> None:
-        """Persist as Parquet. Postings and weights are partitioned by a term-hash bucket
-        (``tb``), and scoring joins on (tb, term). Spark inserts no dynamic partition
-        pruning for that join (its query side has no filter), so all buckets are read."""
-        (self.postings.withColumn("tb", term_bucket("term", TERM_BUCKETS))
-             .write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings"))
-        w = self.scored_postings()
-        if "tb" not in w.columns:
-            w = w.withColumn("tb", term_bucket("term", TERM_BUCKETS))
-        w.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/weights")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats().write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        terms = floor_idf(spark.read.parquet(f"{path}/terms"), float(row["avg_idf"]))
+        return LexicalIndex(_read_documents(spark, path), terms, stats, float(row["avgdl"]))
 
-    @staticmethod
-    def read(spark, path: str) -> "LexicalIndex":
-        return LexicalIndex.from_tables(spark.read.parquet(f"{path}/postings").drop("tb"),
-                                        spark.read.parquet(f"{path}/terms"),
-                                        spark.read.parquet(f"{path}/corpus_stats"),
-                                        spark.read.parquet(f"{path}/weights"))
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def term_bucket(term, buckets: int) -> Column:
-    t = F.col(term) if isinstance(term, str) else term
-    return F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
+def _table_name() -> str:
+    return f"rankloom_documents_{uuid.uuid4().hex}"
+
+
+def _read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The bucketed documents as a table of the session's catalog, which holds the bucketing."""
+    layout = spark.read.schema("buckets int, key_type string").json(f"{path}/layout").first()
+    name = _table_name()
+    spark.sql(f"CREATE TABLE {name} ({DOCUMENTS_SCHEMA.format(key=layout['key_type'])}) USING parquet "
+              f"CLUSTERED BY (key) INTO {layout['buckets']} BUCKETS LOCATION '{path}/documents'")
+    return spark.table(name)
 
 
 def idf0_expr(n: Column) -> Column:
@@ -138,38 +129,40 @@ def floor_idf(with_idf0: DataFrame, avg_idf: float) -> DataFrame:
         "idf", F.when(F.col("idf0") < 0, F.lit(EPSILON * avg_idf)).otherwise(F.col("idf0")))
 
 
-def build_terms(postings: DataFrame, n: float) -> DataFrame:
-    """terms(term, df, idf0, idf) straight from postings (no materialisation)."""
-    dfs = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    with_idf0 = dfs.withColumn("idf0", idf0_expr(F.lit(n)))
-    return floor_idf(with_idf0, float(with_idf0.agg(F.avg("idf0")).first()[0]))
-
-
-def posting_weights(postings: DataFrame, terms: DataFrame, avgdl: float) -> DataFrame:
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
-    w = F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + norm)
-    return postings.join(terms.select("term", "idf"), "term").select("term", "key", w.alias("w"))
-
-
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query_text") -> DataFrame:
     """(query_id, term, qtf): repeated query tokens count again (qtf multiplies)."""
     return (queries.select(F.col(qid).alias("query_id"), F.explode(tokens(text)).alias("term"))
                    .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
+def query_side(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
+    """``rows`` (at most one for each token of the queries) with a broadcast hint if the
+    queries' text proves them small."""
+    return broadcast_below(rows, text_bytes(queries, text) * (1 + ROW_BYTES // 2))
+
+
 def bm25_scores(queries: DataFrame, index: LexicalIndex, qid: str = "query_id",
                 text: str = "query_text") -> DataFrame:
-    """(query_id, key, score) for every document sharing a term with the query.
-
-    Only the (broadcast) query terms and the streamed per-posting weights meet; the
-    vocabulary is not read at query time. Unknown query terms match nothing (add 0)."""
-    w = index.scored_postings()
-    qt = query_terms(queries, qid, text)
-    keys = ["term"]
-    if "tb" in w.columns:
-        qt, keys = qt.withColumn("tb", term_bucket("term", TERM_BUCKETS)), ["tb", "term"]
-    j = w.join(broadcast_if_small(qt, QUERY_TERMS_BROADCAST_ROWS), keys)
-    return j.groupBy("query_id", "key").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    """(query_id, key, score) for every document sharing a term with the query. Unknown query
+    terms match nothing (add 0)."""
+    known = query_terms(queries, qid, text).join(index.terms.select("term", "idf"), "term") \
+        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    each = index.documents.select("key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")) \
+        .select("key", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl or 1.0))
+    weight = F.col("qw") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + norm)
+    return (each.join(query_side(known, queries, text), "term")
+                .groupBy("query_id", "key").agg(F.sum(weight).alias("score")))
+
+
+def hashed_scores(queries: DataFrame, query_vectors: DataFrame, index: LexicalIndex, text: str = "query_text") -> DataFrame:
+    """E5 over hashing-encoder vectors: (query_id, key, score) for pairs that share a bucket.
+    ``query_vectors(query_id, bucket, weight)`` are those of ``queries``."""
+    q = query_vectors.select("query_id", "bucket", F.col("weight").alias("wq"))
+    each = index.documents.select("key", "norm", F.explode(F.arrays_zip("buckets", "tfs")).alias("x")) \
+        .select("key", "norm", F.col("x.buckets").alias("bucket"), F.col("x.tfs").alias("tf"))
+    return (each.join(query_side(q, queries, text), "bucket")
+                .groupBy("query_id", "key").agg(F.sum(F.col("wq") * F.col("tf") / F.col("norm")).alias("score")))
 
 
 def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int, **kw) -> DataFrame:

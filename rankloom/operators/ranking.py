@@ -5,7 +5,7 @@ Candidates are ``(query_id, key, pos, score, ...)`` with ``pos`` 0-based and den
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,9 +43,10 @@ def accepted_indices(rankings: DataFrame, cands: DataFrame) -> DataFrame:
     return first.select("query_id", "pos", (F.row_number().over(w) - 1).alias("new_pos"))
 
 
-def apply_rankings(cands: DataFrame, rankings: DataFrame | None, top_k: int = 10) -> DataFrame:
+def apply_rankings(cands: DataFrame, rankings: DataFrame | None, top_k: int | Column = 10) -> DataFrame:
     """D6 + B22 + G6: ranked pool items first (score 0.99 - 0.01*j), then every other
-    candidate in its old order with its old score; cut to top_k. A missing or malformed
+    candidate in its old order with its old score; cut to top_k (a number, or a column of
+    the candidates for a limit of each request's own). A missing or malformed
     reply leaves the order unchanged. Output adds ``rank`` (1-based) and ``reranked``."""
     if rankings is None:
         out = cands.withColumn("new_pos", F.lit(None).cast("long"))

@@ -1,9 +1,10 @@
 """Labelled evaluation and prediction export over whole query tables.
 
 Ground truth without labels: a document is relevant to a passage when it contains the
-passage verbatim. Candidates come from the postings of the passage's rarest *interior*
+passage verbatim. Candidates are the documents that hold the passage's rarest *interior*
 token (tokens 2..n-1 are whole tokens inside any verbatim copy), and are then verified
-with ``instr`` - an equi-join on a selective term instead of comparing every pair.
+with ``instr`` - an equi-join on a selective term instead of comparing every pair. Passages
+with fewer than three tokens have no interior token; each text is searched for all of them.
 """
 
 from __future__ import annotations
@@ -14,31 +15,34 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import tokens, truncate_ellipsis
 from rankloom.operators.lexical import LexicalIndex
 from rankloom.operators.metrics import ordered_split, per_query_metrics, summary
-from rankloom.session import broadcast_if_small, materialize
+from rankloom.session import broadcast_below, materialize, text_bytes
 
 PREDICTION_QUERY_CHARS = 150
-CANDIDATE_BROADCAST_ROWS = 1_000_000
+PAIR_BYTES = 64         # of a (query, document) pair in a broadcast
 
 
 def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex) -> DataFrame:
-    """truth(query_id, key): documents containing the query text verbatim.
-
-    Passages need at least 3 tokens for an interior token; shorter ones use all their
-    tokens as candidates keys (a copy glued inside a longer word is then missed)."""
-    qt = queries.select("query_id", "query_text", tokens("query_text").alias("toks"))
+    """truth(query_id, key): documents containing the (non-empty) query text verbatim."""
+    qt = queries.filter(F.length("query_text") > 0).select("query_id", "query_text", tokens("query_text").alias("toks"))
     ex = qt.select("query_id", F.size("toks").alias("n"), F.posexplode("toks").alias("p", "term"))
-    interior = ex.filter((F.col("n") < 3) | ((F.col("p") >= 1) & (F.col("p") <= F.col("n") - 2)))
-    rare = (interior.join(index.terms.select("term", "df"), "term")
-                    .groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-    # one rare term per passage: broadcast (size-checked) so the postings stream past it
-    cand = (index.postings.select("term", "key")
-                 .join(broadcast_if_small(rare, CANDIDATE_BROADCAST_ROWS), "term").select("query_id", "key"))
-    cand = cand.join(queries.select("query_id", "query_text"), "query_id")
-    # the corpus (whole texts, the bulk of the data) is streamed in place when the
-    # candidate pairs are proven small; otherwise both sides shuffle on key
-    verified = (corpus.select("key", "text").join(broadcast_if_small(cand, CANDIDATE_BROADCAST_ROWS), "key")
-                      .filter(F.instr(F.col("text"), F.col("query_text")) > 0))
-    return verified.select("query_id", "key").distinct()
+    interior = ex.filter((F.col("n") >= 3) & (F.col("p") >= 1) & (F.col("p") <= F.col("n") - 2))
+    rare = (interior.join(index.terms.select("term", "df"), "term").groupBy("query_id")
+                    .agg(F.min_by(F.struct("term", "df"), F.struct("df", "term")).alias("r"))
+                    .select("query_id", "r.term", "r.df"))
+    # one rare term per passage streams past the documents; its pairs number its frequency
+    size = text_bytes(queries, "query_text")
+    holds = (index.documents.select("key", F.explode("terms").alias("term"))
+                  .join(broadcast_below(rare.select("query_id", "term"), size * PAIR_BYTES), "term").select("query_id", "key"))
+    pairs = rare.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    cand = broadcast_below(holds, pairs * PAIR_BYTES)      # keys only: texts join after the corpus
+    texts = broadcast_below(qt.select("query_id", "query_text"), size + PAIR_BYTES * size)
+    long = (corpus.select("key", "text").join(cand, "key").join(texts, "query_id")
+                  .filter(F.instr(F.col("text"), F.col("query_text")) > 0).select("query_id", "key"))
+    # the short passages are one array, at most as large as the queries' text
+    short = qt.filter(F.size("toks") < 3).agg(F.collect_list(F.struct("query_id", "query_text"))).scalar()
+    found = corpus.select("key", "text", short.alias("short")).select("key", F.explode(F.filter(
+        "short", lambda q: F.coalesce(F.instr(F.col("text"), q["query_text"]) > 0, F.lit(False)))).alias("q"))
+    return long.unionByName(found.select("q.query_id", "key")).distinct()
 
 
 def evaluate(recs: DataFrame, truth: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:

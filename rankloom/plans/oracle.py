@@ -273,14 +273,15 @@ def html_to_text_sql(x: str, limit: int = 5000) -> str:
 
 
 CONV_REQUESTS = f"""
-cr0 AS (SELECT c.conv_id * 1000 + c.turn AS request_id,
+cr0 AS (SELECT c.conv_id::VARCHAR || '-' || c.turn::VARCHAR AS request_id, c.role = 'assistant' AS use_llm,
                CASE WHEN c.role = 'user' THEN c.text END AS query,
                CASE WHEN c.role = 'assistant' THEN c.text END AS jd_text,
                CASE WHEN c.role = 'system'
                     THEN coalesce(p.url, 'https://missing.example.com/' || c.conv_id::VARCHAR) END AS jd_url,
                ((c.conv_id + c.turn) % 22 + 1)::INTEGER AS top_k
         FROM conversations c LEFT JOIN pages p ON c.conv_id = p.page_id),
-pgt AS (SELECT url AS jd_url, {html_to_text_sql('html')} AS page_text FROM pages),
+pgt AS (SELECT url AS jd_url, {html_to_text_sql('html')} AS page_text
+        FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
 cr1 AS (SELECT r.*, CASE WHEN r.jd_url IS NOT NULL AND length(r.jd_url) > 0 THEN coalesce(t.page_text, '')
                          ELSE coalesce(nullif(r.jd_text, ''), r.query) END AS final_text,
                CASE WHEN r.jd_url IS NOT NULL AND length(r.jd_url) > 0 THEN 'url'
@@ -321,6 +322,24 @@ rk AS (SELECT rt.*, round(rt.score, 4) AS relevance_score,
 rec AS (SELECT query_id, rank2 AS rank, key, relevance_score, url FROM rk WHERE rank2 <= 10)
 """
 
+# The request path over conversations: the same retrieval with the valid requests as queries.
+ANSWER_CTES = f"""{CONV_REQUESTS},
+reqq AS (SELECT request_id AS item_id, final_text AS text, top_k, use_llm FROM cr WHERE reject_reason IS NULL),
+{RECOMMEND_CTES.replace('benchmark', 'reqq')},
+ans0 AS (SELECT rk.query_id, rk.key, rk.url, rk.relevance_score, rk.rank2 - 1 AS pos, q.top_k, q.text,
+                CASE WHEN q.use_llm THEN list_position([q.top_k, 0, 3], rk.rank2 - 1) END AS place
+         FROM rk JOIN reqq q ON rk.query_id = q.item_id),
+ans1 AS (SELECT *, CASE WHEN place > 0 AND pos < 20
+                        THEN row_number() OVER (PARTITION BY query_id, place > 0 AND pos < 20 ORDER BY place) - 1 END AS new_pos
+         FROM ans0),
+ans AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new_pos ASC NULLS LAST, pos) AS rank FROM ans1)
+"""
+ANSWERS = f"""WITH {ANSWER_CTES}
+    SELECT query_id AS request_id, {trunc_sql('text', 200)} AS query, rank, key AS doc_id, url,
+           round(CASE WHEN new_pos IS NULL THEN relevance_score ELSE 0.99::DOUBLE - 0.01::DOUBLE * new_pos END, 6) AS relevance_score,
+           new_pos IS NOT NULL AS reranked
+    FROM ans WHERE rank <= top_k"""
+
 TRUTH_CTES = """
 tr AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS item
        FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0),
@@ -371,6 +390,8 @@ SQL.update({
         SELECT query_id, rank, key AS doc_id, round(relevance_score, 6) AS relevance_score FROM rec""",
     "stream_recommend": f"""WITH {RECOMMEND_CTES}
         SELECT query_id, rank, key AS doc_id, round(relevance_score, 6) AS relevance_score FROM rec""",
+    "recommend_requests": ANSWERS,
+    "stream_requests": ANSWERS,
     "containment_truth": """SELECT DISTINCT b.item_id AS query_id, d.doc_id
         FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0""",
     "recall_at_k": f"""WITH {RECOMMEND_CTES}, {TRUTH_CTES}

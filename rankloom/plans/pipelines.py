@@ -20,24 +20,20 @@ from rankloom.sources import files
 
 def build_index(corpus: DataFrame, path: str, key: str = "key", text: str = "text",
                 dim: int = dense.HASH_DIM) -> TextSearch:
-    """L2: tokenise once -> postings, terms, corpus stats and hashed document vectors,
-    written under ``path`` with a manifest; returns the search over the written tables."""
+    """L2: terms counted within each document, the vocabulary and corpus statistics, written
+    under ``path`` with a manifest; returns the search over the written tables."""
     base = path.rstrip("/")
-    search = TextSearch.build(corpus, key, text, dim)
-    search.index.write(f"{base}/lexical")
-    search.doc_vectors.write.mode("overwrite").parquet(f"{base}/hash_vectors")
-    (search.doc_vectors.agg(F.lit(f"hashing-md5-{dim}").alias("model_name"),
-                            F.lit(dim).cast("int").alias("dimension"),
-                            F.count_distinct("key").cast("int").alias("num_assessments"),
-                            F.lit("sparse_inner_product").alias("index_type"))
-     .write.mode("overwrite").json(f"{base}/manifest"))
-    return load_index(corpus.sparkSession, base, dim)
+    search = TextSearch.build(corpus, key, text, dim, f"{base}/lexical")
+    (search.index.documents.filter("dl > 0")
+     .agg(F.lit(f"hashing-md5-{dim}").alias("model_name"), F.lit(dim).cast("int").alias("dimension"),
+          F.count(F.lit(1)).alias("num_assessments"), F.lit("sparse_inner_product").alias("index_type"))
+     .coalesce(1).write.mode("overwrite").json(f"{base}/manifest"))
+    return search
 
 
-def load_index(spark: SparkSession, path: str, dim: int = dense.HASH_DIM) -> TextSearch:
-    base = path.rstrip("/")
-    return TextSearch(lexical.LexicalIndex.read(spark, f"{base}/lexical"),
-                      spark.read.parquet(f"{base}/hash_vectors"), dim)
+def load_index(spark: SparkSession, path: str, dim: int = dense.HASH_DIM, lenient: bool = False) -> TextSearch:
+    """A written index; with ``lenient`` missing tables are empty (A10)."""
+    return TextSearch(lexical.LexicalIndex.read(spark, f"{path.rstrip('/')}/lexical", lenient), dim)
 
 
 def build_catalog(pages: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

@@ -23,9 +23,10 @@ from rankloom.functions.text import display_duration, display_score, html_to_tex
 from rankloom.operators import pages as PG
 from rankloom.plans import evaluate as EV
 from rankloom.plans.recommend import total_results
-from rankloom.plans.recommend import recommend
+from rankloom.plans.recommend import recommend, recommend_requests as recommend_requests_op
 from rankloom.plans.requests import resolve_requests
 from rankloom.plans.search import TextSearch, search_for
+from rankloom.session import materialize, temporary_tables
 from rankloom.sources import tables as T
 from rankloom.streaming import scoring as ST
 
@@ -49,7 +50,7 @@ def _doc_index(spark, sf) -> lexical.LexicalIndex:
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     """N, average document length, average raw idf."""
-    s = _doc_index(spark, sf).stats()
+    s = _doc_index(spark, sf).stats
     return s.select("n", _r("avgdl"), _r("avg_idf"))
 
 
@@ -234,6 +235,35 @@ def stream_recommend(spark: SparkSession, sf: str) -> DataFrame:
     return ST.run_to_completion(spark, reqs, score, "stream_recommend")
 
 
+def _answers(recs: DataFrame) -> DataFrame:
+    return recs.select("request_id", "query", "rank", F.col("key").alias("doc_id"), "url", _r("relevance_score"), "reranked")
+
+
+def recommend_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """L3 whole: every conversation turn as a request: text choice, validation, retrieve,
+    filters, replies where asked for, the request's own top_k."""
+    reqs = T.conversation_requests(spark, sf)
+    return _answers(recommend_requests_op(_doc_search(spark, sf), reqs, _pages(spark, sf), T.document_catalog(spark, sf),
+                                          T.request_replies(reqs)))
+
+
+def stream_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 whole: the conversation turns as three request files, one micro-batch each, through
+    the same path as ``recommend_requests``."""
+    search, catalog, pages = _doc_search(spark, sf), T.document_catalog(spark, sf), _pages(spark, sf)
+    turns = T.load(spark, sf, "conversations")
+    with temporary_tables(spark):
+        files = materialize(turns.repartition(3, "conv_id"), "request_files")
+        stream = ST.file_request_stream(spark, files.inputFiles()[0].rpartition("/")[0], turns.schema,
+                                        max_files_per_trigger=1)
+
+        def score(batch: DataFrame) -> DataFrame:
+            reqs = T.requests_of(batch, pages)
+            return _answers(recommend_requests_op(search, reqs, pages, catalog, T.request_replies(reqs)))
+
+        return ST.run_to_completion(spark, stream, score, "stream_requests")
+
+
 def _truth(spark, sf) -> DataFrame:
     corpus = T.document_corpus(spark, sf)
     return EV.containment_truth(T.benchmark_queries(spark, sf), corpus, _doc_index(spark, sf))
@@ -409,6 +439,8 @@ QUERIES = {
     "apply_rankings": apply_rankings,
     "recommend_batch": recommend_batch,
     "stream_recommend": stream_recommend,
+    "recommend_requests": recommend_requests,
+    "stream_requests": stream_requests,
     "containment_truth": containment_truth,
     "recall_at_k": recall_at_k,
     "precision_at_k": precision_at_k,

@@ -1,4 +1,4 @@
-"""Text search over one corpus: the lexical index plus hashing-encoder vectors, and the
+"""Text search over one corpus: the document index with both searches, and the
 retrieve pipeline on top (SURVEY L2, G3, G4, C3, F2, B21)."""
 
 from __future__ import annotations
@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import dense, lexical
-from rankloom.operators.diversity import diversify, duration_filter
+from rankloom.operators.diversity import diversify_few, duration_filter
 from rankloom.operators.fusion import hybrid_top_k
 from rankloom.operators.topk import score_order, top_k_per_group
-from rankloom.session import materialize
 
 DEFAULT_ALPHA = 0.5
 RETRIEVE_ALPHA = 0.6
@@ -37,22 +36,19 @@ def search_for(corpus_id: str, corpus: DataFrame) -> "TextSearch":
 @dataclass
 class TextSearch:
     index: lexical.LexicalIndex
-    doc_vectors: DataFrame          # (key, bucket, weight)
     dim: int = dense.HASH_DIM
 
     @staticmethod
     def build(corpus: DataFrame, key: str = "key", text: str = "text",
-              dim: int = dense.HASH_DIM) -> "TextSearch":
-        index = lexical.LexicalIndex.build(corpus, key, text)
-        vecs = materialize(dense.hash_vectors_from_postings(index.postings, dim), "hash_vectors")
-        return TextSearch(index, vecs, dim)
+              dim: int = dense.HASH_DIM, path: str | None = None) -> "TextSearch":
+        return TextSearch(lexical.LexicalIndex.build(corpus, key, text, path, dim=dim), dim)
 
     def bm25(self, queries: DataFrame) -> DataFrame:
         return lexical.bm25_scores(queries, self.index)
 
     def dense(self, queries: DataFrame) -> DataFrame:
         qv = dense.hash_vectors(queries, "query_id", "query_text", self.dim, key_alias="query_id")
-        return dense.hashed_similarity(qv, self.doc_vectors)
+        return lexical.hashed_scores(queries, qv, self.index)
 
     def hybrid(self, queries: DataFrame, top_k: int = 30, alpha: float = DEFAULT_ALPHA) -> DataFrame:
         return hybrid_top_k(self.dense(queries), self.bm25(queries), top_k, alpha)
@@ -68,15 +64,12 @@ def retrieve(fused_top: DataFrame, catalog: DataFrame, top_k: int = 10,
     """G4 after fusion: hydrate (unknown keys drop) -> C3 -> F2 (m=4) or cut -> round 4.
 
     The hydrate join runs after the top-n cut (late materialisation), so only
-    |queries| x n rows meet the catalog. Those rows are written once to the shared
-    checkpoint folder: the diversity step reads its input in three bounded windows, and
-    without the cut each would re-run the whole hybrid search.
+    |queries| x n rows meet the catalog; one lazy plan that reads its input once.
     """
-    c = fused_top.drop("rank").join(catalog, "key")
-    c = materialize(duration_filter(c, max_duration=max_duration), "retrieve_candidates")
+    c = duration_filter(fused_top.drop("rank").join(catalog, "key"), max_duration=max_duration)
     if apply_diversity:
-        out = diversify(c, top_k, MAX_PER_CATEGORY, category="test_type", order=score_order(),
-                        default_category=DEFAULT_CATEGORY)
+        out = diversify_few(c, top_k, MAX_PER_CATEGORY, category="test_type", order=score_order(),
+                            default_category=DEFAULT_CATEGORY)
     else:
         out = top_k_per_group(c, "query_id", score_order(), top_k)
     return out.withColumn("relevance_score", F.round("score", 4))

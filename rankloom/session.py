@@ -1,8 +1,9 @@
-"""Session helpers: building a session for tests/bench, lineage cuts, size-checked broadcast."""
+"""Session helpers: building a session for tests/bench, written tables, size-checked broadcast."""
 
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,32 +52,51 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint directory (never localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# Tables written by ``materialize`` while a ``temporary_tables`` block is open.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Delete the tables that ``materialize`` writes within the block when it ends (a stream's
+    micro-batch, a job that has written its result)."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint directory and read it back.
 
-    Cuts the lineage like ``checkpoint()`` but keeps a columnar, prunable table with
+    Cuts the lineage (like a reliable checkpoint) but keeps a columnar, prunable table with
     statistics, so later scans read only the columns they need."""
     import uuid
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/rankloom/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after proving the side holds at most ``max_rows`` rows.
+# Broadcasts above this proven size are not asked for (Spark refuses them at 8 GB).
+BROADCAST_BYTES = 512 << 20
 
-    The check is a distributed ``limit(max_rows + 1).count()``; above the bound the
-    DataFrame is returned unchanged so Spark (and AQE) plan a shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def text_bytes(df: DataFrame, *columns: str) -> int:
+    """Bytes of the rows' text, from one pass over ``columns`` of a (small) query table."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in columns), F.lit(0).cast("long"))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def broadcast_below(df: DataFrame, size: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if ``size``, a proven bound of the side's bytes, allows it; otherwise
+    Spark plans a shuffle join (and AQE splits its hot keys)."""
+    return F.broadcast(df) if size <= most else df
 
 
 # Scans with fewer splits than this are spread over the cores; bigger scans are left as

@@ -15,6 +15,7 @@ from pyspark.sql.types import (ArrayType, FloatType, IntegerType, LongType, Stri
                                StructType)
 
 from rankloom.operators.dense import manifest
+from rankloom.operators.lexical import exists
 
 CATALOG_SCHEMA = StructType([
     StructField("assessment_name", StringType()),
@@ -32,7 +33,7 @@ VECTOR_SCHEMA = StructType([StructField("key", LongType()), StructField("embeddi
 
 MANIFEST_SCHEMA = StructType([
     StructField("model_name", StringType()), StructField("dimension", IntegerType()),
-    StructField("num_assessments", IntegerType()), StructField("index_type", StringType()),
+    StructField("num_assessments", LongType()), StructField("index_type", StringType()),
 ])
 
 
@@ -87,14 +88,9 @@ def read_vectors(spark: SparkSession, path: str, lenient: bool = False) -> tuple
     and fusion still works from the lexical side (D4)."""
     base = path.rstrip("/")
     man = spark.read.schema(MANIFEST_SCHEMA).json(f"{base}/manifest")
-    try:
-        vecs = spark.read.schema(VECTOR_SCHEMA).parquet(f"{base}/vectors")
-        vecs.limit(0).count()   # resolves the path now, not at the first search
-    except Exception:
-        if not lenient:
-            raise
-        vecs = spark.createDataFrame([], VECTOR_SCHEMA)
-    return vecs, man
+    if lenient and not exists(spark, f"{base}/vectors"):
+        return spark.createDataFrame([], VECTOR_SCHEMA), man
+    return spark.read.schema(VECTOR_SCHEMA).parquet(f"{base}/vectors"), man
 
 
 # ---- evaluation and predictions -----------------------------------------------------

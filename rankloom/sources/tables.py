@@ -138,16 +138,19 @@ def _order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``requests_of`` the conversations table."""
+    return requests_of(load(spark, sf_dir, "conversations"), load(spark, sf_dir, "pages"))
+
+
+def requests_of(turns: DataFrame, pages: DataFrame) -> DataFrame:
     """requests(request_id, query, jd_text, jd_url, top_k, use_llm) from conversation turns:
     user turns ask with ``query``, assistant turns paste ``jd_text``, system turns point at a
     page url (the page whose id equals the conversation id, or an unknown url)."""
-    c = load(spark, sf_dir, "conversations")
-    p = load(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url").alias("_page_url"))
-    c = c.join(p, c.conv_id == p.page_id, "left")
+    c = turns.join(pages.select("page_id", F.col("url").alias("_page_url")), F.col("conv_id") == F.col("page_id"), "left")
     role = F.col("role")
     missing = F.concat(F.lit("https://missing.example.com/"), F.col("conv_id").cast("string"))
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
         F.when(role == "user", F.col("text")).alias("query"),
         F.when(role == "assistant", F.col("text")).alias("jd_text"),
         F.when(role == "system", F.coalesce(F.col("_page_url"), missing)).alias("jd_url"),
@@ -155,6 +158,14 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (role == "assistant").alias("use_llm"))
 
 
+def request_replies(requests: DataFrame) -> DataFrame:
+    """rankings(request_id, reply): what an external ranker would send for each request that
+    asks for one - pool indices from the request's limit, with a repeat and one out of the pool."""
+    k = F.col("top_k").cast("string")
+    return requests.filter("use_llm").select("request_id", F.concat(
+        F.lit("Best: ["), k, F.lit(", 0, "), k, F.lit(", 99, 3]")).alias("reply"))
+
+
 def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rankings(query_id, reply): the reply an external ranker would send for each order's
     pool (its first 20 candidates, so every list is bounded) - pool indices by descending part key, with a repeated and an out-of-pool

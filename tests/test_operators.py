@@ -228,7 +228,7 @@ def test_bm25_matches_formula(spark):
     docs = {"d1": "red apple red", "d2": "green apple", "d3": "blue sky", "d4": "red sky, red sun",
             "d5": "apple apple apple pie", "d6": ""}
     corpus = spark.createDataFrame(list(docs.items()), "key string, text string")
-    idx = lexical.LexicalIndex.build(corpus, materialize=False)
+    idx = lexical.LexicalIndex.build(corpus, buckets=3)
     q = spark.createDataFrame([(1, "red apple red"), (2, "sky zebra")], "query_id long, query_text string")
     got = {(r.query_id, r.key): r.score for r in lexical.bm25_scores(q, idx).collect()}
     for qid, text in [(1, "red apple red"), (2, "sky zebra")]:
@@ -236,14 +236,14 @@ def test_bm25_matches_formula(spark):
             assert math.isclose(got.get((qid, k), 0.0), v, abs_tol=1e-9), (qid, k)
 
 
-@pytest.mark.parametrize("block_rows,broadcast_rows", [(3, 0), (1000, 0), (3, 100), (1000, 100)])
-def test_exact_top_k_matches_numpy(spark, block_rows, broadcast_rows):
+@pytest.mark.parametrize("block_rows,tile_rows", [(3, 2), (1000, 2), (3, 100), (1000, 100)])
+def test_exact_top_k_matches_numpy(spark, block_rows, tile_rows):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(23, 6))
     q = rng.normal(size=(7, 6))
     vecs = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "key long, embedding array<double>")
     qs = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id long, embedding array<double>")
-    got = dense.exact_top_k(qs, vecs, 4, block_rows=block_rows, broadcast_query_rows=broadcast_rows).collect()
+    got = dense.exact_top_k(qs, vecs, 4, block_rows=block_rows, tile_rows=tile_rows).collect()
     s = q @ v.T
     for i in range(7):
         want = sorted(range(23), key=lambda j: (-round(s[i, j], 9), j))[:4]

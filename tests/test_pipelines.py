@@ -1,5 +1,7 @@
 """Persisting pipelines give the same rows as the registered lazy queries; K1 hook."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from rankloom.operators import dense
@@ -19,7 +21,7 @@ def test_index_written_and_reloaded_recommends_the_same(spark, tmp_path):
     corpus = T.document_corpus(spark, SF001)
     search = pipelines.build_index(corpus, str(tmp_path / "index"))
     man = spark.read.json(str(tmp_path / "index" / "manifest")).first()
-    assert man.num_assessments == corpus.filter(F.length("text") > 0).count() or man.num_assessments > 0
+    assert man.num_assessments == sum(1 for r in corpus.collect() if re.search(r"\w", r.text or ""))
     recs = recommend(search, T.benchmark_queries(spark, SF001), T.document_catalog(spark, SF001), 10)
     got = recs.select("query_id", "rank", F.col("key").alias("doc_id"), F.round("relevance_score", 6).alias("relevance_score"))
     assert rows(got) == rows(registry.QUERIES["recommend_batch"](spark, SF001))
