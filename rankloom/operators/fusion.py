@@ -48,7 +48,3 @@ def hybrid_top_k(dense_scores: DataFrame, bm25_scores: DataFrame, top_k: int = 3
     bm = top_k_per_group(bm25_scores.filter(F.col("score") > 0), "query_id", score_order(), n).drop("rank")
     return top_k_per_group(fuse(sem, bm, alpha), "query_id", score_order(), top_k)
 
-
-def semantic_top_k(dense_scores: DataFrame, bm25_scores: DataFrame, top_k: int = 30) -> DataFrame:
-    """The compatibility search = hybrid with alpha 1 (BM25-only hits appear with 0)."""
-    return hybrid_top_k(dense_scores, bm25_scores, top_k, alpha=1.0)

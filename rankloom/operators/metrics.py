@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,16 @@ def summary(per_query: DataFrame) -> DataFrame:
                          F.count(F.lit(1)).alias("num_queries"))
 
 
+# The mean recall from which an evaluation counts as a success, or as good.
+SUCCESS_RECALL, GOOD_RECALL = 0.6, 0.5
+
+
+def recall_band(mean_recall: str = "mean_recall") -> Column:
+    """Success, good or warning."""
+    r = F.col(mean_recall)
+    return F.when(r >= SUCCESS_RECALL, "success").when(r >= GOOD_RECALL, "good").otherwise("warning")
+
+
 def ordered_split(df: DataFrame, query: str, order_cols: list[str], n_train: int = 10) -> DataFrame:
     """distinct queries in first-seen order; the first ``n_train`` are 'train', the rest
     'test'; with ``n_train`` or fewer distinct queries every query is 'test'.

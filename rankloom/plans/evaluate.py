@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from rankloom.functions.text import tokens, truncate_ellipsis
+from rankloom.functions.text import tokens, truncate_ellipsis, url_slug
 from rankloom.operators.lexical import LexicalIndex
-from rankloom.operators.metrics import ordered_split, per_query_metrics, summary
+from rankloom.operators.metrics import ordered_split, per_query_metrics, recall_band, summary
+from rankloom.plans.recommend import recommend
+from rankloom.plans.search import TextSearch
 from rankloom.session import broadcast_below, materialize, text_bytes
 
 PREDICTION_QUERY_CHARS = 150
@@ -45,6 +48,29 @@ def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex
     return long.unionByName(found.select("q.query_id", "key")).distinct()
 
 
+def train_queries(labelled: DataFrame, n_train: int = 10) -> DataFrame:
+    """F4 for an evaluation: (query_id, query_text) of the first ``n_train`` distinct queries of
+    labelled(Query, Assessment_url, ord), numbered in first-seen order."""
+    first = labelled.groupBy("Query").agg(F.min("ord").alias("ord")).orderBy("ord").limit(n_train)
+    return first.select(F.row_number().over(W.orderBy("ord")).cast("long").alias("query_id"), F.col("Query").alias("query_text"))
+
+
+def evaluate_labelled(search: TextSearch, labelled: DataFrame, catalog: DataFrame, k: int = 10, n_train: int = 10,
+                      rankings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """L4: (per-query rows with query_text, one-row summary with its band). The first queries of
+    the labelled set are recommended (with replies where rankings(query_id, reply) has some), the
+    labels are found by query text (D8), and urls count as equal by slug (D7, H4): a trailing
+    slash or letter case does not matter."""
+    queries = train_queries(labelled, n_train)
+    truth = labelled.join(F.broadcast(queries), F.col("Query") == F.col("query_text")) \
+                    .select("query_id", url_slug("Assessment_url").alias("item"))
+    recs = recommend(search, queries, catalog, k, rankings)
+    preds = recs.select("query_id", "rank", url_slug("url").alias("item"))
+    per_query = per_query_metrics(preds, truth, k).join(F.broadcast(queries), "query_id")
+    done = summary(per_query)
+    return per_query, done.select("*", recall_band().alias("band"))
+
+
 def evaluate(recs: DataFrame, truth: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """(per-query metrics, one-row summary) for recommendations recs(query_id, rank, key).
 

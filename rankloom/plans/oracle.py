@@ -582,3 +582,57 @@ SQL.update({
         SELECT b.item_id AS query_id, coalesce(n.c, 0) AS total_results
         FROM benchmark b LEFT JOIN n ON b.item_id = n.query_id""",
 })
+
+
+# ---- labelled evaluation, catalog search, written and reread tables ------------------------
+LABELLED_CTES = f"""{RECOMMEND_CTES},
+tr AS (SELECT DISTINCT b.item_id, b.text, d.doc_id FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0),
+firsts AS (SELECT text, row_number() OVER (ORDER BY min(item_id)) AS query_id, min(item_id) AS item_id FROM tr GROUP BY text
+           ORDER BY min(item_id) LIMIT 10),
+la AS (SELECT f.query_id, tr.text, tr.doc_id FROM tr JOIN firsts f ON tr.text = f.text),
+pos AS (SELECT f.query_id, rk.key, CASE rk.rank2 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS tier, rk.rank2
+        FROM rk JOIN firsts f ON rk.query_id = f.item_id),
+best AS (SELECT query_id, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank2) AS r FROM pos) WHERE r <= 10),
+lpq AS (SELECT la.query_id, any_value(la.text) AS text, count(*) AS total_gt, count(DISTINCT la.doc_id) AS distinct_gt,
+               count(DISTINCT best.key) AS found
+        FROM la LEFT JOIN best ON la.query_id = best.query_id AND la.doc_id = best.key GROUP BY la.query_id),
+lev AS (SELECT query_id, substr(text, 1, 80) || CASE WHEN length(text) > 80 THEN '...' ELSE '' END AS query,
+               found / distinct_gt AS recall, found / 10 AS precision, found, total_gt FROM lpq)
+"""
+LABELLED_URLS = """
+    SELECT b.text AS "Query", CASE d.doc_id % 3 WHEN 0 THEN u || '/' WHEN 1 THEN upper(u) ELSE u END AS "Assessment_url"
+    FROM (SELECT *, 'https://docs.example.com/doc/' || doc_id::VARCHAR AS u FROM documents) d
+    JOIN benchmark b ON instr(d.text, b.text) > 0"""
+CATALOG_CTES = f"""{PART_CATALOG},
+brand_q AS (SELECT min(p_partkey) AS item_id, arg_min(p_name, p_partkey) || ' ' || p_brand || ' ' || arg_min(p_type, p_partkey) AS text
+            FROM part GROUP BY p_brand),
+kw_docs AS (SELECT key AS doc_id, coalesce(assessment_name, '') || ' ' || coalesce(description, '') || ' ' || coalesce(test_type, '') AS text
+            FROM pc),
+rich_docs AS (SELECT key AS doc_id, {RICH_TEXT} AS text FROM pc),
+{BM25_CTES.replace('documents', 'kw_docs').replace('benchmark', 'brand_q')},
+{HV_CTES.replace('documents', 'rich_docs').replace('benchmark', 'brand_q')}, {hybrid_ctes(10, 0.5)}
+"""
+SQL.update({
+    "label_evaluation": f"""WITH {LABELLED_CTES} SELECT query_id, query, round(recall, 6) AS recall,
+        round(precision, 6) AS precision, found, total_gt FROM lev""",
+    "label_summary": f"""WITH {LABELLED_CTES},
+        m AS (SELECT round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, sum(found)::BIGINT AS total_found,
+                     sum(total_gt)::BIGINT AS total_ground_truth, count(*) AS num_queries FROM lev)
+        SELECT *, CASE WHEN mean_recall >= 0.6 THEN 'success' WHEN mean_recall >= 0.5 THEN 'good' ELSE 'warning' END AS band FROM m""",
+    "evaluation_report": f"""WITH {LABELLED_CTES} SELECT (SELECT count(*) FROM lev) AS num_queries, query,
+        round(recall, 6) AS recall, found, total_gt FROM lev""",
+    "catalog_search": f"""WITH {CATALOG_CTES}
+        SELECT query_id, key, round(dense, 6) AS dense, round(bm25, 6) AS bm25, round(score, 6) AS score, rank FROM hy""",
+    "catalog_json": f"""WITH {PART_CATALOG} SELECT {CATS} FROM pc""",
+    "labelled_csv": LABELLED_URLS,
+    "vector_table": """SELECT vec_id AS key, len(embedding) AS dimension,
+        round(list_sum([x::DOUBLE for x in embedding]), 5) AS total FROM embeddings""",
+    "encoder_vectors": """WITH c AS (SELECT doc_id, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS a,
+            (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e,
+            (length(text) - length(replace(text, 'n', '')) + 1)::DOUBLE AS n FROM documents)
+        SELECT doc_id, round(a / sqrt(a*a + e*e + n*n), 4) AS v0, round(e / sqrt(a*a + e*e + n*n), 4) AS v1,
+               round(n / sqrt(a*a + e*e + n*n), 4) AS v2 FROM c""",
+    "index_reload": SQL["bm25_topk"],
+    "catalog_build": SQL["merge_catalog"].replace(f"SELECT {CATS}, CASE WHEN prio = 0 THEN 'current_scrape' ELSE 'dataset_urls' END AS source",
+                                                  f"SELECT {CATS}"),
+})

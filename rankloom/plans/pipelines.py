@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import dense, lexical
 from rankloom.operators import pages as PG
-from rankloom.plans.evaluate import evaluate, prediction_rows
+from rankloom.plans.evaluate import evaluate_labelled, prediction_rows
 from rankloom.plans.recommend import recommend
 from rankloom.plans.search import TextSearch
 from rankloom.sources import files
@@ -45,19 +45,18 @@ def build_catalog(pages: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     urls = PG.discovered_urls(PG.page_links(pages))
     PG.merge_catalog(records, urls).write.mode("overwrite").parquet(f"{base}/catalog")
     catalog = pages.sparkSession.read.parquet(f"{base}/catalog")
-    files.write_catalog_json(catalog.select(*PG.CATALOG_COLS), f"{base}/catalog_json")
-    files.write_csv(catalog.select(*PG.CATALOG_COLS), f"{base}/catalog_csv")
+    by_url = catalog.select(*PG.CATALOG_COLS).orderBy("url")      # G9
+    files.write_catalog_json(by_url, f"{base}/catalog_json")
+    files.write_csv(by_url, f"{base}/catalog_csv")
     return catalog, PG.catalog_profile(catalog)
 
 
-def evaluate_to(search: TextSearch, requests: DataFrame, catalog: DataFrame, truth: DataFrame,
-                path: str, k: int = 10) -> str:
-    """L4: recommend every labelled request, score recall/precision@k against ``truth``
-    (query_id, key) and write the A13 report; returns its directory."""
-    recs = recommend(search, requests, catalog, k)
-    per_query, summ = evaluate(recs, truth, k)
-    return files.write_evaluation(per_query, summ, path, k,
-                                  requests.select("query_id", F.col("query_text")))
+def evaluate_to(search: TextSearch, labelled: DataFrame, catalog: DataFrame, path: str, k: int = 10,
+                rankings: DataFrame | None = None) -> str:
+    """L4: evaluate labelled(Query, Assessment_url, ord) and write the A13 report; returns its
+    directory."""
+    per_query, summ = evaluate_labelled(search, labelled, catalog, k, rankings=rankings)
+    return files.write_evaluation(per_query, summ, path, k)
 
 
 def predict_to(search: TextSearch, requests: DataFrame, catalog: DataFrame, path: str,

@@ -6,27 +6,31 @@ rounded to 6 decimals on output so that independent engines compare equal.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import keyword_text as kw_text, rich_text as rt_text, tokens
 from rankloom.operators import dense, lexical
 from rankloom.operators.diversity import diversify, duration_filter as dur_filter
-from rankloom.operators.topk import score_order
+from rankloom.operators.topk import score_order, top_k_per_group
 from rankloom.functions.query_filters import parse_filters
 from rankloom.functions.rerank import parse_reply
 from rankloom.operators.filters import hard_filter as hard_filter_op
 from rankloom.operators.metrics import ordered_split
 from rankloom.operators.ranking import apply_rankings as apply_rankings_op, prompt_context as context_op, prompts
 from rankloom.functions import html as HT
-from rankloom.functions.text import display_duration, display_score, html_to_text, slug_name, url_slug
+from rankloom.functions.text import display_duration, display_score, html_to_text, slug_name, truncate_ellipsis, url_slug
 from rankloom.operators import pages as PG
 from rankloom.plans import evaluate as EV
+from rankloom.plans import pipelines as PL
 from rankloom.plans.recommend import total_results
 from rankloom.plans.recommend import recommend, recommend_requests as recommend_requests_op
 from rankloom.plans.requests import resolve_requests
 from rankloom.plans.search import TextSearch, search_for
-from rankloom.session import materialize, temporary_tables
+from rankloom.session import ensure_checkpoint_dir, materialize, temporary_tables
+from rankloom.sources import files as FI
 from rankloom.sources import tables as T
 from rankloom.streaming import scoring as ST
 
@@ -175,7 +179,6 @@ def hard_filter(spark: SparkSession, sf: str) -> DataFrame:
 def request_choice(spark: SparkSession, sf: str) -> DataFrame:
     """B19 + D9 + B18: the text each valid request is answered with (echo cut at 200)."""
     r = resolve_requests(T.conversation_requests(spark, sf), T.load(spark, sf, "pages"))
-    from rankloom.functions.text import truncate_ellipsis
     return r.filter(F.col("reject_reason").isNull()).select(
         "request_id", "source", F.length("final_text").alias("n_chars"),
         truncate_ellipsis("final_text", 200).alias("query"))
@@ -296,6 +299,102 @@ def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(_r("mean_recall"), _r("mean_precision"), "total_found", "total_ground_truth", "num_queries")
 
 
+def _labelled(spark, sf):
+    labelled = T.labelled_set(T.benchmark_queries(spark, sf), _truth(spark, sf))
+    replies = EV.train_queries(labelled).select("query_id", F.lit("[1, 0, 1, 40]").alias("reply"))
+    return EV.evaluate_labelled(_doc_search(spark, sf), labelled, T.document_catalog(spark, sf), 10, rankings=replies)
+
+
+def label_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """L4 + D7 + D8 + F4 + H4: the first labelled queries, with replies, scored by slug."""
+    pq, _ = _labelled(spark, sf)
+    return pq.select("query_id", truncate_ellipsis("query_text", 80).alias("query"), _r("recall"), _r("precision"),
+                     "found", "total_gt")
+
+
+def label_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """E9 + E12: the labelled evaluation's summary and its band."""
+    _, s = _labelled(spark, sf)
+    return s.select(_r("mean_recall"), _r("mean_precision"), "total_found", "total_ground_truth", "num_queries", "band")
+
+
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested report, written and read back as rows of its per-query list."""
+    pq, s = _labelled(spark, sf)
+    out = FI.write_evaluation(pq, s, f"{ensure_checkpoint_dir(spark)}/rankloom/reports-{uuid.uuid4().hex}")
+    report = spark.read.text(f"{out}/report").select(F.from_json("value", (
+        "num_queries long, per_query_results array<struct<query string, `recall@10` double, found long, total_gt long>>")).alias("r"))
+    return report.select("r.num_queries", F.explode("r.per_query_results").alias("q")).select(
+        "num_queries", "q.query", F.round("q.`recall@10`", R).alias("recall"), "q.found", "q.total_gt")
+
+
+def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
+    """L2 + G3 over the catalog: keyword text for BM25, rich text for the encoder; per brand the
+    ten best parts."""
+    memo = (spark.sparkContext.applicationId, sf, "catalog_search")
+    if memo not in _SEARCHES:
+        _SEARCHES[memo] = TextSearch.of_catalog(T.part_catalog(spark, sf))
+    h = _SEARCHES[memo].hybrid(T.brand_requests(spark, sf), top_k=10, alpha=0.5)
+    return h.select("query_id", "key", _r("dense"), _r("bm25"), _r("score"), "rank")
+
+
+_SEARCHES: dict = {}
+
+
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/{name}-{uuid.uuid4().hex}"
+
+
+def catalog_json(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 + A5: the part catalog written as JSON and read back."""
+    out = _folder(spark, "catalog_json")
+    FI.write_catalog_json(T.part_catalog(spark, sf).select(*PG.CATALOG_COLS), out)
+    return FI.read_catalog_json(spark, out, multiline=False)
+
+
+def labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 + A7: the labelled set written as CSV and read back."""
+    out = _folder(spark, "labelled_csv")
+    rows = T.labelled_set(T.benchmark_queries(spark, sf), _truth(spark, sf))
+    FI.write_csv(rows.select("Query", "Assessment_url"), out)
+    return FI.read_labelled_csv(spark, out).select("Query", "Assessment_url")
+
+
+def vector_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The vector table written with its manifest and read back."""
+    out = _folder(spark, "vectors")
+    FI.write_vectors(T.load(spark, sf, "embeddings"), out, "given-embeddings", key="vec_id")
+    vectors, _ = FI.read_vectors(spark, out)
+    return vectors.select("key", F.size("embedding").alias("dimension"),
+                          F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+def encoder_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: every document through an encoder of the user's (here: counts of three letters)."""
+    def encoder():
+        import numpy as np
+        return lambda texts: np.array([[t.count("a"), t.count("e"), t.count("n") + 1] for t in texts], dtype=np.float64)
+
+    v = dense.encode_with(T.load(spark, sf, "documents", ["doc_id", "text"]), "text", encoder, 3)
+    return v.select("doc_id", *[F.round(F.col("embedding")[i], 4).alias(f"v{i}") for i in range(3)])
+
+
+def index_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """L2 + A10: the index written, read back leniently, and searched."""
+    out = _folder(spark, "index")
+    PL.build_index(T.document_corpus(spark, sf), out)
+    s = PL.load_index(spark, out, lenient=True).bm25(T.benchmark_queries(spark, sf)).filter(F.col("score") > 0)
+    return top_k_per_group(s, "query_id", score_order(), 10).select("query_id", F.col("key").alias("doc_id"), _r("score"), "rank")
+
+
+def catalog_build(spark: SparkSession, sf: str) -> DataFrame:
+    """L6 + G9: pages to the merged catalog, written in url order and read back as CSV."""
+    out = _folder(spark, "catalog")
+    PL.build_catalog(_pages(spark, sf), out)
+    return (spark.read.schema(FI.CATALOG_SCHEMA).option("header", True).option("multiLine", True).option("escape", '"')
+                 .csv(f"{out}/catalog_csv"))
+
+
 def query_split(spark: SparkSession, sf: str) -> DataFrame:
     """distinct user questions in first-seen order; first 10 train, rest test."""
     c = T.load(spark, sf, "conversations").filter(F.col("role") == "user")
@@ -445,6 +544,16 @@ QUERIES = {
     "recall_at_k": recall_at_k,
     "precision_at_k": precision_at_k,
     "eval_summary": eval_summary,
+    "label_evaluation": label_evaluation,
+    "label_summary": label_summary,
+    "evaluation_report": evaluation_report,
+    "catalog_search": catalog_search,
+    "catalog_json": catalog_json,
+    "labelled_csv": labelled_csv,
+    "vector_table": vector_table,
+    "encoder_vectors": encoder_vectors,
+    "index_reload": index_reload,
+    "catalog_build": catalog_build,
     "query_split": query_split,
     "prediction_rows": prediction_rows,
     "prediction_preview": prediction_preview,

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import keyword_text, rich_text
 from rankloom.operators import dense, lexical
 from rankloom.operators.diversity import diversify_few, duration_filter
 from rankloom.operators.fusion import hybrid_top_k
@@ -37,18 +38,30 @@ def search_for(corpus_id: str, corpus: DataFrame) -> "TextSearch":
 class TextSearch:
     index: lexical.LexicalIndex
     dim: int = dense.HASH_DIM
+    encoded: lexical.LexicalIndex | None = None      # index of the encoder's texts, if they differ
 
     @staticmethod
     def build(corpus: DataFrame, key: str = "key", text: str = "text",
               dim: int = dense.HASH_DIM, path: str | None = None) -> "TextSearch":
         return TextSearch(lexical.LexicalIndex.build(corpus, key, text, path, dim=dim), dim)
 
+    @staticmethod
+    def of_catalog(catalog: DataFrame, dim: int = dense.HASH_DIM, path: str | None = None) -> "TextSearch":
+        """L2 over catalog rows: the keyword text (B11) for BM25, the rich text (B10) for the
+        encoder, absent fields with their defaults (B27)."""
+        fields = ("assessment_name", "description", "test_type")
+        words = catalog.select("key", keyword_text(*fields).alias("text"))
+        rich = catalog.select("key", rich_text(*fields, "duration_minutes", "remote_support", "adaptive_support").alias("text"))
+        part = (lambda name: None) if path is None else (lambda name: f"{path.rstrip('/')}/{name}")
+        return TextSearch(lexical.LexicalIndex.build(words, path=part("keyword"), dim=dim), dim,
+                          lexical.LexicalIndex.build(rich, path=part("rich"), dim=dim))
+
     def bm25(self, queries: DataFrame) -> DataFrame:
         return lexical.bm25_scores(queries, self.index)
 
     def dense(self, queries: DataFrame) -> DataFrame:
         qv = dense.hash_vectors(queries, "query_id", "query_text", self.dim, key_alias="query_id")
-        return lexical.hashed_scores(queries, qv, self.index)
+        return lexical.hashed_scores(queries, qv, self.encoded or self.index)
 
     def hybrid(self, queries: DataFrame, top_k: int = 30, alpha: float = DEFAULT_ALPHA) -> DataFrame:
         return hybrid_top_k(self.dense(queries), self.bm25(queries), top_k, alpha)

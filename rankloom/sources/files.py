@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, FloatType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
+from rankloom.functions.text import truncate_ellipsis, with_default
 from rankloom.operators.dense import manifest
 from rankloom.operators.lexical import exists
 
@@ -40,9 +41,11 @@ MANIFEST_SCHEMA = StructType([
 # ---- catalog ------------------------------------------------------------------------
 
 def read_catalog_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """A4: a JSON catalog - one whole-file array (``multiline``) or JSON lines. Missing
-    keys come back null (B27 defaults are applied where the fields are used)."""
-    return spark.read.schema(CATALOG_SCHEMA).option("multiLine", multiline).json(path)
+    """A4: a JSON catalog - one whole-file array (``multiline``) or JSON lines. Missing text
+    fields get their defaults (B27); a missing duration is null."""
+    rows = spark.read.schema(CATALOG_SCHEMA).option("multiLine", multiline).json(path)
+    texts = ("assessment_name", "description", "test_type", "adaptive_support", "remote_support")
+    return rows.withColumns({c: with_default(c, c) for c in texts})
 
 
 def write_catalog_json(catalog: DataFrame, path: str) -> None:
@@ -52,12 +55,10 @@ def write_catalog_json(catalog: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, UTF-8, no index column."""
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
-
-
-def write_catalog_parquet(catalog: DataFrame, path: str) -> None:
-    catalog.write.mode("overwrite").parquet(path)
+    """Header, UTF-8, no index column; quotes are doubled and white space at the ends of a
+    value is kept, as spreadsheet readers expect."""
+    (df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 # ---- labelled set -------------------------------------------------------------------
@@ -93,6 +94,9 @@ def read_vectors(spark: SparkSession, path: str, lenient: bool = False) -> tuple
     return spark.read.schema(VECTOR_SCHEMA).parquet(f"{base}/vectors"), man
 
 
+QUERY_CHARS = 80
+
+
 # ---- evaluation and predictions -----------------------------------------------------
 
 def run_stamp(spark: SparkSession) -> str:
@@ -100,21 +104,26 @@ def run_stamp(spark: SparkSession) -> str:
     return spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
 
 
-def write_evaluation(per_query: DataFrame, summary: DataFrame, path: str, k: int = 10,
-                     query_text: DataFrame | None = None) -> str:
-    """``<path>/evaluation_results_<stamp>/`` with ``summary`` (one JSON row of
-    scalars) and ``per_query`` (JSON lines, one per labelled query, written in parallel).
+def evaluation_report(per_query: DataFrame, summary: DataFrame, k: int = 10) -> DataFrame:
+    """The whole report as one JSON object with the per-query list inside it (queries cut
+    at 80 characters). The labelled queries of an evaluation are few (F4's first ones), so the
+    list is bounded by their number."""
+    each = F.struct(truncate_ellipsis("query_text", QUERY_CHARS).alias("query"), F.col("recall").alias(f"recall@{k}"),
+                    F.col("precision").alias(f"precision@{k}"), "found", "total_gt")
+    rows = per_query.agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", each.alias("r")))),
+                                     lambda x: x["r"])).scalar()
+    return summary.select(F.to_json(F.struct(
+        F.col("mean_recall").alias(f"mean_recall@{k}"), F.col("mean_precision").alias(f"mean_precision@{k}"),
+        "total_found", "total_ground_truth", "num_queries", rows.alias("per_query_results"))).alias("report"))
+
 
-    The reference nests the per-query list inside the summary object; here it stays a
-    table so that its size never has to fit one row."""
+def write_evaluation(per_query: DataFrame, summary: DataFrame, path: str, k: int = 10) -> str:
+    """``<path>/evaluation_results_<stamp>/`` with ``report`` (the JSON object) and
+    ``per_query`` (JSON lines, one per labelled query, whole query texts)."""
     out = f"{path.rstrip('/')}/evaluation_results_{run_stamp(summary.sparkSession)}"
-    s = summary.select(F.col("mean_recall").alias(f"mean_recall@{k}"),
-                       F.col("mean_precision").alias(f"mean_precision@{k}"),
-                       "total_found", "total_ground_truth", "num_queries")
-    s.coalesce(1).write.mode("overwrite").json(f"{out}/summary")
-    pq = per_query if query_text is None else per_query.join(query_text, "query_id", "left")
-    pq.withColumnRenamed("recall", f"recall@{k}").withColumnRenamed("precision", f"precision@{k}") \
-      .write.mode("overwrite").json(f"{out}/per_query")
+    evaluation_report(per_query, summary, k).write.mode("overwrite").text(f"{out}/report")
+    per_query.withColumnRenamed("recall", f"recall@{k}").withColumnRenamed("precision", f"precision@{k}") \
+             .write.mode("overwrite").json(f"{out}/per_query")
     return out
 
 

@@ -166,6 +166,23 @@ def request_replies(requests: DataFrame) -> DataFrame:
         F.lit("Best: ["), k, F.lit(", 0, "), k, F.lit(", 99, 3]")).alias("reply"))
 
 
+def labelled_set(queries: DataFrame, truth: DataFrame) -> DataFrame:
+    """labelled(Query, Assessment_url, ord) from passages and the documents that hold them, with
+    the url forms a hand-made set has: some in capitals, some with a trailing slash."""
+    url = F.concat(F.lit(DOC_URL_PREFIX), F.col("key").cast("string"))
+    form = (F.when(F.pmod("key", F.lit(3)) == 0, F.concat(url, F.lit("/")))
+             .when(F.pmod("key", F.lit(3)) == 1, F.upper(url)).otherwise(url))
+    return truth.join(queries, "query_id").select(F.col("query_text").alias("Query"), form.alias("Assessment_url"),
+                                                  F.struct("query_id", "key").alias("ord"))
+
+
+def brand_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests(query_id, query_text): one catalog search per brand, by its first part's name."""
+    return (load(spark, sf_dir, "part").groupBy("p_brand").agg(F.min(F.struct("p_partkey", "p_name", "p_type")).alias("p"))
+            .select(F.col("p.p_partkey").alias("query_id"),
+                    F.concat_ws(" ", F.col("p.p_name"), F.col("p_brand"), F.col("p.p_type")).alias("query_text")))
+
+
 def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rankings(query_id, reply): the reply an external ranker would send for each order's
     pool (its first 20 candidates, so every list is bounded) - pool indices by descending part key, with a repeated and an out-of-pool

@@ -63,10 +63,14 @@ def test_vectors_lenient(spark, tmp_path):
 def test_evaluation_and_predictions(spark, tmp_path):
     preds = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "query_id long, rank int, item string")
     truth = spark.createDataFrame([(1, "a"), (2, "z")], "query_id long, item string")
-    pq = per_query_metrics(preds, truth, 10)
+    texts = spark.createDataFrame([(1, "q" * 90), (2, "short")], "query_id long, query_text string")
+    pq = per_query_metrics(preds, truth, 10).join(texts, "query_id")
     out = files.write_evaluation(pq, summary(pq), str(tmp_path), 10)
-    s = spark.read.json(f"{out}/summary").first()
+    s = json.loads(spark.read.text(f"{out}/report").first().value)
     assert s["num_queries"] == 2 and s["total_found"] == 1 and abs(s["mean_recall@10"] - 0.5) < 1e-12
+    assert s["per_query_results"] == [
+        {"query": "q" * 80 + "...", "recall@10": 1.0, "precision@10": 0.1, "found": 1, "total_gt": 1},
+        {"query": "short", "recall@10": 0.0, "precision@10": 0.0, "found": 0, "total_gt": 1}]
     assert spark.read.json(f"{out}/per_query").count() == 2
     assert os.path.basename(out).startswith("evaluation_results_") and len(os.path.basename(out)) == 34
     p = spark.createDataFrame([("q", "https://h/a/")], "Query string, Assessment_url string")
@@ -78,13 +82,16 @@ def test_request_resolution_by_page_join(spark):
     from rankloom.plans.requests import resolve_requests
 
     pages = spark.createDataFrame(
-        [("https://h/a", "<html><body><script>x()</script><p>Senior  Java\\n role</p></body></html>"),
-         ("https://h/b", "<p>unused page</p>")], "url string, html string")
+        [(1, "https://h/a", "<html><body><script>x()</script><p>Senior  Java\\n role</p></body></html>"),
+         (2, "https://h/b", "<p>unused page</p>"), (3, "https://h/a", "<p>the same url again</p>")],
+        "page_id long, url string, html string")
     reqs = spark.createDataFrame(
         [(1, "q1", "jd", "https://h/a", 10), (2, "q2", "jd", "https://h/zz", 10),
          (3, "q3", "", None, 10), (4, None, "pasted", "", 25)],
         "request_id long, query string, jd_text string, jd_url string, top_k int")
-    got = {r.request_id: r for r in resolve_requests(reqs, pages).collect()}
+    rows = resolve_requests(reqs, pages).collect()
+    assert len(rows) == 4                                  # of two pages with one url the first counts
+    got = {r.request_id: r for r in rows}
     assert got[1].source == "url" and "Senior" in got[1].final_text and "x()" not in got[1].final_text
     assert got[1].reject_reason is None
     assert got[2].final_text == "" and got[2].reject_reason == "no input"     # unknown page: no fallback

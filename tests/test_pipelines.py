@@ -1,12 +1,16 @@
 """Persisting pipelines give the same rows as the registered lazy queries; K1 hook."""
 
+import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import dense
 from rankloom.plans import pipelines, registry
-from rankloom.plans.recommend import recommend
+from rankloom.plans.evaluate import evaluate_labelled
+from rankloom.plans.recommend import recommend, recommend_requests
+from rankloom.plans.search import TextSearch
 from rankloom.sources import tables as T
 from tools.oracle_check import rows_of
 
@@ -41,15 +45,60 @@ def test_evaluate_and_predict(spark, tmp_path):
     search = registry._doc_search(spark, SF001)
     q = T.benchmark_queries(spark, SF001)
     cat = T.document_catalog(spark, SF001)
-    truth = registry._truth(spark, SF001)
-    out = pipelines.evaluate_to(search, q, cat, truth, str(tmp_path), 10)
-    s = spark.read.json(f"{out}/summary").first()
-    want = registry.QUERIES["eval_summary"](spark, SF001).first()
-    assert s["num_queries"] == want.num_queries and s["total_found"] == want.total_found
-    assert abs(s["mean_recall@10"] - want.mean_recall) < 1e-6
+    labelled = T.labelled_set(q, registry._truth(spark, SF001))
+    out = pipelines.evaluate_to(search, labelled, cat, str(tmp_path), 10)
+    report = json.loads(spark.read.text(f"{out}/report").first().value)
+    assert report["num_queries"] == len(report["per_query_results"]) == min(10, labelled.select("Query").distinct().count())
+    assert report["total_found"] == sum(r["found"] for r in report["per_query_results"])
+    mean = sum(r["recall@10"] for r in report["per_query_results"]) / report["num_queries"]
+    assert abs(report["mean_recall@10"] - mean) < 1e-9
+    assert all(len(r["query"]) <= 83 for r in report["per_query_results"])
     pipelines.predict_to(search, q, cat, str(tmp_path / "pred"))
-    pred = spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "pred"))
-    assert pred.count() == registry.QUERIES["prediction_rows"](spark, SF001).count()
+    pred = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "pred"))
+    assert rows(pred) == rows(registry.QUERIES["prediction_rows"](spark, SF001))
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """A search over four documents and their catalog."""
+    docs = [(1, "red apple pie with apple"), (2, "green apple tart"), (3, "blue sky over apple trees"), (4, "red brick wall")]
+    corpus = spark.createDataFrame(docs, "key long, text string")
+    catalog = spark.createDataFrame([(k, f"https://h/view/Item-{k}/", "t", None, "Yes", "Yes") for k, _ in docs],
+                                    "key long, url string, test_type string, duration_minutes int, adaptive_support string, remote_support string")
+    return TextSearch.build(corpus), catalog
+
+
+def test_labels_are_found_by_text_and_compared_by_slug(spark, small):
+    search, catalog = small
+    rows = [("apple", "https://other/ITEM-1"), ("apple", "https://h/x/item-2/"), ("apple", "https://h/item-9"), ("apple", None),
+            ("brick", "item-4//"), ("nothing known", "item-1")]
+    labelled = spark.createDataFrame([(q, u, i) for i, (q, u) in enumerate(rows)], "Query string, Assessment_url string, ord long")
+    per_query, done = evaluate_labelled(search, labelled, catalog, k=10, n_train=10)
+    got = {r.query_text: (r.found, r.total_gt, round(r.recall, 4)) for r in per_query.collect()}
+    assert got == {"apple": (2, 4, 0.5), "brick": (1, 1, 1.0), "nothing known": (0, 1, 0.0)}
+    s = done.first()
+    assert (s.num_queries, s.total_found, s.total_ground_truth, s.band) == (3, 3, 6, "good")
+    first, _ = evaluate_labelled(search, labelled, catalog, n_train=1)
+    assert [r.query_text for r in first.collect()] == ["apple"]
+
+
+def test_requests_end_to_end(spark, small):
+    search, catalog = small
+    pages = spark.createDataFrame([(1, "https://p/1", "<p>red brick &amp; wall</p>"), (2, "https://p/1", "<p>sky</p>")],
+                                  "page_id long, url string, html string")
+    reqs = spark.createDataFrame(
+        [("a", "apple", None, None, 2, False), ("b", "apple", "blue sky", None, 1, False), ("c", "x", "y", "https://p/1", 10, False),
+         ("d", None, "", None, 10, False), ("e", "apple", None, None, 21, False), ("f", "apple", None, "https://p/none", 5, False),
+         ("g", "apple", None, None, 3, True), ("h", "apple", None, None, 3, False)],
+        "request_id string, query string, jd_text string, jd_url string, top_k int, use_llm boolean")
+    replies = spark.createDataFrame([("g", "take [2, 2, 0]"), ("h", "[2]")], "request_id string, reply string")
+    got = {}
+    for r in recommend_requests(search, reqs, pages, catalog, replies).orderBy("request_id", "rank").collect():
+        got.setdefault(r.request_id, []).append(r.key)
+    plain = got["h"]
+    assert got["a"] == plain[:2] and got["b"] == [3] and got["c"][0] == 4
+    assert got["g"] == [plain[2], plain[0], plain[1]]
+    assert set(got) == {"a", "b", "c", "g", "h"}          # d, f: no text; e: top_k out of range
 
 
 def test_encoder_hook_unit_vectors(spark):

@@ -1,5 +1,6 @@
 """Request stream: restart from the checkpoint neither loses nor duplicates output."""
 
+import os
 import shutil
 
 from pyspark.sql import functions as F
@@ -34,3 +35,19 @@ def test_restart_from_checkpoint_is_exactly_once(spark, tmp_path):
     both = spark.read.parquet(out)
     assert both.count() == 2 * first.count()
     assert both.select("batch_id").distinct().count() == 2
+
+
+def test_batches_through_the_request_path_leave_no_tables(spark):
+    """Three micro-batches give the batch result and remove what they wrote on the way."""
+    from rankloom.plans import registry
+    from rankloom.session import ensure_checkpoint_dir
+    from tools.oracle_check import rows_of
+
+    rows = lambda df: rows_of(df.columns, [tuple(r) for r in df.collect()])
+    batch = rows(registry.QUERIES["recommend_requests"](spark, SF001))
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(f"{base}/rankloom"))
+    out = registry.QUERIES["stream_requests"](spark, SF001)
+    assert rows(out) == batch
+    new = {n.rpartition("-")[0] for n in set(os.listdir(f"{base}/rankloom")) - before}
+    assert new == {"stream_requests"}                      # the result itself
