@@ -403,7 +403,7 @@ SQL.update({
                sum(found)::BIGINT AS total_found, sum(total_gt)::BIGINT AS total_ground_truth,
                count(*) AS num_queries FROM pq""",
     "query_split": """
-        WITH u AS (SELECT text AS query_text, conv_id, turn FROM conversations WHERE role = 'user'),
+        WITH u AS (SELECT text AS query_text, conv_id, turn FROM conversations),
         f AS (SELECT query_text, conv_id, turn
               FROM (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY conv_id, turn) AS rn FROM u)
               WHERE rn = 1),

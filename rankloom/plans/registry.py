@@ -29,7 +29,7 @@ from rankloom.plans.recommend import total_results
 from rankloom.plans.recommend import recommend, recommend_requests as recommend_requests_op
 from rankloom.plans.requests import resolve_requests
 from rankloom.plans.search import TextSearch, search_for
-from rankloom.session import ensure_checkpoint_dir, materialize, temporary_tables
+from rankloom.session import data_version, ensure_checkpoint_dir, materialize, temporary_tables
 from rankloom.sources import files as FI
 from rankloom.sources import tables as T
 from rankloom.streaming import scoring as ST
@@ -76,7 +76,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_search(spark, sf) -> TextSearch:
-    return search_for(f"documents@{sf}", T.document_corpus(spark, sf))
+    return search_for(f"documents@{sf}@{data_version(spark, sf, 'documents')}", T.document_corpus(spark, sf))
 
 
 def hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,7 +331,7 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
 def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
     """L2 + G3 over the catalog: keyword text for BM25, rich text for the encoder; per brand the
     ten best parts."""
-    memo = (spark.sparkContext.applicationId, sf, "catalog_search")
+    memo = (spark.sparkContext.applicationId, sf, data_version(spark, sf, "part"))
     if memo not in _SEARCHES:
         _SEARCHES[memo] = TextSearch.of_catalog(T.part_catalog(spark, sf))
     h = _SEARCHES[memo].hybrid(T.brand_requests(spark, sf), top_k=10, alpha=0.5)
@@ -396,8 +396,8 @@ def catalog_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_split(spark: SparkSession, sf: str) -> DataFrame:
-    """distinct user questions in first-seen order; first 10 train, rest test."""
-    c = T.load(spark, sf, "conversations").filter(F.col("role") == "user")
+    """distinct turn texts in first-seen order; first 10 train, rest test."""
+    c = T.load(spark, sf, "conversations")
     return ordered_split(c.select(F.col("text").alias("query_text"), "conv_id", "turn"),
                          "query_text", ["conv_id", "turn"], 10)
 

@@ -99,21 +99,24 @@ def broadcast_below(df: DataFrame, size: int, most: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if size <= most else df
 
 
-# Scans with fewer splits than this are spread over the cores; bigger scans are left as
-# they are (shuffling a table that already has hundreds of splits costs more than it gains).
-SPREAD_BELOW_PARTITIONS = 16
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that came back in only a handful of splits.
-
-    A single small Parquet file with one row group is one scan task; CPU-heavy per-row
-    work (regex tokenising, markup parsing) would then run on one core. Only scans with
-    fewer than ``SPREAD_BELOW_PARTITIONS`` splits are spread (to ``min_partitions``, or
-    the default parallelism when not given); at cluster scale the big tables have
-    thousands of splits and are not touched. The partition count is known at planning
-    time, so no job runs.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(target) if n < min(target, SPREAD_BELOW_PARTITIONS) else df
+def data_version(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Length and time of a table's files: what was built from them is reused only while they
+    are the same."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return f"{sum(f.getLen() for f in files)}-{max((f.getModificationTime() for f in files), default=0)}"
+
+
+# Tables up to this size come back in a few splits and are dealt to all cores; larger ones have
+# splits enough and are never reshuffled.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin a small table over the cores: CPU-heavy per-row work (regex tokenising,
+    markup parsing) would otherwise run in the one or two tasks of its few splits. The size is
+    that of the files, known when planning."""
+    size = df._jdf.queryExecution().analyzed().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:          # a Scala BigInt comes as an int or an object
+        return df
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)

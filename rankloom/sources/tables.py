@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import html as H
 from rankloom.functions.rerank import POOL_SIZE
 from rankloom.operators.topk import number_within
-from rankloom.session import materialize, spread
+from rankloom.session import data_version, materialize, spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -46,7 +46,7 @@ def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     the text with the page-record rules (B6, B7). Like the index, the catalog is built
     (regexes over every whole document) and written once per application and input
     directory; searches join their top-n rows with the written table."""
-    memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "document_catalog")
+    memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "document_catalog", data_version(spark, sf_dir, "documents"))
     if memo not in _INDEX_TABLES:
         _INDEX_TABLES[memo] = materialize(_document_catalog(spark, sf_dir), "document_catalog")
     return _INDEX_TABLES[memo]
@@ -121,7 +121,7 @@ def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     (score = extended price; pos 0-based with a full tie-break). Positions come from
     ``number_within``, so one order with a huge share of the line items is still split.
     The numbered table is written once per application and input directory."""
-    memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "order_candidates")
+    memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "order_candidates", data_version(spark, sf_dir, "lineitem"))
     if memo not in _NUMBERED:
         _NUMBERED[memo] = _order_candidates(spark, sf_dir)
     return _NUMBERED[memo]
