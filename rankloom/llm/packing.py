@@ -68,6 +68,8 @@ class Tokens:
         self.plain = regex.compile("[\x21-\x7e\u00c0-\u024f]+").fullmatch
         self.split = regex.compile(SPLIT).findall
         self.words: dict[str, list[int]] = {}
+        self.ascii_words: dict[bytes, list[int]] = {}
+        self.signs = {ord(c): [t.id for t in self.model.tokenize(c)] for c in ",.;:!?"}
         self.cache = RaggedCache(self._resolve, np.uint32, CACHED_CHUNKS)
 
     def _word(self, word: str) -> list[int]:
@@ -75,16 +77,26 @@ class Tokens:
         found = self.words[word] = [t.id for t in self.model.tokenize(shown)]
         return found
 
+    def _letters(self, word: bytes) -> list[int]:
+        found = self.ascii_words[word] = [t.id for t in self.model.tokenize(word.decode())]
+        return found
+
     def _resolve(self, chunks: list[bytes]) -> tuple[list[int], np.ndarray]:
-        if len(self.words) > CACHED_CHUNKS:
+        if len(self.words) + len(self.ascii_words) > CACHED_CHUNKS:
             self.words.clear()
-        known, lengths, flat = self.words.get, [], []
+            self.ascii_words.clear()
+        known, letters, sign, lengths, flat = self.words.get, self.ascii_words.get, self.signs.get, [], []
         for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
             before = len(flat)
-            if self.plain(text):
-                text = text.lower()
-                for word in (text,) if text.isascii() and text.isalpha() else self.split(text):
+            if chunk.isalpha():                                      # ASCII letters only
+                word = chunk.lower()
+                flat += letters(word) or self._letters(word)
+            elif chunk[:-1].isalpha() and (end := sign(chunk[-1])):  # and one sign after them
+                word = chunk[:-1].lower()
+                flat += letters(word) or self._letters(word)
+                flat += end
+            elif self.plain(text := chunk.decode("utf-8", "replace")):
+                for word in self.split(text.lower()):
                     flat += known(word) or self._word(word)
             else:
                 flat += self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -92,7 +104,8 @@ class Tokens:
         return lengths, np.array(flat, np.uint32)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        flat, bounds = self.cache.rows([t.split() for t in texts])
+        # lower case of ASCII is the normaliser's; other texts are left to it
+        flat, bounds = self.cache.rows([(t.lower() if t.isascii() else t).split() for t in texts])
         end = np.array([END_ID], np.uint32)
         return [np.concatenate((flat[a:b], end)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 

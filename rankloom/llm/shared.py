@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,9 +101,9 @@ class RaggedCache:
 
     def number(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all documents' chunks, and each document's bounds in them."""
-        find = self.index.__getitem__
         counts = np.fromiter(map(len, documents), np.int64, len(documents))
-        numbers = np.fromiter((find(c) for d in documents for c in d), np.int32, int(counts.sum()))
+        chunks = chain.from_iterable(documents)
+        numbers = np.fromiter(map(self.index.__getitem__, chunks), np.int32, int(counts.sum()))
         return numbers, np.concatenate(([0], np.cumsum(counts)))
 
     def settle(self) -> None:
