@@ -42,7 +42,7 @@ def main() -> None:
             tables._NUMBERED.clear()          # every run redoes its own input preparation
             t0 = time.perf_counter()
             if name == "index_build":
-                # postings, terms, hashed document vectors and the catalog, written once per corpus and
+                # the document index and the catalog, written once per corpus and
                 # reused by the query entries below (as an engine loads its index at start)
                 registry._doc_search(spark, sf_dir)
                 tables.document_catalog(spark, sf_dir)

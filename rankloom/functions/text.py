@@ -162,6 +162,12 @@ def display_duration(duration) -> Column:
     return F.when(d.isNull() | (d == 0), F.lit("N/A")).otherwise(F.concat(d.cast("string"), F.lit(" min")))
 
 
+@F.pandas_udf(StringType())
+def _three_decimals(score: pd.Series) -> pd.Series:
+    return score.map(lambda x: None if pd.isna(x) else f"{x:.3f}")
+
+
 def display_score(score) -> Column:
-    """Three-decimal score text."""
-    return F.format_string("%.3f", _c(score))
+    """Three-decimal score text, rounded on the binary value (the JVM's formatter rounds the
+    shortest decimal form instead, which differs on halves)."""
+    return _three_decimals(_c(score).cast("double"))

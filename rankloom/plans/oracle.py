@@ -633,6 +633,10 @@ SQL.update({
         SELECT doc_id, round(a / sqrt(a*a + e*e + n*n), 4) AS v0, round(e / sqrt(a*a + e*e + n*n), 4) AS v1,
                round(n / sqrt(a*a + e*e + n*n), 4) AS v2 FROM c""",
     "index_reload": SQL["bm25_topk"],
+    "display_recommendations": f"""WITH {RECOMMEND_CTES}
+        SELECT rec.query_id, rec.rank, rec.url, CASE WHEN dc.duration_minutes IS NULL OR dc.duration_minutes = 0 THEN 'N/A'
+               ELSE dc.duration_minutes::VARCHAR || ' min' END AS duration, printf('%.3f', rec.relevance_score) AS score
+        FROM rec JOIN dc ON rec.key = dc.key""",
     "catalog_build": SQL["merge_catalog"].replace(f"SELECT {CATS}, CASE WHEN prio = 0 THEN 'current_scrape' ELSE 'dataset_urls' END AS source",
                                                   f"SELECT {CATS}"),
 })

@@ -505,6 +505,12 @@ def display_rows(spark: SparkSession, sf: str) -> DataFrame:
                     display_score("price").alias("score"))
 
 
+def display_recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """B26 with its rank: the display form of every recommendation."""
+    return _recommend_docs(spark, sf).select("query_id", "rank", "url", display_duration("duration_minutes").alias("duration"),
+                                             display_score("relevance_score").alias("score"))
+
+
 def result_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Recommendations returned per request (zeros included)."""
     return total_results(_recommend_docs(spark, sf), T.benchmark_queries(spark, sf))
@@ -573,5 +579,6 @@ QUERIES = {
     "head_sample": head_sample,
     "extraction_counts": extraction_counts,
     "display_rows": display_rows,
+    "display_recommendations": display_recommendations,
     "result_sizes": result_sizes,
 }

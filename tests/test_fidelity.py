@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import html as H
-from rankloom.functions.text import html_to_text, keyword_text, rich_text, slug_name, title_case
+from rankloom.functions.text import display_score, html_to_text, keyword_text, rich_text, slug_name, title_case
 from rankloom.operators.pages import head_sample, page_links
 
 
@@ -67,6 +67,11 @@ def test_absent_fields_have_defaults(spark):
                     "Remote Testing Support: No\nAdaptive Assessment (IRT): No\nKeywords: , N/A, talent assessment, product catalog")
 
 
+def test_scores_are_rounded_on_their_binary_value(spark):
+    df = spark.createDataFrame([(0.5405,), (0.3505,), (2.0,), (None,)], "x double")
+    assert [r.t for r in df.select(display_score("x").alias("t")).collect()] == ["0.540", "0.350", "2.000", None]
+
+
 @pytest.mark.parametrize("n", [0, 51])
 def test_sample_size_is_checked(spark, n):
     with pytest.raises(ValueError):
