@@ -25,14 +25,14 @@ MIN_LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is identified: texts without a letter and those whose best language
     has a probability under MIN_LANGUAGE_SCORE go."""
-    judged = langid.predict(_tagged(docs), langid.learn(docs), _held(docs))
+    judged = langid.predict(_tagged(docs), langid.learn(docs), _held(docs), "held_text")
     return _untagged(judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, trained on the labels of rows in ``docs``, finds of quality."""
     weights = quality.train(docs, read(spark, sf_dir, "labels"))
-    judged = quality.predict(_tagged(docs), weights, _held(docs))
+    judged = quality.predict(_tagged(docs), weights, _held(docs), "held_text")
     return _untagged(judged.filter(F.col("predicted") == 1), docs)
 
 
@@ -72,7 +72,7 @@ def _held(docs: DataFrame) -> list[str]:
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.select(*[F.col(c).alias(f"held_{c}") for c in docs.columns], "text")
+    return docs.select(*[F.col(c).alias(f"held_{c}") for c in docs.columns])
 
 
 def _untagged(judged: DataFrame, docs: DataFrame) -> DataFrame:

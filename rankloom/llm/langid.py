@@ -39,6 +39,7 @@ MAX_GRAMS = 10_000
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
+SLICE_BYTES = 1 << 20       # text scored at once: each of its words holds a row of numbers
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -66,19 +67,21 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Per known word and n-gram, the log of each language's share of its relative frequency."""
+    """``table``: for each known word and n-gram, the log of each language's share of its relative
+    frequency; ``words`` and ``grams`` give their rows."""
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
 
     def word_score(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.table[known]
         for n in LENGTHS:
-            found = [v for v in map(self.grams.get, (f"{n}{g}" for g in grams_of(word, n))) if v is not None]
+            found = [i for i in map(self.grams.get, (f"{n}{g}" for g in grams_of(word, n))) if i is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.table[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -89,7 +92,7 @@ def learn(docs: DataFrame, folds: int = FOLDS, docs_per_lang: int = DOCS_PER_LAN
     labelled = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", folds) != 0))
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel([], {}, {})
+        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, docs_per_lang / sizes[lang]))])
     sample = labelled.filter(hashed_share(share[F.col("lang")], "langid")).select("lang", "text")
@@ -126,18 +129,14 @@ def learn(docs: DataFrame, folds: int = FOLDS, docs_per_lang: int = DOCS_PER_LAN
     counts: dict[str, dict[str, int]] = {}
     for lang, gram, n in best.select("lang", "gram", "n").toLocalIterator():
         counts.setdefault(gram, {})[lang] = n
-    words_, grams_ = {}, {}
-    for gram, by in counts.items():
-        size = gram[0]
-        logs = np.array([np.log((by.get(x, 0) + SMOOTHING)
-                                / (total.get((x, size), (0, 0))[0] + SMOOTHING * (total.get((x, size), (0, 0))[1] + 1)))
-                         for x in langs])
-        logs = (logs - np.logaddexp.reduce(logs)).astype(np.float32)
-        if size == "0":
-            words_[gram[1:]] = logs
-        else:
-            grams_[gram] = logs
-    return LanguageModel(langs, words_, grams_)
+    found = list(counts)
+    size_of = np.array([[total.get((x, g[0]), (0, 0)) for x in langs] for g in found], np.float64).reshape(-1, len(langs), 2)
+    seen = np.array([[counts[g].get(x, 0) for x in langs] for g in found], np.float64).reshape(-1, len(langs))
+    logs = np.log(seen + SMOOTHING) - np.log(size_of[:, :, 0] + SMOOTHING * (size_of[:, :, 1] + 1))
+    logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
+    words_ = {g[1:]: i for i, g in enumerate(found) if g[0] == "0"}
+    grams_ = {g: i for i, g in enumerate(found) if g[0] != "0"}
+    return LanguageModel(langs, words_, grams_, logs.astype(np.float32))
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
@@ -146,10 +145,11 @@ def _counted(counts: Counter) -> pa.RecordBatch:
          pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` plus lang_pred and score of the whole ``text``."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns of ``docs`` plus lang_pred and score of the whole ``text`` column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
+    read = text if text in keep else "__text"           # a kept text goes to the tasks once
+    source = docs.select(*[F.col(c) for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
     schema = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
@@ -169,8 +169,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
             return np.full(len(chunks), width), values.ravel()
 
         cache = RaggedCache(resolve, np.float32)
-        for s in slices(batches, "__text"):
-            flat, bounds = cache.rows([t.split() for t in as_bytes(s.column("__text"))])
+        for s in slices(batches, read, SLICE_BYTES):
+            flat, bounds = cache.rows([t.split() for t in as_bytes(s.column(read))])
             sums = sums_between(flat.reshape(-1, width), bounds // width)
             scores, letters = sums[:, :-1], sums[:, -1] > 0.5
             if width > 1:

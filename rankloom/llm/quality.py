@@ -135,17 +135,18 @@ def ftrl(data: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, epochs: i
     return weights(np.arange(buckets + 1))
 
 
-def predict(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` plus score and predicted for the whole ``text``."""
+def predict(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns of ``docs`` plus score and predicted for the whole ``text`` column."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
+    read = text if text in keep else "__text"           # a kept text goes to the tasks once
+    source = docs.select(*[F.col(c) for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
     schema = source.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches):
         w = shared.value
         features = Features(len(w) - 1)
-        for s in slices(batches, "__text"):
-            uni, ub, bi, bb = features.of(as_bytes(s.column("__text")))
+        for s in slices(batches, read):
+            uni, ub, bi, bb = features.of(as_bytes(s.column(read)))
             total = sums_between(w[uni], ub) + sums_between(w[bi], bb)
             size = np.diff(ub) + np.diff(bb)
             score = 1.0 / (1.0 + np.exp(-np.clip(SCALE * total / np.maximum(size, 1) + w[-1], -30, 30)))

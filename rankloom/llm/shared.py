@@ -36,8 +36,9 @@ class Scratch:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds at most SLICE_ROWS rows and about SLICE_BYTES of
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text",
+           size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds at most SLICE_ROWS rows and about ``size`` bytes of
     the ``text`` column (one longer value makes a slice of its own)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -49,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iter
         sizes = byte_lengths(batch.column(text))
         at, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > at and (held + n > SLICE_BYTES or i - at >= SLICE_ROWS):
+            if i > at and (held + n > size or i - at >= SLICE_ROWS):
                 yield batch.slice(at, i - at)
                 at, held = i, 0
             held += int(n)

@@ -7,8 +7,8 @@ from rankloom.llm import langid
 
 def words_model():
     import numpy as np
-    return langid.LanguageModel(["de", "en"], {"und": np.array([-0.1, -3.0]), "the": np.array([-3.0, -0.1])},
-                                {"3ing": np.array([-2.0, -0.2]), "1x": np.array([-0.3, -1.5])})
+    return langid.LanguageModel(["de", "en"], {"und": 0, "the": 1}, {"3ing": 2, "1x": 3},
+                                np.array([[-0.1, -3.0], [-3.0, -0.1], [-2.0, -0.2], [-0.3, -1.5]]))
 
 
 def test_fold_is_crc32_of_the_id_as_text(spark):
