@@ -47,7 +47,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 KEPT_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: chr(b) for b in KEPT_BYTES} | {
     b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in KEPT_BYTES)}
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS, CACHED_WORDS = 300_000, 400_000      # that a task remembers
 
 
 class Tokens:
@@ -67,41 +67,42 @@ class Tokens:
         self.model = self.tokenizer.model
         self.plain = regex.compile("[\x21-\x7e\u00c0-\u024f]+").fullmatch
         self.split = regex.compile(SPLIT).findall
-        self.words: dict[str, list[int]] = {}
-        self.ascii_words: dict[bytes, list[int]] = {}
-        self.signs = {ord(c): [t.id for t in self.model.tokenize(c)] for c in ",.;:!?"}
+        self.words: dict[str, bytes] = {}                   # ids as little-endian unsigned 32-bit
+        self.ascii_words: dict[bytes, bytes] = {}
+        self.signs = {ord(c): self._ids(c) for c in ",.;:!?"}
         self.cache = RaggedCache(self._resolve, np.uint32, CACHED_CHUNKS)
 
-    def _word(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(map(BYTE_CHARS.__getitem__, word.encode()))
-        found = self.words[word] = [t.id for t in self.model.tokenize(shown)]
+        found = self.words[word] = self._ids(shown)
         return found
 
-    def _letters(self, word: bytes) -> list[int]:
-        found = self.ascii_words[word] = [t.id for t in self.model.tokenize(word.decode())]
+    def _letters(self, word: bytes) -> bytes:
+        found = self.ascii_words[word] = self._ids(word.decode())
         return found
 
-    def _resolve(self, chunks: list[bytes]) -> tuple[list[int], np.ndarray]:
-        if len(self.words) + len(self.ascii_words) > CACHED_CHUNKS:
+    def _resolve(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) + len(self.ascii_words) > CACHED_WORDS:
             self.words.clear()
             self.ascii_words.clear()
-        known, letters, sign, lengths, flat = self.words.get, self.ascii_words.get, self.signs.get, [], []
+        known, letters, sign, rows = self.words.get, self.ascii_words.get, self.signs.get, []
         for chunk in chunks:
-            before = len(flat)
             if chunk.isalpha():                                      # ASCII letters only
                 word = chunk.lower()
-                flat += letters(word) or self._letters(word)
+                rows.append(letters(word) or self._letters(word))
             elif chunk[:-1].isalpha() and (end := sign(chunk[-1])):  # and one sign after them
                 word = chunk[:-1].lower()
-                flat += letters(word) or self._letters(word)
-                flat += end
+                rows.append((letters(word) or self._letters(word)) + end)
             elif self.plain(text := chunk.decode("utf-8", "replace")):
-                for word in self.split(text.lower()):
-                    flat += known(word) or self._word(word)
+                rows.append(b"".join([known(w) or self._word(w) for w in self.split(text.lower())]))
             else:
-                flat += self.tokenizer.encode(text, add_special_tokens=False).ids
-            lengths.append(len(flat) - before)
-        return lengths, np.array(flat, np.uint32)
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                rows.append(np.array(ids, "<u4").tobytes())
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        return lengths, np.frombuffer(b"".join(rows), "<u4")
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         # lower case of ASCII is the normaliser's; other texts are left to it
