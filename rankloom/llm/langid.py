@@ -74,15 +74,21 @@ class LanguageModel:
     grams: dict[str, int]
     table: np.ndarray
 
-    def word_score(self, word: str) -> np.ndarray:
+    def rows_of(self, word: str) -> list[int]:
+        """The word's row, or those of its longest known n-grams; empty if nothing is known."""
         known = self.words.get(word)
         if known is not None:
-            return self.table[known]
+            return [known]
+        get = self.grams.get
         for n in LENGTHS:
-            found = [i for i in map(self.grams.get, (f"{n}{g}" for g in grams_of(word, n))) if i is not None]
+            found = [i for g in grams_of(word, n) if (i := get(f"{n}{g}")) is not None]
             if found:
-                return self.table[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return found
+        return []
+
+    def word_score(self, word: str) -> np.ndarray:
+        rows = self.rows_of(word)
+        return self.table[rows].mean(axis=0) if rows else np.zeros(len(self.langs), np.float32)
 
 
 def learn(docs: DataFrame, folds: int = FOLDS, docs_per_lang: int = DOCS_PER_LANG,
@@ -157,15 +163,21 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
         width = len(m.langs) + 1
 
         def resolve(chunks):
-            values = np.zeros((len(chunks), width), np.float32)
-            for i, chunk in enumerate(chunks):
+            # rows of all words of all chunks, each with its share of its word's mean
+            rows, shares, bounds, letters = [], [], [0], []
+            for chunk in chunks:
                 text = chunk.decode("utf-8", "replace")
-                for word in words_of(text):
-                    if width > 1:
-                        values[i, :-1] += m.word_score(word)
-                    values[i, -1] += 1
-                if not values[i, -1]:
-                    values[i, -1] = any(map(str.isalpha, text))
+                words = words_of(text)
+                for word in words:
+                    found = m.rows_of(word)
+                    rows += found
+                    shares += [1 / max(1, len(found))] * len(found)
+                bounds.append(len(rows))
+                letters.append(bool(words) or any(map(str.isalpha, text)))
+            values = np.zeros((len(chunks), width), np.float32)
+            values[:, -1] = letters
+            if rows:
+                values[:, :-1] = sums_between(m.table[rows] * np.array(shares)[:, None], np.array(bounds))
             return np.full(len(chunks), width), values.ravel()
 
         cache = RaggedCache(resolve, np.float32)
