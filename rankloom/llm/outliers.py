@@ -2,11 +2,12 @@
 
 Five statistics of each whole text are transformed (log words, log mean word length, log
 symbols per word, log repeated lines, root of the repeated-words share). For every language and
-source the minimum covariance determinant estimate of their mean and covariance is found by
-concentration steps: from medians and median deviations, the SUPPORT share of documents nearest
-to the centre gives the next mean and covariance, STEPS times. A document is rejected if its
-Mahalanobis distance, made consistent with the normal distribution at the median, passes
-CUTOFF. TOLERANCE is the least standard deviation a statistic is given (its square is added to
+source the minimum covariance determinant estimate of their mean and covariance is searched by
+concentration steps from several fixed starts (``starting``): the (n + p + 1) / 2 documents
+nearest to the centre, and those in the last one's distance bin, give the next mean and
+covariance, until the determinant falls no more; the smallest determinant of all starts and steps
+is taken. A document is rejected if its Mahalanobis distance, made consistent with the normal
+distribution at the median, passes CUTOFF. TOLERANCE is the least standard deviation a statistic is given (its square is added to
 the covariance's diagonal), so statistics that are constant in a group do not make every
 deviation an outlier and the covariance is never singular.
 
@@ -25,6 +26,8 @@ Other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,13 +39,15 @@ SYMBOL = r"[#*$%&|<>]"
 WINDOW = 3
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-SUPPORT, STEPS, MIN_GROUP = 0.75, 3, 50
+MIN_GROUP = 50
 TOLERANCE = (0.3, 0.06, 0.25, 0.35, 0.12)
 P = len(TOLERANCE)
 #: Quantiles of the chi-squared distribution with five degrees of freedom.
 CHI2_MEDIAN, CUTOFF = 4.3515, 35.888       # 0.5 and 1 - 1e-6
 BINS = 64                                  # of a distance, for each factor of e
 FINE = 16                                  # of a statistic, for each tolerance
+FALLS = 1e-9                               # of a log determinant; less is rounding
+LAST_BIN = (1 << 31) - 1
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -124,8 +129,9 @@ def distance() -> Column:
     return sum((r * r for r in rows), F.lit(0.0))
 
 
-def factored(moments: DataFrame) -> DataFrame:
-    """(cell, m, w): means and inverse Cholesky factor of the covariances c plus tolerances."""
+def factored(moments: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, m, w, det: means, inverse Cholesky factor and log determinant of the
+    covariances c plus tolerances."""
     out = moments
     for j in range(P):                      # the factor, column by column
         rest = F.col(f"c{j}{j}") + TOLERANCE[j] ** 2
@@ -137,31 +143,66 @@ def factored(moments: DataFrame) -> DataFrame:
         row = {f"w{j}{k}": -sum((F.col(f"l{j}{i}") * F.col(f"w{i}{k}") for i in range(k, j)), F.lit(0.0))
                / F.col(f"l{j}{j}") for k in range(j)}
         out = out.withColumns(row | {f"w{j}{j}": 1 / F.col(f"l{j}{j}")})
-    return out.select("cell", *[f"m{j}" for j in range(P)], *[f"w{j}{k}" for j in range(P) for k in range(j + 1)])
+    det = 2 * sum((F.log(f"l{j}{j}") for j in range(P)), F.lit(0.0))
+    return out.select(*keep, *fit(), det.alias("det"))
 
 
-def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cell, m, w, scale) of every cell with at least MIN_GROUP of ``rows(cell, x0..)``; the
-    tables of the steps are small: one row for a cell."""
+def fit() -> list[str]:
+    return [*[f"m{j}" for j in range(P)], *[f"w{j}{k}" for j in range(P) for k in range(j + 1)]]
+
+
+def moments(of: DataFrame, keys: list[str]) -> DataFrame:
+    return of.groupBy(*keys).agg(
+        *[F.avg(f"x{j}").alias(f"m{j}") for j in range(P)],
+        *[F.covar_pop(f"x{k}", f"x{j}").alias(f"c{k}{j}") for j in range(P) for k in range(j + 1)])
+
+
+def starting(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cell, start, m, w) of every cell with at least MIN_GROUP rows: the centres are medians,
+    lower and upper quartiles in units of the median deviations, and medians in units of the
+    tolerances."""
+    quartiles = [F.percentile(fine(j, F.col(x)), [0.5, 0.25, 0.75]).alias(f"b{j}") for j, x in enumerate(xs())]
     middle = scratch.write(
-        rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
-                                 *quantile_bins([fine(j, F.col(x)) for j, x in enumerate(xs())], 0.5, [f"b{j}" for j in range(P)]))
-            .filter(F.col("n") >= MIN_GROUP)
-            .select("cell", *[(F.col(f"b{j}") * (TOLERANCE[j] / FINE)).alias(f"m{j}") for j in range(P)]), "middle")
-    apart = [fine(j, F.abs(F.col(x) - F.col(f"m{j}"))) for j, x in enumerate(xs())]
+        rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= MIN_GROUP)
+            .select("cell", *[F.array(*[F.col(f"b{j}")[i] * (TOLERANCE[j] / FINE) for i in range(3)]).alias(f"q{j}")
+                              for j in range(P)]), "middle")
+    apart = [fine(j, F.abs(F.col(x) - F.col(f"q{j}")[0])) for j, x in enumerate(xs())]
     spread = rows.join(middle, "cell").groupBy("cell").agg(*quantile_bins(apart, 0.5, [f"s{j}" for j in range(P)]))
-    zero = {f"w{j}{k}": F.lit(0.0) for j in range(P) for k in range(j)}
-    state = scratch.write(middle.join(spread, "cell").withColumns(zero | {
-        f"w{j}{j}": 1 / F.greatest(1.4826 * F.col(f"s{j}") * (TOLERANCE[j] / FINE), F.lit(TOLERANCE[j]))
-        for j in range(P)}).drop(*[f"s{j}" for j in range(P)]), "state_0")
-    for step in range(1, STEPS + 1):
-        near = rows.join(state, "cell").select("cell", *xs(), bin_of(distance()).alias("bin"))
-        within = scratch.write(near.groupBy("cell").agg(F.percentile("bin", SUPPORT).alias("limit")), f"limit_{step}")
-        inside = near.join(within, "cell").filter(F.col("bin") <= F.col("limit"))
-        moments = inside.groupBy("cell").agg(
-            *[F.avg(f"x{j}").alias(f"m{j}") for j in range(P)],
-            *[F.covar_pop(f"x{k}", f"x{j}").alias(f"c{k}{j}") for j in range(P) for k in range(j + 1)])
-        state = scratch.write(factored(moments), f"state_{step}")
+    units = [F.greatest(1.4826 * F.col(f"s{j}") * (TOLERANCE[j] / FINE), F.lit(TOLERANCE[j])) for j in range(P)]
+    zero = [F.lit(0.0).alias(f"w{j}{k}") for j in range(P) for k in range(j)]
+    starts = [F.struct(F.lit(i).alias("start"), *[F.col(f"q{j}")[at].alias(f"m{j}") for j in range(P)], *zero,
+                       *[(1 / unit[j]).alias(f"w{j}{j}") for j in range(P)])
+              for i, (at, unit) in enumerate([(0, units), (1, units), (2, units), (0, [F.lit(t) for t in TOLERANCE])])]
+    each = middle.join(spread, "cell").select("cell", F.explode(F.array(*starts)).alias("s")).select("cell", "s.*")
+    return scratch.write(each.select("cell", "start", *fit(), F.lit(float("inf")).alias("det")), "state_0")
+
+
+def concentrated(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cell, m, w) with the smallest determinant that the concentration steps of all starts
+    reach. The tables of the steps are small: a row for each cell and start still falling.
+    Every further step of a start needs a smaller determinant, so the steps end."""
+    keys, going, states = ["cell", "start"], starting(rows, scratch), []
+    while not going.isEmpty():
+        near = rows.join(going, "cell").select(*keys, *xs(), F.col("det").alias("last"), bin_of(distance()).alias("bin"))
+        # the (n + p + 1) / 2-th of n rows is the median once p more stand behind them
+        behind = going.select(*keys, F.lit(LAST_BIN).alias("bin"), F.lit(P).alias("times"))
+        # written, so that its size is known and it is sent to the rows, not they to a task
+        limits = scratch.write(near.select(*keys, "bin", F.lit(1).alias("times")).unionByName(behind).groupBy(*keys).agg(
+            F.percentile("bin", 0.5, F.col("times")).alias("limit")), f"limit_{len(states) + 1}")
+        inside = near.join(limits, keys).filter(F.col("bin") <= F.col("limit"))
+        state = scratch.write(factored(moments(inside, [*keys, "last"]), [*keys, "last"]), f"state_{len(states) + 1}")
+        states.append(state.drop("last"))
+        going = state.filter(F.col("det") < F.col("last") - FALLS).drop("last")
+    if not states:
+        return going.select("cell", *fit())
+    best = reduce(DataFrame.unionByName, states).groupBy("cell").agg(
+        F.min_by(F.struct(*fit()), F.struct(F.round("det", 9), "start")).alias("s"))
+    return scratch.write(best.select("cell", "s.*"), "concentrated")
+
+
+def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cell, m, w, scale) of every cell with at least MIN_GROUP of ``rows(cell, x0..)``."""
+    state = concentrated(rows, scratch)
     at_middle = rows.join(state, "cell").groupBy("cell").agg(F.percentile(bin_of(distance()), 0.5).alias("bin"))
     return state.join(at_middle.select("cell", F.greatest(
         F.exp((F.col("bin") + 0.5) / BINS) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "cell")

@@ -120,3 +120,49 @@ def test_too_few_documents_are_all_kept(docs_of):
 def test_no_python_in_the_plan(table):
     plan = O.judge(table("documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def varied(n, seed):
+    rng = np.random.default_rng(seed)
+    words = [f"{'abcdefghij'[i % 10] * (2 + i % 7)}{i}" for i in range(4000)]
+    return [" ".join(rng.choice(words, int(rng.integers(60, 600)))) for _ in range(n)]
+
+
+def test_copies_of_a_junk_text_over_a_quarter_of_a_source_are_rejected(docs_of):
+    clean = varied(120, 1)
+    junk = " ".join(f"{w} ###" if i % 3 == 0 else w for i, w in enumerate(varied(1, 2)[0].split()))
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean)] + [(1000 + i, junk, "en", "s") for i in range(60)]
+    got = O.judge(docs_of(rows)).collect()
+    assert not any(r.base_failed for r in got)
+    assert not any(r.kept for r in got if r.doc_id >= 1000)
+    assert all(r.kept for r in got if r.doc_id < 1000)
+
+
+def test_the_best_start_and_its_last_step_are_taken(spark):
+    """The same search in numpy, start by start."""
+    from rankloom.llm.shared import Scratch
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, [1, 0.1, 0.5, 0.5, 0.2], (90, 5)), rng.normal(2, [0.3, 0.1, 0.2, 0.2, 0.1], (70, 5))])
+    tol, bins = np.array(O.TOLERANCE), lambda d: np.floor(np.log(d + 1e-3) * O.BINS)
+    fine = lambda v: np.floor(np.abs(v) * (O.FINE / tol) + 0.5) * np.sign(v)
+    q = [np.quantile(fine(x), s, axis=0) * tol / O.FINE for s in (0.5, 0.25, 0.75)]
+    unit = np.maximum(1.4826 * np.quantile(fine(np.abs(x - q[0])), 0.5, axis=0) * tol / O.FINE, tol)
+    reached = []
+    for m, u in ((q[0], unit), (q[1], unit), (q[2], unit), (q[0], tol)):
+        inverse, last, steps = np.diag(1 / u ** 2), np.inf, []
+        while True:
+            b = bins(np.einsum("ij,jk,ik->i", x - m, inverse, x - m))
+            near = x[b <= np.sort(b)[(len(x) + O.P + 1) // 2 - 1]]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(tol ** 2)
+            inverse, det = np.linalg.inv(c), np.linalg.slogdet(c)[1]
+            steps.append((det, m))
+            if det >= last - O.FALLS:
+                break
+            last = det
+        reached.append(min(steps, key=lambda s: s[0]))
+    assert len({round(d, 6) for d, _ in reached}) > 1
+    rows = spark.createDataFrame([(1, *map(float, r)) for r in x], "cell int, x0 double, x1 double, x2 double, x3 double, x4 double")
+    found = O.concentrated(rows, Scratch(spark, "test")).collect()
+    assert len(found) == 1
+    assert np.allclose([found[0][f"m{j}"] for j in range(O.P)], min(reached, key=lambda s: s[0])[1])
