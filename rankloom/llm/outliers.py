@@ -6,8 +6,9 @@ source the minimum covariance determinant estimate of their mean and covariance
 concentration steps from several fixed starts (``starting``): the (n + p + 1) / 2 documents
 nearest to the centre, and those in the last one's distance bin, give the next mean and
 covariance, until the determinant falls no more; the smallest determinant of all starts and steps
-is taken. A document is rejected if its Mahalanobis distance, made consistent with the normal
-distribution at the median, passes CUTOFF. TOLERANCE is the least standard deviation a statistic is given (its square is added to
+is taken and made consistent with the normal distribution at the median, in both directions.
+Mean and covariance of the documents within NEAR of it are the final estimate; a document is
+rejected if its squared Mahalanobis distance from that passes CUTOFF. TOLERANCE is the least standard deviation a statistic is given (its square is added to
 the covariance's diagonal), so statistics that are constant in a group do not make every
 deviation an outlier and the covariance is never singular.
 
@@ -43,7 +44,8 @@ MIN_GROUP = 50
 TOLERANCE = (0.3, 0.06, 0.25, 0.35, 0.12)
 P = len(TOLERANCE)
 #: Quantiles of the chi-squared distribution with five degrees of freedom.
-CHI2_MEDIAN, CUTOFF = 4.3515, 35.888       # 0.5 and 1 - 1e-6
+CHI2_MEDIAN, NEAR, CUTOFF = 4.3515, 12.8325, 20.515        # 0.5, 0.975 and 0.999
+NEAR_FACTOR = 1.0555                       # of a normal covariance to that of its share within NEAR
 BINS = 64                                  # of a distance, for each factor of e
 FINE = 16                                  # of a statistic, for each tolerance
 FALLS = 1e-9                               # of a log determinant; less is rounding
@@ -204,8 +206,10 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(cell, m, w, scale) of every cell with at least MIN_GROUP of ``rows(cell, x0..)``."""
     state = concentrated(rows, scratch)
     at_middle = rows.join(state, "cell").groupBy("cell").agg(F.percentile(bin_of(distance()), 0.5).alias("bin"))
-    return state.join(at_middle.select("cell", F.greatest(
-        F.exp((F.col("bin") + 0.5) / BINS) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "cell")
+    raw = scratch.write(state.join(at_middle.select(
+        "cell", (F.exp((F.col("bin") + 0.5) / BINS) / CHI2_MEDIAN).alias("scale")), "cell"), "raw")
+    near = rows.join(raw, "cell").filter(distance() <= NEAR * F.col("scale"))
+    return factored(moments(near, ["cell"]), ["cell"]).drop("det").withColumn("scale", F.lit(NEAR_FACTOR))
 
 
 def judge(docs: DataFrame) -> DataFrame:

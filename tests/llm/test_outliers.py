@@ -166,3 +166,19 @@ def test_the_best_start_and_its_last_step_are_taken(spark):
     found = O.concentrated(rows, Scratch(spark, "test")).collect()
     assert len(found) == 1
     assert np.allclose([found[0][f"m{j}"] for j in range(O.P)], min(reached, key=lambda s: s[0])[1])
+
+
+def test_each_statistic_alone_rejects_a_planted_row(docs_of):
+    clean = varied(120, 5)
+    pool = list(dict.fromkeys(" ".join(varied(20, 6)).split()))
+    planted = {
+        "length": " ".join(np.random.default_rng(7).choice(pool, 12_000)),
+        "words": " ".join(w * 2 for w in pool[:200]),
+        "symbols": " ".join(f"{w[:-1]}#" if i % 8 == 0 else w for i, w in enumerate(pool[:300])),
+        "lines": "\n".join(x for i in range(7) for x in (pool[400], " ".join(pool[i * 40:i * 40 + 40]))),
+        "repeats": " ".join(pool[:260] + pool[180:260])}
+    rows = [(i, t, "en", "s") for i, t in enumerate([*clean, *planted.values()])]
+    got = {r.doc_id: r for r in O.judge(docs_of(rows)).collect()}
+    for i, name in enumerate(planted, len(clean)):
+        assert not got[i].base_failed and not got[i].kept, (name, got[i])
+    assert sum(got[i].kept for i in range(len(clean))) >= 118
