@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,14 +57,16 @@ class Tokens:
 
     A chunk of Latin letters, digits and ASCII signs is normalised by lower-casing and split
     here, and only its distinct words go to the tokenizer's model; every other chunk goes through
-    the whole tokenizer. The two ways agree (tests compare them)."""
+    the whole tokenizer. The two ways agree (tests compare them). A text that holds the string of
+    an added token goes through the whole tokenizer in one piece, which gives that token's id."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True         # their strings in a text are ordinary text
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added), re.I).search if added else lambda text: None
         self.model = self.tokenizer.model
         self.plain = regex.compile("[\x21-\x7e\u00c0-\u024f]+").fullmatch
         self.split = regex.compile(SPLIT).findall
@@ -84,6 +87,9 @@ class Tokens:
         found = self.ascii_words[word] = self._ids(word.decode())
         return found
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def _resolve(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) + len(self.ascii_words) > CACHED_WORDS:
             self.words.clear()
@@ -99,16 +105,18 @@ class Tokens:
             elif self.plain(text := chunk.decode("utf-8", "replace")):
                 rows.append(b"".join([known(w) or self._word(w) for w in self.split(text.lower())]))
             else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                rows.append(np.array(ids, "<u4").tobytes())
+                rows.append(self._whole(text).tobytes())
         lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         return lengths, np.frombuffer(b"".join(rows), "<u4")
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         # lower case of ASCII is the normaliser's; other texts are left to it
-        flat, bounds = self.cache.rows([(t.lower() if t.isascii() else t).split() for t in texts])
+        whole = {i: self._whole(t.decode("utf-8", "replace")) for i, t in enumerate(texts) if self.added(t)}
+        flat, bounds = self.cache.rows([[] if i in whole else (t.lower() if t.isascii() else t).split()
+                                        for i, t in enumerate(texts)])
         end = np.array([END_ID], np.uint32)
-        return [np.concatenate((flat[a:b], end)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [np.concatenate((whole[i] if i in whole else flat[a:b], end))
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
 
 
 class Packer:

@@ -105,3 +105,11 @@ def test_step_groups_are_balanced():
     for n, g in zip([2048] * 30 + [256] * 17 + [1024] * 9, groups, strict=True):
         loads[g] = loads.get(g, 0) + n
     assert max(loads.values()) - min(loads.values()) <= 2048
+
+
+def test_added_tokens_in_a_text_get_their_ids():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>Y<|endoftext|>é", "É <|ENDOFTEXT|> a", "a b", "<|endoftext", "ab"]
+    for text, ids in zip(texts, packing.Tokens(PATH).of([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_ID], text
+    assert packing.Tokens(PATH).of([b"a <|endoftext|> b"])[0].tolist()[1] == 49407
