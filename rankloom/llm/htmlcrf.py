@@ -50,6 +50,8 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
+#: Any other element that starts, or text, ends an open head.
+OF_HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
 _MARK = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -95,6 +97,8 @@ def blocks(page: str) -> list[Block]:
 
     def data(raw: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop(len(stack) - 1)
         if hidden or not raw:
             return
         piece = entities.unescape(raw) if "&" in raw else raw
@@ -130,6 +134,8 @@ def blocks(page: str) -> list[Block]:
                 if name not in INLINE:
                     close()
             continue
+        if stack and stack[-1][0] == "head" and name not in OF_HEAD:
+            pop(len(stack) - 1)
         if name == "br":
             data(" ")
             continue

@@ -100,3 +100,16 @@ def test_defined_cases(spark, model):
     assert [r.text for r in got[:3]] == ["", "", ""] and got[3].n_chars == 40000 * 7 - 1
     assert H.extract(pages.limit(0), model).collect() == []
     assert H.train(pages.limit(0)).decode([]) == []
+
+
+def test_a_head_that_is_not_closed_ends_at_the_first_tag_or_text_of_the_body():
+    head = "<html><head><meta charset=x><title>T</title><style>p{}</style><noscript><img src=u></noscript>\n<link href=v>"
+    for body, want in (("<article><p>One.</p><p>Two.</p></article>", ["One.", "Two."]), ("<p>One.<p>Two.", ["One.", "Two."]),
+                       ("<b>One</b> two", ["One two"]), ("One <i>two", ["One two"]), ("<br>One", ["One"]),
+                       ("</head><body><p>One.</p>", ["One."]), ("<body><p>One.</p>", ["One."])):
+        assert [b.text for b in H.blocks(head + body)] == want, body
+
+
+def test_a_page_without_a_body_tag_is_extracted(model):
+    page = FOREIGN.replace("</head><body>", "").replace("</body>", "")
+    assert H.main_text(page, model) == H.main_text(FOREIGN, model) != ""
