@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, htmlcrf, langid, outliers, packing, quality, simhash, topk, urls
+from rankloom.llm import (
+    bpe, chat, divergence, htmlcrf, langid, maxent, outliers, packing, quality, simhash, spelling, topk, urls)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +74,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from the rows outside the held-out seventh."""
+    return maxent.score(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, each with its form and root."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of each language's sources from each other, and their most raised terms."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_simhash_near_dedup, op3_html_extraction, op4_chat_formatting, op5_language_id,
-    op6_packing, op7_topk_search, op8_byte_bpe, op9_url_filters, op10_quality_rules)}
+    op6_packing, op7_topk_search, op8_byte_bpe, op9_url_filters, op10_quality_rules, op11_lm_scoring,
+    op12_spelling_variants, op13_source_divergence)}
 
 SQL: dict[str, str] = {}
 
@@ -117,3 +134,44 @@ WITH cut AS (
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p JOIN fitting f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path
 """
+
+SQL["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), occurring AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), counted AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM occurring GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term HAVING sum(docs) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), of_kept AS (
+  SELECT c.lang, c.source, c.term, c.n FROM counted c JOIN kept k ON c.lang = k.lang AND c.term = k.term
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM of_kept GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, k.n AS n_lang, l.v, l.total AS total_lang,
+    1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (coalesce(t.total, 0) + l.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v)::HUGEINT AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+  LEFT JOIN totals t ON g.lang = t.lang AND g.source = t.source
+  LEFT JOIN of_kept o ON g.lang = o.lang AND g.source = o.source AND k.term = o.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
