@@ -16,14 +16,19 @@ matrices of one conversation, whatever its length. The result has one row for ea
 with its part of the rendering; a conversation's text is their concatenation in order of
 ``position``.
 
-Order is by turn (null last), then role and text. Defined cases: exact repeats of a row count
-once. Null conversation ids form one conversation. A null text is empty, a null or unfamiliar
-role unknown. Costs tie in favour of new turns, then merges, then insertions, and the earlier
+A text may hold the markers themselves. A rendered text has one more backslash inside every
+``<|im_start|>`` and ``<|im_end|>`` (``<|\\im_end|>``; those with backslashes get one more), so only the
+rendering's own markers begin and end turns; ``unescaped`` takes it out again.
+
+Order is by turn (null last), then role and text. Defined cases: exact repeats of a row are turns
+of their own, one after another. Null conversation ids form one conversation. A null text is
+empty, a null or unfamiliar role unknown. Costs tie in favour of new turns, then merges, then insertions, and the earlier
 state. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -46,6 +51,16 @@ ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 NEVER = 1 << 40
 OPEN, CLOSE, JOIN = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
+_MARKER = re.compile(r"<\|(\\*im_(?:start|end)\|>)")
+_ESCAPED = re.compile(r"<\|\\(\\*im_(?:start|end)\|>)")
+
+
+def escaped(text: str) -> str:
+    return _MARKER.sub(r"<|\\\1", text)
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(r"<|\1", text)
 
 
 def _options(state: int, role: int) -> Iterator[tuple[int, int, tuple[str, int]]]:
@@ -115,7 +130,7 @@ def rendering(done: list[tuple[int, str, int]], texts: list[str], entry: int, en
     """The part of each source turn in the conversation's rendering."""
     parts, state = [], entry
     for (to, action, between), text in zip(done, texts, strict=True):
-        shut = CLOSE if state != START else ""
+        shut, text = CLOSE if state != START else "", escaped(text)
         if action == "merge":
             parts.append(JOIN + text)
         else:
@@ -135,11 +150,11 @@ def role_number(role: str = "role"):
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, turn, position (from 1), role, repaired_role, action (new, merge or insert),
     inserted (role of the empty turn inserted before, else null), relabelled, cost of this turn's
-    repair, and rendered, for every distinct row of ``turns(conv_id, turn, role, text)``."""
+    repair, and rendered, for every row of ``turns(conv_id, turn, role, text)``."""
     scratch = Scratch(turns.sparkSession, "chat")
     kinds = turns.select("conv_id", "turn").schema
     rows = turns.select(F.struct("conv_id").alias("conv"), "turn", F.col("role").cast("string").alias("role"),
-                        F.col("text").cast("string").alias("text")).distinct()
+                        F.col("text").cast("string").alias("text"))
     rows = number_within(rows, ["conv"], [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")], "position")
     rows = rows.select("*", role_number().alias("r"), F.floor((F.col("position") - 1) / CHUNK).alias("chunk"))
     last = rows.groupBy("conv").agg(F.max("chunk").alias("last"))

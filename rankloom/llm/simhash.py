@@ -13,7 +13,7 @@ Documents with the same fingerprint are one node, so copies cost nothing beyond
 
 Defined cases: a null text has no words, like an empty one; no words give fingerprint zero,
 linked like any other. Fewer words than a shingle: the whole sequence is the one shingle.
-Repeated rows are returned each, with equal results. A null ``doc_id`` gets a component like
+Repeated rows are returned each, with equal results (``keep_one`` keeps one of them). A null ``doc_id`` gets a component like
 any row but is never a component's id; a component with null ids only has a null id. Other
 columns are ignored. An empty table gives an empty result.
 """
@@ -83,32 +83,46 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
-
-    The fingerprints are computed once and written (16 bytes a document); the links and every
-    round of the component search are tables in the shared folder too."""
+def components(prints: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of ``prints(doc_id, fp)``: the smallest
+    fingerprint and the smallest id of its component. Written; the steps' tables are dropped."""
     if radius < 0 or radius % 2:
         raise ValueError("the radius must be even: half of it is flipped on either side")
-    scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.write(fingerprints(docs, shingle), "fingerprints")
     distinct = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     linked = scratch.write(links(distinct.select("fp"), radius), "linked")
     roots = smallest_reachable(linked, scratch)
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     component = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = scratch.write(member.join(component, "root").select("fp", "component_id"), "components")
+    found = scratch.write(member.join(component, "root").select("fp", "root", "component_id"), "components")
     scratch.drop("linked")
     scratch.drop("distinct")
-    return prints.join(of_print, "fp").select(
+    return found
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
+
+    The fingerprints are computed once and written (16 bytes a document); the links and every
+    round of the component search are tables in the shared folder too."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.write(fingerprints(docs, shingle), "fingerprints")
+    return prints.join(components(prints, radius, scratch).drop("root"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each component: the one with the
-    smallest id stays (one row, if its id is repeated). Rows with a null id all stay."""
-    found = near_duplicates(docs, **parameters)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without all but one row of each component: the one with the smallest id
+    (null last), and of a repeated id the one with the smallest fingerprint, then text hash. Rows
+    are told apart by id and text, so a repeated id loses no text that is nobody's near copy."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    prints = scratch.write(fingerprints(docs.select("doc_id", "text", text_key.alias("key")), shingle, ("doc_id", "key")), "fingerprints")
+    found = components(prints, radius, scratch)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "key")
+    of_print = prints.groupBy("fp").agg(F.min(first).alias("first"))     # copies are one row before they meet their component
+    kept = scratch.write(of_print.join(found, "fp").groupBy("root").agg(F.min("first").alias("first"))
+                         .select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("key")), "kept")
+    tagged = docs.select(F.struct(*docs.columns).alias("row"), text_key.alias("key"), F.col("doc_id").alias("id"))
+    same = tagged["id"].eqNullSafe(kept["id"]) & (tagged["key"] == kept["key"])
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import outliers as O
 
@@ -33,21 +34,52 @@ def test_base_statistics_of_odd_texts(docs_of):
         assert row_counts(r) == counts(texts[r.doc_id])
 
 
-def reference(x):
-    """The same estimates in numpy for one group."""
-    tol, p = np.array(O.TOLERANCE), O.P
-    fine = lambda v: np.floor(np.abs(v) * (O.FINE / tol) + 0.5) * np.sign(v)
-    bins = lambda d: np.floor(np.log(d + 1e-3) * O.BINS)
-    m = np.quantile(fine(x), 0.5, axis=0) * tol / O.FINE
-    s = np.maximum(1.4826 * np.quantile(fine(np.abs(x - m)), 0.5, axis=0) * tol / O.FINE, tol)
-    inverse = np.diag(1 / s ** 2)
-    for _ in range(O.STEPS):
-        b = bins(np.einsum("ij,jk,ik->i", x - m, inverse, x - m))
-        near = x[b <= np.quantile(b, O.SUPPORT)]
-        m, inverse = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) + np.diag(tol ** 2))
-    d = np.einsum("ij,jk,ik->i", x - m, inverse, x - m)
-    assert p == x.shape[1]
-    return d / max(1.0, np.exp((np.quantile(bins(d), 0.5) + 0.5) / O.BINS) / O.CHI2_MEDIAN)
+TOL = np.array(O.TOLERANCE)
+
+
+def bins(d):
+    return np.floor(np.log(d + 1e-3) * O.BINS)
+
+
+def squared(x, m, c):
+    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + np.diag(TOL ** 2)), x - m)
+
+
+def searched(x):
+    """Every start's best determinant and its mean and covariance, in numpy."""
+    fine = lambda v: np.floor(np.abs(v) * (O.FINE / TOL) + 0.5) * np.sign(v)
+    q = [np.quantile(fine(x), s, axis=0) * TOL / O.FINE for s in (0.5, 0.25, 0.75)]
+    unit = np.maximum(1.4826 * np.quantile(fine(np.abs(x - q[0])), 0.5, axis=0) * TOL / O.FINE, TOL)
+    reached = []
+    for m, u in ((q[0], unit), (q[1], unit), (q[2], unit), (q[0], TOL)):
+        c, last, steps = np.diag(u ** 2) - np.diag(TOL ** 2), np.inf, []
+        while True:
+            b = bins(squared(x, m, c))
+            behind = np.sort(np.concatenate((b, [O.LAST_BIN] * O.P)))
+            near = x[b <= np.quantile(behind, 0.5)]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True).reshape(O.P, O.P)
+            det = np.linalg.slogdet(c + np.diag(TOL ** 2))[1]
+            steps.append((det, m, c))
+            if not det < last - O.FALLS:
+                break
+            last = det
+        reached.append(min(steps, key=lambda s: s[0]))
+    return reached
+
+
+def estimate(x):
+    """Mean and covariance of the rows within NEAR of the smallest determinant's estimate."""
+    reached = searched(x)
+    _, m, c = min(reached, key=lambda s: round(s[0], 9))
+    d = squared(x, m, c)
+    scale = np.exp((np.quantile(bins(d), 0.5) + 0.5) / O.BINS) / O.CHI2_MEDIAN
+    near = x[d <= O.NEAR * scale]
+    return len(x), near.mean(axis=0), np.cov(near.T, bias=True).reshape(O.P, O.P)
+
+
+def towards(own, wider):
+    w = own[0] / (own[0] + O.SHRINK)
+    return own[0], w * own[1] + (1 - w) * wider[1], w * own[2] + (1 - w) * wider[2]
 
 
 def transformed(c):
@@ -69,16 +101,14 @@ def test_distances_equal_a_plain_computation(judged):
     for d, lang, source in zip(docs.doc_id, docs.lang, docs.source, strict=True):
         if not failed[d]:
             groups[lang, source].append(d)
-    cells = collections.defaultdict(list)
-    small = collections.Counter()
-    for (lang, _), ids in groups.items():
-        small[lang] += len(ids) if len(ids) < O.MIN_GROUP else 0
-    for (lang, source), ids in groups.items():
-        cells[(lang, source) if len(ids) >= O.MIN_GROUP else lang if small[lang] >= O.MIN_GROUP else None] += ids
+    of = lambda ids: np.array([transformed(stats[d]) for d in ids])
+    whole = estimate(of([d for ids in groups.values() for d in ids]))
+    langs = {k: towards(estimate(of([d for (lang, _), ids in groups.items() for d in ids if lang == k])), whole)
+             for k in {lang for lang, _ in groups}}
     want = {}
-    for ids in cells.values():
-        if len(ids) >= O.MIN_GROUP:
-            want |= dict(zip(ids, reference(np.array([transformed(stats[d]) for d in ids])), strict=True))
+    for (lang, _), ids in groups.items():
+        _, m, c = towards(estimate(of(ids)), langs[lang])
+        want |= dict(zip(ids, squared(of(ids), m, c) / O.NEAR_FACTOR, strict=True))
     for r in got.itertuples():
         assert row_counts(r) == stats[r.doc_id] and r.base_failed == failed[r.doc_id]
         if r.doc_id in want:
@@ -111,10 +141,25 @@ def test_defined_cases(docs_of):
     assert O.judge(docs_of([])).collect() == []
 
 
-def test_too_few_documents_are_all_kept(docs_of):
+def test_few_documents_are_judged_by_the_same_rule(docs_of):
+    """No number of rows switches the rule: a marked text goes from a table of 49 or 50 alike, and a
+    table of one or two like texts is kept."""
     text = " ".join(f"w{i}" for i in range(60))
-    got = O.judge(docs_of([(1, text, "en", "s"), (2, text + " ###" * 30, "en", "s")])).collect()
-    assert sorted((r.doc_id, r.kept, r.distance) for r in got) == [(1, True, None), (2, True, None)]
+    got = O.judge(docs_of([(1, text, "en", "s"), (2, text, "de", "t")])).collect()
+    assert [(r.kept, r.distance < 1) for r in got] == [(True, True)] * 2
+    marked = " ".join(f"{w}##" for w in varied(1, 3)[0].split()[:300])
+    for n in (48, 49, 50):
+        rows = [(i, t, "en", "s") for i, t in enumerate(varied(n, 4))] + [(1000, marked, "en", "s")]
+        got = {r.doc_id: r for r in O.judge(docs_of(rows)).collect()}
+        assert not got[1000].base_failed and not got[1000].kept
+        assert sum(r.kept for r in got.values()) >= n - 2
+
+
+def test_salted_joins_change_nothing(docs_of, monkeypatch):
+    rows = [(i, t, ("en", "de", None)[i % 3], "s") for i, t in enumerate(varied(60, 8))]
+    want = sorted((r.doc_id, r.kept, round(r.distance, 6)) for r in O.judge(docs_of(rows)).collect())
+    monkeypatch.setattr(O, "SIDE_BYTES", 0)
+    assert sorted((r.doc_id, r.kept, round(r.distance, 6)) for r in O.judge(docs_of(rows)).collect()) == want
 
 
 def test_no_python_in_the_plan(table):
@@ -144,26 +189,12 @@ def test_the_best_start_and_its_last_step_are_taken(spark):
 
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(0, [1, 0.1, 0.5, 0.5, 0.2], (90, 5)), rng.normal(2, [0.3, 0.1, 0.2, 0.2, 0.1], (70, 5))])
-    tol, bins = np.array(O.TOLERANCE), lambda d: np.floor(np.log(d + 1e-3) * O.BINS)
-    fine = lambda v: np.floor(np.abs(v) * (O.FINE / tol) + 0.5) * np.sign(v)
-    q = [np.quantile(fine(x), s, axis=0) * tol / O.FINE for s in (0.5, 0.25, 0.75)]
-    unit = np.maximum(1.4826 * np.quantile(fine(np.abs(x - q[0])), 0.5, axis=0) * tol / O.FINE, tol)
-    reached = []
-    for m, u in ((q[0], unit), (q[1], unit), (q[2], unit), (q[0], tol)):
-        inverse, last, steps = np.diag(1 / u ** 2), np.inf, []
-        while True:
-            b = bins(np.einsum("ij,jk,ik->i", x - m, inverse, x - m))
-            near = x[b <= np.sort(b)[(len(x) + O.P + 1) // 2 - 1]]
-            m, c = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(tol ** 2)
-            inverse, det = np.linalg.inv(c), np.linalg.slogdet(c)[1]
-            steps.append((det, m))
-            if det >= last - O.FALLS:
-                break
-            last = det
-        reached.append(min(steps, key=lambda s: s[0]))
-    assert len({round(d, 6) for d, _ in reached}) > 1
-    rows = spark.createDataFrame([(1, *map(float, r)) for r in x], "cell int, x0 double, x1 double, x2 double, x3 double, x4 double")
-    found = O.concentrated(rows, Scratch(spark, "test")).collect()
+    reached = searched(x)
+    assert len({round(d, 6) for d, *_ in reached}) > 1
+    rows = spark.createDataFrame([(1, "en", "s", *map(float, r)) for r in x],
+                                 "cell int, lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    rows = rows.select(F.struct(F.col("cell").alias("level"), "lang", "source").alias("cell"), *O.xs())
+    found = O.concentrated(rows, Scratch(spark, "test"))[0].collect()
     assert len(found) == 1
     assert np.allclose([found[0][f"m{j}"] for j in range(O.P)], min(reached, key=lambda s: s[0])[1])
 

@@ -90,4 +90,12 @@ def test_keep_one_row_of_each_component(docs_of):
     docs = docs_of(rows)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, None]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_repeated_and_null_ids_lose_no_text_of_their_own(docs_of):
+    first, other = "a b c d e f", "totally other words than those of the first text"
+    rows = [(1, first, "en", "s"), (1, other, "en", "s"), (None, first, "en", "s"), (None, first, None, None),
+            (None, "a third text with words of its very own here", "en", "s"), (None, None, None, None), (None, "", None, None)]
+    kept = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_one(docs_of(rows)).collect())
+    assert kept == sorted([("1", first), ("1", other), ("None", rows[4][1]), ("None", "")])
