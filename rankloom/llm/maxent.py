@@ -56,6 +56,7 @@ SINGLES, CLASSES, WIDTH, TAILS = 32, 64, 64, 16
 ROWS, PLACES = 1 << 14, 1 << 15          # at most 1 << 16: row numbers are sorted as 16-bit integers
 ROUNDS, STEP, DAMP = 5, 0.8, 2.0
 BLOCK = 1 << 14                          # tokens handled at once
+TASK = 1 << 22                           # tokens that one gradient is summed over, while there are cores
 CHUNK = 256                              # weight rows summed as one value
 HELD_KEYS = 300_000                      # distinct words a task counts before it hands them on
 NUMBERS = 1 << 20                        # bytes of numbered texts handled at once
@@ -346,9 +347,10 @@ def _texts(batches, column: str):
         yield s, np.concatenate(values).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in values])))
 
 
-def train(texts: DataFrame, model: Model) -> Model:
-    """The model after ROUNDS rounds over ``texts(round, units)``."""
+def train(texts: DataFrame, model: Model, tokens: int) -> Model:
+    """The model after ROUNDS rounds over ``texts(round, units)``, which hold so many tokens."""
     sc = texts.sparkSession.sparkContext
+    tasks = max(1, min(-(-tokens // (ROUNDS * TASK)), 4 * sc.defaultParallelism))
     share, places = model.expected()
     schema = "part int, at int, g binary, n binary"
     for turn in range(ROUNDS):
@@ -364,8 +366,8 @@ def train(texts: DataFrame, model: Model) -> Model:
                 yield pa.RecordBatch.from_pylist([dict(zip(("part", "at", "g", "n"), x, strict=True)) for x in found[i:i + 32]],
                                                  schema=_CHUNKS)
 
-        # one gradient for each core, not for each split: what is shuffled does not grow with the input
-        mine = texts.filter(F.col("round") == turn).select("units").coalesce(sc.defaultParallelism)
+        # a gradient for every TASK tokens, not for every split, and a few for each core at most
+        mine = texts.filter(F.col("round") == turn).select("units").coalesce(tasks)
         sums = Gradient()
         for r in mine.mapInArrow(gradient, schema).repartition("part", "at").mapInArrow(added, schema).collect():
             (sums.classes, sums.places)[r["part"]].take(r["at"], r["g"], r["n"])
@@ -407,7 +409,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Data
             ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))]
         return docs.select("doc_id", held, tokens.cast("long").alias("n_tokens"), *zero)
     texts = scratch.write(numbered(docs, words, folds, held_out), "texts")
-    model = docs.sparkSession.sparkContext.broadcast(train(texts.select("round", "units"), Model.start(words)))
+    model = docs.sparkSession.sparkContext.broadcast(train(texts.select("round", "units"), Model.start(words), words.tokens))
 
     def run(batches):
         m = model.value
