@@ -132,9 +132,10 @@ def decode_each(texts: pd.Series) -> pd.Series:
 
 
 def without_hidden(html) -> Column:
-    """Markup without script and style elements and comments."""
-    h = F.regexp_replace(_c(html), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-    return F.regexp_replace(h, r"(?s)<!--.*?-->", "")
+    """Markup without script and style elements and comments; one that is never closed reaches to the
+    end of the page."""
+    h = F.regexp_replace(_c(html), r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)", "")
+    return F.regexp_replace(h, r"(?s)<!--.*?(?:-->|\z)", "")
 
 
 def strip_markup(html) -> Column:
@@ -149,10 +150,14 @@ def strip_tags(html) -> Column:
 
 def html_to_text(html, limit: int = 5000) -> Column:
     """Visible text; lines trimmed, split on double spaces, empties dropped, joined by ' '."""
-    raw = strip_tags(html)
-    lines = F.split(raw, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]")
-    phrases = F.flatten(F.transform(lines, lambda l: F.split(F.trim(l), "  ")))
-    kept = F.filter(F.transform(phrases, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    return phrases(strip_tags(html), limit)
+
+
+def phrases(text, limit: int = 5000) -> Column:
+    """The phrases of a page's text on one line, as B18 has them."""
+    lines = F.split(_c(text), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]")
+    parts = F.flatten(F.transform(lines, lambda l: F.split(F.trim(l), "  ")))
+    kept = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     return F.substring(F.array_join(kept, " "), 1, limit)
 
 

@@ -67,6 +67,12 @@ def l2_normalize(v) -> Column:
         F.transform(v, lambda x: x.cast("double")))
 
 
+def usable(vector: str) -> Column:
+    """True for a vector that has components, all of them finite numbers."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False))
+
+
 def _top_k_arrays(qids: np.ndarray, qm: np.ndarray, keys: np.ndarray, vm: np.ndarray, k: int,
                   exclude_same_key: bool) -> pd.DataFrame:
     """Per-query top-k of one (queries x vectors) block: rank on the score rounded to
@@ -86,28 +92,32 @@ def _top_k_arrays(qids: np.ndarray, qm: np.ndarray, keys: np.ndarray, vm: np.nda
     return pd.DataFrame({"query_id": qids[i], "key": keys[j], "score": s[i, j]})
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(x, dtype=np.float64) for x in col])
-
+def top_of_block(qids: np.ndarray, qm: np.ndarray | None, keys: np.ndarray, vm: np.ndarray | None, k: int,
+                 exclude_same_key: bool, at_once: int = SCORES_AT_ONCE) -> pd.DataFrame:
+    """Per-query top-k of queries against a block of vectors of their length, a bounded matrix of
+    scores at a time."""
+    if qm is None or vm is None:
+        return pd.DataFrame({"query_id": qids[:0], "key": keys[:0], "score": np.zeros(0)})
+    step = max(1, at_once // len(keys))
+    return pd.concat([_top_k_arrays(qids[a:a + step], qm[a:a + step], keys, vm, k, exclude_same_key)
+                      for a in range(0, len(qids), step)], ignore_index=True)
 
-_EMPTY = {"query_id": "int64", "key": "int64", "score": "float64"}
 
-
-def _empty() -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in _EMPTY.items()})
+def _matrix(col: pd.Series) -> np.ndarray:
+    return np.vstack([np.asarray(x, dtype=np.float64) for x in col])
 
 
-def _block_top_k(k: int, exclude_same_key: bool, at_once: int = SCORES_AT_ONCE):
-    """One cogroup: a tile of queries against a block of vectors, a bounded matrix of scores
-    at a time."""
+def _block_top_k(k: int, exclude_same_key: bool):
+    """One cogroup: a tile of queries against a block of vectors, lengths apart."""
     def fn(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return _empty()
-        qids, qm = q["query_id"].to_numpy(np.int64), _matrix(q["embedding"])
-        keys, vm = v["key"].to_numpy(np.int64), _matrix(v["embedding"])
-        step = max(1, at_once // len(keys))
-        return pd.concat([_top_k_arrays(qids[a:a + step], qm[a:a + step], keys, vm, k, exclude_same_key)
-                          for a in range(0, len(qids), step)], ignore_index=True)
+        found = []
+        for length, some in q.groupby(q["embedding"].map(len)):
+            there = v[v["embedding"].map(len) == length]
+            if len(there):
+                found.append(top_of_block(some["query_id"].to_numpy(), _matrix(some["embedding"]), there["key"].to_numpy(),
+                                          _matrix(there["embedding"]), k, exclude_same_key))
+        return pd.concat(found, ignore_index=True) if found else top_of_block(
+            q["query_id"].to_numpy(), None, v["key"].to_numpy(), None, k, exclude_same_key)
     return fn
 
 
@@ -123,20 +133,28 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *,
     once as a matrix product that gives at most k rows per query. Exactness costs |Q| * |V|
     products; the shuffle holds |V| * |Q| / tile_rows + |Q| * |V| / block_rows rows, so larger
     tiles and blocks (both bounded by a task's memory) move less. No side is collected.
+
+    Vectors that are null, empty, or hold a null or non-finite component, and null keys, take no part;
+    vectors of different lengths are not compared. A repeated query key is one query (its smallest
+    vector). Repeated vectors are candidates each; equal rows beyond k can never all be listed, so k
+    of them are dealt, by key, vector and copy, and a key that repeats is no one task's work.
     """
     # fresh columns: both sides may come from one table
-    q = queries.select((F.col(qid).cast("long") + F.lit(0).cast("long")).alias("query_id"),
-                       F.transform(q_vec, lambda x: x.cast("double")).alias("embedding"))
-    v = vectors.select(F.col(key).cast("long").alias("key"), F.col(v_vec).alias("embedding"))
-    nq = max(1, math.ceil(q.count() / tile_rows))
-    nv = max(1, math.ceil(v.count() / block_rows))
-    qb = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-           .withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long")))))
-    vb = (v.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(nv)))
-           .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
-    per_block = (qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb"))
+    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+    q = queries.filter(usable(q_vec) & F.col(qid).isNotNull()).groupBy(F.col(qid).alias("query_id")).agg(
+        F.min(doubles(q_vec)).alias("embedding"))
+    v = vectors.filter(usable(v_vec) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), doubles(v_vec).alias("embedding")).agg(
+        F.count(F.lit(1)).alias("copies"))
+    v = v.select("key", "embedding", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)))).alias("copy"))
+    kinds = (dict(q.dtypes)["query_id"], dict(v.dtypes)["key"])
+    nq = max(1, math.ceil(queries.count() / tile_rows))
+    nv = max(1, math.ceil(vectors.count() / block_rows))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    qb = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", numbers(nv))
+    vb = v.withColumn("vb", F.pmod(F.xxhash64("key", "embedding", "copy"), F.lit(nv))).withColumn("qb", numbers(nq))
+    per_block = (qb.groupBy("qb", "vb").cogroup(vb.select("key", "embedding", "vb", "qb").groupBy("qb", "vb"))
                    .applyInPandas(_block_top_k(k, exclude_same_key),
-                                  schema="query_id long, key long, score double"))
+                                  schema=f"query_id {kinds[0]}, key {kinds[1]}, score double"))
     return top_k_per_group(per_block, "query_id", score_order(), k)
 
 

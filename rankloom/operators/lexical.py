@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import tokens
 from rankloom.operators.dense import HASH_DIM, hash_bucket
 from rankloom.operators.topk import score_order, top_k_per_group
-from rankloom.session import broadcast_below, ensure_checkpoint_dir, text_bytes
+from rankloom.session import broadcast_below, bucketed_table, ensure_checkpoint_dir, plan_bytes, text_bytes, write_bucketed
 
 # The Okapi BM25 defaults the reference uses.
 K1 = 1.5
@@ -32,6 +32,9 @@ B = 0.75
 EPSILON = 0.25
 
 DOCUMENTS_SCHEMA = "key {key}, dl int, norm double, terms array<string>, buckets array<bigint>, tfs array<int>"
+# Text of a bucket: the scans of an index have as many tasks as it has buckets, so their number
+# follows the corpus.
+BUCKET_BYTES = 128 << 20
 # A token and its separator take two bytes of text at least, a query-term row at most the
 # term and ROW_BYTES: the bound on the broadcast size that follows from the text's size.
 ROW_BYTES = 64
@@ -71,10 +74,9 @@ class LexicalIndex:
         read it back. Two shuffles: rows to their bucket, and terms to their count."""
         spark = corpus.sparkSession
         path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/index-{uuid.uuid4().hex}"
-        n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-plan_bytes(corpus) // BUCKET_BYTES))
         counted = count_terms(corpus, key, text, dim)
-        (counted.repartition(n_buckets, "key").write.mode("overwrite").bucketBy(n_buckets, "key")
-                .option("path", f"{path}/documents").saveAsTable(_table_name()))
+        write_bucketed(counted.repartition(n_buckets, "key"), f"{path}/documents", "key", n_buckets)
         spark.createDataFrame([(n_buckets, dict(counted.dtypes)["key"])], "buckets int, key_type string") \
              .coalesce(1).write.mode("overwrite").json(f"{path}/layout")
         documents = _read_documents(spark, path)
@@ -106,17 +108,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _table_name() -> str:
-    return f"rankloom_documents_{uuid.uuid4().hex}"
-
-
 def _read_documents(spark: SparkSession, path: str) -> DataFrame:
     """The bucketed documents as a table of the session's catalog, which holds the bucketing."""
     layout = spark.read.schema("buckets int, key_type string").json(f"{path}/layout").first()
-    name = _table_name()
-    spark.sql(f"CREATE TABLE {name} ({DOCUMENTS_SCHEMA.format(key=layout['key_type'])}) USING parquet "
-              f"CLUSTERED BY (key) INTO {layout['buckets']} BUCKETS LOCATION '{path}/documents'")
-    return spark.table(name)
+    return bucketed_table(spark, f"{path}/documents", DOCUMENTS_SCHEMA.format(key=layout["key_type"]), "key", layout["buckets"])
 
 
 def idf0_expr(n: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import html as H
-from rankloom.functions.text import absolute_url, decode_entities, slug_name
+from rankloom.functions import tree as TR
+from rankloom.functions.text import absolute_url, decode_entities, phrases, slug_name
 from rankloom.operators.topk import number_within
 
 REQUIRED_ROWS = 377          # catalog size the reference checks against
@@ -78,12 +79,36 @@ def page_records(pages: DataFrame, title_suffix: str | None = None,
                  failed_description: str = "Error extracting details") -> DataFrame:
     """A2 + A3 + B9: one catalog row per page; a page without markup becomes the
     placeholder row (slug name, Unknown adaptive). Adds ``status`` ok / failed."""
-    ok = F.col("html").isNotNull() & F.col("html").contains("<")
     # page text and name first, in their own projection: every field reads them, and
     # inside the per-field conditionals Spark would re-run the markup regexes each time
     pages = pages.select("page_id", "url", "html", H.page_text(F.col("html")).alias("_text"),
                          H.record_name(F.col("html"), F.col("url"), title_suffix).alias("_name"))
-    rec = H.extract_record("html", "url", title_suffix, text=F.col("_text"), name=F.col("_name"))
+    return _records(pages, H.extract_record("html", "url", title_suffix, text=F.col("_text"), name=F.col("_name")), failed_description)
+
+
+def parsed_records(pages: DataFrame, title_suffix: str | None = None,
+                   failed_description: str = "Error extracting details") -> DataFrame:
+    """``page_records`` from each page's tree (``functions.tree``) instead of expressions over its markup:
+    elements that are never closed, nested or quoted either way are what a parser makes of them."""
+    pages = pages.select("page_id", "url", "html", TR.page_parts("html", title_suffix).alias("_page"))
+    name = F.coalesce(F.nullif(F.col("_page.name"), F.lit("")), slug_name("url"))
+    pages = pages.select("page_id", "url", "html", name.alias("_name"), F.col("_page.text").alias("_text"),
+                         F.coalesce(F.nullif(F.col("_page.description"), F.lit("")), F.lit(H.DEFAULT_DESCRIPTION)).alias("_described"))
+    text = F.col("_text")
+    rec = [F.col("_name"), F.col("url"), F.col("_described"), H.text_duration(text), H.category(F.col("_name"), text),
+           H.adaptive_support(text), H.remote_support(text)]
+    return _records(pages, rec, failed_description)
+
+
+def parsed_text(pages: DataFrame) -> DataFrame:
+    """B18 from each page's tree: (page_id, text)."""
+    found = pages.select("page_id", TR.page_parts("html").alias("_page")).select("page_id", F.col("_page.text").alias("_text"))
+    return found.select("page_id", phrases("_text").alias("text"))
+
+
+def _records(pages: DataFrame, rec: list, failed_description: str) -> DataFrame:
+    """The catalog columns ``rec``, or the placeholder's for a page without markup, and the status."""
+    ok = F.col("html").isNotNull() & F.col("html").contains("<")
     placeholder = {"assessment_name": slug_name("url"), "url": F.col("url"),
                    "description": F.lit(failed_description), "duration_minutes": F.lit(None).cast("int"),
                    "test_type": F.lit(H.DEFAULT_CATEGORY), "adaptive_support": F.lit("Unknown"),

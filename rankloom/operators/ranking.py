@@ -5,11 +5,21 @@ Candidates are ``(query_id, key, pos, score, ...)`` with ``pos`` 0-based and den
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankloom.functions.rerank import POOL_SIZE, context_line, parse_reply, prompt_text, rank_score
+from rankloom.session import ensure_checkpoint_dir
+
+ASKED_AT_ONCE, PATIENCE = 8, 30.0       # prompts a task has out at a time, and seconds it waits for them
+WAVE = 1000                             # prompts whose replies are written as one table
 
 
 def prompt_context(cands: DataFrame, name: str = "assessment_name", test_type: str = "test_type",
@@ -56,3 +66,62 @@ def apply_rankings(cands: DataFrame, rankings: DataFrame | None, top_k: int | Co
               .withColumn("score", F.when(F.col("reranked"), rank_score("new_pos")).otherwise(F.col("score"))))
     w = W.partitionBy("query_id").orderBy(F.col("new_pos").asc_nulls_last(), F.col("pos").asc())
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).drop("new_pos")
+
+
+def replies_within(client: Callable[[str], str], prompts: list[str], patience: float) -> list[str | None]:
+    """The client's replies; None for a prompt it fails on, answers with no text, or has not answered in time."""
+    out: list[str | None] = [None] * len(prompts)
+
+    def ask(i: int) -> None:
+        try:
+            reply = client(prompts[i])
+        except Exception:  # noqa: BLE001 - whatever a client raises leaves that request's order as it is
+            return
+        out[i] = reply if isinstance(reply, str) else None
+
+    threads = [threading.Thread(target=ask, args=(i,), daemon=True) for i in range(len(prompts))]
+    for t in threads:
+        t.start()
+    until = time.monotonic() + patience
+    for t in threads:
+        t.join(max(0.0, until - time.monotonic()))
+    return list(out)                    # a late reply changes nothing any more
+
+
+def call_ranker(prompts: DataFrame, client_factory: Callable[[], Callable[[str], str]], path: str | None = None,
+                at_once: int = ASKED_AT_ONCE, patience: float = PATIENCE, wave: int = WAVE) -> DataFrame:
+    """K2: rankings(query_id, reply) of prompts(query_id, prompt) from a client that is called with whole prompts.
+
+    ``client_factory()`` is called once for each task and gives ``f(prompt) -> reply``; a task has at most
+    ``at_once`` prompts out at a time and waits ``patience`` seconds for them. A prompt without a reply (failed,
+    late, no text) has a null reply, which leaves its candidates' order as it is, and does not touch the others.
+
+    Equal prompts are asked once. Replies are written under ``path`` by prompt hash, about ``wave`` prompts at
+    a time: a job that is run again with the same path asks only for prompts without a reply, and a task that is
+    lost repeats its part of one wave, not those written."""
+    spark = prompts.sparkSession
+    path = (path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/replies-{uuid.uuid4().hex}").rstrip("/")
+    schema = "prompt_hash string, reply string"
+    keyed = prompts.select("query_id", "prompt", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("prompt_hash"))
+    written = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/none")
+    answered = written().filter("reply IS NOT NULL").select("prompt_hash")
+    asked = keyed.filter("prompt IS NOT NULL").groupBy("prompt_hash").agg(F.first("prompt").alias("prompt"))
+    todo = asked.join(answered, "prompt_hash", "left_anti").select("prompt_hash", "prompt")
+    job = uuid.uuid4().hex
+    todo.write.parquet(f"{path}-todo-{job}")
+    todo = spark.read.parquet(f"{path}-todo-{job}")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = client_factory()
+        for pdf in batches:
+            for a in range(0, len(pdf), at_once):
+                part = pdf.iloc[a:a + at_once]
+                yield pd.DataFrame({"prompt_hash": part["prompt_hash"], "reply": replies_within(client, part["prompt"].tolist(), patience)})
+
+    waves = max(1, -(-todo.count() // wave))
+    for n in range(waves):
+        part = todo.filter(F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)) == n)
+        part.mapInPandas(ask, schema).write.parquet(f"{path}/{job}-{n}")
+    best = written().groupBy("prompt_hash").agg(F.max("reply").alias("reply"))      # null only if every asking failed
+    return keyed.join(best, "prompt_hash", "left").select("query_id", "reply")

@@ -21,6 +21,7 @@ from rankloom.plans.search import TextSearch
 from rankloom.session import broadcast_below, materialize, text_bytes
 
 PREDICTION_QUERY_CHARS = 150
+GRAM = 3                    # characters a short passage is looked up by
 PAIR_BYTES = 64         # of a (query, document) pair in a broadcast
 
 
@@ -41,11 +42,19 @@ def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex
     texts = broadcast_below(qt.select("query_id", "query_text"), size + PAIR_BYTES * size)
     long = (corpus.select("key", "text").join(cand, "key").join(texts, "query_id")
                   .filter(F.instr(F.col("text"), F.col("query_text")) > 0).select("query_id", "key"))
-    # the short passages are one array, at most as large as the queries' text
-    short = qt.filter(F.size("toks") < 3).agg(F.collect_list(F.struct("query_id", "query_text"))).scalar()
-    found = corpus.select("key", "text", short.alias("short")).select("key", F.explode(F.filter(
-        "short", lambda q: F.coalesce(F.instr(F.col("text"), q["query_text"]) > 0, F.lit(False)))).alias("q"))
-    return long.unionByName(found.select("q.query_id", "key")).distinct()
+    # passages without an inside token: by their first characters, which a document that holds them has
+    short = qt.filter(F.size("toks") < 3).select("query_id", "query_text", F.substring("query_text", 1, GRAM).alias("gram"))
+    sizes = [r[0] for r in short.select(F.length("gram")).distinct().collect()]          # GRAM + 1 of them at most
+    if not sizes:
+        return long.distinct()
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    grams = F.concat(*[F.array(F.lit("")) if n == 0 else F.when(F.length("text") >= n, F.array_distinct(at(n))).otherwise(
+        F.array().cast("array<string>")) for n in sizes])
+    side = broadcast_below(short, size * (1 + PAIR_BYTES))
+    found = corpus.filter(F.col("text").isNotNull()).select("key", "text", F.explode(grams).alias("gram")).join(side, "gram") \
+        .filter(F.instr(F.col("text"), F.col("query_text")) > 0)
+    return long.unionByName(found.select("query_id", "key")).distinct()
+
 
 
 def train_queries(labelled: DataFrame, n_train: int = 10) -> DataFrame:

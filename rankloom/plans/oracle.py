@@ -130,7 +130,13 @@ SQL = {
         FROM documents""",
     "corpus_stats": f"""WITH {BM25_CTES}
         SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl, round((SELECT avg(idf0) FROM tm0), 6) AS avg_idf FROM st""",
-    "term_idf": f"""WITH {BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM tm""",
+    "term_idf": f"""
+        WITH d AS (SELECT unnest(list_distinct({tok('text')})) AS term FROM documents),
+        c AS (SELECT term, count(*) AS df FROM d GROUP BY term),
+        n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+        i AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf0 FROM c, n),
+        a AS (SELECT 0.25::DOUBLE * avg(idf0) AS least FROM i)
+        SELECT term, df, round(CASE WHEN idf0 < 0 THEN least ELSE idf0 END, 6) AS idf FROM i, a""",
     "bm25_scores": f"""WITH {BM25_CTES} SELECT query_id, key AS doc_id, round(score, 6) AS score FROM sc""",
     "bm25_topk": f"""WITH {BM25_CTES}
         SELECT query_id, key AS doc_id, round(score, 6) AS score, rank
@@ -640,3 +646,34 @@ SQL.update({
     "catalog_build": SQL["merge_catalog"].replace(f"SELECT {CATS}, CASE WHEN prio = 0 THEN 'current_scrape' ELSE 'dataset_urls' END AS source",
                                                   f"SELECT {CATS}"),
 })
+
+# ---- the same rows by another way --------------------------------------------------------
+CRAWL = f"""
+ct AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1) AS type FROM pages),
+cl AS (SELECT type, page_id, row_number() OVER (PARTITION BY type ORDER BY page_id) AS page FROM ct WHERE type <> ''),
+hr AS (SELECT page_id, url AS page_url,
+              unnest(regexp_extract_all({shown_sql('html')}, '(?i)<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
+mk AS (SELECT DISTINCT page_id, regexp_extract(page_url, '^[a-z]+://[^/?#]+', 0) || {decoded_sql('href')} AS url
+       FROM hr WHERE starts_with(href, '/') AND contains({decoded_sql('href')}, 't')),
+nl AS (SELECT cl.type, cl.page, cl.page_id, count(mk.url) AS n_links
+       FROM cl LEFT JOIN mk ON cl.page_id = mk.page_id GROUP BY ALL),
+rd AS (SELECT type, page, page_id, n_links, CASE WHEN n_links = 0 THEN 1 ELSE 0 END AS run FROM nl WHERE page = 1
+       UNION ALL
+       SELECT nl.type, nl.page, nl.page_id, nl.n_links, CASE WHEN nl.n_links = 0 THEN rd.run + 1 ELSE 0 END
+       FROM rd JOIN nl ON nl.type = rd.type AND nl.page = rd.page + 1 WHERE rd.run < 3)
+"""
+CRAWL_ROUND = "floor(log2((page - 1) / 8.0 + 1))::INTEGER"
+SQL.update({
+    "pruned_topk": SQL["bm25_topk"],
+    "cell_topk": SQL["vector_topk"],
+    "parsed_text": SQL["page_text"],
+    "crawl_reads": f"""WITH RECURSIVE {CRAWL}
+        SELECT type, page::INTEGER AS page, page_id, n_links, {CRAWL_ROUND} AS round FROM rd""",
+    "crawl_rounds": f"""WITH RECURSIVE {CRAWL},
+        fi AS (SELECT url, min(struct_pack(page := page, type := type)) AS f
+               FROM rd JOIN mk ON rd.page_id = mk.page_id GROUP BY url),
+        fp AS (SELECT url, f.type AS type, f.page AS page FROM fi)
+        SELECT url, type, page::INTEGER AS page, {CRAWL_ROUND} AS round FROM fp""",
+    "ranker_replies": f"""SELECT query_id, 'I choose [' || (length(prompt) % 20)::VARCHAR || '].' AS reply
+        FROM ({SQL['prompt_text']})""",
+})

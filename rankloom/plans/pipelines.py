@@ -31,9 +31,22 @@ def build_index(corpus: DataFrame, path: str, key: str = "key", text: str = "tex
     return search
 
 
-def load_index(spark: SparkSession, path: str, dim: int = dense.HASH_DIM, lenient: bool = False) -> TextSearch:
-    """A written index; with ``lenient`` missing tables are empty (A10)."""
-    return TextSearch(lexical.LexicalIndex.read(spark, f"{path.rstrip('/')}/lexical", lenient), dim)
+MANIFEST_SCHEMA = "model_name string, dimension int, num_assessments bigint, index_type string"
+
+
+def load_index(spark: SparkSession, path: str, dim: int | None = None, lenient: bool = False) -> TextSearch:
+    """A written index. The encoder and its dimension are those of the manifest, which must be there; an
+    encoder that is not this engine's, or a ``dim`` other than the manifest's, raises. With ``lenient`` any
+    other part that is missing is empty (A10)."""
+    base = path.rstrip("/")
+    if not lexical.exists(spark, f"{base}/manifest"):
+        raise FileNotFoundError(f"no manifest under {base}")
+    found = spark.read.schema(MANIFEST_SCHEMA).json(f"{base}/manifest").first()
+    if found is None or found["model_name"] != f"hashing-md5-{found['dimension']}":
+        raise ValueError(f"the index under {base} was written for another encoder: {found and found['model_name']}")
+    if dim not in (None, found["dimension"]):
+        raise ValueError(f"the index under {base} has {found['dimension']} dimensions, not {dim}")
+    return TextSearch(lexical.LexicalIndex.read(spark, f"{base}/lexical", lenient), found["dimension"])
 
 
 def build_catalog(pages: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

@@ -19,9 +19,11 @@ from rankloom.functions.query_filters import parse_filters
 from rankloom.functions.rerank import parse_reply
 from rankloom.operators.filters import hard_filter as hard_filter_op
 from rankloom.operators.metrics import ordered_split
-from rankloom.operators.ranking import apply_rankings as apply_rankings_op, prompt_context as context_op, prompts
+from rankloom.operators.fusion import hybrid_top_k
+from rankloom.operators.ranking import apply_rankings as apply_rankings_op, call_ranker, prompt_context as context_op, prompts
 from rankloom.functions import html as HT
 from rankloom.functions.text import display_duration, display_score, html_to_text, slug_name, truncate_ellipsis, url_slug
+from rankloom.operators import cells, crawl, latent, postings
 from rankloom.operators import pages as PG
 from rankloom.plans import evaluate as EV
 from rankloom.plans import pipelines as PL
@@ -79,6 +81,45 @@ def _doc_search(spark, sf) -> TextSearch:
     return search_for(f"documents@{sf}@{data_version(spark, sf, 'documents')}", T.document_corpus(spark, sf))
 
 
+_KEPT: dict = {}
+
+
+def _built(spark: SparkSession, sf: str, table: str, what: str, make):
+    """What ``make()`` builds from a table, kept while the table's files are the same; what an older
+    version of them gave is let go."""
+    at, version = (spark.sparkContext.applicationId, sf.rstrip("/"), what), data_version(spark, sf, table)
+    if _KEPT.get(at, ("",))[0] != version:
+        _KEPT[at] = (version, make())
+    return _KEPT[at][1]
+
+
+def _postings(spark, sf) -> postings.PostingsIndex:
+    return _built(spark, sf, "documents", "postings", lambda: postings.PostingsIndex.build(T.document_corpus(spark, sf)))
+
+
+def pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """G2 + C5 over sharded postings with range bounds: the rows of ``bm25_topk``."""
+    s = postings.top_k(T.benchmark_queries(spark, sf), _postings(spark, sf), 10)
+    return s.select("query_id", F.col("key").alias("doc_id"), _r("score"), "rank")
+
+
+def _latent(spark, sf) -> tuple[latent.Latent, DataFrame]:
+    def make():
+        space = latent.factorise(T.document_corpus(spark, sf))
+        return space, materialize(space.encode(T.document_corpus(spark, sf), "text").select("key", "embedding"), "latent_vectors")
+
+    return _built(spark, sf, "documents", "latent", make)
+
+
+def latent_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """B13 + G3: 30 best per passage, alpha 0.5, over BM25 and latent vectors of a factorisation."""
+    q = T.benchmark_queries(spark, sf)
+    space, vectors = _latent(spark, sf)
+    near = dense.exact_top_k(space.encode(q, "query_text"), vectors, 60)
+    h = hybrid_top_k(near, postings.top_k(q, _postings(spark, sf), 60), top_k=30, alpha=0.5)
+    return h.select("query_id", F.col("key").alias("doc_id"), _r("dense"), _r("bm25"), _r("score"), "rank")
+
+
 def hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Hashing-encoder vectors of every document as sparse (bucket, weight) rows."""
     v = dense.hash_vectors(T.document_corpus(spark, sf), "key", "text")
@@ -105,6 +146,14 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("query_id", "key", _r("score"), "rank")
 
 
+def cell_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """G1 + D3 over k-means cells visited by their bound: the rows of ``vector_topk``."""
+    e = T.load(spark, sf, "embeddings")
+    index = _built(spark, sf, "embeddings", "cells", lambda: cells.CellIndex.build(e, key="vec_id"))
+    t = cells.top_k(e, index, 10, qid="vec_id", exclude_same_key=True)
+    return t.select("query_id", "key", _r("score"), "rank")
+
+
 def vector_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest of the embeddings table."""
     return dense.manifest(T.load(spark, sf, "embeddings"), "given-embeddings")
@@ -200,6 +249,16 @@ def prompt_text(spark: SparkSession, sf: str) -> DataFrame:
     return prompts(T.order_requests(spark, sf), context_op(_order_cands(spark, sf)), 10)
 
 
+def _length_ranker():
+    """A stand-in client: it chooses one entry by the prompt's length."""
+    return lambda prompt: f"I choose [{len(prompt) % 20}]."
+
+
+def ranker_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: replies of a client that is called with every order request's prompt."""
+    return call_ranker(prompts(T.order_requests(spark, sf), context_op(_order_cands(spark, sf)), 10), _length_ranker)
+
+
 def parse_rankings(spark: SparkSession, sf: str) -> DataFrame:
     """Indices parsed from every reply (malformed replies give no rows)."""
     r = T.order_replies(spark, sf).select("query_id", parse_reply("reply").alias("idx"))
@@ -431,6 +490,31 @@ def crawl_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     return PG.crawl_cutoff(PG.crawl_log_from_events(T.load(spark, sf, "events")))
 
 
+#: What a link must hold to count in ``crawl_rounds``: about a quarter of the given pages has none.
+CRAWL_MARKER = "t"
+
+
+def crawl_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + F7 + H1 + H2: every url found by a crawl of the listing types in rounds, with the page that
+    first links it and the round that read it."""
+    return crawl.crawl(_pages(spark, sf), CRAWL_MARKER)[1]
+
+
+def crawl_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """the listing pages that this crawl reads before its types stop."""
+    return crawl.crawl(_pages(spark, sf), CRAWL_MARKER)[0].select("type", "page", "page_id", "n_links", "round")
+
+
+def parsed_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 + B4-B9: one catalog record per crawled page, from its tree."""
+    return PG.parsed_records(_pages(spark, sf))
+
+
+def parsed_text(spark: SparkSession, sf: str) -> DataFrame:
+    """B18 from the page's tree: the text of ``page_text``."""
+    return PG.parsed_text(_pages(spark, sf))
+
+
 def page_records(spark: SparkSession, sf: str) -> DataFrame:
     """A2 + A3 + B4-B9: one catalog record per crawled page."""
     return PG.page_records(_pages(spark, sf))
@@ -522,12 +606,15 @@ QUERIES = {
     "term_idf": term_idf,
     "bm25_scores": bm25_scores,
     "bm25_topk": bm25_topk,
+    "pruned_topk": pruned_topk,
     "hash_vectors": hash_vectors,
     "hashed_similarity": hashed_similarity,
     "l2_normalized": l2_normalized,
     "vector_topk": vector_topk,
+    "cell_topk": cell_topk,
     "vector_manifest": vector_manifest,
     "hybrid_topk": hybrid_topk,
+    "latent_hybrid": latent_hybrid,
     "semantic_only_topk": semantic_only_topk,
     "retrieve_pipeline": retrieve_pipeline,
     "diverse_topk": diverse_topk,
@@ -540,6 +627,7 @@ QUERIES = {
     "request_reject": request_reject,
     "prompt_context": prompt_context,
     "prompt_text": prompt_text,
+    "ranker_replies": ranker_replies,
     "parse_rankings": parse_rankings,
     "apply_rankings": apply_rankings,
     "recommend_batch": recommend_batch,
@@ -566,8 +654,12 @@ QUERIES = {
     "page_links": page_links,
     "new_links_per_page": new_links_per_page,
     "crawl_cutoff": crawl_cutoff,
+    "crawl_reads": crawl_reads,
+    "crawl_rounds": crawl_rounds,
     "page_records": page_records,
+    "parsed_records": parsed_records,
     "page_text": page_text,
+    "parsed_text": parsed_text,
     "keyword_category": keyword_category,
     "url_slugs": url_slugs,
     "slug_names": slug_names,

@@ -83,6 +83,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _bucketed_name(path: str) -> str:
+    import hashlib
+    return f"rankloom_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def write_bucketed(df: DataFrame, path: str, by: str, buckets: int) -> None:
+    """Write ``df`` as a bucketed folder. What the catalog knew of the path goes: the entry this
+    write needs, and that of an older table with other buckets (their files are external)."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {_bucketed_name(path)}")
+    name = f"{_bucketed_name(path)}_write"
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.mode("overwrite").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def bucketed_table(spark: SparkSession, path: str, schema: str, by: str, buckets: int) -> DataFrame:
+    """A bucketed folder as a table of the session's catalog, which holds the bucketing: one entry for
+    each path, however often it is read."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_bucketed_name(path)} ({schema}) USING parquet CLUSTERED BY ({by}) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(_bucketed_name(path))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of a plan's input as Spark's statistics have them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 # Broadcasts above this proven size are not asked for (Spark refuses them at 8 GB).
 BROADCAST_BYTES = 512 << 20
 
