@@ -6,7 +6,8 @@ features are the tags and class, id and role names of its ancestors and the shap
 gives every block the label main or boilerplate; Viterbi decodes the best sequence.
 
 Training pages are a bounded, hash-chosen sample of the table's rows that mark their article
-(``<article>`` or ``<main>``): each is labelled by that element, and their text is set again
+(``<article>`` or ``<main>``): each is labelled by that element, but for menus, forms, asides and
+footers in it, and their text is set again
 in LAYOUTS random layouts with known labels (menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments under many common names), so that the model does not depend
 on one site's markup. Weights are learned by AdaGrad on the conditional log-likelihood, in one
@@ -39,6 +40,9 @@ from rankloom.llm.shared import slices
 
 SAMPLE_PAGES, LAYOUTS, EPOCHS, RATE, DECAY = 300, 900, 6, 0.3, 1e-4
 MAIN, OTHER = 1, 0
+#: Elements that mark an article in the table's pages, those in it that are no part of it, and the mark of layouts.
+ARTICLE, ASIDE, MARKER = ("article", "main"), ("aside", "form", "nav", "footer"), "data-main"
+PAGE_BLOCKS, PAGE_DEPTH = 20_000, 200_000       # of a page that is trained on; extraction has no such limit
 
 HIDDEN = {"script", "style", "template", "noscript", "head", "iframe", "object", "svg", "canvas", "select", "textarea"}
 RAW = {"script", "style", "textarea", "title"}        # their content is not markup
@@ -58,11 +62,34 @@ _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\
 _TOKEN = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An element with its ancestors, linked to its parent: equal paths of a page are one object. ``fresh`` are
+    the features that no ancestor has, so a path's features are those of the elements up to the root."""
+    __slots__ = ("parent", "tag", "names", "fresh", "children", "score")
+
+    def __init__(self, parent: "Path | None", tag: str, names: tuple[str, ...], fresh: tuple[str, ...]):
+        self.parent, self.tag, self.names, self.fresh = parent, tag, names, fresh
+        self.children: dict[tuple, Path] = {}
+        self.score: tuple[float, float] | None = None
+
+    def up(self) -> Iterator["Path"]:
+        """The element and its ancestors, innermost first, without the page itself."""
+        at = self
+        while at.parent is not None:
+            yield at
+            at = at.parent
+
+    def elements(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        return tuple((p.tag, p.names) for p in self.up())[::-1]
+
+
 class Block:
-    __slots__ = ("text", "path", "linked", "chars")
+    """``article``: inside an article or main element and no menu, form, aside or footer of it; ``marked``: inside
+    a ``data-main`` element, which is no part of the path."""
+    __slots__ = ("text", "path", "linked", "chars", "article", "marked")
 
-    def __init__(self, text: str, path: tuple, linked: int, chars: int):
-        self.text, self.path, self.linked, self.chars = text, path, linked, chars
+    def __init__(self, text: str, path: Path, linked: int, chars: int, article: bool, marked: bool):
+        self.text, self.path, self.linked, self.chars, self.article, self.marked = text, path, linked, chars, article, marked
 
 
 @lru_cache(4096)
@@ -73,9 +100,13 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page with their ancestors ((tag, names), outermost first)."""
+    """The text blocks of a page with their paths, in one pass: what is asked of the open elements is kept
+    by name, so a step does not depend on how deep they are nested."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []                # tag, and the path of blocks in it
+    places: dict[str, list[int]] = {}                 # of the open elements of a name, outermost first
+    held: dict[str, int] = {}                         # features of the open block elements
+    root = Path(None, "", (), ())
     text: list[str] = []
     linked = hidden = 0
 
@@ -83,8 +114,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            path = tuple(e for e in stack if e[0] not in INLINE)
-            out.append(Block(whole, path, linked, len(whole)))
+            begun = min((places[t][0] for t in ARTICLE if places.get(t)), default=None)
+            article = begun is not None and not any(places[t][-1] > begun for t in ASIDE if places.get(t))
+            out.append(Block(whole, stack[-1][1] if stack else root, linked, len(whole), article, bool(places.get(MARKER))))
         text.clear()
         linked = 0
 
@@ -92,8 +124,31 @@ def blocks(page: str) -> list[Block]:
         nonlocal hidden
         if any(t not in INLINE for t, _ in stack[to:]):
             close()
-        hidden -= sum(t in HIDDEN for t, _ in stack[to:])
-        del stack[to:]
+        while len(stack) > to:
+            tag, path = stack.pop()
+            places[tag].pop()
+            hidden -= tag in HIDDEN
+            if tag not in INLINE and tag != MARKER:
+                for f in path.fresh:
+                    held[f] -= 1
+
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        nonlocal hidden
+        above = path = stack[-1][1] if stack else root
+        if tag not in INLINE and tag != MARKER:
+            path = above.children.get((tag, names))
+            if path is None:
+                own = ([] if tag in ("html", "body") else [f"tag {tag}"]) + [f"name {w}" for w in names]
+                path = above.children[tag, names] = Path(above, tag, names, tuple(f for f in own if not held.get(f)))
+            for f in path.fresh:
+                held[f] = held.get(f, 0) + 1
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, path))
+        hidden += tag in HIDDEN
+
+    def last(tags) -> int:
+        """Place of the innermost open element of ``tags``, -1 without one."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def data(raw: str) -> None:
         nonlocal linked
@@ -103,7 +158,7 @@ def blocks(page: str) -> list[Block]:
             return
         piece = entities.unescape(raw) if "&" in raw else raw
         text.append(piece)
-        if any(t == "a" for t, _ in stack):
+        if places.get("a"):
             linked += len(piece.strip())
 
     at, n = 0, len(page)
@@ -126,13 +181,10 @@ def blocks(page: str) -> list[Block]:
         at = tag.end()
         closing, name, attributes = tag[1], tag[2].lower(), tag[3]
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-            else:
-                if name not in INLINE:
-                    close()
+            if places.get(name):
+                pop(places[name][-1])
+            elif name not in INLINE:
+                close()
             continue
         if stack and stack[-1][0] == "head" and name not in OF_HEAD:
             pop(len(stack) - 1)
@@ -140,20 +192,15 @@ def blocks(page: str) -> list[Block]:
             data(" ")
             continue
         if name not in INLINE:
-            if any(t == "p" for t, _ in stack):                # no block stands inside a paragraph
-                pop(max(i for i, e in enumerate(stack) if e[0] == "p"))
+            if places.get("p"):                                # no block stands inside a paragraph
+                pop(places["p"][-1])
             kinds, walls = ENDS.get(name, ((), ()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in kinds:
-                    pop(i)
-                    break
-                if stack[i][0] in walls:
-                    break
+            if kinds and last(kinds) > last(walls):
+                pop(last(kinds))
             close()
         if name in VOID or attributes.endswith("/"):
             continue
-        stack.append((name, names_of(attributes) if "=" in attributes else ()))
-        hidden += name in HIDDEN
+        push(name, names_of(attributes) if "=" in attributes else ())
         if name in RAW:
             end = re.compile(f"</{name}", re.I).search(page, at)
             raw_end = end.start() if end else n
@@ -167,17 +214,17 @@ def size_of(text: str) -> int:
     return min(9, int(math.log2(text.count(" ") + 1)))
 
 
-@lru_cache(8192)
-def path_features(path: tuple) -> tuple[str, ...]:
-    found = {f"tag {t}" for t, _ in path if t not in ("html", "body")}
-    found |= {f"name {w}" for _, names in path for w in names}
-    if path:
-        found.add(f"parent {path[-1][0]}")
-        found |= {f"own {w}" for w in path[-1][1]}
-    return tuple(sorted(found))
+def path_features(path: Path) -> list[str]:
+    return [f for p in path.up() for f in p.fresh] + last_features(path)
+
+
+def last_features(path: Path) -> list[str]:
+    """The features of a path's last element that its ancestors have no part in."""
+    return [f"parent {path.tag}", *(f"own {w}" for w in path.names)] if path.parent else []
 
 
 def features(page: list[Block]) -> list[list[str]]:
+    """The features of each block's text and place; those of its path stay with the path."""
     sizes = [size_of(b.text) for b in page]
     out = []
     for i, b in enumerate(page):
@@ -189,9 +236,9 @@ def features(page: list[Block]) -> list[list[str]]:
                  f"sentences {min(3, b.text.count('. '))}"]
         if "©" in b.text or "·" in b.text or " | " in b.text:
             found.append("rule sign")
-        if i and page[i - 1].path == b.path:
+        if i and page[i - 1].path is b.path:
             found.append("like before")
-        out.append(found + list(path_features(b.path)))
+        out.append(found)
     return out
 
 
@@ -201,25 +248,40 @@ class Chain:
     def __init__(self, weights: dict[str, list[float]], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
 
-    def scores(self, page: list[list[str]]) -> list[tuple[float, float]]:
+    def total(self, found, a: float = 0.0, b: float = 0.0) -> tuple[float, float]:
         get = self.weights.get
-        out = []
-        for found in page:
-            a = b = 0.0
-            for f in found:
-                w = get(f)
-                if w:
-                    a += w[0]
-                    b += w[1]
-            out.append((a, b))
-        return out
-
-    def decode(self, page: list[list[str]]) -> list[int]:
+        for f in found:
+            w = get(f)
+            if w:
+                a += w[0]
+                b += w[1]
+        return a, b
+
+    def of_path(self, path: Path) -> tuple[float, float]:
+        """The scores of a path's elements: of each its parent's and its fresh features', added up once."""
+        todo, at = [], path
+        while at.score is None and at.parent is not None:
+            todo.append(at)
+            at = at.parent
+        score = at.score or (0.0, 0.0)
+        for p in reversed(todo):
+            score = p.score = self.total(p.fresh, *score)
+        return score
+
+    def scores(self, page: list[Block]) -> list[tuple[float, float]]:
+        last: dict[Path, list[str]] = {}
+        return [self.total(found, *self.total(last.setdefault(b.path, last_features(b.path)), *self.of_path(b.path)))
+                for b, found in zip(page, features(page), strict=True)]
+
+    def decode(self, page: list[Block]) -> list[int]:
+        return self.best(self.scores(page))
+
+    def best(self, scores: list[tuple[float, float]]) -> list[int]:
         """The most likely label sequence (Viterbi); ties go to boilerplate."""
-        if not page:
+        if not scores:
             return []
         (oo, om), (mo, mm) = self.moves
-        back, scores = [], self.scores(page)
+        back = []
         other, main = scores[0]
         for a, b in scores[1:]:
             from_main = (main + mo > other + oo, main + mm > other + om)
@@ -300,7 +362,7 @@ FILLER = "This is a plain sentence, and here is another one. It has words enough
 
 def layout(paragraphs: list[str], words: list[str], rng: random.Random) -> str:
     """A page with an article's paragraphs in a random layout; a ``data-main`` element marks each
-    main block, and ``labelled`` removes it from the paths."""
+    main block."""
     def some(low: int, high: int) -> str:
         text = " ".join(rng.choice(words) for _ in range(rng.randint(low, high)))
         return entities.escape(text[:1].upper() + text[1:])
@@ -320,6 +382,10 @@ def layout(paragraphs: list[str], words: list[str], rng: random.Random) -> str:
     item = lambda text: f"<li>{text}</li>"
     lists = lambda n: "<ul>" + "".join(item(link(some(1, 4))) for _ in range(n)) + "</ul>"
 
+    def heading(most: int) -> str:
+        level = rng.choice(["h2", "h3", "h3", "h4"])
+        return f"<{level}>{some(1, most)}</{level}>"
+
     def boilerplate(kind: str) -> str:
         if kind == "menu":
             inner = lists(rng.randint(2, 9)) if rng.random() < 0.7 else " | ".join(link(some(1, 2)) for _ in range(4))
@@ -328,7 +394,7 @@ def layout(paragraphs: list[str], words: list[str], rng: random.Random) -> str:
         elif kind == "footer":
             inner = f"&copy; {some(1, 4)} &middot; {some(1, 6)}" if rng.random() < 0.6 else f"<p>{sentences(1, 2)}</p>{lists(3)}"
         elif kind == "sidebar":
-            inner = f"<h3>{some(1, 4)}</h3>" + rng.choice([lists(rng.randint(2, 6)), f"<p>{sentences(1, 3)}</p>",
+            inner = heading(4) + rng.choice([lists(rng.randint(2, 6)), f"<p>{sentences(1, 3)}</p>",
                                                            "".join(f"<p>{link(some(4, 10))}</p>" for _ in range(3))])
         elif kind == "notice":
             inner = f"<p>{sentences(1, 3)}</p>" + rng.choice(["", "<button>OK</button>", link(some(1, 3))])
@@ -339,15 +405,30 @@ def layout(paragraphs: list[str], words: list[str], rng: random.Random) -> str:
         elif kind == "comments":
             one = lambda: wrap(rng.choice(["li comment", "div comment", "div reply", "div"]),
                                f"<p>{some(1, 2)}</p><p>{sentences(1, 4)}</p>")
-            inner = f"<h3>{some(1, 3)}</h3>" + "".join(one() for _ in range(rng.randint(1, 5)))
+            inner = heading(3) + "".join(one() for _ in range(rng.randint(1, 5)))
         else:
             inner = "".join(f"<span>{some(1, 2)}</span> " for _ in range(rng.randint(1, 4)))
         return wrap(rng.choice(OTHER_NAMES[kind]), inner)
 
+    def figures() -> str:
+        """A table, list of terms or listing, as articles have them."""
+        number = lambda: f"{rng.randint(1, 99)},{rng.randint(100, 999)}" if rng.random() < 0.5 else some(1, 4)
+        kind = rng.random()
+        if kind < 0.6:
+            head = rng.choice(["td", "th"])
+            row = lambda: f"<tr><{head}>{some(1, 3)}</{head}>" + "".join(f"<td>{number()}</td>" for _ in range(wide)) + "</tr>"
+            wide = rng.randint(1, 3)
+            return f"<table{rng.choice(['', ' class=infobox', ' class=data'])}>" + "".join(row() for _ in range(rng.randint(1, 6))) + "</table>"
+        if kind < 0.8:
+            return "<dl>" + "".join(f"<dt>{some(1, 3)}</dt><dd>{some(2, 12)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+        return "<pre>" + "\n".join(f"{some(1, 2)} = {number()}" for _ in range(rng.randint(1, 5))) + "</pre>"
+
     body = []
     if rng.random() < 0.8:
         level = rng.choice(["h1", "h1", "h2", "p"])
-        body.append(f"<{level}>{some(2, 10)}</{level}>")
+        body.append(f"<{level}>{some(rng.choice([1, 2]), 10)}</{level}>")
+    if rng.random() < 0.15:
+        body.append(figures())
     for p in paragraphs:
         kind = rng.random()
         text = entities.escape(p)
@@ -355,6 +436,8 @@ def layout(paragraphs: list[str], words: list[str], rng: random.Random) -> str:
             body.append(f"<h2>{some(1, 6)}</h2>")
         if kind < 0.06:
             body.append("<ul>" + "".join(item(some(3, 12)) for _ in range(rng.randint(2, 4))) + "</ul>")
+        if 0.06 < kind < 0.12:
+            body.append(figures())
         if kind > 0.93:
             body.append(f"<blockquote>{text}</blockquote>")
         else:
@@ -375,30 +458,32 @@ def layout(paragraphs: list[str], words: list[str], rng: random.Random) -> str:
     return "<html><body>" + "".join(before) + main + "".join(after) + "</body></html>"
 
 
-def labelled(page: str, main_tags: tuple[str, ...]) -> tuple[list[list[str]], list[int]]:
-    """Features and labels of a page whose main blocks stand inside one of ``main_tags``."""
-    found = blocks(page)
-    labels = [MAIN if any(t in main_tags for t, _ in b.path) else OTHER for b in found]
+def labelled(found: list[Block], labels: list[bool]) -> tuple[list[list[str]], list[int]]:
+    """Features, those of the paths included, and labels of a training page."""
+    of_path: dict[Path, list[str]] = {}
     for b in found:
-        b.path = tuple(e for e in b.path if e[0] != "data-main")
-    return features(found), labels
+        of_path.setdefault(b.path, path_features(b.path))
+    return [f + of_path[b.path] for f, b in zip(features(found), found, strict=True)], [MAIN if x else OTHER for x in labels]
 
 
 def train_on(pages: list[str], layouts: int = LAYOUTS, seed: int = 7) -> Chain:
     rng, data = random.Random(seed), []
     articles = []
     for page in pages:
-        own = labelled(page, ("article", "main"))
-        if any(own[1]):
-            data.append(own)
-            articles.append([b.text for b in blocks(page) if any(t in ("article", "main") for t, _ in b.path)])
+        found = blocks(page)
+        # a page of very deep elements says no more than others, and its features would be very many
+        deep = sum(sum(1 for _ in p.up()) for p in {b.path for b in found}) if len(found) < PAGE_BLOCKS else PAGE_DEPTH + 1
+        if any(b.article for b in found) and deep <= PAGE_DEPTH:
+            data.append(labelled(found, [b.article for b in found]))
+            articles.append([b.text for b in found if b.article])
     articles = articles or [[FILLER] * 5] * 20
     words = sorted({w for a in articles for p in a for w in p.split()[:200]})
     for n in range(layouts):
         article = articles[n % len(articles)]
         most = rng.choice([15, 60, 60, 250, 5000])              # words of a paragraph
         paragraphs = [" ".join(p.split()[i:i + most]) for p in article for i in range(0, len(p.split()), most)]
-        data.append(labelled(layout(paragraphs[:rng.choice([1, 2, 4, 8, 24, 24])], words, rng), ("data-main",)))
+        found = blocks(layout(paragraphs[:rng.choice([1, 2, 4, 8, 24, 24])], words, rng))
+        data.append(labelled(found, [b.marked for b in found]))
     return fit(data, seed)
 
 
@@ -418,7 +503,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Chain:
 
 def main_text(page: str | None, model: Chain) -> str:
     found = blocks(page or "")
-    return "\n\n".join(b.text for b, label in zip(found, model.decode(features(found)), strict=True) if label == MAIN)
+    return "\n\n".join(b.text for b, label in zip(found, model.decode(found), strict=True) if label == MAIN)
 
 
 def extract(pages: DataFrame, model: Chain) -> DataFrame:

@@ -38,6 +38,7 @@ MAX_WORDS = 20_000
 MAX_GRAMS = 10_000
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
+PRIOR = 5.0                 # words that count as half known besides a text's own
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20       # text scored at once: each of its words holds a row of numbers
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,6 +75,11 @@ class LanguageModel:
     grams: dict[str, int]
     table: np.ndarray
 
+    def knows(self) -> np.ndarray:
+        """1 where a language knows a row's word: its share is over half of what no knowledge gives."""
+        least = -np.log(2 * max(1, len(self.langs)))
+        return (self.table >= least).astype(np.float32)
+
     def rows_of(self, word: str) -> list[int]:
         """The word's row, or those of its longest known n-grams; empty if nothing is known."""
         known = self.words.get(word)
@@ -152,49 +158,60 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` plus lang_pred and score of the whole ``text`` column."""
+    """``keep`` columns of ``docs`` plus lang_pred, score and known of the whole ``text`` column; known is
+    the share of the text's words that the predicted language's vocabulary holds, with PRIOR more words of which
+    half are known: a long text needs real words, a text of a few words is not judged by them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     read = text if text in keep else "__text"           # a kept text goes to the tasks once
     source = docs.select(*[F.col(c) for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
-    schema = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known")).schema
 
     def run(batches):
         m = shared.value
-        width = len(m.langs) + 1
+        n_langs, knows = len(m.langs), m.knows()
+        width = 2 * n_langs + 2
 
         def resolve(chunks):
-            # rows of all words of all chunks, each with its share of its word's mean
-            rows, shares, bounds, letters = [], [], [0], []
+            # rows of all words of all chunks, each with its share of its word's mean, and of known words
+            rows, shares, bounds, letters, whole, ends, sizes = [], [], [0], [], [], [0], []
             for chunk in chunks:
                 text = chunk.decode("utf-8", "replace")
                 words = words_of(text)
                 for word in words:
+                    if word in m.words:
+                        whole.append(m.words[word])
                     found = m.rows_of(word)
                     rows += found
                     shares += [1 / max(1, len(found))] * len(found)
                 bounds.append(len(rows))
+                ends.append(len(whole))
+                sizes.append(len(words))
                 letters.append(bool(words) or any(map(str.isalpha, text)))
             values = np.zeros((len(chunks), width), np.float32)
-            values[:, -1] = letters
+            values[:, -2], values[:, -1] = letters, sizes
             if rows:
-                values[:, :-1] = sums_between(m.table[rows] * np.array(shares)[:, None], np.array(bounds))
+                values[:, :n_langs] = sums_between(m.table[rows] * np.array(shares)[:, None], np.array(bounds))
+            if whole:
+                values[:, n_langs:-2] = sums_between(knows[whole], np.array(ends))
             return np.full(len(chunks), width), values.ravel()
 
         cache = RaggedCache(resolve, np.float32)
         for s in slices(batches, read, SLICE_BYTES):
             flat, bounds = cache.rows([t.split() for t in as_bytes(s.column(read))])
             sums = sums_between(flat.reshape(-1, width), bounds // width)
-            scores, letters = sums[:, :-1], sums[:, -1] > 0.5
-            if width > 1:
+            scores, letters = sums[:, :n_langs], sums[:, -2] > 0.5
+            known = np.zeros(len(sums))
+            if n_langs:
                 best = scores.argmax(axis=1)
+                known = (sums[np.arange(len(sums)), n_langs + best] + PRIOR / 2) / (sums[:, -1] + PRIOR)
                 sure = 1.0 / np.exp(np.minimum(scores - scores.max(axis=1, keepdims=True), 0)).sum(axis=1)
             else:
                 best, sure, letters = np.zeros(len(sums), int), np.zeros(len(sums)), letters & False
             yield pa.RecordBatch.from_arrays(
                 [*[s.column(c) for c in keep],
                  pa.array([m.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], pa.string()),
-                 pa.array(np.where(letters, sure, 0.0), pa.float64())],
-                [*keep, "lang_pred", "score"])
+                 pa.array(np.where(letters, sure, 0.0), pa.float64()), pa.array(np.where(letters, known, 0.0), pa.float64())],
+                [*keep, "lang_pred", "score", "known"])
 
     return source.mapInArrow(run, schema)
 

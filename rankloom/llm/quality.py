@@ -81,7 +81,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     sample = (known.filter(F.col("quality").isin(0, 1))
                    .filter(hashed_share(share[F.col("quality")], "quality"))
                    .limit(4 * docs_per_label))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    # a repeated id is one row, that of the smallest text hash: the fit's input is bounded by the labels
+    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality")
+                .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row")).select("doc_id", "row.text", "quality"))
 
     def extract(batches):
         features = Features(buckets)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.topk import top_k_per_group
 
-SHARD, TILE, BLOCK, FAN = 8192, 4096, 512, 32
+SHARD, TILE, BLOCK, FAN = 8192, 32_768, 512, 32
 EXACT = 1 << 53
 
 
@@ -93,14 +93,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, shard: int = SHARD,
     """query_id, rank (from 1), vec_id, score: for every row of ``queries(key, q)`` the k rows
     of ``vectors(key, q)`` with another key and the highest inner products."""
     one = queries.groupBy("key").agg(F.min("q").alias("q"))
+    total, asked = vectors.count(), queries.count()
     # both sides may come from one table: fresh columns keep them apart in the cogroup
     vectors = vectors.select((F.col("key") + F.lit(0)).alias("key"), F.col("q").alias("q"))
-    shards = max(1, -(-vectors.count() // shard))
-    tiles = max(1, -(-queries.count() // tile))
+    # equal rows have equal scores: more than k of them can never all be listed, and they are counted, not
+    # moved, before they are dealt by key, vector and copy
+    vectors = vectors.groupBy("key", "q").agg(F.count(F.lit(1)).alias("copies")).select(
+        "key", "q", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)))).alias("copy"))
+    shards = max(1, -(-total // shard))
+    tiles = max(1, -(-asked // tile))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = one.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int")).withColumn("shard", numbers(shards))
-    right = vectors.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)).cast("int")) \
-        .withColumn("tile", numbers(tiles))
+    right = vectors.withColumn("shard", F.pmod(F.xxhash64("key", "q", "copy"), F.lit(shards)).cast("int")) \
+        .withColumn("tile", numbers(tiles)).drop("copy")
     key = dict(queries.dtypes)["key"]
 
     def run(group: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:

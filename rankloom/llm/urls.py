@@ -47,15 +47,15 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class DigestList:
-    """The list's file: the number of keys and of path lengths, those lengths, the digests, each
-    key's end in the strings, the verdicts (1: block), the strings."""
+    """The list's file: the number of keys, of path lengths and of label counts, those lengths and
+    counts, the digests, each key's end in the strings, the verdicts (1: block), the strings."""
 
     def __init__(self, data):
         word = lambda at, n: np.frombuffer(data, "<u8", n, at)
-        n, kinds = word(0, 2).tolist()
-        at = 16
-        self.path_lengths = word(at, kinds).tolist()
-        self.digests, at = word(at + 8 * kinds, n), at + 8 * kinds + 8 * n
+        n, lengths, counts = word(0, 3).tolist()
+        self.path_lengths, self.label_counts = word(24, lengths).tolist(), word(24 + 8 * lengths, counts).tolist()
+        at = 24 + 8 * (lengths + counts)
+        self.digests, at = word(at, n), at + 8 * n
         self.ends, at = word(at, n), at + 8 * n
         self.blocks, at = np.frombuffer(data, np.uint8, n, at), at + n
         self.strings, self.at = data, at
@@ -68,8 +68,9 @@ class DigestList:
             verdicts[key] = verdicts.get(key, False) or block
         keys = sorted(verdicts, key=lambda k: (xxhash.xxh64_intdigest(k), k))
         lengths = sorted({len(path) for _, path, _ in rules})      # in characters
+        counts = sorted({host.count(".") + 1 for host, _, _ in rules})
         return b"".join((
-            np.array([len(keys), len(lengths), *lengths], "<u8").tobytes(),
+            np.array([len(keys), len(lengths), len(counts), *lengths, *counts], "<u8").tobytes(),
             np.array([xxhash.xxh64_intdigest(k) for k in keys], "<u8").tobytes(),
             np.cumsum([len(k) for k in keys], dtype="<u8").tobytes(),
             np.array([verdicts[k] for k in keys], np.uint8).tobytes(), *keys))
@@ -94,9 +95,12 @@ class DigestList:
         """The longest fitting rule of each (host, path) and whether it blocks."""
         keys, owner = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            labels = host.split(".") if host else []
-            for at in range(len(labels)):
-                domain = ".".join(labels[at:])
+            # only suffixes of as many labels as some rule's host has: no others can be in the list
+            labels = host.count(".") + 1 if host else 0
+            for n_labels in self.label_counts:
+                if n_labels > labels:
+                    break
+                domain = host if n_labels == labels else ".".join(host.rsplit(".", n_labels)[1:])
                 for n in self.path_lengths:
                     if n <= len(path):
                         keys.append((domain + path[:n]).encode())

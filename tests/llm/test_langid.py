@@ -36,7 +36,8 @@ def test_predict_defined_cases(docs_of):
     got = langid.predict(docs_of(rows), words_model(), ["doc_id"]).collect()
     by = [(r.doc_id, r.lang_pred) for r in got]
     assert by == [(1, "und"), (2, "und"), (3, "und"), (4, "de"), (5, "en"), (None, "en"), (4, "de"), (6, "de")]
-    assert [r.score for r in got[:3]] == [0, 0, 0]
+    assert [r.score for r in got[:3]] == [0, 0, 0] and [r.known for r in got[:3]] == [0, 0, 0]
+    assert got[3].known == (2 + 2.5) / (2 + 5) and got[-1].known == 2.5 / 6
     assert all(0 <= r.score <= 1 for r in got) and got[-1].score == 0.5
 
 
@@ -57,3 +58,51 @@ def test_labels_are_no_input_of_a_prediction(table):
     a = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.identify(docs).collect()}
     b = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.identify(hidden).collect()}
     assert a == b
+
+
+def plain_prediction(docs, folds=5):
+    """Counts, tables and predictions of whole texts in plain Python, from every row outside the fold (tables
+    small enough that the sample and the vocabularies are whole)."""
+    import collections
+    import math
+    counts = collections.defaultdict(collections.Counter)
+    for doc_id, text, lang in docs:
+        if lang is None or zlib.crc32(str(doc_id).encode()) % folds == 0:
+            continue
+        for w in langid.words_of(text or ""):
+            counts[lang, "0"][w] += 1
+            for n in langid.LENGTHS:
+                counts[lang, str(n)].update(langid.grams_of(w, n))
+    langs = sorted({lang for lang, _ in counts})
+    kinds = {(x, n): (sum(counts[x, n].values()), len(counts[x, n])) for x in langs for n in "054321"}
+
+    def logs(n, g):
+        if not any(g in counts[x, n] for x in langs):
+            return None
+        raw = [math.log(counts[x, n][g] + langid.SMOOTHING) - math.log(kinds[x, n][0] + langid.SMOOTHING * (kinds[x, n][1] + 1)) for x in langs]
+        z = math.log(sum(math.exp(r) for r in raw))
+        return [r - z for r in raw]
+
+    out = {}
+    for doc_id, text, _ in docs:
+        words = langid.words_of(text or "")
+        total = [0.0] * len(langs)
+        for w in words:
+            found = [x for x in [logs("0", w)] if x]
+            for n in langid.LENGTHS if not found else ():
+                found = [x for g in langid.grams_of(w, n) if (x := logs(str(n), g))]
+                if found:
+                    break
+            total = [t + sum(f[i] for f in found) / max(1, len(found)) for i, t in enumerate(total)]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        score = 1 / sum(math.exp(t - total[best]) for t in total)
+        out[doc_id] = (langs[best], score) if words else ("und", 0.0)
+    return out
+
+
+def test_predictions_equal_a_plain_computation(docs_of, table):
+    rows = [(r.doc_id, r.text[:400], r.lang) for r in table("documents").select("doc_id", "text", "lang").limit(60).collect()]
+    rows += [(1000, "", "en"), (1001, "zzzqq", None)]
+    want = plain_prediction(rows)
+    for r in langid.identify(docs_of([(i, t, x, "s") for i, t, x in rows])).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3, r

@@ -60,3 +60,14 @@ def test_defined_cases(spark):
 def test_a_list_over_the_bound_is_refused(spark):
     with pytest.raises(ValueError, match="max_bytes"):
         urls.checked_list(spark.createDataFrame(RULES, SCHEMA), max_bytes=10)
+
+
+def test_hosts_of_very_many_labels_take_little_memory():
+    import tracemalloc
+    listed = urls.DigestList(urls.DigestList.build([("com", "/", False), ("b.com", "/", True), ("x.y.z.com", "", True)]))
+    host = "a." * 50_000 + "b.com"
+    tracemalloc.start()
+    got = listed.judge([host, "com", "y.z.com", "w.x.y.z.com", ""], ["/p", "/", "/", "", "/"])
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert got == [("b.com/", True), ("com/", False), ("com/", False), ("x.y.z.com", True), None]
