@@ -5,8 +5,8 @@ again as the next one's docs. All but the last return the columns of documents,
 that the stage keeps; the last returns the packed pieces. A stage works on all rows that the
 one before it kept.
 
-Defined cases are those of the operators. A row with a null id is judged by language and
-quality like any other, and stays in the near-dedup.
+Defined cases are those of the operators. A row with a null id is judged like any other; in the
+near-dedup it goes if a row with an id, or another without one, stands for its component.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ from rankloom.llm.queries import read
 from rankloom.llm.shared import Scratch
 
 MIN_LANGUAGE_SCORE = 0.5
+MIN_KNOWN_WORDS = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is identified: texts without a letter and those whose best language
-    has a probability under MIN_LANGUAGE_SCORE go."""
+    """Rows whose language is identified: texts without a letter go, those whose best language has a
+    probability under MIN_LANGUAGE_SCORE, and those in no learned language, of whose words (whatever their
+    number) the best language knows a share under MIN_KNOWN_WORDS."""
     judged = langid.predict(_tagged(docs), langid.learn(docs), _held(docs), "held_text")
-    return _untagged(judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
+    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return _untagged(judged.filter(sure & (F.col("known") >= MIN_KNOWN_WORDS)), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id."""
+    """One row of each near-duplicate group: that with the smallest id."""
     return simhash.keep_one(docs)
 
 
