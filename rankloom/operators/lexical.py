@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import tokens
 from rankloom.operators.dense import HASH_DIM, hash_bucket
 from rankloom.operators.topk import score_order, top_k_per_group
-from rankloom.session import broadcast_below, bucketed_table, ensure_checkpoint_dir, plan_bytes, text_bytes, write_bucketed
+from rankloom.session import broadcast_below, bucketed_table, ensure_checkpoint_dir, text_bytes, write_bucketed
 
 # The Okapi BM25 defaults the reference uses.
 K1 = 1.5
@@ -74,7 +74,7 @@ class LexicalIndex:
         read it back. Two shuffles: rows to their bucket, and terms to their count."""
         spark = corpus.sparkSession
         path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/index-{uuid.uuid4().hex}"
-        n_buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-plan_bytes(corpus) // BUCKET_BYTES))
+        n_buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-text_bytes(corpus, text) // BUCKET_BYTES))
         counted = count_terms(corpus, key, text, dim)
         write_bucketed(counted.repartition(n_buckets, "key"), f"{path}/documents", "key", n_buckets)
         spark.createDataFrame([(n_buckets, dict(counted.dtypes)["key"])], "buckets int, key_type string") \

@@ -43,20 +43,19 @@ def containment_truth(queries: DataFrame, corpus: DataFrame, index: LexicalIndex
     long = (corpus.select("key", "text").join(cand, "key").join(texts, "query_id")
                   .filter(F.instr(F.col("text"), F.col("query_text")) > 0).select("query_id", "key"))
     # passages without an inside token: by their first characters, which a document that holds them has
-    short = qt.filter(F.size("toks") < 3).select("query_id", "query_text", F.substring("query_text", 1, GRAM).alias("gram"))
-    sizes = [r[0] for r in short.select(F.length("gram")).distinct().collect()]          # GRAM + 1 of them at most
+    short = qt.filter((F.size("toks") < 3) & (F.length("query_text") > 0)).select("query_id", "query_text", F.substring("query_text", 1, GRAM).alias("gram"))
+    sizes = [r[0] for r in short.select(F.length("gram")).distinct().collect()]          # GRAM of them at most
     if not sizes:
         return long.distinct()
     at = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-    grams = F.concat(*[F.array(F.lit("")) if n == 0 else F.when(F.length("text") >= n, F.array_distinct(at(n))).otherwise(
+    grams = F.concat(*[F.when(F.length("text") >= n, F.array_distinct(at(n))).otherwise(
         F.array().cast("array<string>")) for n in sizes])
     side = broadcast_below(short, size * (1 + PAIR_BYTES))
-    found = corpus.filter(F.col("text").isNotNull()).select("key", "text", F.explode(grams).alias("gram")).join(side, "gram") \
-        .filter(F.instr(F.col("text"), F.col("query_text")) > 0)
+    met = corpus.filter(F.col("text").isNotNull()).select("key", F.explode(grams).alias("gram")).join(side, "gram").drop("gram")
+    found = corpus.select("key", "text").join(met, "key").filter(F.instr(F.col("text"), F.col("query_text")) > 0)
     return long.unionByName(found.select("query_id", "key")).distinct()
 
 
-
 def train_queries(labelled: DataFrame, n_train: int = 10) -> DataFrame:
     """F4 for an evaluation: (query_id, query_text) of the first ``n_train`` distinct queries of
     labelled(Query, Assessment_url, ord), numbered in first-seen order."""

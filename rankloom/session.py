@@ -106,11 +106,6 @@ def bucketed_table(spark: SparkSession, path: str, schema: str, by: str, buckets
     return spark.table(_bucketed_name(path))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes of a plan's input as Spark's statistics have them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 # Broadcasts above this proven size are not asked for (Spark refuses them at 8 GB).
 BROADCAST_BYTES = 512 << 20
 

@@ -117,3 +117,30 @@ def test_encoder_hook_unit_vectors(spark):
     top = dense.exact_top_k(spark.createDataFrame([(9, out[1])], "query_id long, embedding array<float>"),
                             spark.createDataFrame(list(out.items()), "key long, embedding array<float>"), 1)
     assert top.first().key == 1
+
+
+def test_an_index_loads_by_its_manifest(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "red apple"), (2, "green tart"), (3, None)], "key long, text string")
+    path = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        pipelines.load_index(spark, path, lenient=True)
+    for _ in range(2):                                  # written again: the same catalog entry, no more of them
+        pipelines.build_index(corpus, path, dim=64)
+        before = len(spark.catalog.listTables())
+    assert pipelines.load_index(spark, path).dim == 64
+    assert len(spark.catalog.listTables()) == before
+    with pytest.raises(ValueError):
+        pipelines.load_index(spark, path, dim=128)
+    spark.createDataFrame([("other-model", 64, 2, "x")], pipelines.MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    with pytest.raises(ValueError):
+        pipelines.load_index(spark, path)
+
+
+def test_short_passages_are_found_verbatim(spark):
+    from rankloom.plans.evaluate import containment_truth
+    texts = ["abc def", "xabcx", "AB", None, "", "ab", "long words that make a passage of their own", "a  b"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    passages = ["abc", "b", "", "c d", "zz", "words that make a passage", "  "]
+    queries = spark.createDataFrame(list(enumerate(passages)), "query_id long, query_text string")
+    got = containment_truth(queries, corpus, TextSearch.build(corpus).index).collect()
+    assert sorted(map(tuple, got)) == sorted((i, j) for i, q in enumerate(passages) for j, t in enumerate(texts) if q and t is not None and q in t)
