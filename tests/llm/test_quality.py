@@ -64,3 +64,69 @@ def test_accuracy_on_held_out_rows(spark):
     got = quality.classify(docs, marks).join(marks, "doc_id").filter("held_out").toPandas()
     assert (got.quality == got.predicted).mean() > 0.97
     assert got[got.quality == 1].predicted.mean() > 0.98
+
+
+def plain_features(text, buckets):
+    """Hashed unigrams and bigrams of one text with their values, in plain Python."""
+    import re
+
+    import xxhash
+    hashes = [xxhash.xxh64_intdigest(t) for w in (text or "").encode().split() for t in re.findall(r"\w+|[^\w\s]+", w.decode())]
+    slots = [h & (buckets - 1) for h in hashes]
+    for a, b in zip(hashes, hashes[1:]):
+        mixed = (a * 0x9E3779B97F4A7C15 + (b ^ (b >> 29))) % 2 ** 64
+        slots.append((xxhash.xxh64_intdigest("\0repeat") if a == b else mixed ^ (mixed >> 32)) & (buckets - 1))
+    return {s: quality.SCALE * slots.count(s) / len(slots) for s in set(slots)}
+
+
+def plain_scores(rows, marks, buckets):
+    """Training in hash order and scores of all rows, one slot at a time."""
+    import math
+    import zlib
+
+    import xxhash
+    labels = {}
+    for doc_id, q, _ in marks:
+        if doc_id is not None and q is not None:
+            labels[doc_id] = min(q, labels.get(doc_id, q))
+    train = [(i, plain_features(t, buckets), labels[i]) for i, t, *_ in rows if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    train.sort(key=lambda x: xxhash.xxh64_intdigest(str(x[0])))
+    z, n = [0.0] * (buckets + 1), [0.0] * (buckets + 1)
+
+    def weight(s):
+        l1 = quality.L1 if s < buckets else 0.0
+        if abs(z[s]) <= l1:
+            return 0.0
+        return -(z[s] - math.copysign(l1, z[s])) / ((quality.BETA + math.sqrt(n[s])) / quality.ALPHA + quality.L2)
+
+    positive = sum(y for *_, y in train)
+    cost = {0: len(train) / (2 * (len(train) - positive)), 1: len(train) / (2 * positive)}
+    for _ in range(quality.EPOCHS):
+        for _, x, y in train:
+            x = x | {buckets: 1.0}
+            w = {s: weight(s) for s in x}
+            p = 1 / (1 + math.exp(-sum(w[s] * v for s, v in x.items())))
+            for s, v in x.items():
+                g = cost[y] * (p - y) * v
+                sigma = (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / quality.ALPHA
+                z[s] += g - sigma * w[s]
+                n[s] += g * g
+    return {i: 1 / (1 + math.exp(-sum(weight(s) * v for s, v in plain_features(t, buckets).items()) - weight(buckets))) for i, t, *_ in rows}
+
+
+def test_scores_equal_a_plain_computation(docs_of, labels):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)] + ["good,", "bad###", "x-y", "é"]
+    rows = [(i, " ".join(rng.choice(words[i % 2 * 12:i % 2 * 12 + 22], int(rng.integers(1, 25)))), "en", "s") for i in range(60)]
+    rows += [(200, None, None, None), (201, " ", None, None), (202, "w1 w1 w1", None, None)]
+    marks = [(i, i % 2, 0) for i in range(50)] + [(4, 1, 0), (9, None, None)]
+    want = plain_scores(rows, marks, 64)
+    got = {r.doc_id: r.score for r in quality.classify(docs_of(rows), labels(marks), buckets=64).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
+def test_a_repeated_id_is_one_training_row(docs_of, labels):
+    rows = [(i, ("good words here " if i % 2 else "bad### junk### ") * 20, "en", "s") for i in range(40)]
+    marks = labels([(i, i % 2, 0) for i in range(40)])
+    once = quality.train(docs_of(rows), marks)
+    assert np.array_equal(once, quality.train(docs_of(rows + [rows[3]] * 200), marks))
