@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.lexical import B, K1, count_terms, floor_idf, idf0_expr, query_terms
 from rankloom.operators.topk import RANK_DECIMALS, score_order, top_k_per_group
-from rankloom.session import BROADCAST_BYTES, bucketed_table, ensure_checkpoint_dir, text_bytes, write_bucketed
+from rankloom.session import BROADCAST_BYTES, broadcast_below, bucketed_table, ensure_checkpoint_dir, text_bytes, write_bucketed
 
 SHARD_DOCS = 1 << 14
 LEAST_DOCS = 1 << 10        # a small corpus is dealt to the cores down to shards of this size
@@ -69,15 +69,23 @@ class PostingsIndex:
     terms: DataFrame
     n: int
     avgdl: float
+    shards: int = 1
+    gone: DataFrame | None = None           # (key): documents that a newer segment has replaced
 
     @staticmethod
     def build(corpus: DataFrame, key: str = "key", text: str = "text", path: str | None = None,
               shard_docs: int = SHARD_DOCS, least_docs: int = LEAST_DOCS) -> "PostingsIndex":
         """Write the index of ``corpus`` under ``path`` and read it back. One shuffle brings the counted
         documents to their shard, one the terms to their count."""
-        spark = corpus.sparkSession
+        return PostingsIndex.of_counted(count_terms(corpus, key, text).select("key", "dl", "terms", "tfs"), path, shard_docs, least_docs)
+
+    @staticmethod
+    def of_counted(counted: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS,
+                   least_docs: int = LEAST_DOCS) -> "PostingsIndex":
+        """The index of documents whose terms are counted: counted(key, dl, terms, tfs)."""
+        spark = counted.sparkSession
         path = (path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/postings-{uuid.uuid4().hex}").rstrip("/")
-        count_terms(corpus, key, text).select("key", "dl", "terms", "tfs").write.mode("overwrite").parquet(f"{path}/counted")
+        counted.write.mode("overwrite").parquet(f"{path}/counted")
         counted = spark.read.parquet(f"{path}/counted")
         n = counted.count()
         cores = spark.sparkContext.defaultParallelism
@@ -96,9 +104,15 @@ class PostingsIndex:
         path = path.rstrip("/")
         layout = spark.read.schema("n bigint, avgdl double, shards int, key_type string").json(f"{path}/layout").first()
         postings = bucketed_table(spark, f"{path}/postings", POSTINGS.format(key=layout["key_type"]), "shard", layout["shards"])
-        with_idf0 = spark.read.parquet(f"{path}/terms").withColumn("idf0", idf0_expr(F.lit(layout["n"])))
-        mean = with_idf0.agg(F.coalesce(F.avg("idf0"), F.lit(0.0))).first()[0]
-        return PostingsIndex(postings, floor_idf(with_idf0, mean), layout["n"], layout["avgdl"])
+        terms = weighted(spark.read.parquet(f"{path}/terms"), layout["n"])
+        return PostingsIndex(postings, terms, layout["n"], layout["avgdl"], layout["shards"])
+
+
+def weighted(terms: DataFrame, n: int) -> DataFrame:
+    """terms(term, df) of ``n`` documents with their floored idf."""
+    with_idf0 = terms.withColumn("idf0", idf0_expr(F.lit(n)))
+    mean = with_idf0.agg(F.coalesce(F.avg("idf0"), F.lit(0.0))).first()[0]
+    return floor_idf(with_idf0, mean)
 
 
 def weight(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
@@ -133,9 +147,9 @@ class TermList:
 
 
 def top_of_shard(lists: list[tuple[float, TermList]], dl: np.ndarray, keys: np.ndarray, avgdl: float,
-                 k: int) -> tuple[np.ndarray, np.ndarray, int]:
+                 k: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(document numbers, scores, postings scored) of the k best documents of one shard for one query, whose
-    terms are (query weight, postings); positive scores only."""
+    terms are (query weight, postings); positive scores of documents that are ``alive`` only."""
     n, scores, scored = len(dl), np.zeros(len(dl)), 0
     left, longer = np.zeros(-(-n // RANGE)), []
     for q, t in sorted(lists, key=lambda x: len(x[1].docs)):
@@ -148,7 +162,7 @@ def top_of_shard(lists: list[tuple[float, TermList]], dl: np.ndarray, keys: np.n
             left += bound
             longer.append((q, t, bound))
     most = scores + np.repeat(left, RANGE)[:n]
-    going, least = np.flatnonzero(most > 0), -np.inf
+    going, least = np.flatnonzero((most > 0) if alive is None else (most > 0) & alive), -np.inf
     if longer and len(going) > FIRST * k:
         some = np.sort(going[np.argpartition(-most[going], FIRST * k)[:FIRST * k]])
         exact = scores[some]
@@ -179,6 +193,11 @@ def search(queries: DataFrame, index: PostingsIndex, k: int, qid: str = "query_i
         raise ValueError("too many queries for one search: cut them, or use lexical.bm25_top_k, which shuffles")
     # a left join, which keeps the buckets in place; a shard's documents come with it
     rows = index.postings.join(F.broadcast(known), "term", "left").filter(F.col("asked").isNotNull() | F.col("term").isNull())
+    if index.gone is not None:
+        # of one segment, so no more of them than it has documents; beyond the bound the join shuffles
+        lost = index.gone.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(index.shards)).cast("int")).groupBy("shard").agg(
+            F.collect_list("key").alias("gone"))
+        rows = rows.join(broadcast_below(lost, index.gone.count() * TERM_BYTES), "shard", "left")
     types = {"query_id": known.schema["asked"].dataType.elementType["query_id"].dataType.simpleString(),
              "key": index.postings.schema["keys"].dataType.elementType.simpleString()}
     avgdl = index.avgdl or 1.0
@@ -193,13 +212,15 @@ def search(queries: DataFrame, index: PostingsIndex, k: int, qid: str = "query_i
 def shard_results(pdf: pd.DataFrame, avgdl: float, k: int) -> pd.DataFrame:
     whole = pdf[pdf["term"].isna()]
     dl, keys = np.asarray(whole["tfs"].iloc[0], np.float64), np.asarray(whole["keys"].iloc[0])
+    gone = whole["gone"].iloc[0] if "gone" in whole else None
+    alive = None if gone is None else ~np.isin(keys, gone)
     of_query: dict = {}
     for *parts, asked in pdf.loc[pdf["term"].notna(), ["docs", "tfs", "ranges", "range_tf", "asked"]].itertuples(index=False):
         for x in asked:
             of_query.setdefault(x["query_id"], []).append((x["weight"], TermList(*parts)))
     out = []
     for query, lists in of_query.items():
-        found, scores, scored = top_of_shard(lists, dl, keys, avgdl, k)
+        found, scores, scored = top_of_shard(lists, dl, keys, avgdl, k, alive)
         rows = [(query, keys[d], s, 0, 0) for d, s in zip(found, scores, strict=True)] or [(query, None, None, 0, 0)]
         out.append((*rows[0][:3], scored, sum(len(t.docs) for _, t in lists)))
         out += rows[1:]
