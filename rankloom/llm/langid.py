@@ -3,13 +3,16 @@
 A word that some language's vocabulary knows is scored by its log frequency in each
 language. An unseen word falls back to its character n-grams, longest first: the first
 length with any known n-gram decides, and the word's score is the mean over those n-grams.
-Words are maximal runs of letters, lower-cased; n-grams see the word between ``^`` and ``$``.
+Words are maximal runs of letters and their combining marks, lower-cased; digits, numerals and
+signs end a word. N-grams see the word between ``^`` and ``$``.
 
 Learning counts words over a bounded, hash-chosen sample of labelled rows
 (``docs_per_lang`` rows of each language, whole texts); the model keeps the ``max_words``
-most frequent words and ``max_grams`` n-grams of each length per language, so what is
-broadcast has a fixed bound per language. Prediction reads whole texts in one pass over the
-scan, without a shuffle.
+most frequent words and ``max_grams`` n-grams of each length per language. Its table has a column
+for each language, so with many languages their vocabularies shrink alike until the table takes
+MODEL_BYTES at most: what is collected and broadcast has that bound whatever the number of
+languages, which itself must leave LEAST_KINDS entries to each. Prediction reads whole texts in one
+pass over the scan, without a shuffle, a bounded number of words at a time.
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0; so does every
 row when nothing could be learned (no labelled rows). A text with letters but no known word
@@ -20,17 +23,17 @@ learned from. Repeated rows are predicted each. Other columns of the input are i
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.llm.shared import RaggedCache, as_bytes, slices, sums_between
+from rankloom.llm.shared import CACHE_ENTRIES, RaggedCache, Scratch, as_bytes, slices, sums_between
 
 FOLDS = 5
 DOCS_PER_LANG = 1500
@@ -40,8 +43,10 @@ LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 PRIOR = 5.0                 # words that count as half known besides a text's own
 UNKNOWN = "und"
-SLICE_BYTES = 1 << 20       # text scored at once: each of its words holds a row of numbers
-_WORD = re.compile(r"[^\W\d_]+")
+SLICE_BYTES = 1 << 20       # text scored at once
+NUMBERS = 4 << 20           # numbers held for the words scored at once, and for those remembered
+MODEL_BYTES, LEAST_KINDS = 256 << 20, 60
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def fold(doc_id: str | Column = "doc_id", folds: int = FOLDS) -> Column:
@@ -56,7 +61,7 @@ def hashed_share(share: Column, salt: str, doc_id: str = "doc_id") -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if w.isalpha()]
+    return _WORD.findall(text.lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -106,6 +111,11 @@ def learn(docs: DataFrame, folds: int = FOLDS, docs_per_lang: int = DOCS_PER_LAN
     if not sizes:
         return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
     langs = sorted(sizes)
+    kinds = max_words + len(LENGTHS) * max_grams
+    fit = min(1.0, MODEL_BYTES / (4 * len(langs) ** 2 * kinds))
+    if fit * kinds < LEAST_KINDS:
+        raise ValueError(f"{len(langs)} languages leave under {LEAST_KINDS} words and n-grams to each in a model of {MODEL_BYTES} bytes")
+    max_words, max_grams = int(max_words * fit), int(max_grams * fit)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, docs_per_lang / sizes[lang]))])
     sample = labelled.filter(hashed_share(share[F.col("lang")], "langid")).select("lang", "text")
 
@@ -130,9 +140,10 @@ def learn(docs: DataFrame, folds: int = FOLDS, docs_per_lang: int = DOCS_PER_LAN
                         counts[lang, f"{size}{g}"] += n
             yield _counted(counts)
 
-    grams = (words.mapInArrow(count_grams, "lang string, gram string, n long")
-                  .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-                  .withColumn("size", F.substring("gram", 1, 1)))
+    scratch = Scratch(docs.sparkSession, "langid")        # written: its totals and its best are two jobs
+    grams = scratch.write(words.mapInArrow(count_grams, "lang string, gram string, n long")
+                               .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                               .withColumn("size", F.substring("gram", 1, 1)), "grams")
     totals = grams.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     best = (grams.withColumn("rank", F.row_number().over(
                 W.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")))
@@ -141,14 +152,20 @@ def learn(docs: DataFrame, folds: int = FOLDS, docs_per_lang: int = DOCS_PER_LAN
     counts: dict[str, dict[str, int]] = {}
     for lang, gram, n in best.select("lang", "gram", "n").toLocalIterator():
         counts.setdefault(gram, {})[lang] = n
-    found = list(counts)
-    size_of = np.array([[total.get((x, g[0]), (0, 0)) for x in langs] for g in found], np.float64).reshape(-1, len(langs), 2)
-    seen = np.array([[counts[g].get(x, 0) for x in langs] for g in found], np.float64).reshape(-1, len(langs))
-    logs = np.log(seen + SMOOTHING) - np.log(size_of[:, :, 0] + SMOOTHING * (size_of[:, :, 1] + 1))
-    logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
+    scratch.drop("grams")
+    found, at = list(counts), {x: i for i, x in enumerate(langs)}
+    # what an unseen kind of a size has in each language; a seen one differs by its count only
+    of = {size: np.array([total.get((x, size), (0, 0)) for x in langs], np.float64) for size in "0" + "".join(map(str, LENGTHS))}
+    rest = {size: np.log(t[:, 0] + SMOOTHING * (t[:, 1] + 1)) for size, t in of.items()}
+    logs = np.empty((len(found), len(langs)), np.float32)
+    for i, g in enumerate(found):
+        row = np.log(SMOOTHING) - rest[g[0]]
+        for lang, n in counts[g].items():
+            row[at[lang]] = np.log(n + SMOOTHING) - rest[g[0]][at[lang]]
+        logs[i] = row - np.logaddexp.reduce(row)
     words_ = {g[1:]: i for i, g in enumerate(found) if g[0] == "0"}
     grams_ = {g: i for i, g in enumerate(found) if g[0] != "0"}
-    return LanguageModel(langs, words_, grams_, logs.astype(np.float32))
+    return LanguageModel(langs, words_, grams_, logs)
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
@@ -195,10 +212,19 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
                 values[:, n_langs:-2] = sums_between(knows[whole], np.array(ends))
             return np.full(len(chunks), width), values.ravel()
 
-        cache = RaggedCache(resolve, np.float32)
-        for s in slices(batches, read, SLICE_BYTES):
-            flat, bounds = cache.rows([t.split() for t in as_bytes(s.column(read))])
-            sums = sums_between(flat.reshape(-1, width), bounds // width)
+        # a chunk of text holds a row of ``width`` numbers: many languages mean fewer chunks at a time
+        cache = RaggedCache(resolve, np.float32, min(CACHE_ENTRIES, NUMBERS // width))
+        piece = max(1, NUMBERS // width)
+        for s in slices(batches, read, max(1024, min(SLICE_BYTES, 6 * piece))):
+            texts = [t.split() for t in as_bytes(s.column(read))]
+            parts = [t[i:i + piece] for t in texts for i in range(0, max(1, len(t)), piece)]
+            held, many = [], max(1, len(parts)) if len(parts) == len(texts) else 1      # a long text goes piece by piece
+            for i in range(0, len(parts), many):
+                flat, bounds = cache.rows(parts[i:i + many])
+                held.append(sums_between(flat.reshape(-1, width), bounds // width))
+            owner = np.repeat(np.arange(len(texts)), [len(range(0, max(1, len(t)), piece)) for t in texts])
+            sums = np.zeros((len(texts), width))
+            np.add.at(sums, owner, np.concatenate(held))
             scores, letters = sums[:, :n_langs], sums[:, -2] > 0.5
             known = np.zeros(len(sums))
             if n_langs:

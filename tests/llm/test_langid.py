@@ -106,3 +106,33 @@ def test_predictions_equal_a_plain_computation(docs_of, table):
     want = plain_prediction(rows)
     for r in langid.identify(docs_of([(i, t, x, "s") for i, t, x in rows])).collect():
         assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3, r
+
+
+def test_words_hold_marks_and_end_at_numerals():
+    assert langid.words_of("km² नमस्ते x1y a_b É\u0301t") == ["km", "नमस्ते", "x", "y", "a", "b", "é\u0301t"]
+
+
+def test_many_languages_fit_a_bounded_model(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * 300 * 300 * 80)
+    monkeypatch.setattr(langid, "NUMBERS", 1 << 14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, j: "".join(letters[(k * 7 + j * 11 + i * (k % 5 + 1)) % 26] for i in range(5)) + letters[k % 26] + letters[k // 26]
+    rows = [(1000 * k + j, " ".join(word(k, x % 9) for x in range(40)), f"l{k:03d}", "s") for k in range(300) for j in range(3)]
+    docs = docs_of(rows)
+    model = langid.learn(docs)
+    assert model.table.nbytes <= langid.MODEL_BYTES and len(model.langs) >= 290
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    assert sum(got[i] == lang for i, _, lang, _ in rows if lang in model.langs) > 0.9 * len(rows)
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1 << 20)
+    try:
+        langid.learn(docs)
+        raise AssertionError("too many languages must be refused")
+    except ValueError as e:
+        assert "languages" in str(e)
+
+
+def test_long_texts_go_piece_by_piece(docs_of, monkeypatch):
+    rows = [(1, "the und " * 5000, None, None), (2, None, None, None), (3, "und the the", None, None), (4, "the " * 3000, None, None)]
+    want = [tuple(r) for r in langid.predict(docs_of(rows), words_model(), ["doc_id"]).collect()]
+    monkeypatch.setattr(langid, "NUMBERS", 600)
+    assert [tuple(r) for r in langid.predict(docs_of(rows), words_model(), ["doc_id"]).collect()] == want
