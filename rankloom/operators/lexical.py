@@ -74,7 +74,7 @@ class LexicalIndex:
         read it back. Two shuffles: rows to their bucket, and terms to their count."""
         spark = corpus.sparkSession
         path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/index-{uuid.uuid4().hex}"
-        n_buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-text_bytes(corpus, text) // BUCKET_BYTES))
+        n_buckets = buckets or max(2 * spark.sparkContext.defaultParallelism, -(-text_bytes(corpus, text) // BUCKET_BYTES))
         counted = count_terms(corpus, key, text, dim)
         write_bucketed(counted.repartition(n_buckets, "key"), f"{path}/documents", "key", n_buckets)
         spark.createDataFrame([(n_buckets, dict(counted.dtypes)["key"])], "buckets int, key_type string") \

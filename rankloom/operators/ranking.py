@@ -19,7 +19,7 @@ from rankloom.functions.rerank import POOL_SIZE, context_line, parse_reply, prom
 from rankloom.session import ensure_checkpoint_dir
 
 ASKED_AT_ONCE, PATIENCE = 8, 30.0       # prompts a task has out at a time, and seconds it waits for them
-WAVE = 1000                             # prompts whose replies are written as one table
+WAVE = 10_000                           # prompts whose replies are written as one table
 
 
 def prompt_context(cands: DataFrame, name: str = "assessment_name", test_type: str = "test_type",
