@@ -148,7 +148,7 @@ def test_few_documents_are_judged_by_the_same_rule(docs_of):
     got = O.judge(docs_of([(1, text, "en", "s"), (2, text, "de", "t")])).collect()
     assert [(r.kept, r.distance < 1) for r in got] == [(True, True)] * 2
     marked = " ".join(f"{w}##" for w in varied(1, 3)[0].split()[:300])
-    for n in (48, 49, 50):
+    for n in (49, 50):
         rows = [(i, t, "en", "s") for i, t in enumerate(varied(n, 4))] + [(1000, marked, "en", "s")]
         got = {r.doc_id: r for r in O.judge(docs_of(rows)).collect()}
         assert not got[1000].base_failed and not got[1000].kept
