@@ -59,3 +59,11 @@ def test_top_k_independent_of_partitions(spark, name):
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_queries_without_sql_give_rows(spark):
+    got = QUERIES["latent_hybrid"](spark, SF001).collect()
+    asked = {r.query_id for r in QUERIES["hybrid_topk"](spark, SF001).collect()}
+    assert {r.query_id for r in got} == asked and max(r["rank"] for r in got) == 30
+    assert all(r.dense is None or -1.000001 <= r.dense <= 1.000001 for r in got)
+    assert QUERIES["parsed_records"](spark, SF001).count() == QUERIES["page_records"](spark, SF001).count()
