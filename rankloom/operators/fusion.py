@@ -30,6 +30,11 @@ def fuse(dense_top: DataFrame, bm25_top: DataFrame, alpha: float) -> DataFrame:
     both = (sem.join(bm, ["query_id", "key"], "full_outer")
                .withColumn("lo", F.max("lo").over(per_query))
                .withColumn("hi", F.max("hi").over(per_query)))
+    return _fused(both, alpha)
+
+
+def _fused(both: DataFrame, alpha: float) -> DataFrame:
+    """E6 of rows (query_id, key, dense, bm25, lo, hi)."""
     lo = F.coalesce(F.col("lo"), F.lit(0.0))
     rng = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
     text = (F.coalesce(F.col("bm25"), F.lit(0.0)) - lo) / rng
@@ -48,3 +53,19 @@ def hybrid_top_k(dense_scores: DataFrame, bm25_scores: DataFrame, top_k: int = 3
     bm = top_k_per_group(bm25_scores.filter(F.col("score") > 0), "query_id", score_order(), n).drop("rank")
     return top_k_per_group(fuse(sem, bm, alpha), "query_id", score_order(), top_k)
 
+
+def hybrid_top_k_of_pairs(pairs: DataFrame, top_k: int = 30, alpha: float = 0.5) -> DataFrame:
+    """``hybrid_top_k`` of both scores in one table, pairs(query_id, key, dense, bm25), which is read once.
+
+    A pair is a row of each of its lists, so one partial cut before the exchange leaves 2*top_k rows
+    of a query and list; the few rows left are put together by (query_id, key). Of the text list
+    only positive scores count, of either list no null."""
+    both = F.array(*[F.struct(F.lit(i).alias("list"), F.col(c).alias("score")) for i, c in enumerate(("dense", "bm25"))])
+    lists = pairs.select("query_id", "key", F.explode(both).alias("x")).select("query_id", "key", "x.list", "x.score").filter(
+        F.col("score").isNotNull() & ((F.col("list") == 0) | (F.col("score") > 0)))
+    cut = top_k_per_group(lists, ["query_id", "list"], score_order(), 2 * top_k)
+    one = cut.groupBy("query_id", "key").agg(F.max(F.when(F.col("list") == 0, F.col("score"))).alias("dense"),
+                                             F.max(F.when(F.col("list") == 1, F.col("score"))).alias("bm25"))
+    per_query = W.partitionBy("query_id")
+    ranged = one.withColumn("lo", F.min("bm25").over(per_query)).withColumn("hi", F.max("bm25").over(per_query))
+    return top_k_per_group(_fused(ranged, alpha), "query_id", score_order(), top_k)

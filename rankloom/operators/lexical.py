@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rankloom.functions.text import tokens
 from rankloom.operators.dense import HASH_DIM, hash_bucket
@@ -130,10 +131,10 @@ def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query_te
                    .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def query_side(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
+def query_side(rows: DataFrame, queries: DataFrame, text: str, row_bytes: int = ROW_BYTES // 2) -> DataFrame:
     """``rows`` (at most one for each token of the queries) with a broadcast hint if the
-    queries' text proves them small."""
-    return broadcast_below(rows, text_bytes(queries, text) * (1 + ROW_BYTES // 2))
+    queries' text proves them small; ``row_bytes`` of a row for each byte of text."""
+    return broadcast_below(rows, text_bytes(queries, text) * (1 + row_bytes))
 
 
 def bm25_scores(queries: DataFrame, index: LexicalIndex, qid: str = "query_id",
@@ -160,6 +161,30 @@ def hashed_scores(queries: DataFrame, query_vectors: DataFrame, index: LexicalIn
                 .groupBy("query_id", "key").agg(F.sum(F.col("wq") * F.col("tf") / F.col("norm")).alias("score")))
 
 
+def pair_scores(queries: DataFrame, index: LexicalIndex, dim: int = HASH_DIM, qid: str = "query_id",
+                text: str = "query_text") -> DataFrame:
+    """(query_id, key, dense, bm25): the scores of ``hashed_scores`` and ``bm25_scores`` from one pass over
+    the documents, for pairs that share a bucket (so all that share a term); bm25 is null without a
+    shared term. A query's bucket counts once for each document's bucket: its weight is on the row of
+    one of its terms."""
+    asked = query_terms(queries, qid, text)
+    known = asked.join(index.terms.select("term", "idf"), "term").select(
+        "query_id", "term", F.lit(0).cast("long").alias("qtf"), (F.col("qtf") * F.col("idf")).alias("qw"))
+    rows = asked.withColumn("qw", F.lit(None).cast("double")).unionByName(known).groupBy("query_id", "term").agg(
+        F.sum("qtf").cast("double").alias("qtf"), F.max("qw").alias("qw")).withColumn("bucket", hash_bucket("term", dim))
+    shared = W.partitionBy("query_id", "bucket")
+    rows = rows.withColumn("c", F.when(F.row_number().over(shared.orderBy("term")) == 1, F.sum("qtf").over(shared)).otherwise(0.0))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy("query_id")))
+    side = rows.select("query_id", "bucket", F.col("term").alias("asked"), "qw", (F.col("c") / norm).alias("wq"))
+    each = index.documents.select("key", "dl", "norm", F.explode(F.arrays_zip("terms", "buckets", "tfs")).alias("x")) \
+        .select("key", "dl", "norm", F.col("x.terms").alias("term"), F.col("x.buckets").alias("bucket"), F.col("x.tfs").alias("tf"))
+    by_length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl or 1.0))
+    weight = F.col("qw") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + by_length)
+    return (each.join(query_side(side, queries, text, ROW_BYTES), "bucket")
+                .groupBy("query_id", "key").agg(F.sum(F.col("wq") * F.col("tf") / F.col("norm")).alias("dense"),
+                                                F.sum(F.when(F.col("asked") == F.col("term"), weight)).alias("bm25")))
+
+
 def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int, **kw) -> DataFrame:
     """G2 + C5: the k best documents per query, positives only; rank 1-based."""
     s = bm25_scores(queries, index, **kw).filter(F.col("score") > 0)
