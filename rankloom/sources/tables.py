@@ -146,7 +146,8 @@ def requests_of(turns: DataFrame, pages: DataFrame) -> DataFrame:
     """requests(request_id, query, jd_text, jd_url, top_k, use_llm) from conversation turns:
     user turns ask with ``query``, assistant turns paste ``jd_text``, system turns point at a
     page url (the page whose id equals the conversation id, or an unknown url)."""
-    c = turns.join(pages.select("page_id", F.col("url").alias("_page_url")), F.col("conv_id") == F.col("page_id"), "left")
+    urls = pages.groupBy("page_id").agg(F.min("url").alias("_page_url"))       # a repeated page doubles no request
+    c = turns.join(urls, F.col("conv_id") == F.col("page_id"), "left")
     role = F.col("role")
     missing = F.concat(F.lit("https://missing.example.com/"), F.col("conv_id").cast("string"))
     return c.select(
