@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankloom.operators import postings
-from rankloom.operators.lexical import count_terms, exists
+from rankloom.operators.lexical import count_terms
 from rankloom.operators.topk import score_order, top_k_per_group
+from rankloom.session import exists
 
 VERSION = "segments array<string>, replaced array<string>"
 SMALL = 1 << 14             # documents of a segment that ``merge`` takes up

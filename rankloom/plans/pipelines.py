@@ -15,6 +15,7 @@ from rankloom.operators import pages as PG
 from rankloom.plans.evaluate import evaluate_labelled, prediction_rows
 from rankloom.plans.recommend import recommend
 from rankloom.plans.search import TextSearch
+from rankloom.session import exists
 from rankloom.sources import files
 
 
@@ -39,7 +40,7 @@ def load_index(spark: SparkSession, path: str, dim: int | None = None, lenient:
     encoder that is not this engine's, or a ``dim`` other than the manifest's, raises. With ``lenient`` any
     other part that is missing is empty (A10)."""
     base = path.rstrip("/")
-    if not lexical.exists(spark, f"{base}/manifest"):
+    if not exists(spark, f"{base}/manifest"):
         raise FileNotFoundError(f"no manifest under {base}")
     found = spark.read.schema(MANIFEST_SCHEMA).json(f"{base}/manifest").first()
     if found is None or found["model_name"] != f"hashing-md5-{found['dimension']}":

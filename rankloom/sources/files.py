@@ -16,7 +16,7 @@ from pyspark.sql.types import (ArrayType, FloatType, IntegerType, LongType, Stri
 
 from rankloom.functions.text import truncate_ellipsis, with_default
 from rankloom.operators.dense import manifest
-from rankloom.operators.lexical import exists
+from rankloom.session import exists
 
 CATALOG_SCHEMA = StructType([
     StructField("assessment_name", StringType()),

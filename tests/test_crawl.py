@@ -93,3 +93,18 @@ def test_replies_are_kept_and_asked_for_once(spark, tmp_path):
     for r in apply_rankings(cands, out, 3).orderBy("query_id", "rank").collect():
         ranked.setdefault(r.query_id, []).append(r.key - 10 * r.query_id)
     assert ranked == {1: [1, 0, 2], 5: [1, 0, 2], **{q: [0, 1, 2] for q in (2, 3, 4, 6)}}
+
+
+def test_many_prompts_take_a_bounded_number_of_waves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rankloom.operators.ranking.WAVES", 3)
+    prompts = spark.range(40).selectExpr("id AS query_id", "concat('q', id % 20) AS prompt")
+    out = call_ranker(prompts, counting_client(tmp_path), f"{tmp_path}/replies", at_once=3, wave=1)
+    assert {r.query_id: r.reply for r in out.collect()} == {i: "[0]" for i in range(40)}
+    assert sorted((tmp_path / "asked").read_text().split()) == sorted(f"q{i}" for i in range(20))
+    assert len([p for p in (tmp_path / "replies").iterdir() if p.is_dir() and p.name != "none"]) <= 3
+
+
+def test_a_late_prompt_holds_up_its_own_group_only():
+    never = threading.Event()
+    client = lambda p: never.wait(20) if p == "late" else p
+    assert replies_within(client, ["1", "late", "2", "3", "4"], 0.5, at_once=2) == ["1", None, "2", "3", "4"]
