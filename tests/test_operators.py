@@ -280,3 +280,16 @@ def test_number_within_hot_group_matches_row_number(spark):
         assert sorted((r.g, r.id, r.rn) for r in got.collect()) == sorted((r.g, r.id, r.rn) for r in want.collect())
     finally:
         spark.conf.set(key, before)
+
+
+def test_number_within_shuffles_its_rows_once(spark):
+    """Rows, null groups and groups over several tasks are numbered from the sorted table with broadcast offsets."""
+    from pyspark.sql import Window as W
+
+    df = spark.range(4000).select(F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") < 3000, F.lit(1)).otherwise(
+        F.col("id") % 5).cast("long").alias("g"), (F.col("id") * 7919 % 4001).alias("v"))
+    out = number_within(df, ["g"], [F.col("v")], "rn")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(_pid" not in plan.split("BroadcastExchange")[0]
+    want = df.withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy("v")))
+    assert sorted(map(str, out.select("g", "v", "rn").collect())) == sorted(map(str, want.collect()))
