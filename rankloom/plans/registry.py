@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import keyword_text as kw_text, rich_text as rt_text, tokens
 from rankloom.operators import dense, lexical
 from rankloom.operators.diversity import diversify, duration_filter as dur_filter
-from rankloom.operators.topk import score_order, top_k_per_group
+from rankloom.operators.topk import score_order
 from rankloom.functions.query_filters import parse_filters
 from rankloom.functions.rerank import parse_reply
 from rankloom.operators.filters import hard_filter as hard_filter_op
@@ -442,8 +442,9 @@ def index_reload(spark: SparkSession, sf: str) -> DataFrame:
     """L2 + A10: the index written, read back leniently, and searched."""
     out = _folder(spark, "index")
     PL.build_index(T.document_corpus(spark, sf), out)
-    s = PL.load_index(spark, out, lenient=True).bm25(T.benchmark_queries(spark, sf)).filter(F.col("score") > 0)
-    return top_k_per_group(s, "query_id", score_order(), 10).select("query_id", F.col("key").alias("doc_id"), _r("score"), "rank")
+    search = PL.load_index(spark, out, lenient=True)
+    s = lexical.bm25_top_k(T.benchmark_queries(spark, sf), search.index, 10, search.dim)
+    return s.select("query_id", F.col("key").alias("doc_id"), _r("score"), "rank")
 
 
 def catalog_build(spark: SparkSession, sf: str) -> DataFrame:

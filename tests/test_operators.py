@@ -284,7 +284,9 @@ def test_number_within_hot_group_matches_row_number(spark):
 
 def test_number_within_shuffles_its_rows_once(spark):
     """Rows, null groups and groups over several tasks are numbered from the sorted table with broadcast offsets."""
-    from pyspark.sql import Window as W
+    from pyspark.sql import Window as W, functions as F
+
+    from rankloom.operators.topk import number_within
 
     df = spark.range(4000).select(F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") < 3000, F.lit(1)).otherwise(
         F.col("id") % 5).cast("long").alias("g"), (F.col("id") * 7919 % 4001).alias("v"))
