@@ -2,7 +2,7 @@
 
     postings(shard, term, docs, tfs, ranges, range_tf, keys)   bucketed by shard
 
-Documents are dealt to shards of about SHARD_DOCS by the hash of their key and numbered within it
+Documents are dealt to shards of about SHARD_DOCS (or SHARD_TERMS postings) by the hash of their key and numbered within it
 in order of their length, RANGE documents of like length to a range. A row holds one term's
 postings in one shard: ascending document numbers and term counts, and for every range it occurs
 in the largest count, which with the range's smallest length bounds every weight in it, whatever
@@ -32,7 +32,7 @@ from rankloom.operators.lexical import B, K1, count_terms, floor_idf, idf0_expr,
 from rankloom.operators.topk import RANK_DECIMALS, score_order, top_k_per_group
 from rankloom.session import BROADCAST_BYTES, broadcast_below, bucketed_table, ensure_checkpoint_dir, text_bytes, write_bucketed
 
-SHARD_DOCS = 1 << 14
+SHARD_DOCS, SHARD_TERMS = 1 << 12, 1 << 20      # documents and postings of a shard, which one task holds
 LEAST_DOCS = 1 << 10        # a small corpus is dealt to the cores down to shards of this size
 RANGE = 16
 SHORT = 0.08                # of a shard's documents: lists up to this length are added up whole
@@ -87,9 +87,9 @@ class PostingsIndex:
         path = (path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/postings-{uuid.uuid4().hex}").rstrip("/")
         counted.write.mode("overwrite").parquet(f"{path}/counted")
         counted = spark.read.parquet(f"{path}/counted")
-        n = counted.count()
+        n, held = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms").cast("long")), F.lit(0))).first()
         cores = spark.sparkContext.defaultParallelism
-        shards = max(1, -(-n // shard_docs), min(cores, n // least_docs))
+        shards = max(1, -(-n // shard_docs), -(-held // SHARD_TERMS), min(cores, n // least_docs))
         kind = dict(counted.dtypes)["key"]
         placed = counted.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(shards, "shard")
         write_bucketed(placed.groupBy("shard").applyInPandas(inverted, POSTINGS.format(key=kind)), f"{path}/postings", "shard", shards)

@@ -56,3 +56,14 @@ def test_no_documents_or_queries(spark):
     some = postings.PostingsIndex.build(spark.createDataFrame([("x", "a b"), ("y", "b"), *((c, c) for c in "cdefg")], "key string, text string"))
     assert [r.key for r in postings.top_k(asked, some, 3).orderBy("rank").collect()] == ["x", "y"]
     assert postings.top_k(asked.limit(0), some, 3).collect() == []
+
+
+def test_long_documents_make_smaller_shards(spark, monkeypatch):
+    monkeypatch.setattr(postings, "SHARD_TERMS", 100)
+    docs = spark.range(30).selectExpr("id AS key", "concat_ws(' ', transform(sequence(1, 20), i -> concat('w', i * (id + 1)))) AS text")
+    index = postings.PostingsIndex.build(docs, least_docs=1 << 20)
+    assert index.shards == 6
+    queries = spark.createDataFrame([(1, "w1 w20 w40")], "query_id long, query_text string")
+    want = lexical.bm25_top_k(queries, lexical.LexicalIndex.build(docs), 5)
+    show = lambda df: [(r.key, r.rank, round(r.score, 9)) for r in df.orderBy("rank").collect()]
+    assert show(postings.top_k(queries, index, 5)) == show(want)
