@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import cells, dense
 
@@ -86,3 +88,47 @@ def test_no_vectors(spark):
     assert cells.top_k(some, cells.CellIndex.build(none), 2, qid="key").collect() == []
     assert cells.top_k(none, cells.CellIndex.build(some), 2, qid="key").collect() == []
     assert dense.exact_top_k(some, none, 2, qid="key").collect() == []
+
+
+def test_a_query_that_reaches_every_part_is_a_row_for_each_group_only(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(0, 1, 16).tolist()) for i in range(600)]
+    df = spark.createDataFrame(data, SCHEMA)
+    index = cells.CellIndex.build(df, cells=30)
+    bounds = cells._bounds(index)
+    asked = cells.first_parts(df.withColumnRenamed("key", "query_id"), bounds, 5, "bigint").withColumn("least", F.lit(float("-inf")))
+    got = cells.reached(asked, bounds, "bigint").collect()
+    assert len(index.cells.collect()) == 30 and len(got) == 600
+    first = {r.query_id: r["first"] for r in asked.collect()}
+    for r in got:
+        bits = np.unpackbits(np.frombuffer(r.parts, np.uint8))[:30]
+        assert sorted(np.flatnonzero(bits == 0)) == sorted(first[r.query_id])
+    assert rows(cells.top_k(df, index, 5, qid="key", exclude_same_key=True)) == brute(data, 5)
+
+
+def test_many_groups_and_tiles_equal_all_products(spark, odd, monkeypatch):
+    monkeypatch.setattr(cells, "FLOATS", 32)
+    df = spark.createDataFrame(odd, SCHEMA)
+    index = cells.CellIndex.build(df, cells=9, part=7)
+    assert max(cells._bounds(index)[2][-1]) > 3
+    assert rows(cells.top_k(df, index, 3, qid="key", exclude_same_key=True)) == brute(odd, 3)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e20])
+def test_best_of_a_group_equals_all_products(monkeypatch, scale):
+    for name, value in (("QUERIES", 4), ("VECTORS", 5), ("MANY", 1)):
+        monkeypatch.setattr(cells, name, value)
+    rng = np.random.default_rng(5)
+    vectors = scale * rng.integers(-9, 9, (40, 3)).astype(float)
+    column = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    q = pa.table({"query_id": [f"k{i}" for i in range(11)], "embedding": column(vectors[:11]), "least": [-np.inf] * 11,
+                  "parts": pa.array([bytes([0b11000000])] * 10 + [bytes([0b01000000])], pa.binary())})
+    v = pa.table({"key": [f"k{i}" for i in range(40)], "place": pa.array([i % 2 for i in range(40)], pa.int32()), "embedding": column(vectors)})
+    got = cells.best_of_group(q, v, 3, True).to_pandas()
+    assert got["products"].sum() == 10 * 40 + 20
+    s = np.round(vectors @ vectors.T, 9)
+    for i in range(11):
+        best = sorted((-s[i, j], f"k{j}") for j in range(40) if j != i and (i < 10 or j % 2))[:3]
+        mine = got[got["query_id"] == f"k{i}"]
+        assert sorted(mine["key"]) == sorted(k for _, k in best)
+        assert sorted(mine["score"]) == pytest.approx(sorted(-x for x, _ in best), rel=1e-12, abs=1e-9)
