@@ -22,6 +22,9 @@ broadcast; so is the head, at most HEAD words of at most KEY_BYTES bytes with th
 counts of all other words reach the texts by a join; a word outside the head is too rare for a
 hot key. Words longer than KEY_BYTES count under their SHA-256.
 
+Tokens after the same words have the same probabilities: those are made once for each distinct
+context of a window of WINDOW tokens, for the gradient as for the scores.
+
 A text is cut into words twice, for the counts and for its numbers; the numbered texts are a
 table in the shared folder, which the rounds and the scoring read.
 
@@ -55,7 +58,8 @@ KEY_BYTES = 64
 SINGLES, CLASSES, WIDTH, TAILS = 32, 64, 64, 16
 ROWS, PLACES = 1 << 14, 1 << 15          # at most 1 << 16: row numbers are sorted as 16-bit integers
 ROUNDS, STEP, DAMP = 5, 0.8, 2.0
-BLOCK = 1 << 14                          # tokens handled at once
+WINDOW = 1 << 19                         # tokens whose equal contexts are handled as one
+BLOCK = 1 << 14                          # contexts handled at once
 TASK = 1 << 22                           # tokens that one gradient is summed over, while there are cores
 CHUNK = 256                              # weight rows summed as one value
 HELD_KEYS = 300_000                      # distinct words a task counts before it hands them on
@@ -236,17 +240,61 @@ def place_rows(before: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray
     return [(h & np.uint64(PLACES - 1)).astype(np.uint16) for h in (mixed(1, one, classes), mixed(3, two, classes))]
 
 
-def softmax(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def logits(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
+def softmax(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, and the logarithm of what they were divided by."""
+    z = logits(rows, weights, bias)
+    most = z.max(axis=1, keepdims=True)
+    z -= most
+    np.exp(z, out=z)
+    total = z.sum(axis=1, keepdims=True)
+    z /= total
+    return z, (most.astype(np.float64) + np.log(total.astype(np.float64)))[:, 0]
+
+
+def distinct(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``keys`` below ``size``, and each key's place among them."""
+    seen = np.zeros(size, bool)
+    seen[keys] = True
+    found = np.flatnonzero(seen)
+    number = np.empty(size, np.int32)
+    number[found] = np.arange(len(found), dtype=np.int32)
+    return found, number[keys]
+
+
+@dataclass
+class Contexts:
+    """Tokens whose probabilities one table of weights gives: the rows of each distinct context (and its class, for
+    places), each token's context and target."""
+    rows: list[np.ndarray]
+    kinds: np.ndarray | None
+    of: np.ndarray
+    target: np.ndarray
+
+    def blocks(self) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray | slice]]:
+        for a in range(0, len(self.rows[0]), BLOCK):
+            s = slice(a, a + BLOCK)
+            yield s, [r[s] for r in self.rows], slice(None) if self.kinds is None else self.kinds[s]
+
+    def log(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each token's probability."""
+        totals = np.empty(len(self.rows[0]))
+        for s, rows, kinds in self.blocks():
+            totals[s] = softmax(rows, weights, bias[kinds])[1]
+        own = bias[self.target] if self.kinds is None else bias[self.kinds[self.of], self.target]
+        z = own.astype(np.float64)
+        for r in self.rows:
+            z += weights[r[self.of], self.target]
+        return z - totals[self.of]
+
+
 @dataclass
 class Model:
     """Biases from the units' frequencies, and the trained weight rows."""
@@ -274,36 +322,38 @@ class Model:
         places = (np.exp(np.maximum(self.place_bias, -60)) * share[:, None])[SINGLES:].sum(axis=0)
         return share, places / max(places.sum(), 1e-30)
 
-    def parts(self, units: np.ndarray, bounds: np.ndarray) -> Iterator[tuple]:
-        """For each block of the texts units[bounds[i]:bounds[i + 1]]: its start, the classes'
-        rows and targets, and those of the places with the tokens that have one."""
+    def parts(self, units: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, Contexts, np.ndarray, Contexts]]:
+        """For each window of the texts units[bounds[i]:bounds[i + 1]]: its start, the classes of its tokens, the
+        tokens that have a place in their class, and those places."""
         none = len(self.class_of)
-        for a in range(0, len(units), BLOCK):
-            b = min(a + BLOCK, len(units))
+        begins = np.repeat(bounds[:-1], np.diff(bounds))
+        for a in range(0, len(units), WINDOW):
+            b = min(a + WINDOW, len(units))
             at = np.arange(a, b)
-            begun = bounds[np.searchsorted(bounds, at, "right") - 1]
-            before = [np.where(at - d >= begun, units[np.maximum(at - d, 0)], none) for d in (1, 2)]
+            one, two = (np.where(at - d >= begins[a:b], units[np.maximum(at - d, 0)], none) for d in (1, 2))
             y = units[a:b]
             kind = self.class_of[y]
+            before, of = distinct(one * (none + 1) + two, (none + 1) ** 2)
+            before = list(np.divmod(before, none + 1))
             inner = np.flatnonzero(self.place_of[y] >= 0)
-            yield (a, class_rows(before), kind, inner, place_rows([x[inner] for x in before], kind[inner]), kind[inner],
-                   self.place_of[y[inner]])
+            pairs, pair = np.unique(of[inner].astype(np.int64) * CLASSES + kind[inner], return_inverse=True)
+            at, kinds = np.divmod(pairs, CLASSES)
+            yield (a, Contexts(class_rows(before), None, of, kind), inner,
+                   Contexts(place_rows([x[at] for x in before], kinds), kinds, pair, self.place_of[y[inner]]))
 
     def log10(self, units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log probability of every token's unit."""
         out = np.zeros(len(units))
-        for a, rows, kind, inner, places, kinds, place in self.parts(units, bounds):
-            p = softmax(rows, self.class_weights, self.class_bias)[np.arange(len(kind)), kind].astype(np.float64)
-            if len(inner):
-                p[inner] *= softmax(places, self.place_weights, self.place_bias[kinds])[np.arange(len(place)), place]
-            out[a:a + len(kind)] = np.log10(np.maximum(p, 1e-300))
+        for a, classes, inner, places in self.parts(units, bounds):
+            p = classes.log(self.class_weights, self.class_bias)
+            p[inner] += places.log(self.place_weights, self.place_bias)
+            out[a:a + len(p)] = np.maximum(p / math.log(10), -300.0)
         return out
 
     def add_gradient(self, units: np.ndarray, bounds: np.ndarray, sums: "Gradient") -> None:
-        for _, rows, kind, inner, places, kinds, place in self.parts(units, bounds):
-            sums.classes.add(rows, softmax(rows, self.class_weights, self.class_bias), kind)
-            if len(inner):
-                sums.places.add(places, softmax(places, self.place_weights, self.place_bias[kinds]), place)
+        for _, classes, _, places in self.parts(units, bounds):
+            sums.classes.add(classes, self.class_weights, self.class_bias)
+            sums.places.add(places, self.place_weights, self.place_bias)
 
 
 class RowSums:
@@ -312,15 +362,21 @@ class RowSums:
     def __init__(self, rows: int, width: int):
         self.g, self.n = np.zeros((rows, width), np.float32), np.zeros(rows, np.int64)
 
-    def add(self, rows: list[np.ndarray], p: np.ndarray, target: np.ndarray) -> None:
-        np.negative(p, out=p)
-        p[np.arange(len(target)), target] += 1
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            s = r[order]
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            self.g[s[first]] += np.add.reduceat(p[order], first, axis=0)
-            self.n += np.bincount(r, minlength=len(self.n))
+    def add(self, some: Contexts, weights: np.ndarray, bias: np.ndarray) -> None:
+        """What was observed is counted by token; what was expected is the same for all tokens of a context."""
+        times = np.bincount(some.of, minlength=len(some.rows[0]))
+        width = self.g.shape[1]
+        for r in some.rows:
+            self.g += np.bincount(r[some.of].astype(np.int64) * width + some.target, minlength=self.g.size).reshape(self.g.shape)
+            self.n += np.bincount(r, times, len(self.n)).astype(np.int64)
+        for at, rows, kinds in some.blocks():
+            p = softmax(rows, weights, bias[kinds])[0]
+            p *= times[at, None]
+            for r in rows:
+                order = np.argsort(r, kind="stable")
+                s = r[order]
+                first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+                self.g[s[first]] -= np.add.reduceat(p[order], first, axis=0)
 
     def chunks(self) -> Iterator[tuple[int, bytes, bytes]]:
         for at in range(0, len(self.n), CHUNK):

@@ -161,6 +161,35 @@ def test_the_gradient_is_that_of_the_log_probability(model):
         assert part.g[row, col] == pytest.approx((up - down) / (2 * step) * math.log(10), rel=0.02)
 
 
+def test_equal_contexts_are_one(model, monkeypatch):
+    m, made = model[2], []
+    softmax = M.softmax
+    monkeypatch.setattr(M, "softmax", lambda rows, *x: made.append(len(rows[0])) or softmax(rows, *x))
+    flat = np.tile([7, 900, 1500, 40], 500)
+    bounds = np.arange(0, len(flat) + 1, 4)
+    log = m.log10(flat, bounds)
+    assert sum(made) == 4 + 3 and np.allclose(log, np.tile(log[:4], 500), atol=1e-6)       # 7 is a class of its own
+    one, all_of = M.Gradient(), M.Gradient()
+    m.add_gradient(flat[:4], bounds[:2], one)
+    m.add_gradient(flat, bounds, all_of)
+    assert sum(made) == 3 * 7
+    for a, b in ((one.classes, all_of.classes), (one.places, all_of.places)):
+        assert (a.n * 500 == b.n).all() and np.allclose(a.g * 500, b.g, atol=1e-2)
+
+
+def test_windows_change_nothing(model, monkeypatch):
+    m = model[2]
+    flat = np.random.default_rng(2).integers(0, 2080, 3000)
+    bounds = np.array([0, 1, 1, 1800, 3000])
+    whole, sums = m.log10(flat, bounds), M.Gradient()
+    m.add_gradient(flat, bounds, sums)
+    monkeypatch.setattr(M, "WINDOW", 7)
+    some = M.Gradient()
+    m.add_gradient(flat[:60], np.array([0, 1, 60]), some)
+    assert np.allclose(m.log10(flat, bounds), whole, atol=1e-5) and some.classes.n.sum() == 3 * 60
+    assert np.abs(sums.classes.g.sum(axis=1)).max() < 1e-2
+
+
 def test_training_beats_the_base_on_held_out_rows(table):
     got = M.score(table("documents")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > 0.97 * got[1]
