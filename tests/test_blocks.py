@@ -33,3 +33,20 @@ def test_equal_to_scoring_every_pair(spark, monkeypatch, dim, small):
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")[0]
         want = hybrid_top_k_of_pairs(lexical.pair_scores(q, index, dim), n, 0.6)
         assert rows(hybrid_top_k_of_lists(lexical.best_pairs(q, index, 2 * n, dim), n, 0.6)) == rows(want)
+
+
+def test_no_document_is_copied_for_a_tile(spark, monkeypatch):
+    """Tiles read the blocks that were written once; documents and their rows are dealt to no tile."""
+    corpus = spark.range(300).selectExpr("id AS key", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', (i * id) % 97))) AS text")
+    queries = corpus.selectExpr("key AS query_id", "text AS query_text")
+    index = lexical.LexicalIndex.build(corpus)
+    found = {}
+    for size in (300, 10):
+        monkeypatch.setattr(blocks, "TILE_QUERIES", size)
+        got = lexical.best_pairs(queries, index, 5)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Scan ExistingRDD" in plan and "CoGroup" not in plan and plan.count("Exchange hashpartitioning(query_id") == 1
+        found[size] = sorted((r.query_id, r.list, r.key, round(r.score, 9)) for r in top_k_per_group(
+            got, ["query_id", "list"], score_order(), 5).collect())
+    assert len(index.blocked) == 1 and index.blocks(dense.HASH_DIM).agg({"split": "count"}).first()[0] == 1
+    assert found[300] == found[10] and {(r[0], r[1]) for r in found[10]} == {(i, k) for i in range(300) for k in (0, 1)}
