@@ -51,3 +51,30 @@ def test_batches_through_the_request_path_leave_no_tables(spark):
     assert rows(out) == batch
     new = {n.rpartition("-")[0] for n in set(os.listdir(f"{base}/rankloom")) - before}
     assert new == {"stream_requests"}                      # the result itself
+
+
+def test_a_batch_leaves_no_shuffle_files(spark, tmp_path):
+    """Disk follows one micro-batch, not all of them."""
+    import glob
+
+    src = tmp_path / "requests"
+    src.mkdir()
+    for i in range(3):
+        shutil.copy(f"{SF001}/benchmark.parquet", src / f"part-{i}.parquet")
+    schema = spark.read.parquet(str(src)).schema
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffles():
+        return {f for d in local for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    seen, before = [], shuffles()
+
+    def score(batch):
+        seen.append(len(shuffles() - before))
+        return batch.groupBy("item_id").agg(F.max(F.length("text")).alias("n_chars"))
+
+    requests = scoring.file_request_stream(spark, str(src), schema, max_files_per_trigger=1)
+    q = scoring.score_stream(requests, score, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    assert q.exception() is None and len(seen) == 3
+    assert seen == [0, 0, 0] and not shuffles() - before
