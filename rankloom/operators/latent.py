@@ -4,11 +4,11 @@ The weighted term-document table A (a row a document: the tf-idf weights of its
 length) is factorised by a randomised range finder:
 
     Y = A G           G: a fixed random matrix, generated from its seed in every task
-    Q = Y R^-1        R by QR of each task's rows of Y, merged pairwise up a tree
-    B = Q' A          summed by blocks of terms after a shuffle
+    Q = Y R^-1        R by QR of each task's rows of Y, merged one by one
+    B = Q' A          as R^-1' (Y' A), Y' A summed by blocks of terms after the same shuffle
     A ~ Q B,  B = U S V'   from the small matrix B B'
 
-POWER more passes put A B' in the place of Y, which sharpens the range. What is kept is a table
+So R and B take one pass over A. POWER more passes put A B' in the place of Y, which sharpens the range. What is kept is a table
 of terms, ``latent(bucket, vector)``: V's columns. A text's latent vector is its weights times that
 table, brought to unit length, so inner products are cosines in the latent space; documents and
 queries are encoded alike (``encode``), in one pass over their texts.
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,32 +40,49 @@ from rankloom.session import ensure_checkpoint_dir
 
 DIM, RANK, EXTRA, POWER, SEED = 1 << 16, 32, 8, 2, 1
 CHUNK = 1024                # buckets summed as one value
-FAN = 16                    # R's merged at once
+ROWS, ENTRIES = 1 << 10, 1 << 14        # documents of a batch weighed at a time, and entries summed
 
 
 def random_matrix(dim: int, width: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dim, width))
 
 
-def weights_of(buckets: list, tfs: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
+def weights_of(buckets: pa.ListArray, tfs: pa.ListArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, buckets, weights) of a batch of rows: (1 + log tf) * idf, of unit length; buckets
     that several terms share add up, as all sums are linear but the length, which is of the sum."""
-    sizes = np.fromiter((len(b) for b in buckets), np.int64, len(buckets))
-    flat = np.concatenate([np.asarray(b, np.int64) for b in buckets]) if sizes.sum() else np.zeros(0, np.int64)
-    n = np.concatenate([np.asarray(t, np.float64) for t in tfs]) if sizes.sum() else np.zeros(0)
-    row = np.repeat(np.arange(len(buckets)), sizes)
-    key, at = np.unique(row * len(idf) + flat, return_inverse=True)
-    row, flat = np.divmod(key, len(idf))
-    w = np.bincount(at, 1 + np.log(n), len(key)) * idf[flat] if len(key) else np.zeros(0)
+    row = np.repeat(np.arange(len(buckets)), pc.list_value_length(buckets).fill_null(0).to_numpy(zero_copy_only=False))
+    key = row * len(idf) + buckets.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    key, w = key[order], 1 + np.log(tfs.flatten().to_numpy(zero_copy_only=False)[order].astype(np.float64))
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    row, flat = np.divmod(key[starts], len(idf))
+    w = np.add.reduceat(w, starts) * idf[flat] if len(starts) else np.zeros(0)
     length = np.sqrt(np.bincount(row, w * w, len(buckets)))
     w = w / np.where(length > 0, length, 1)[row]
     return np.searchsorted(row, np.arange(len(buckets) + 1)), flat, w
 
 
+def sums_of(at: np.ndarray, row: np.ndarray, w: np.ndarray, table: np.ndarray, out: np.ndarray) -> None:
+    """Adds w * table[row] to the rows ``at`` (ascending) of ``out``, a few entries at a time, so that they stay
+    in the processor's cache."""
+    for a in range(0, len(at), ENTRIES):
+        some = at[a:a + ENTRIES]
+        starts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+        part = table[row[a:a + ENTRIES]]
+        part *= w[a:a + ENTRIES, None]
+        out[some[starts]] += np.add.reduceat(part, starts, axis=0)
+
+
 def projected(bounds: np.ndarray, flat: np.ndarray, w: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sums of weight times the table's row, a row for each [bounds[i], bounds[i + 1])."""
     out = np.zeros((len(bounds) - 1, table.shape[1]))
-    np.add.at(out, np.repeat(np.arange(len(out)), np.diff(bounds)), w[:, None] * table[flat])
+    sums_of(np.repeat(np.arange(len(out)), np.diff(bounds)), flat, w, table, out)
     return out
 
 
@@ -86,18 +104,28 @@ class Latent:
         shared = df.sparkSession.sparkContext.broadcast((self.idf, self.table))
         # the counted terms travel in a struct of their own, beside whatever columns df has
         rows = count_terms(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("__text")), "row", "__text", len(self.idf))
-        schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+        return self._encoded(rows.select(F.col("key").alias("row"), "buckets", "tfs"), df.schema.fields, out, shared)
+
+    def encode_counted(self, counted: DataFrame, out: str = "embedding") -> DataFrame:
+        """(key, embedding) of rows whose terms are counted with this space's buckets: counted(key, buckets, tfs)."""
+        shared = counted.sparkSession.sparkContext.broadcast((self.idf, self.table))
+        return self._encoded(counted.select(F.struct("key").alias("row"), "buckets", "tfs"), [counted.schema["key"]], out, shared)
+
+    @staticmethod
+    def _encoded(rows: DataFrame, fields: list, out: str, shared) -> DataFrame:
+        schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf, table = shared.value
-            for batch in batches:
-                m = projected(*weights_of(batch.column("buckets").to_pylist(), batch.column("tfs").to_pylist(), idf), table)
+            for batch in slices(batches):
+                m = projected(*weights_of(batch.column("buckets"), batch.column("tfs"), idf), table)
                 length = np.linalg.norm(m, axis=1, keepdims=True)
                 m = m / np.where(length > 0, length, 1)
-                yield pa.RecordBatch.from_arrays([*batch.column("row").flatten(), pa.array(list(m), pa.list_(pa.float64()))],
+                offsets = pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.column("row").flatten(), pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))],
                                                  schema.names)
 
-        return rows.select(F.col("key").alias("row"), "buckets", "tfs").mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
 
 def factorise(corpus: DataFrame, key: str = "key", text: str = "text", rank: int = RANK, dim: int = DIM,
@@ -106,7 +134,13 @@ def factorise(corpus: DataFrame, key: str = "key", text: str = "text", rank: int
     spark = corpus.sparkSession
     path = (path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/latent-{uuid.uuid4().hex}").rstrip("/")
     count_terms(corpus, key, text, dim).select("buckets", "tfs").write.mode("overwrite").parquet(f"{path}/counted")
-    counted = spark.read.parquet(f"{path}/counted")
+    return factorise_counted(spark.read.parquet(f"{path}/counted"), path, rank, dim, power)
+
+
+def factorise_counted(counted: DataFrame, path: str | None = None, rank: int = RANK, dim: int = DIM, power: int = POWER) -> Latent:
+    """``factorise`` of a written table of documents whose terms are counted with ``dim`` buckets: (buckets, tfs)."""
+    spark = counted.sparkSession
+    path = (path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom/latent-{uuid.uuid4().hex}").rstrip("/")
     n = counted.count()
     idf = np.zeros(dim)
     for r in counted.select(F.explode(F.array_distinct("buckets")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("df")).collect():
@@ -114,9 +148,8 @@ def factorise(corpus: DataFrame, key: str = "key", text: str = "text", rank: int
     width = rank + EXTRA
     basis = random_matrix(dim, width)
     for turn in range(power + 1):
-        r = _triangle(counted, idf, basis)
-        inverse = np.linalg.pinv(r, rcond=1e-10)
-        b = _transposed(counted, idf, basis, inverse)
+        r, b = _pass(counted, idf, basis)
+        b = b @ np.linalg.pinv(r, rcond=1e-10)
         if turn < power:
             basis = b / max(1e-30, np.abs(b).max())
     values, u = np.linalg.eigh(b.T @ b)                            # B B', as b is B'
@@ -131,69 +164,51 @@ def factorise(corpus: DataFrame, key: str = "key", text: str = "text", rank: int
     return Latent(spark.read.parquet(f"{path}/latent"), idf, table, singular)
 
 
-def _triangle(counted: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """R of the QR of A times ``basis``: each task's rows give one R as they stream by, and FAN R's are
-    stacked and reduced at a time until one is left."""
+def _pass(counted: DataFrame, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """R of the QR of Y = A basis, and A' Y, dim x width, from one pass: each task's rows give one R as they stream by
+    and their sums by bucket; the R's of all tasks are stacked and reduced one by one, and the blocks of buckets
+    added, after a shuffle."""
+    dim, width = basis.shape
     shared = counted.sparkSession.sparkContext.broadcast((idf, basis))
-    width = basis.shape[1]
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = shared.value
-        r = np.zeros((0, width))
-        for batch in batches:
-            y = projected(*weights_of(batch.column("buckets").to_pylist(), batch.column("tfs").to_pylist(), idf), basis)
-            r = upper(np.vstack((r, y)))
-        yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f8").tobytes()], pa.binary())], ["r"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.zeros((0, width))
-        for batch in batches:
-            for x in batch.column("r").to_pylist():
-                r = upper(np.vstack((r, np.frombuffer(x, "<f8").reshape(-1, width))))
-        yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f8").tobytes()], pa.binary())], ["r"])
-
-    level = counted.mapInArrow(local, "r binary")
-    tasks = counted.rdd.getNumPartitions()
-    while tasks > 1:
-        tasks = -(-tasks // FAN)
-        level = level.repartition(tasks).mapInArrow(merged, "r binary")
-    rows = [np.frombuffer(x["r"], "<f8").reshape(-1, width) for x in level.collect()]
-    return upper(np.vstack([np.zeros((width, width)), *rows]))
-
-
-def _transposed(counted: DataFrame, idf: np.ndarray, basis: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """A' Q = (Q' A)', dim x width, where Q = A basis inverse: each task sums its rows by bucket, and the
-    blocks of buckets of all tasks are added after a shuffle."""
-    dim, width = basis.shape
-    shared = counted.sparkSession.sparkContext.broadcast((idf, basis @ inverse))
+    def row(at: int, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([s.astype("<f8").tobytes()], pa.binary())], ["at", "s"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, table = shared.value
-        sums = np.zeros((dim, width))
-        for batch in batches:
-            bounds, flat, w = weights_of(batch.column("buckets").to_pylist(), batch.column("tfs").to_pylist(), idf)
-            q = projected(bounds, flat, w, table)
-            np.add.at(sums, flat, w[:, None] * q[np.repeat(np.arange(len(q)), np.diff(bounds))])
+        idf, basis = shared.value
+        r, sums = np.zeros((0, width)), np.zeros((dim, width))
+        for batch in slices(batches):
+            bounds, flat, w = weights_of(batch.column("buckets"), batch.column("tfs"), idf)
+            y = projected(bounds, flat, w, basis)
+            r = upper(np.vstack((r, y)))
+            order = np.argsort(flat, kind="stable")
+            sums_of(flat[order], np.repeat(np.arange(len(y)), np.diff(bounds))[order], w[order], y, sums)
+        yield row(-1, r)
         for at in range(0, dim, CHUNK):
             part = sums[at:at + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.astype("<f8").tobytes()], pa.binary())], ["at", "s"])
+                yield row(at, part)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, s in zip(batch.column("at").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                sums[at] = sums.get(at, 0) + np.frombuffer(s, "<f8")
+                m = np.frombuffer(s, "<f8").reshape(-1, width)
+                sums[at] = upper(np.vstack((sums.get(at, m[:0]), m))) if at < 0 else sums.get(at, 0) + m
         for at, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["at", "s"])
+            yield row(at, s)
 
-    out = np.zeros((dim, width))
+    r, out = np.zeros((width, width)), np.zeros((dim, width))
     # a few sums for each core, not one for each split
     cores = 4 * counted.sparkSession.sparkContext.defaultParallelism
-    for x in counted.coalesce(cores).mapInArrow(partial, "at int, s binary").repartition("at").mapInArrow(added, "at int, s binary").collect():
+    each = counted.select("buckets", "tfs").coalesce(cores).mapInArrow(partial, "at int, s binary")
+    for x in each.repartition("at").mapInArrow(added, "at int, s binary").collect():
         s = np.frombuffer(x["s"], "<f8").reshape(-1, width)
-        out[x["at"]:x["at"] + len(s)] = s
-    return out
+        if x["at"] < 0:
+            r = upper(np.vstack((r, s)))
+        else:
+            out[x["at"]:x["at"] + len(s)] = s
+    return r, out
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:

@@ -93,8 +93,12 @@ def _built(spark: SparkSession, sf: str, table: str, what: str, make):
     return _KEPT[at][1]
 
 
-def _postings(spark, sf) -> postings.PostingsIndex:
-    return _built(spark, sf, "documents", "postings", lambda: postings.PostingsIndex.build(T.document_corpus(spark, sf)))
+def _postings(spark, sf, counted: DataFrame | None = None) -> postings.PostingsIndex:
+    def make():
+        return (postings.PostingsIndex.build(T.document_corpus(spark, sf)) if counted is None
+                else postings.PostingsIndex.of_counted(counted.select("key", "dl", "terms", "tfs")))
+
+    return _built(spark, sf, "documents", "postings", make)
 
 
 def pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,10 +107,16 @@ def pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("query_id", F.col("key").alias("doc_id"), _r("score"), "rank")
 
 
+def _counted(spark, sf) -> DataFrame:
+    """The documents' terms, counted once for the latent space and the postings."""
+    return _built(spark, sf, "documents", "counted", lambda: materialize(
+        lexical.count_terms(T.document_corpus(spark, sf), dim=latent.DIM).drop("norm"), "counted"))
+
+
 def _latent(spark, sf) -> tuple[latent.Latent, DataFrame]:
     def make():
-        space = latent.factorise(T.document_corpus(spark, sf))
-        return space, materialize(space.encode(T.document_corpus(spark, sf), "text").select("key", "embedding"), "latent_vectors")
+        space = latent.factorise_counted(_counted(spark, sf))
+        return space, materialize(space.encode_counted(_counted(spark, sf)), "latent_vectors")
 
     return _built(spark, sf, "documents", "latent", make)
 
@@ -116,7 +126,8 @@ def latent_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     q = T.benchmark_queries(spark, sf)
     space, vectors = _latent(spark, sf)
     near = dense.exact_top_k(space.encode(q, "query_text"), vectors, 60)
-    h = hybrid_top_k(near, postings.top_k(q, _postings(spark, sf), 60), top_k=30, alpha=0.5)
+    text = postings.top_k(q, _postings(spark, sf, _counted(spark, sf)), 60)
+    h = hybrid_top_k(near, text, top_k=30, alpha=0.5)
     return h.select("query_id", F.col("key").alias("doc_id"), _r("dense"), _r("bm25"), _r("score"), "rank")
 
 

@@ -91,3 +91,17 @@ def test_buckets_are_those_of_the_hashing_encoder(spark):
     got = count_terms(df, "key", "text", DIM).first()
     assert sorted(got.buckets) == sorted(r[0] for r in spark.createDataFrame([("alpha",), ("beta",)], "t string")
                                          .select(hash_bucket("t", DIM)).collect())
+
+
+def test_one_pass_and_one_count_give_the_same_space(spark, monkeypatch):
+    """Each turn reads the documents once, and counted documents have the vectors of their texts."""
+    df, _ = corpus(spark)
+    passes, one = [], latent._pass
+    monkeypatch.setattr(latent, "_pass", lambda *x: passes.append(1) or one(*x))
+    counted = count_terms(df, "key", "text", DIM)
+    space = latent.factorise_counted(counted, rank=3, dim=DIM, power=2)
+    assert len(passes) == 3
+    assert np.allclose(space.table, latent.factorise(df, rank=3, dim=DIM, power=2).table, atol=1e-9)
+    texts = {r.key: r.embedding for r in space.encode(df, "text").collect()}
+    vectors = {r.key: r.embedding for r in space.encode_counted(counted).collect()}
+    assert texts.keys() == vectors.keys() and all(np.allclose(texts[k], vectors[k], atol=1e-12) for k in texts)
