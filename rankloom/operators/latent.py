@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators.lexical import count_terms
-from rankloom.session import ensure_checkpoint_dir
+from rankloom.session import ensure_checkpoint_dir, without_shuffle_files
 
 DIM, RANK, EXTRA, POWER, SEED = 1 << 16, 32, 8, 2, 1
 CHUNK = 1024                # buckets summed as one value
@@ -201,8 +201,11 @@ def _pass(counted: DataFrame, idf: np.ndarray, basis: np.ndarray) -> tuple[np.nd
     r, out = np.zeros((width, width)), np.zeros((dim, width))
     # a few sums for each core, not one for each split
     cores = 4 * counted.sparkSession.sparkContext.defaultParallelism
-    each = counted.select("buckets", "tfs").coalesce(cores).mapInArrow(partial, "at int, s binary")
-    for x in each.repartition("at").mapInArrow(added, "at int, s binary").collect():
+    with without_shuffle_files(counted.sparkSession):
+        each = counted.select("buckets", "tfs").coalesce(cores).mapInArrow(partial, "at int, s binary")
+        rows = each.repartition("at").mapInArrow(added, "at int, s binary").collect()
+    shared.destroy()            # its copies on the executors' disks too
+    for x in rows:
         s = np.frombuffer(x["s"], "<f8").reshape(-1, width)
         if x["at"] < 0:
             r = upper(np.vstack((r, s)))
