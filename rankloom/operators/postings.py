@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,23 +46,36 @@ TERM_BYTES = 64
 POSTINGS = "shard int, term string, docs array<int>, tfs array<int>, ranges array<int>, range_tf array<int>, keys array<{key}>"
 
 
-def inverted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one shard from its documents (key, dl, terms, tfs)."""
-    pdf = pdf.sort_values(["dl", "key"], kind="stable")
-    sizes = pdf["terms"].map(len).to_numpy()
-    shard = int(pdf["shard"].iloc[0])
-    out = [(shard, None, np.arange(len(pdf), dtype=np.int32), pdf["dl"].to_numpy(np.int32), None, None, pdf["key"].tolist())]
-    if sizes.sum():
-        codes, terms = pd.factorize(np.concatenate(pdf["terms"].tolist()))
-        order = np.argsort(codes, kind="stable")
-        docs = np.repeat(np.arange(len(pdf), dtype=np.int32), sizes)[order]
-        tfs = np.concatenate(pdf["tfs"].tolist()).astype(np.int32)[order]
-        ends = np.cumsum(np.bincount(codes))
-        for term, a, b in zip(terms, np.concatenate(([0], ends[:-1])), ends, strict=True):
-            of = docs[a:b] // RANGE
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            out.append((shard, term, docs[a:b], tfs[a:b], of[first], np.maximum.reduceat(tfs[a:b], first), None))
-    return pd.DataFrame(out, columns=["shard", "term", "docs", "tfs", "ranges", "range_tf", "keys"])
+def inverted(v: pa.Table) -> pa.Table:
+    """The rows of one shard from its documents (shard, key, dl, terms, tfs)."""
+    v = v.take(pc.sort_indices(v, sort_keys=[("dl", "ascending"), ("key", "ascending")]))
+    one = {c: v.column(c).combine_chunks() for c in ("key", "dl", "terms", "tfs")}
+    n, sizes = v.num_rows, pc.list_value_length(one["terms"]).to_numpy(zero_copy_only=False)
+    words = pc.dictionary_encode(one["terms"].flatten())
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    codes = words.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    codes, docs = codes[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    tfs = one["tfs"].flatten().to_numpy(zero_copy_only=False).astype(np.int32)[order]
+    ends = np.cumsum(np.bincount(codes, minlength=len(words.dictionary)))
+    of = docs // RANGE
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (codes[1:] != codes[:-1]))))
+    range_tf = np.maximum.reduceat(tfs, first) if len(first) else tfs
+    rows = len(ends) + 1                        # the first has a null term, the documents' keys and lengths
+    lists = pa.array(np.concatenate(([0, n], n + ends)), pa.int32())
+    whole = np.arange(rows) == 0
+
+    def numbers(head: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(lists, pa.array(np.concatenate((head, values)), pa.int32()))
+
+    in_range = pa.array(np.concatenate(([0, 0], np.searchsorted(first, ends))), pa.int32())
+    return pa.table({
+        "shard": pa.array(np.full(rows, v.column("shard")[0].as_py()), pa.int32()),
+        "term": pa.concat_arrays([pa.nulls(1, words.dictionary.type), words.dictionary]),
+        "docs": numbers(np.arange(n), docs), "tfs": numbers(one["dl"].to_numpy(zero_copy_only=False), tfs),
+        "ranges": pa.ListArray.from_arrays(in_range, pa.array(of[first], pa.int32()), mask=pa.array(whole)),
+        "range_tf": pa.ListArray.from_arrays(in_range, pa.array(range_tf, pa.int32()), mask=pa.array(whole)),
+        "keys": pa.ListArray.from_arrays(pa.array(np.append(0, np.full(rows, n)), pa.int32()), one["key"], mask=pa.array(~whole))})
 
 
 @dataclass
@@ -92,7 +107,7 @@ class PostingsIndex:
         shards = max(1, -(-n // shard_docs), -(-held // SHARD_TERMS), min(cores, n // least_docs))
         kind = dict(counted.dtypes)["key"]
         placed = counted.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-        write_bucketed(placed.groupBy("shard").applyInPandas(inverted, POSTINGS.format(key=kind)), f"{path}/postings", "shard", shards)
+        write_bucketed(placed.groupBy("shard").applyInArrow(inverted, POSTINGS.format(key=kind)), f"{path}/postings", "shard", shards)
         whole = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
         whole.select("*", F.lit(shards).alias("shards"), F.lit(kind).alias("key_type")).coalesce(1).write.mode("overwrite").json(f"{path}/layout")
         df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -67,3 +67,16 @@ def test_long_documents_make_smaller_shards(spark, monkeypatch):
     want = lexical.bm25_top_k(queries, lexical.LexicalIndex.build(docs), 5)
     show = lambda df: [(r.key, r.rank, round(r.score, 9)) for r in df.orderBy("rank").collect()]
     assert show(postings.top_k(queries, index, 5)) == show(want)
+
+
+def test_a_shards_rows_are_made_without_a_row_of_python_objects(spark):
+    """Arrow in, Arrow out: lists, ranges and keys of a shard as its documents have them."""
+    import pyarrow as pa
+
+    docs = [(7, 3, ["a", "b"], [2, 1]), (5, 1, ["b"], [1]), (6, 0, [], [])]
+    v = pa.table({"shard": pa.array([4] * 3, pa.int32()), "key": [d[0] for d in docs], "dl": pa.array([d[1] for d in docs], pa.int32()),
+                  "terms": pa.array([d[2] for d in docs], pa.list_(pa.string())), "tfs": pa.array([d[3] for d in docs], pa.list_(pa.int32()))})
+    rows = {r["term"]: r for r in postings.inverted(v).to_pylist()}
+    assert rows[None] == {"shard": 4, "term": None, "docs": [0, 1, 2], "tfs": [0, 1, 3], "ranges": None, "range_tf": None, "keys": [6, 5, 7]}
+    assert rows["b"] == {"shard": 4, "term": "b", "docs": [1, 2], "tfs": [1, 1], "ranges": [0], "range_tf": [1], "keys": None}
+    assert rows["a"]["docs"] == [2] and rows["a"]["range_tf"] == [2] and len(rows) == 3
